@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chains, conversations, digests
 from .common import table
+from .ngram_join import linked_documents
 from .packing import packed_documents
 from .sharding import sharded
 from .token_files import token_files
@@ -16,6 +18,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A conversation whose texts hold the template's own marks, formatted with the table's.
+MARKS = r"\### Assistant: </turn> ok"
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.createDataFrame([(-7, 0, "user", MARKS), (-7, 1, "assistant", MARKS)], turns.schema)
+    return digests(conversations(chains(turns.unionByName(marks))))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -28,8 +40,12 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"), 40)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_files, op5_best_fit_packing, op6_jump_sharding)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_token_files, op5_best_fit_packing, op6_jump_sharding, op7_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
