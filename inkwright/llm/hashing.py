@@ -79,7 +79,8 @@ class Words:
         inside = ~parts[data]
         edge = np.diff(inside.astype(np.int8), prepend=0)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.hash = window(running(data), self.start, self.end)
+        self.sums = running(data)
+        self.hash = window(self.sums, self.start, self.end)
         ends = np.cumsum([len(x) + 1 for x in raw])
         self.text = np.searchsorted(ends, self.start, "right")
         #: first word of each text, and one past the last of all

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chains, conversations, digests
 from .common import table
+from .fingerprints import fingerprints
 from .ngram_join import linked_documents
 from .packing import packed_documents
 from .sharding import sharded
 from .token_files import token_files
+from .toxicity import toxicity
 
 
 def tokenizer_path() -> str:
@@ -32,6 +34,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,8 +50,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_token_files, op5_best_fit_packing, op6_jump_sharding, op7_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_token_files, op4_toxicity, op5_best_fit_packing, op6_jump_sharding, op7_ngram_jaccard_join, op8_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
