@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chains, conversations, digests
 from .common import table
+from .decontamination import leaks
 from .fingerprints import fingerprints
 from .ngram_join import linked_documents
 from .packing import packed_documents
@@ -54,8 +55,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_token_files, op4_toxicity, op5_best_fit_packing, op6_jump_sharding, op7_ngram_jaccard_join, op8_fingerprints)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_token_files, op4_toxicity, op5_best_fit_packing, op6_jump_sharding, op7_ngram_jaccard_join, op8_fingerprints, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
