@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import chains, conversations, digests
 from .common import table
@@ -10,7 +11,9 @@ from .decontamination import leaks
 from .fingerprints import fingerprints
 from .ngram_join import linked_documents
 from .packing import packed_documents
+from .secrets import secret_findings
 from .sharding import sharded
+from .suffix_dedup import deduplicated
 from .token_files import token_files
 from .toxicity import toxicity
 
@@ -31,6 +34,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(conversations(chains(turns.unionByName(marks))))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_findings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "finding", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -55,12 +63,16 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_token_files, op4_toxicity, op5_best_fit_packing, op6_jump_sharding, op7_ngram_jaccard_join, op8_fingerprints, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_token_files, op4_toxicity, op5_best_fit_packing, op6_jump_sharding, op7_ngram_jaccard_join, op8_fingerprints, op9_suffix_array_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
