@@ -15,15 +15,10 @@ from .secrets import secret_findings
 from .sharding import sharded
 from .suffix_dedup import deduplicated
 from .token_files import token_files
+from .tokens import tokenizer_path
 from .toxicity import toxicity
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 #: A conversation whose texts hold the template's own marks, formatted with the table's.
 MARKS = r"\### Assistant: </turn> ok"
 

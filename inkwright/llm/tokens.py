@@ -14,6 +14,15 @@ import re
 import numpy as np
 
 END_ID = 1
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed public vocabulary is; the file itself is never part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: Words kept in each of the two generations of a worker's cache.
 CACHE_WORDS = 250_000
 
