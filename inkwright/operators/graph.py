@@ -54,9 +54,9 @@ def with_core(nodes: DataFrame, key: str = "id", year: str = "year") -> DataFram
 
 def centrality(nodes: DataFrame) -> DataFrame:
     """centrality (in + out) / 2N and novelty min(in / out, 1), or half of in without out."""
-    total = nodes.agg(F.greatest(F.lit(1), F.count("*") * 2).alias("_total"))
+    total = max(1, 2 * nodes.count())
     novelty = F.when(F.col("citation_count") > 0, F.col("cited_by_count") / F.col("citation_count")).otherwise(F.col("cited_by_count") * 0.5)
-    return nodes.crossJoin(F.broadcast(total)).withColumns({"centrality": (F.col("cited_by_count") + F.col("citation_count")) / F.col("_total"), "novelty": F.least(novelty, F.lit(1.0))}).drop("_total")
+    return nodes.withColumns({"centrality": (F.col("cited_by_count") + F.col("citation_count")) / F.lit(total), "novelty": F.least(novelty, F.lit(1.0))})
 
 
 def peripheral(nodes: DataFrame, threshold: float = 0.1, k: int = 10, key: str = "id") -> DataFrame:

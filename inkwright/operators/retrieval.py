@@ -96,7 +96,7 @@ def keyword_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str =
     found = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("length", F.size("terms"))
     score = F.lit(0.0)
     for term in terms:
-        tf = F.size(F.filter("terms", lambda t, term=term: t == term))
+        tf = F.size("terms") - F.size(F.array_remove("terms", term))
         score = score + F.when(tf > 0, tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean_length))).otherwise(0.0)
     return found.select(key, score.alias("score"))
 
