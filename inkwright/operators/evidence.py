@@ -66,8 +66,8 @@ def cue_score(claim: Column, segment: Column, groups: dict[str, list[str]]) -> C
     return F.when(active > 0, both / active).otherwise(0.0)
 
 
-def alignment_score(claim: Column, segment: Column, groups: dict[str, list[str]]) -> Column:
-    a, b = match_text(claim), match_text(segment)
+def alignment_score(claim: Column, segment: Column, a: Column, b: Column, groups: dict[str, list[str]]) -> Column:
+    """Score of a claim and a segment; a and b are their match_text, as columns of their own."""
     ratio = sequence_ratio(F.substring(a, 1, 400), F.substring(b, 1, 400))
     score = ratio * 0.20 + han_overlap(claim, segment) * 0.35 + bigram_overlap(a, b) * 0.25 + cue_score(claim, segment, groups) * 0.20
     return F.when((a == "") | (b == ""), 0.0).otherwise(F.least(score, F.lit(1.0)))
@@ -84,8 +84,9 @@ def aligned(claims: DataFrame, passages: DataFrame, groups: dict[str, list[str]]
     """
     parts = F.transform(F.split("text", r"\n{2,}"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", "")))
     segments = passages.select("candidate_id", "page", F.posexplode(parts).alias("place", "segment")).filter(F.length("segment") >= least)
-    scored = claims.join(segments, "candidate_id").withColumn("score", F.bround(alignment_score(F.col("claim"), F.col("segment"), groups), 4))
-    return keep_first(scored, ["candidate_id", "claim"], [F.desc("score"), "page", "place"]).drop("place")
+    pairs = claims.join(segments, "candidate_id").withColumns({"_a": match_text(F.col("claim")), "_b": match_text(F.col("segment"))})
+    scored = pairs.withColumn("score", F.bround(alignment_score(F.col("claim"), F.col("segment"), F.col("_a"), F.col("_b"), groups), 4))
+    return keep_first(scored, ["candidate_id", "claim"], [F.desc("score"), "page", "place"]).drop("place", "_a", "_b")
 
 
 def narrowest_range(requests: DataFrame, cached: DataFrame) -> DataFrame:

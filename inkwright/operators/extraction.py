@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +78,8 @@ def heading_parents(sections: DataFrame, key: str = "doc_id") -> DataFrame:
     before = Window.partitionBy(key).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.last(F.when(F.col("level") == k, F.col("section")), ignorenulls=True).over(before) for k in range(7)]
     parent = F.lit(None).cast("long")
-    for level in range(1, 7):
-        parent = F.when(F.col("level") == level, F.array_max(F.array(*last[:level]))).otherwise(parent)
+    for level in range(2, 7):
+        parent = F.when(F.col("level") == level, F.array_max(F.array(*last[1:level]))).otherwise(parent)
     return sections.withColumn("parent", parent)
 
 
@@ -86,18 +89,44 @@ def key_values(text: Column) -> Column:
     return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("key"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("value"))
 
 
+#: Dictionary entries that a task holds at once; a longer dictionary is taken in blocks.
+DICTIONARY_BLOCK = 50_000
+
+
 def dictionary_entities(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, entity, category, start): every place of every dictionary entity, overlapping ones too.
 
-    `dictionary` (entity, category) is a reference list; its size is checked before it goes to all tasks, and a longer
-    one is joined on the entity's first two characters.
+    One pass over each text with an Aho-Corasick automaton of a block of `dictionary` (entity, category).
     """
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - 1, F.lit(1))), lambda k: F.struct(k.alias("at"), F.substring(F.col("body"), k, F.lit(2)).alias("head")))
-    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("body")).filter(F.length("body") > 1)
-    heads = rows.withColumn("p", F.explode(pairs)).select(key, F.col("p.at").alias("at"), F.col("p.head").alias("head"), F.substring(F.col("body"), F.col("p.at"), F.lit(60)).alias("rest"))
-    known = dictionary.filter(F.length("entity").between(2, 60)).withColumn("head", F.substring("entity", 1, 2))
-    known = F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known
-    return heads.join(known, "head").filter("startswith(rest, entity)").select(key, "entity", "category", (F.col("at") - 1).alias("start"))
+
+    def scan(words: list[tuple[str, str]]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            known = ahocorasick.Automaton()
+            for entity, category in words:
+                known.add_word(entity, (entity, category))
+            known.make_automaton()
+            for batch in batches:
+                out = [(k, entity, category, end - len(entity) + 1) for k, t in zip(batch[key], batch[text]) if t for end, (entity, category) in known.iter(t)]
+                yield pd.DataFrame(out, columns=[key, "entity", "category", "start"])
+
+        return run
+
+    rows, found, held = docs.select(key, text), None, []
+    schema = f"{key} {dict(docs.dtypes)[key]}, entity string, category string, start long"
+
+    def with_block(found: DataFrame | None, held: list) -> DataFrame:
+        hits = rows.mapInPandas(scan(held), schema)
+        return hits if found is None else found.unionByName(hits)
+
+    for row in dictionary.filter("entity <> ''").dropDuplicates(["entity"]).toLocalIterator():
+        held.append((row["entity"], row["category"]))
+        if len(held) == DICTIONARY_BLOCK:
+            found, held = with_block(found, held), []
+    if held:
+        found = with_block(found, held)
+    return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def disambiguated(entities: DataFrame, rules: DataFrame) -> DataFrame:
@@ -106,9 +135,9 @@ def disambiguated(entities: DataFrame, rules: DataFrame) -> DataFrame:
     `rules`: entity, rule_order, standard_name, category, patterns, keywords. 0.35 for each pattern and 0.1 for each keyword in the
     context, at most 1. An unknown form keeps itself, with score 0.
     """
-    hits = lambda words: F.size(F.filter(words, lambda w: F.contains(F.col("context"), w)))
+    hits = lambda words: F.coalesce(F.size(F.filter(words, lambda w: F.contains(F.col("context"), w))), F.lit(0))
     rows = entities.join(rules.withColumnRenamed("category", "rule_category"), "entity", "left")
-    score = F.coalesce(F.least(F.lit(1.0), hits(F.col("patterns")) * 0.35 + hits(F.col("keywords")) * 0.1), F.lit(0.0))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0), hits(F.col("patterns"))) * 0.35 + F.greatest(F.lit(0), hits(F.col("keywords"))) * 0.1)
     best = keep_first(rows.withColumn("score", score), ["entity", "context"], [F.desc("score"), F.col("rule_order").asc_nulls_last()])
     known = F.col("rule_order").isNotNull()
     return best.select("entity", "context", F.when(known, F.col("standard_name")).otherwise(F.col("entity")).alias("standard_name"), "rule_category", F.round("score", 4).alias("score"), known.alias("known"))
