@@ -1,9 +1,15 @@
 import os
+import sys
 import tempfile
 
 import pytest
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+
 
 @pytest.fixture(scope="session")
 def spark():
