@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, documents, files, records, retrieval
+from .plans import analytics, documents, files, records, retrieval, workflow
 
-PARTS = (retrieval, analytics, documents, records, files)
+PARTS = (retrieval, analytics, documents, records, workflow, files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
