@@ -87,7 +87,7 @@ def paths(messages: DataFrame) -> DataFrame:
     found = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
     for k in reversed(range(len(steps))):
         more = found.join(steps[k], "node").select("leaf", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
-        found = found.unionByName(more)
+        found = written(found.unionByName(more), "paths")  # else each round would double the plan
     return found
 
 
