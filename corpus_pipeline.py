@@ -22,7 +22,7 @@ from inkwright.llm.toxicity import THRESHOLD, scored, train
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    return scored(docs, model, "__score").filter(F.col("__score") < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,9 +153,9 @@ def secret_findings(docs: DataFrame, labelled: DataFrame | None = None, path: st
 
 def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """`docs` with every secret replaced by PLACEHOLDER and n_chars brought up to date; no row goes."""
-    found = secret_findings(docs, labelled).filter("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("secrets"))
-    text = F.aggregate(F.coalesce("secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(PLACEHOLDER)))
-    rows = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("secrets").isNull(), F.col("text")).otherwise(text))
+    found = secret_findings(docs, labelled).filter("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets"))
+    text = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(PLACEHOLDER)))
+    rows = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return rows.select(*docs.columns)

@@ -33,6 +33,8 @@ from .hashing import NOT_ALNUM, Words, chunks, window
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
 BAGS, FEATURES, LEAST_TEXTS = 3, 1 << 20, 4
 PREFIXES = (5, 6, 7)
+#: Strengths of the penalty on weights; the one with the least risk on what was left out is taken.
+PENALTIES = (2e-4, 6e-4, 2e-3)
 THRESHOLD = 0.7
 
 
@@ -88,16 +90,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return names[frequent][used], (w * scale)[used], float(b)
 
 
-def calibrated(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
-    """Slope and shift of logits with the least non-negative risk on texts that were left out of training."""
+def calibrated(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, float]:
+    """The least non-negative risk on texts that were left out of training, with the slope and shift of logits that have it."""
     if not len(positive) or not len(unlabelled):
-        return 1.0, 0.0
+        return 0.0, 1.0, 0.0
 
     def risk(a: float, c: float) -> float:
         p, u = np.clip(a * positive + c, -40, 40), np.clip(a * unlabelled + c, -40, 40)
         return prior * np.logaddexp(0, -p).mean() + max(0.0, np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean())
 
-    return min(((a, c) for a in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0) for c in np.arange(-4, 4.1, 0.25)), key=lambda x: risk(*x))
+    return min((risk(a, c), a, float(c)) for a in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0) for c in np.arange(-4, 4.1, 0.25))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,32 +131,39 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[np.ndarray
         rows = [np.frombuffer(x, "<u4").astype(np.int64) for x in bag["words"]]
         kinds, out = bag["positive"].to_numpy(), bag["left_out"].to_numpy()
         inside = {k: [r for r, p, o in zip(rows, kinds, out) if p == k and not o] for k in (True, False)}
-        if not inside[True]:
-            return pd.DataFrame({"names": [b""], "weights": [b""], "intercept": [0.0], "p": [b""], "u": [b""]})[:0]
-        names, weights, intercept = fit(inside[True], inside[False], prior)
-        dense = np.zeros(FEATURES)
-        dense[names] = weights
-        z = np.asarray([dense[r].sum() for r in rows]) + intercept
-        return pd.DataFrame({"names": [names.astype("<i8").tobytes()], "weights": [weights.tobytes()], "intercept": [intercept], "p": [z[out & kinds].tobytes()], "u": [z[out & ~kinds].tobytes()]})
+        found = []
+        for penalty in PENALTIES if inside[True] else ():
+            names, weights, intercept = fit(inside[True], inside[False], prior, l1=penalty)
+            dense = np.zeros(FEATURES)
+            dense[names] = weights
+            z = np.asarray([dense[r].sum() for r in rows]) + intercept
+            found.append((penalty, names.astype("<i8").tobytes(), weights.tobytes(), intercept, z[out & kinds].tobytes(), z[out & ~kinds].tobytes()))
+        return pd.DataFrame(found, columns=["penalty", "names", "weights", "intercept", "p", "u"])
 
     # Each classifier leaves out another part of the sample.
     rows = texts.mapInPandas(hashed, "part int, positive boolean, words binary")
     rows = rows.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(BAGS - 1)))).withColumn("left_out", F.col("bag") == F.col("part"))
-    models = rows.groupBy("bag").applyInPandas(fitted, "names binary, weights binary, intercept double, p binary, u binary").collect()
+    models = rows.groupBy("bag").applyInPandas(fitted, "penalty double, names binary, weights binary, intercept double, p binary, u binary").collect()
     if not models:
         return None
+    best = None
+    for penalty in PENALTIES:
+        some = [m for m in models if m["penalty"] == penalty]
+        left_out = (np.concatenate([np.frombuffer(m[k]) for m in some]) for k in "pu")
+        tried = (*calibrated(*left_out, prior), some)
+        best = tried if best is None or tried[0] < best[0] else best
+    _, slope, shift, some = best
     weights = np.zeros(FEATURES)
-    for model in models:
-        weights[np.frombuffer(model["names"], "<i8")] += np.frombuffer(model["weights"]) / len(models)
-    slope, shift = calibrated(*(np.concatenate([np.frombuffer(m[k]) for m in models]) for k in "pu"), prior)
-    return slope * weights, slope * sum(m["intercept"] for m in models) / len(models) + shift
+    for model in some:
+        weights[np.frombuffer(model["names"], "<i8")] += np.frombuffer(model["weights"]) / len(some)
+    return slope * weights, slope * sum(m["intercept"] for m in some) / len(some) + shift
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
-    """`docs` with a score from 0 to 1, from the text alone."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None, name: str = "score") -> DataFrame:
+    """`docs` with a score from 0 to 1 in the column `name`, from the text alone."""
     small_batches(docs.sparkSession)
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -164,7 +173,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame
             z = np.asarray([weights[f].sum() for f in features(texts)]) + intercept
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
-    return docs.withColumn("score", score(F.col("text")))
+    return docs.withColumn(name, score(F.col("text")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
