@@ -28,7 +28,7 @@ CACHE_WORDS = 250_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _LATIN = re.compile("[\x00-\xff]*")
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ſ]+)([!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)")
+_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)")
 
 
 class _Generations(dict):
