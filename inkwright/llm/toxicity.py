@@ -61,13 +61,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     """
     rows = positive + unlabelled
     n, size = len(positive), np.asarray([len(r) for r in rows])
-    names, where, often = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    all_of = np.concatenate(rows)
+    often = np.bincount(all_of, minlength=FEATURES)
     frequent = (often >= LEAST_TEXTS) & (often <= 0.9 * len(rows))
-    keep = frequent[where]
-    row, col = np.repeat(np.arange(len(rows)), size)[keep], (np.cumsum(frequent) - 1)[where][keep]
+    keep = frequent[all_of]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)[keep]
+    col = (np.cumsum(frequent, dtype=np.int32) - 1)[all_of[keep]]
+    del all_of, keep
     k = int(frequent.sum())
     scale = np.log(len(rows) / often[frequent]) / np.log(len(rows) + 1)
-    value = scale[col]
+    value = scale.astype(np.float32)[col]
     w, b = np.zeros(k), np.log(prior / (1 - prior))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     is_p = np.arange(len(rows)) < n
@@ -87,7 +90,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         w, b = w - change[:-1], b - change[-1]
         w = np.sign(w) * np.maximum(0, np.abs(w) - step[:-1] * l1)
     used = w != 0
-    return names[frequent][used], (w * scale)[used], float(b)
+    return np.flatnonzero(frequent)[used], (w * scale)[used], float(b)
 
 
 def calibrated(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, float]:
@@ -124,11 +127,11 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[np.ndarray
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["part", "positive"]].assign(words=[f.astype("<u4").tobytes() for f in features(batch["text"])])
+            yield batch[["part", "positive"]].assign(words=[f.astype("<i4").tobytes() for f in features(batch["text"])])
 
     def fitted(bag: pd.DataFrame) -> pd.DataFrame:
         bag = bag.sort_values(["positive", "words"])
-        rows = [np.frombuffer(x, "<u4").astype(np.int64) for x in bag["words"]]
+        rows = [np.frombuffer(x, "<i4") for x in bag["words"]]
         kinds, out = bag["positive"].to_numpy(), bag["left_out"].to_numpy()
         inside = {k: [r for r, p, o in zip(rows, kinds, out) if p == k and not o] for k in (True, False)}
         found = []
