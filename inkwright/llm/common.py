@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -48,9 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more; else they stay until the
-    driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    driver happens to collect its garbage. What just ended may still be referred to, so it is asked twice."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 #: Bits of an id filter, 2 MB whatever the number of ids.

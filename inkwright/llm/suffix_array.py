@@ -24,8 +24,8 @@ def suffix_types(s: np.ndarray) -> np.ndarray:
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    """For each element, how many equal ones come before it."""
-    order = np.argsort(keys, kind="stable")
+    """For each element, how many equal ones come before it; keys are byte symbols."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")  # a radix sort for this type
     ordered = keys[order]
     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     out = np.empty(len(keys), np.int64)

@@ -4,9 +4,9 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 
 1. Copies of a whole text are found by its digest; all but the first go as a whole.
 2. Each window of LENGTH bytes has an anchor: the GRAM-byte string in it with the smallest hash. Equal windows have
-   equal anchors. Anchors that occur in one document only are dropped. The others are named after their
-   first document and its block of BLOCK bytes they are in: equal windows have the same name.
-3. Around anchors with one name and one shift against that first document, a segment of text is cut, wide enough for
+   equal anchors. Anchors that occur in one text only are dropped. The others are named after the text
+   that has them with the smallest hash and its block of BLOCK bytes they are in: equal windows have the same name.
+3. Around anchors with one name and one shift against that text, a segment of text is cut, wide enough for
    every window with such an anchor. Equal segments with one name are counted once, with their first document.
 4. Segments go to shards by name. A shard's suffix array is made by induced sorting, and permuted common
    prefixes part it into groups of equal windows; those with a smaller doc_id in their group are marked.
@@ -35,7 +35,7 @@ from .common import id_filter, may_hold, partitions, release, small_batches, wri
 from .hashing import chunks, running, window
 from .suffix_array import common_prefixes, suffix_array
 
-LENGTH, GRAM, BLOCK = 50, 20, 512
+LENGTH, GRAM, BLOCK = 50, 20, 1024
 #: Bytes of distinct segments for which a shard is made.
 SHARD_BYTES = 1 << 20
 _SPREAD = LENGTH - GRAM + 1  # grams of a window
@@ -67,12 +67,12 @@ def anchors(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32())])
+    schema = pa.schema([("gram", pa.int64()), ("row_key", pa.int64()), ("place", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             for first, raw in chunks(batch.column(1).to_pylist()):
                 fresh = []
                 for x in raw:  # a copy of a text has nothing to add; stage 1 knows it
@@ -80,9 +80,9 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                     fresh.append(x if len(x) >= LENGTH and key not in seen else b"")
                     seen.add(key)
                 text, place, h = anchors(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[first + text].astype(np.int64)), pa.array(place.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[first + text].astype(np.int64)), pa.array(place.astype(np.int32))], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "gram long, doc_id long, place int")
+    return docs.select(F.xxhash64("text").alias("row_key"), "text").mapInArrow(emit, "gram long, row_key long, place int")
 
 
 def marked(texts: list[bytes], owners: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -133,22 +133,26 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     first = facts.filter("doc_id IS NOT NULL").groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("class"))
     facts = written(facts.join(first, ["sha", "n_bytes"], "left"), "facts")
 
-    # Stage 2. The order of a gram's rows makes its first document a running value; its last one needs the whole group.
+    # Stage 2. The order of a gram's rows makes its first text a running value; its last one needs the whole group.
+    # Texts go by their hash here: what only copies of one text share needs no suffix array, stage 1 has it.
     rows = _anchor_rows(docs.filter("doc_id IS NOT NULL"))
     gram = Window.partitionBy("gram")
-    origin = F.first(F.struct("doc_id", "place")).over(gram.orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("origin", origin).withColumn("last", F.max("doc_id").over(gram)).filter("origin.doc_id < last")
-    named = rows.groupBy("doc_id", F.col("origin.doc_id").alias("name_doc"), F.expr(f"origin.place div {BLOCK}").alias("name_block"), (F.col("place") - F.col("origin.place")).alias("shift"))
+    origin = F.first(F.struct("row_key", "place")).over(gram.orderBy("row_key", "place").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("origin", origin).withColumn("last", F.max("row_key").over(gram)).filter("origin.row_key < last")
+    named = rows.groupBy("row_key", F.col("origin.row_key").alias("name_doc"), F.expr(f"origin.place div {BLOCK}").alias("name_block"), (F.col("place") - F.col("origin.place")).alias("shift"))
     ranges = named.agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    ranges = ranges.select("doc_id", "name_doc", "name_block", F.greatest(F.col("low") - (LENGTH - GRAM), F.lit(0)).alias("low"), (F.col("high") + LENGTH).alias("high"))
+    ranges = ranges.select("row_key", "name_doc", "name_block", F.greatest(F.col("low") - (LENGTH - GRAM), F.lit(0)).alias("low"), (F.col("high") + LENGTH).alias("high"))
     ranges = written(ranges, "ranges")
     release(spark)
 
     # Stage 3. Texts move only if they have a segment.
-    lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("name_doc", "name_block", "low", "high")).alias("ranges"))
+    firsts_of = facts.filter("doc_id = class").select("doc_id", "row_key").distinct()
+    lists = ranges.groupBy("row_key").agg(F.collect_list(F.struct("name_doc", "name_block", "low", "high")).alias("ranges"))
     cut = F.transform("ranges", lambda r: F.struct(r["name_doc"].alias("name_doc"), r["name_block"].alias("name_block"), r["low"].alias("low"), F.substring(F.col("data"), r["low"] + 1, r["high"] - r["low"]).alias("data")))
-    texts = _texts(docs, ranges.select("doc_id").distinct()).withColumn("data", F.encode("text", "UTF-8"))
-    pieces = texts.join(lists, "doc_id").select("doc_id", row_key.alias("row_key"), F.explode(cut).alias("s")).select("doc_id", "row_key", "s.*").filter(F.octet_length("data") >= LENGTH)
+    held = written(lists.join(firsts_of, "row_key"), "lists")
+    release(spark)
+    texts = _texts(docs, held.select("doc_id").distinct()).withColumns({"data": F.encode("text", "UTF-8"), "row_key": row_key}).drop("text")
+    pieces = texts.join(held, ["doc_id", "row_key"]).select("doc_id", "row_key", F.explode(cut).alias("s")).select("doc_id", "row_key", "s.*").filter(F.octet_length("data") >= LENGTH)
     sid = F.concat_ws(":", "name_doc", "name_block", F.sha2("data", 256))
     pieces = written(pieces.withColumn("sid", sid), "segments")
     release(spark)
@@ -185,7 +189,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 out.append((doc_id, key, removed, count, hashlib.sha256(b"".join(parts) + raw[at:]).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "row_key", "n_removed", "n_spans", "kept_sha256"])
 
-    firsts = spans_of.join(facts.filter("doc_id = class").select("doc_id", "row_key").distinct(), ["doc_id", "row_key"])
+    firsts = spans_of.join(firsts_of, ["doc_id", "row_key"])
     cut_texts = _texts(docs, firsts.select("doc_id").distinct()).withColumn("row_key", row_key).dropDuplicates(["doc_id", "row_key"])
     changed = cut_texts.join(firsts, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "spans").mapInPandas(kept, "doc_id long, row_key long, n_removed long, n_spans long, kept_sha256 string")
     result = facts.join(changed, ["doc_id", "row_key"], "left")
