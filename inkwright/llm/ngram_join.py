@@ -11,8 +11,9 @@ A document's set holds the hashes of its distinct shingles. Stages:
    few pairs per member, not all pairs. Links join members to components.
 4. Groups that still hold several components pair their members across components (length and positional filters again),
    without pairs already looked at. Members of one component need no further link: the result is the components.
-5. Each candidate pair is verified once: first the suffix filter (bounds from halving the sorted
-   suffixes around a middle shingle), then the size of the intersection.
+5. Each candidate pair is verified once: first by bounds on the overlap from the counts of shingles in CLASSES classes
+   of hashes, so that whole sets travel only for pairs that may link; then by the suffix filter (bounds from halving the
+   sorted suffixes around a middle shingle) and the size of the intersection.
 
 Null text and text without words have an empty set and link with nothing. A null doc_id keeps its row and its
 count, but takes no part in links. Rows that repeat a doc_id count as one document with one of their texts. An empty table
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import id_filter, may_hold, release, small_batches, written
 from .components import components
 from .hashing import chunks, mixed, shingle_sets
 
 WIDTH, PERCENT = 5, 75
 #: Counters of the frequency sketch, in blocks that are summed apart.
 COUNTERS, COUNTER_BLOCK = 1 << 20, 1 << 14
+#: Classes of hashes whose counts bound an overlap; a count is one byte, and 255 stands for more.
+CLASSES = 256
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -45,11 +48,12 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of two kinds: a document's set size and key; a partition's share of the sketch."""
+    """Rows of two kinds: a document's set size, key and class counts; a partition's share of the sketch."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        top = np.uint64(64 - CLASSES.bit_length() + 1)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for first, raw in chunks(texts):
@@ -58,8 +62,8 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                 for k, s in enumerate(sets):
                     keys[k] = s.sum(), mixed(s ^ _SALT).sum()
                 counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                none = pa.nulls(len(sets))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys[:, 0].copy())), pa.array(_signed(keys[:, 1].copy())), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+                kinds = [np.minimum(np.bincount((s >> top).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys[:, 0].copy())), pa.array(_signed(keys[:, 1].copy())), pa.nulls(len(sets)).cast(pa.int32()), pa.array(kinds, pa.binary())], schema=schema)
         filled = [k for k in range(COUNTERS // COUNTER_BLOCK) if counts[k * COUNTER_BLOCK : (k + 1) * COUNTER_BLOCK].any()]
         none = pa.nulls(len(filled)).cast(pa.int64())
         import zlib
@@ -172,14 +176,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _possible(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose class counts allow enough shared shingles."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CLASSES) for k in (4, 5))
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            full = ((x == 255) & (y == 255)).any(axis=1)
+            keep = full | ((100 + percent) * most >= percent * n)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    left = pairs.join(counts.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("counts").alias("x")), "a")
+    both = left.join(counts.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("counts").alias("y")), "b")
+    return both.select("a", "b", "n1", "n2", "x", "y").mapInArrow(bound, "a long, b long")
+
+
+def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """Shingle sets of the wanted documents, computed where the text is read; only sets are shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(may_hold(held.value, batch.column(0).to_numpy(zero_copy_only=False))))
             for first, raw in chunks(batch.column(1).to_pylist()):
                 sets = [s.tobytes() for s in shingle_sets(raw, width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sets, pa.binary())], names=["doc_id", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(collect, "doc_id long, grams binary")
+    sets = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(collect, "doc_id long, grams binary")
+    return sets.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("grams").alias("grams"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
 
 def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -195,11 +227,22 @@ def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     near = Window.partitionBy("gram").orderBy(F.desc("centre"), "doc_id")
     seen = _prefixes(docs, width, percent, _sketch(profiles))
     pivot = F.first(F.struct("doc_id", "n", "place")).over(near.rowsBetween(Window.unboundedPreceding, 0))
-    groups = seen.withColumn("pivot", pivot).withColumn("more", F.lead("doc_id").over(near))
-    groups = written(groups.filter("pivot.doc_id <> doc_id OR more IS NOT NULL").drop("more", "centre"), "groups")
+    # A group of two has no other pair than the one with its pivot; only larger ones are looked at again.
+    groups = seen.withColumn("pivot", pivot).withColumns({"rank": F.row_number().over(near), "second": F.lead("doc_id").over(near), "third": F.lead("doc_id", 2).over(near)})
+    groups = groups.withColumn("large", (F.col("rank") > 2) | ((F.col("rank") == 2) & F.col("second").isNotNull()) | F.col("third").isNotNull())
+    groups = written(groups.filter("rank > 1 OR large").select("gram", "doc_id", "n", "place", "pivot", "large"), "groups")
+    release(spark)
 
     ids = classes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("class"))
 
+    counts = profiles.filter("block IS NULL AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "counts").dropDuplicates(["doc_id"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(_possible(pairs, counts.join(_ends(pairs), "doc_id", "left_semi"), percent), "possible")
+        found = written(_verified(pairs, written(_sets(docs, width, written(_ends(pairs), "ends")), "sets"), percent), "links")
+        release(spark)
+        return found
+
     def of_classes(pairs: DataFrame) -> DataFrame:
         named = pairs.join(ids.select(F.col("doc_id").alias("a"), F.col("class").alias("a2")), "a")
         named = named.join(ids.select(F.col("doc_id").alias("b"), F.col("class").alias("b2")), "b")
@@ -207,19 +250,19 @@ def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
     to_pivot = groups.filter("pivot.doc_id <> doc_id").filter(_may_link("n", "place", "pivot.n", "pivot.place", percent))
     tried = written(of_classes(to_pivot.select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).distinct()), "pairs")
-    wanted = groups.select("doc_id").join(ids, "doc_id").select(F.col("class").alias("doc_id")).distinct()
-    sets = written(_sets(docs.dropDuplicates(["doc_id"]).join(wanted, "doc_id", "left_semi"), width), "sets")
-    links = written(_verified(tried, sets, percent), "links")
+    links = verified(tried)
 
     named = components(links)
     parts = written(ids.join(named.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "class", F.coalesce("component", "class").alias("part")), "parts")
-    rest = groups.drop("pivot").join(parts, "doc_id")
-    mixed_groups = rest.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("gram")
-    rest = written(rest.join(mixed_groups, "gram").select("gram", "class", "n", "place", "part").distinct(), "rest")
+    group = Window.partitionBy("gram")
+    rest = groups.filter("large").join(parts, "doc_id").select("gram", "class", "n", "place", "part")
+    rest = rest.withColumn("low", F.min("part").over(group)).withColumn("high", F.max("part").over(group)).filter("low < high").drop("low", "high")
+    rest = written(rest.distinct(), "rest")
+    release(spark)
     other = rest.select("gram", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("part").alias("part2"))
     across = rest.join(other, "gram").filter("part < part2").filter(_may_link("n", "place", "n2", "place2", percent))
     across = across.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = _verified(written(across, "pairs"), sets, percent)
+    more = verified(written(across, "pairs"))
 
     copies = ids.filter("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     final = components(links.unionByName(more).unionByName(copies))
