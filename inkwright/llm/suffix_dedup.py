@@ -10,10 +10,13 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
    every window with such an anchor. Equal segments with one name are counted once, with their first document.
 4. Segments go to shards by name. A shard's suffix array is made by induced sorting, and permuted common
    prefixes part it into groups of equal windows; those with a smaller doc_id in their group are marked.
+   A name whose distinct segments have more than SHARD_BYTES is dealt over several shards. Each of these tells every
+   group's window once, by digest, with its least doc_id, and hears which windows have a smaller one elsewhere.
 5. Marked windows become spans of their documents, which are cut out of the text.
 
-So anchors only decide which texts meet; the suffix arrays decide what repeats. No document, name or gram is
-gathered in one place beyond its distinct segments.
+So anchors only decide which texts meet; the suffix arrays decide what repeats. No document or name is
+gathered in one place, and shards have about SHARD_BYTES bytes. The places of one gram (not its texts) pass
+through one task, which sorts them on disk if need be.
 
 Null text is empty. Rows with a null doc_id are kept whole and compared with nothing. Rows with equal doc_id
 are not earlier than one another, so their texts remove nothing from each other. An empty table
@@ -85,41 +88,96 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("row_key"), "text").mapInArrow(emit, "gram long, row_key long, place int")
 
 
-def marked(texts: list[bytes], owners: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each text, the spans covered by windows that also start in a text with a smaller owner."""
-    sizes = np.asarray([len(t) for t in texts])
-    # 0 ends the whole, 1 parts texts, bytes follow.
-    s = np.zeros(int(sizes.sum()) + len(texts) + 1, np.int16)
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    for b, t in zip(begin, texts):
-        s[b : b + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 2
-        s[b + len(t)] = 1
-    sa = suffix_array(s, 258)
-    prefix = common_prefixes(s, sa, LENGTH)
-    text = np.searchsorted(begin, np.arange(len(s)), "right") - 1
-    whole = np.arange(len(s)) + LENGTH <= begin[text] + sizes[text]
-    starts = np.flatnonzero(prefix[sa] < LENGTH)
-    ordered = np.where(whole[sa], owners[text[sa]], np.iinfo(np.int64).max)
-    least = np.repeat(np.minimum.reduceat(ordered, starts), np.diff(np.append(starts, len(sa))))
-    hit = np.zeros(len(s), bool)
-    hit[sa] = whole[sa] & (ordered > least)
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    found = np.flatnonzero(hit)
-    if len(found):
-        cut = np.flatnonzero((np.diff(found) > LENGTH) | (np.diff(text[found]) > 0))
-        for a, b in zip(found[np.append(0, cut + 1)], found[np.append(cut, len(found) - 1)]):
-            spans[text[a]].append((int(a - begin[text[a]]), int(b - begin[text[a]]) + LENGTH))
-    return spans
+def marked(texts: list[bytes], owners: np.ndarray, elsewhere: dict[bytes, int] | None = None) -> list[list[tuple[int, int]]]:
+    """For each text, the spans covered by windows that also start in a text with a smaller owner; `elsewhere`: least owners by digest."""
+    return Windows(texts, owners).spans(elsewhere or {})
+
+
+class Windows:
+    """Windows of texts, in groups of equal ones by their suffix array, with the least owner of each group."""
+
+    def __init__(self, texts: list[bytes], owners: np.ndarray):
+        sizes = np.asarray([len(t) for t in texts])
+        # 0 ends the whole, 1 parts texts, bytes follow.
+        s = np.zeros(int(sizes.sum()) + len(texts) + 1, np.int16)
+        self.begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        for b, t in zip(self.begin, texts):
+            s[b : b + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 2
+            s[b + len(t)] = 1
+        self.s, self.sa = s, suffix_array(s, 258)
+        prefix = common_prefixes(s, self.sa, LENGTH)
+        self.text = np.searchsorted(self.begin, np.arange(len(s)), "right") - 1
+        self.whole = np.arange(len(s)) + LENGTH <= self.begin[self.text] + sizes[self.text]
+        self.starts = np.flatnonzero(prefix[self.sa] < LENGTH)
+        self.ordered = np.where(self.whole[self.sa], owners[self.text[self.sa]], np.iinfo(np.int64).max)
+        self.least = np.minimum.reduceat(self.ordered, self.starts)
+
+    def digests(self) -> tuple[np.ndarray, list[bytes]]:
+        """The groups of whole windows, and a digest of each one's bytes."""
+        groups = np.flatnonzero(self.whole[self.sa[self.starts]])
+        raw = np.maximum(self.s - 2, 0).astype(np.uint8).tobytes()
+        return groups, [hashlib.blake2b(raw[k : k + LENGTH], digest_size=16).digest() for k in self.sa[self.starts[groups]].tolist()]
+
+    def spans(self, elsewhere: dict[bytes, int]) -> list[list[tuple[int, int]]]:
+        begin, text, sa, least = self.begin, self.text, self.sa, self.least.copy()
+        if elsewhere:
+            groups, digests = self.digests()
+            least[groups] = np.minimum(least[groups], [elsewhere.get(d, np.iinfo(np.int64).max) for d in digests])
+        hit = np.zeros(len(sa), bool)
+        hit[sa] = self.whole[sa] & (self.ordered > np.repeat(least, np.diff(np.append(self.starts, len(sa)))))
+        spans: list[list[tuple[int, int]]] = [[] for _ in begin]
+        found = np.flatnonzero(hit)
+        if len(found):
+            cut = np.flatnonzero((np.diff(found) > LENGTH) | (np.diff(text[found]) > 0))
+            for a, b in zip(found[np.append(0, cut + 1)], found[np.append(cut, len(found) - 1)]):
+                spans[text[a]].append((int(a - begin[text[a]]), int(b - begin[text[a]]) + LENGTH))
+        return spans
+
+
+_SPANS = "sid string, first_doc long, spans array<struct<start:long,stop:long>>"
+
+
+def _marked_shard(shard: pd.DataFrame, elsewhere: dict[bytes, int]) -> pd.DataFrame:
+    shard = shard.sort_values("sid")
+    spans = marked(list(shard["data"]), shard["first_doc"].to_numpy(), elsewhere)
+    return shard[["sid", "first_doc"]].assign(spans=[[{"start": a, "stop": b} for a, b in x] for x in spans])
 
 
 def _marked_segments(segments: DataFrame) -> DataFrame:
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("sid")
-        spans = marked(list(shard["data"]), shard["first_doc"].to_numpy())
-        out = shard[["sid", "first_doc"]].assign(spans=[[{"start": a, "stop": b} for a, b in x] for x in spans])
-        return out
+    """Spans of segments (sid, first_doc, data, shard). The names of shards below 0 have other shards, too."""
+
+    def own(shard: pd.DataFrame) -> pd.DataFrame:
+        return _marked_shard(shard, {})
+
+    def told(shard: pd.DataFrame) -> pd.DataFrame:
+        windows = Windows(list(shard["data"]), shard["first_doc"].to_numpy())
+        groups, digests = windows.digests()
+        return pd.DataFrame({"shard": shard["shard"].iloc[0], "window": digests, "least": windows.least[groups]})
+
+    def heard(shard: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
+        return _marked_shard(shard, dict(zip(elsewhere["window"], elsewhere["least"])))
+
+    alone = segments.filter("shard >= 0").groupBy("shard").applyInPandas(own, _SPANS)
+    dealt = written(segments.filter("shard < 0"), "dealt")
+    release(segments.sparkSession)
+    if dealt.isEmpty():
+        return alone
+    # A window has a row for each shard that holds it, not for each text.
+    windows = dealt.groupBy("shard").applyInPandas(told, "shard long, window binary, least long")
+    least = F.min("least").over(Window.partitionBy("window"))
+    smaller = written(windows.withColumn("all", least).filter("all < least").select("shard", "window", F.col("all").alias("least")), "smaller")
+    release(segments.sparkSession)
+    return alone.unionByName(dealt.groupBy("shard").cogroup(smaller.groupBy("shard")).applyInPandas(heard, _SPANS))
+
 
-    return segments.groupBy("shard").applyInPandas(run, "sid string, first_doc long, spans array<struct<start:long,stop:long>>")
+def _sharded(whole: DataFrame, shards: int) -> DataFrame:
+    """Segments (sid, name_doc, name_block, size) with a shard: 0 or more by name, below 0 for parts of a name of more than SHARD_BYTES."""
+    name = ["name_doc", "name_block"]
+    large = whole.groupBy(*name).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > SHARD_BYTES)
+    parts = large.select(*name, F.expr(f"bytes div {SHARD_BYTES} + 1").alias("parts"))  # at most a row for each SHARD_BYTES
+    part = F.xxhash64(*name, F.pmod(F.xxhash64("sid"), "parts"))
+    by_name = F.pmod(F.xxhash64(*name), F.lit(shards)).cast("long")
+    return whole.join(F.broadcast(parts), name, "left").withColumn("shard", F.when(F.col("parts").isNull(), by_name).otherwise(-1 - F.shiftrightunsigned(part, 1))).drop("parts")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -162,7 +220,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     total = whole.agg(F.sum("size")).first()[0] or 0
     shards = max(partitions(spark), int(total) // SHARD_BYTES + 1)
     bodies = pieces.groupBy("sid").agg(F.first("data").alias("data"))
-    distinct = whole.join(bodies, "sid").select("sid", "first_doc", "data", F.pmod(F.xxhash64("name_doc", "name_block"), F.lit(shards)).cast("int").alias("shard"))
+    distinct = _sharded(whole, shards).join(bodies, "sid").select("sid", "first_doc", "data", "shard")
 
     # Stage 4 and 5. A later document's copy of a segment is marked as a whole.
     spans = written(_marked_segments(distinct), "spans")

@@ -122,6 +122,27 @@ def test_suffix_dedup(spark, odd, empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
+def test_suffix_dedup_deals_large_names(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, edges = word(200), [(word(40), word(40)) for _ in range(6)]
+    rows = []
+    for k in range(240):
+        left, right = rng.choice(edges)
+        rows.append((k, word(90) + left[rng.randint(0, 40) :] + passage + right[: rng.randint(0, 40)] + word(90)))
+    sizes, plan = [], suffix_dedup._marked_segments
+
+    def seen(segments):
+        sizes.extend(r[0] for r in segments.groupBy("shard").agg({"data": "count"}).select("count(data)").collect())
+        return plan(segments)
+
+    monkeypatch.setattr(suffix_dedup, "_marked_segments", seen)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4096)
+    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: tuple(r[1:]) for r in got} == brute_dedup(rows)
+    assert max(sizes) < 60  # of some 240 segments around the passage
+
+
 def pieces(text):
     from collections import Counter
 
