@@ -86,6 +86,33 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(8)
+    sentence = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]
+    items = {k: sentence(n) for k, n in enumerate((150, 400, 150, 400, 30, 180))}
+    docs, truth = [], set()
+    for k in range(36):
+        words = items[k % 6][:]
+        for at in rng.sample(range(len(words) - 5), len(words) // 5) if k % 2 else ():
+            words[at] = f"other{rng.randint(0, 3000)}"
+        if k < 30:
+            truth.add((k, k % 6))
+        docs.append((k, " ".join(sentence(rng.randint(0, 300)) + (words if k < 30 else []) + sentence(rng.randint(0, 300)))))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).toPandas()
+    assert {(r.doc_id, r.item_id) for r in found.itertuples()} == truth
+    assert found[found.doc_id % 2 == 0].lcs_share.min() == 1.0
+
+
+def test_best_stretch():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        words, item = rng.integers(0, 12, rng.integers(0, 80)).astype(np.uint64), rng.integers(0, 12, rng.integers(1, 20)).astype(np.uint64)
+        length = min(len(words), -(-5 * len(item) // 4))
+        best = max(decontamination._lcs(item, words[a : a + length]) for a in range(len(words) - length + 1)) / len(item)
+        assert decontamination.checked(words, item, item[:0])[1] == (best if best >= decontamination.LCS_SHARE else 0.0)
+
+
 def test_longest_common_subsequence():
     a, b = np.asarray([1, 2, 3, 4, 5], np.uint64), np.asarray([9, 1, 3, 4, 9, 5], np.uint64)
     assert decontamination._lcs(a, b) == 4
