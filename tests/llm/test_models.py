@@ -104,6 +104,30 @@ def test_decontamination_of_long_items(spark):
     assert found[found.doc_id % 2 == 0].lcs_share.min() == 1.0
 
 
+def test_decontamination_against_every_stretch(spark):
+    rng = random.Random(6)
+    sentence = lambda n: [f"w{rng.randint(0, 2000)}" for _ in range(n)]
+    items = {k: (sentence(rng.randint(8, 50)), sentence(rng.randint(1, 2))) for k in range(40)}
+    docs = {}
+    for k in range(200):
+        words = sum(items[k % 40], [])
+        if k % 5:  # paraphrases: up to a quarter changed, besides the last sentence, or that cut off
+            for at in rng.sample(range(len(words)), rng.randint(0, len(words) // 4)):
+                words[at] = "other"
+            words = words[:-2] + (["else"] if k % 2 else [])
+        docs[k] = sentence(rng.randint(0, 150)) + words + sentence(rng.randint(0, 150))
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    bench = [(k, f"{' '.join(a)}. {' '.join(b)}.") for k, (a, b) in items.items()]
+    hashed, none = {k: decontamination._words(t) for k, t in bench}, np.empty(0, np.uint64)
+    truth = {(k, i) for k, w in docs.items() for i, x in hashed.items() if decontamination.checked(decontamination._words(" ".join(w)), x, none)[1] >= decontamination.LCS_SHARE}
+    found = decontamination.leaks(frame, spark.createDataFrame(bench, "item_id long, text string")).toPandas()
+    got = {(r.doc_id, r.item_id) for r in found.itertuples()}
+    print(f"recall: {len(got & truth)} of {len(truth)}; answer_share under 0.6: {(found.answer_share < 0.6).sum()}")
+    assert not got - truth and len(got & truth) >= 0.9 * len(truth)
+    answers = spark.createDataFrame([(k, t, " ".join(items[k][1])) for k, t in bench], "item_id long, text string, answer string")
+    assert decontamination.leaks(frame, answers).toPandas().answer_share.min() >= decontamination.ANSWER_SHARE
+
+
 def test_best_stretch():
     rng = np.random.default_rng(3)
     for _ in range(60):
