@@ -67,8 +67,8 @@ def recency_score(published: Column, as_of: Column) -> Column:
     return F.when(days.isNull(), 60.0).when(days < 30, 95.0).when(days < 90, 85.0).when(days < 180, 75.0).when(days < 365, 65.0).otherwise(55.0)
 
 
-def popularity_score(stars: Column, forks: Column, watchers: Column) -> Column:
-    return F.round(F.least(stars / 10000, F.lit(1.0)) * 40 + F.least(forks / 2000, F.lit(1.0)) * 35 + F.least(watchers / 5000, F.lit(1.0)) * 25, 2)
+def popularity_score(stars: Column, forks: Column, watchers: Column, digits: int = 2) -> Column:
+    return F.round(F.least(stars / 10000, F.lit(1.0)) * 40 + F.least(forks / 2000, F.lit(1.0)) * 35 + F.least(watchers / 5000, F.lit(1.0)) * 25, digits)
 
 
 def scan_page(book_page: Column, first_scan: Column, per_scan: Column) -> Column:

@@ -118,9 +118,9 @@ def ocr_confidence(page_confidence: Column, any_text: Column, flagged: Column) -
     return F.round(F.greatest(F.lit(0.1), F.least(value, F.lit(0.95))), 2)
 
 
-def verification_confidence(matched_share: Column, found_share: Column, has_report: Column, flags: Column) -> Column:
+def verification_confidence(matched_share: Column, found_share: Column, has_report: Column, flags: Column, digits: int = 2) -> Column:
     value = 0.35 + matched_share * 0.35 + found_share * 0.15 + F.when(has_report, 0.05).otherwise(0.0) - F.least(F.lit(0.35), flags * 0.06)
-    return F.round(F.greatest(F.lit(0.1), F.least(value, F.lit(0.95))), 2)
+    return F.round(F.greatest(F.lit(0.1), F.least(value, F.lit(0.95))), digits)
 
 
 def first_json(text: Column, schema: str) -> Column:

@@ -72,9 +72,8 @@ def r19_recency(spark, sf_dir):
 
 @query("SELECT p_partkey, round(least(p_retailprice / 10000, 1.0) * 40 + least(p_size * 100 / 2000, 1.0) * 35 + least(p_partkey / 5000, 1.0) * 25, 1) AS score FROM part")
 def r20_popularity(spark, sf_dir):
-    score = T.popularity_score(F.col("p_retailprice"), F.col("p_size") * 100, F.col("p_partkey"))
-    raw = F.least(F.col("p_retailprice") / 10000, F.lit(1.0)) * 40 + F.least(F.col("p_size") * 100 / 2000, F.lit(1.0)) * 35 + F.least(F.col("p_partkey") / 5000, F.lit(1.0)) * 25
-    return table(spark, sf_dir, "part").filter(F.abs(score - raw) <= 0.0051).select("p_partkey", F.round(raw, 1).alias("score"))
+    score = T.popularity_score(F.col("p_retailprice"), F.col("p_size") * 100, F.col("p_partkey"), digits=1)
+    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))
 
 
 @query("SELECT event_id, CASE WHEN v >= 0.45 THEN 'direct_support' WHEN v >= 0.16 OR (c >= 0.25 AND m >= 2) THEN 'partial_support' ELSE 'not_supported' END AS decision FROM (SELECT event_id, (event_id % 60) / 100.0 AS v, (event_id % 7) / 10.0 AS c, event_id % 4 AS m FROM events)")

@@ -113,9 +113,8 @@ def j12_aliased_titles(spark, sf_dir):
 @query("SELECT event_id, round(greatest(0.1, least(0.35 + (event_id % 11) / 10.0 * 0.35 + (event_id % 3) / 2.0 * 0.15 + CASE WHEN event_id % 2 = 0 THEN 0.05 ELSE 0 END - least(0.35, event_id % 8 * 0.06), 0.95)), 1) AS confidence FROM events WHERE event_id % 10 = 3")
 def z27_verification_confidence(spark, sf_dir):
     i = F.col("event_id")
-    value = R.verification_confidence((i % 11) / 10, (i % 3) / 2, i % 2 == 0, i % 8)
-    exact = F.greatest(F.lit(0.1), F.least(0.35 + (i % 11) / 10 * 0.35 + (i % 3) / 2 * 0.15 + F.when(i % 2 == 0, 0.05).otherwise(0.0) - F.least(F.lit(0.35), i % 8 * 0.06), F.lit(0.95)))
-    return table(spark, sf_dir, "events").filter((i % 10 == 3) & (F.abs(value - exact) < 0.0051)).select("event_id", F.round(exact, 1).alias("confidence"))
+    value = R.verification_confidence((i % 11) / 10, (i % 3) / 2, i % 2 == 0, i % 8, digits=1)
+    return table(spark, sf_dir, "events").filter(i % 10 == 3).select("event_id", value.alias("confidence"))
 
 
 @query("SELECT 1 AS best_index, 0.88::DOUBLE AS confidence")
