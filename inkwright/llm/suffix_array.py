@@ -1,57 +1,77 @@
 """Suffix arrays by induced sorting, and permuted common prefixes up to a given length.
 
-The first level has a byte alphabet: there a bucket's suffixes are induced together, a whole bucket
-(or a run's next step) at a time, with numpy. The reduced strings below have many names and few
-repeats; they are induced one suffix after another.
+Suffixes are classified as smaller or larger than the next one; the substrings between leftmost-smaller places
+are sorted and named, the string of names is sorted by the same method, and its order induces that of all
+suffixes. Induction goes bucket by bucket: larger suffixes upwards, smaller ones downwards. What a bucket induces goes
+to itself or beyond it. So all buckets up to the nearest one that any of them reaches are handled in one step with
+numpy, and only a bucket that reaches itself is taken alone, in waves. Every suffix is placed twice, whatever the steps.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Buckets that a step of induction looks at, at first and at most.
+_STEP, _MOST = 64, 1 << 14
+
 
 def suffix_types(s: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one. The last symbol is a unique smallest one."""
     n = len(s)
-    differs = np.append(s[:-1] != s[1:], True)
-    following = np.where(differs, np.arange(n), n)
-    following = np.minimum.accumulate(following[::-1])[::-1]  # last place of the run
-    small = np.zeros(n, bool)
-    inner = following < n - 1
-    small[inner] = s[following[inner]] < s[following[inner] + 1]
-    small[n - 1] = True
-    return small
-
-
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    """For each element, how many equal ones come before it; keys are byte symbols."""
-    order = np.argsort(keys.astype(np.uint16), kind="stable")  # a radix sort for this type
-    ordered = keys[order]
-    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
-    return out
+    last = np.flatnonzero(np.append(s[:-1] != s[1:], True))  # last place of each run of one symbol
+    small = np.zeros(len(last), bool)
+    small[:-1] = s[last[:-1]] < s[last[:-1] + 1]
+    small[-1] = True
+    return np.repeat(small, np.diff(np.append(-1, last)))[:n]
 
 
 def _place(sa: np.ndarray, at: np.ndarray, symbols: np.ndarray, suffixes: np.ndarray, step: int) -> None:
     """Put suffixes into their buckets in order, each next to the last one, and move the buckets' pointers."""
-    sa[at[symbols] + step * _ranks(symbols)] = suffixes
-    at += step * np.bincount(symbols, minlength=len(at))
+    if len(suffixes) < 12:
+        for c, i in zip(symbols.tolist(), suffixes.tolist()):
+            sa[at[c]] = i
+            at[c] += step
+        return
+    order = np.argsort(symbols, kind="stable")  # a radix sort for byte symbols
+    ordered = symbols[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    times = np.diff(np.append(starts, len(ordered)))
+    bucket = ordered[starts].astype(np.int64)
+    sa[np.repeat(at[bucket] - step * starts, times) + step * np.arange(len(ordered))] = suffixes[order]
+    at[bucket] += step * times
 
 
-def _induce_bytes(s: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    sa = np.full(len(s), -1, np.int32)
+def _induce(s: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    n, buckets = len(s), len(heads)
+    sa = np.full(n, -1, np.int64)
     at = tails.copy()
     back = lms[::-1]
     _place(sa, at, s[back], back, -1)
     first_lms = at + 1  # what is right of it in a bucket came from lms
 
-    def larger(found: np.ndarray) -> np.ndarray:
-        before = found[found > 0] - 1
-        return before[~small[before]]
+    # Places -1 and -2 stand for no suffix: before the first one, and before an empty place.
+    is_small = np.append(small, [False, False])
+    is_large = np.append(~small, [False, False])
 
-    head = heads.copy()
-    for c in range(len(heads)):
+    def larger(found: np.ndarray) -> np.ndarray:
+        before = found - 1
+        return before[is_large[before]]
+
+    head, c, width = heads.copy(), 0, _STEP
+    while c < buckets:
+        end = min(c + width, buckets)
+        wave = larger(sa[heads[c] : tails[end - 1] + 1])
+        symbols = s[wave]
+        near = int(symbols.min()) if len(wave) else end
+        if near > c:
+            if near < end:
+                wave = larger(sa[heads[c] : heads[near]])
+                symbols = s[wave]
+            if len(wave):
+                _place(sa, head, symbols, wave, 1)
+            width = min(2 * width, _MOST) if near >= end else max(2 * (near - c), 8)
+            c = min(near, end)
+            continue
         done = heads[c]
         while done < head[c]:
             wave = larger(sa[done : head[c]])
@@ -60,13 +80,28 @@ def _induce_bytes(s: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np
         if first_lms[c] <= tails[c]:
             wave = larger(sa[first_lms[c] : tails[c] + 1])
             _place(sa, head, s[wave], wave, 1)
+        c += 1
 
     def smaller(found: np.ndarray) -> np.ndarray:
-        before = found[found > 0] - 1
-        return before[small[before]]
-
-    tail = tails.copy()
-    for c in range(len(heads) - 1, -1, -1):
+        before = found - 1
+        return before[is_small[before]]
+
+    sa[np.arange(n) >= np.repeat(head, tails - heads + 1)] = -1  # the smaller ones are placed anew
+    tail, c, width = tails.copy(), buckets - 1, _STEP
+    while c >= 0:
+        end = max(c - width, -1)
+        wave = smaller(sa[heads[end + 1] : tails[c] + 1][::-1])
+        symbols = s[wave]
+        near = int(symbols.max()) if len(wave) else end
+        if near < c:
+            if near > end:
+                wave = smaller(sa[heads[near + 1] : tails[c] + 1][::-1])
+                symbols = s[wave]
+            if len(wave):
+                _place(sa, tail, symbols, wave, -1)
+            width = min(2 * width, _MOST) if near <= end else max(2 * (c - near), 8)
+            c = max(near, end)
+            continue
         done = tails[c]
         while done > tail[c]:
             wave = smaller(sa[tail[c] + 1 : done + 1][::-1])
@@ -75,73 +110,37 @@ def _induce_bytes(s: np.ndarray, small: np.ndarray, heads: np.ndarray, tails: np
         if heads[c] < head[c]:
             wave = smaller(sa[heads[c] : head[c]][::-1])
             _place(sa, tail, s[wave], wave, -1)
-    sa[0] = len(s) - 1
-    return sa
-
-
-def _induce_names(s: list, small: list, heads: list, tails: list, lms: list) -> list:
-    n = len(s)
-    sa, at = [-1] * n, tails[:]
-    for i in reversed(lms):
-        c = s[i]
-        sa[at[c]] = i
-        at[c] -= 1
-    at = heads[:]
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not small[j]:
-            c = s[j]
-            sa[at[c]] = j
-            at[c] += 1
-    at = tails[:]
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and small[j]:
-            c = s[j]
-            sa[at[c]] = j
-            at[c] -= 1
+        c -= 1
     sa[0] = n - 1
     return sa
 
 
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
-    """Suffix array of s, whose last symbol is 0 and occurs only there; all are below `symbols`."""
+    """Suffix array of s, whose last symbol is 0 and occurs only there; all are below `symbols`, and all of these occur or are few."""
     n = len(s)
     if n == 1:
-        return np.zeros(1, np.int32)
+        return np.zeros(1, np.int64)
     small = suffix_types(s)
     counts = np.bincount(s, minlength=symbols)
     tails = np.cumsum(counts) - 1
     heads = tails - counts + 1
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if symbols <= 512:
-        s = s.astype(np.int64)
-
-        def induce(order: np.ndarray) -> np.ndarray:
-            return _induce_bytes(s, small, heads, tails, order)
-    else:
-        lists = s.tolist(), small.tolist(), heads.tolist(), tails.tolist()
-
-        def induce(order: np.ndarray) -> np.ndarray:
-            return np.asarray(_induce_names(*lists, order.tolist()), np.int32)
-
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    ordered = induce(lms)
-    ordered = ordered[is_lms[ordered]]
     # Names: neighbours in the order get one name if their substrings up to the next lms place are equal.
-    ends = np.append(lms[1:], n - 1)
     end_of = np.zeros(n, np.int64)
-    end_of[lms] = ends
-    a, b = ordered[:-1].astype(np.int64), ordered[1:].astype(np.int64)
+    end_of[lms] = np.append(lms[1:], n - 1)
+    ordered = _induce(s, small, heads, tails, lms)
+    ordered = ordered[end_of[ordered] > 0]
+    a, b = ordered[:-1], ordered[1:]
     length = end_of[a] - a
     same = length == end_of[b] - b
     live = np.flatnonzero(same)
+    a, b, length = a[live], b[live], length[live]
     k = 0
     while len(live):
-        equal = s[a[live] + k] == s[b[live] + k]
+        equal = s[a + k] == s[b + k]
         same[live[~equal]] = False
-        live = live[equal & (length[live] > k)]
+        more = equal & (length > k)
+        live, a, b, length = live[more], a[more], b[more], length[more]
         k += 1
     names = np.empty(n, np.int64)
     names[ordered] = np.append(0, np.cumsum(~same))
@@ -152,23 +151,31 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
         order[reduced] = np.arange(len(lms))
     else:
         order = suffix_array(reduced, distinct)
-    return induce(lms[order])
+    return _induce(s, small, heads, tails, lms[order])
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix in text order, its common prefix with the one before it in the suffix array, up to `most`."""
+    """For each suffix of a byte array, in text order, its common prefix with the one before it in the suffix array, up to `most`.
+
+    Eight bytes are compared at a time; what lies beyond the end equals nothing.
+    """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    word = np.concatenate([s, np.zeros(most + 16, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):
+        word = word[:-k] | (word[k:] << np.uint64(8 * k))
+    before = np.empty(n, np.int64)
     before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, np.int32)
-    live = np.flatnonzero(before >= 0)
+    before[sa[0]] = sa[0]
+    out = np.zeros(n, np.int64)
+    live = np.delete(np.arange(n), sa[0])
     far = before[live]
-    for k in range(most):
-        inside = np.maximum(live, far) + k < n
-        live, far = live[inside], far[inside]
-        equal = s[live + k] == s[far + k]
+    for k in range(0, most, 8):
+        differ = word[live + k] ^ word[far + k]
+        equal = differ == 0
+        low = differ[~equal]
+        out[live[~equal]] = k + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
         live, far = live[equal], far[equal]
         if not len(live):
             break
-        out[live] = k + 1
-    return out
+    out[live] = most
+    return np.minimum(out, np.minimum(most, n - np.maximum(np.arange(n), before)))

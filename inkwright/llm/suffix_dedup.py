@@ -15,8 +15,9 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 5. Marked windows become spans of their documents, which are cut out of the text.
 
 So anchors only decide which texts meet; the suffix arrays decide what repeats. No document or name is
-gathered in one place, and shards have about SHARD_BYTES bytes. The places of one gram (not its texts) pass
-through one task, which sorts them on disk if need be.
+gathered in one place, and shards have about SHARD_BYTES bytes. Anchors travel as arrays, in buckets of about
+BUCKET_ROWS. A gram with more than HOT_ROWS places in FLUSH_BYTES of text sends its first and last place alone to its bucket;
+its other places meet the name that comes of it in a join, which Spark may split.
 
 Null text is empty. Rows with a null doc_id are kept whole and compared with nothing. Rows with equal doc_id
 are not earlier than one another, so their texts remove nothing from each other. An empty table
@@ -39,6 +40,11 @@ from .hashing import chunks, running, window
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM, BLOCK = 50, 20, 1024
+FLUSH_BYTES, BUCKET_ROWS, HOT_ROWS = 1 << 24, 1 << 20, 32
+#: Digests of texts that a task remembers, to pass over copies.
+_REMEMBERED = 200_000
+#: Rows of a table that is small enough to be sent to every task.
+_SENT_ROWS = 100_000
 #: Bytes of distinct segments for which a shard is made.
 SHARD_BYTES = 1 << 20
 _SPREAD = LENGTH - GRAM + 1  # grams of a window
@@ -69,23 +75,108 @@ def anchors(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, place - begin[text], h[place]
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("gram", pa.int64()), ("row_key", pa.int64()), ("place", pa.int32())])
+_NAMED = pa.schema([("row_key", pa.int64()), ("place", pa.int32()), ("gram", pa.int64()), ("name_doc", pa.int64()), ("name_place", pa.int32())])
+_NAMED_DDL = "row_key long, place int, gram long, name_doc long, name_place int"
+
+
+def _groups(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by gram, the starts of its groups in that order, and their sizes."""
+    order = np.argsort(gram, kind="stable")
+    ordered = gram[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return order, starts, np.diff(np.append(starts, len(gram)))
+
+
+def _dealt(gram: np.ndarray, key: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """(bucket, hot, gram, key, place) as arrays of bytes. Of a hot gram the places go to buckets by text, and only their ends by gram."""
+    order, starts, sizes = _groups(gram)
+    hot = np.empty(len(gram), bool)
+    hot[order] = np.repeat(sizes > HOT_ROWS, sizes)
+    at, of = np.flatnonzero(hot), None
+    to = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    kinds = [(False, np.flatnonzero(~hot), to)]
+    if len(at):
+        order, starts, sizes = _groups(gram[at])
+        order = at[np.lexsort((place[at], key[at], gram[at]))]
+        ends = np.unique(np.append(order[starts], order[starts + sizes - 1]))
+        of = (key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        kinds += [(None, ends, to), (True, at, of.astype(np.int64))]
+    for kind, rows, bucket in kinds:
+        rows = rows[np.argsort(bucket[rows].astype(np.uint16) if buckets < 1 << 16 else bucket[rows], kind="stable")]
+        cuts = np.flatnonzero(np.append(True, np.diff(bucket[rows]) != 0)) if len(rows) else []
+        for a, b in zip(cuts, np.append(cuts[1:], len(rows)) if len(rows) else []):
+            part = rows[a:b]
+            yield int(bucket[part[0]]), kind, gram[part].tobytes(), key[part].tobytes(), place[part].tobytes()
+
+
+def _named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+    """Anchors of grams that two texts or more have, with the first of them by (row_key, place) as their name.
+
+    A row has no gram if it is named; rows with a gram are either places of a hot one (no name) or its name (no place).
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("gram", pa.binary()), ("key", pa.binary()), ("place", pa.binary())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()
+        seen: set[bytes] = set()
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns = zip(*_dealt(*(np.concatenate(c) for c in zip(*held)), buckets))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for first, raw in chunks(batch.column(1).to_pylist()):
                 fresh = []
                 for x in raw:  # a copy of a text has nothing to add; stage 1 knows it
-                    key = (len(x), hashlib.blake2b(x, digest_size=12).digest())
+                    key = hashlib.blake2b(x, digest_size=16).digest()
                     fresh.append(x if len(x) >= LENGTH and key not in seen else b"")
+                    if len(seen) >= _REMEMBERED:
+                        seen.clear()
                     seen.add(key)
                 text, place, h = anchors(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[first + text].astype(np.int64)), pa.array(place.astype(np.int32))], schema=schema)
-
-    return docs.select(F.xxhash64("text").alias("row_key"), "text").mapInArrow(emit, "gram long, row_key long, place int")
+                if len(h):
+                    held.append((h, keys[first + text].astype(np.int64), place.astype(np.int32)))
+                size += sum(map(len, fresh))
+                if held and size >= FLUSH_BYTES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for hot, *columns in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+                gram, key, place = (np.frombuffer(c, t) for c, t in zip(columns, (np.uint64, np.int64, np.int32)))
+                if hot:
+                    none = pa.nulls(len(gram))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), pa.array(gram.view(np.int64)), none.cast(pa.int64()), none.cast(pa.int32())], schema=_NAMED)
+                else:
+                    parts.append((gram, key, place, np.full(len(gram), hot is None)))
+        if not parts:
+            return
+        gram, key, place, end = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        order, starts, sizes = _groups(gram)
+        gram, key, place, end = gram[order], key[order], place[order], end[order]
+        first, last = np.minimum.reduceat(key, starts), np.maximum.reduceat(key, starts)
+        at = np.minimum.reduceat(np.where(key == np.repeat(first, sizes), place, np.iinfo(np.int32).max), starts)
+        shared = first < last
+        rows = np.repeat(shared, sizes) & ~end
+        none = pa.nulls(int(rows.sum())).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(place[rows]), none, pa.array(np.repeat(first, sizes)[rows]), pa.array(np.repeat(at, sizes)[rows])], schema=_NAMED)
+        names = np.flatnonzero(shared & np.logical_or.reduceat(end, starts))
+        none = pa.nulls(len(names))
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), pa.array(gram[starts[names]].view(np.int64)), pa.array(first[names]), pa.array(at[names])], schema=_NAMED)
+
+    blobs = docs.select(F.xxhash64("text").alias("row_key"), "text").mapInArrow(emit, "bucket int, hot boolean, gram binary, key binary, place binary")
+    rows = written(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(name, _NAMED_DDL), "anchors")
+    names = rows.filter("row_key IS NULL").select("gram", "name_doc", "name_place")
+    if names.isEmpty():
+        return rows.drop("gram")
+    places = rows.filter("gram IS NOT NULL AND row_key IS NOT NULL").select("gram", "row_key", "place").join(names, "gram")
+    return rows.filter("gram IS NULL").drop("gram").unionByName(places.drop("gram"))
 
 
 def marked(texts: list[bytes], owners: np.ndarray, elsewhere: dict[bytes, int] | None = None) -> list[list[tuple[int, int]]]:
@@ -98,16 +189,19 @@ class Windows:
 
     def __init__(self, texts: list[bytes], owners: np.ndarray):
         sizes = np.asarray([len(t) for t in texts])
-        # 0 ends the whole, 1 parts texts, bytes follow.
-        s = np.zeros(int(sizes.sum()) + len(texts) + 1, np.int16)
         self.begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        for b, t in zip(self.begin, texts):
-            s[b : b + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 2
-            s[b + len(t)] = 1
-        self.s, self.sa = s, suffix_array(s, 258)
-        prefix = common_prefixes(s, self.sa, LENGTH)
-        self.text = np.searchsorted(self.begin, np.arange(len(s)), "right") - 1
-        self.whole = np.arange(len(s)) + LENGTH <= self.begin[self.text] + sizes[self.text]
+        self.text = np.append(np.repeat(np.arange(len(texts)), sizes + 1), len(texts) - 1)
+        # 0 ends the whole, 1 parts texts, bytes follow, without those that no text holds.
+        self.raw = np.frombuffer(b"\xff".join(texts) + b"\xff\xff", np.uint8)
+        part = np.zeros(len(self.raw), bool)
+        part[self.begin + sizes] = True
+        used = np.bincount(self.raw[~part], minlength=256)
+        used[255] -= 1  # the end
+        s = (np.cumsum(used > 0) + 1)[self.raw].astype(np.uint8 if (used > 0).sum() < 254 else np.int16)
+        s[part], s[-1] = 1, 0
+        self.sa = suffix_array(s, int(s.max()) + 1)
+        prefix = common_prefixes(self.raw, self.sa, LENGTH)
+        self.whole = np.arange(len(s)) + LENGTH <= (self.begin + sizes)[self.text]
         self.starts = np.flatnonzero(prefix[self.sa] < LENGTH)
         self.ordered = np.where(self.whole[self.sa], owners[self.text[self.sa]], np.iinfo(np.int64).max)
         self.least = np.minimum.reduceat(self.ordered, self.starts)
@@ -115,7 +209,7 @@ class Windows:
     def digests(self) -> tuple[np.ndarray, list[bytes]]:
         """The groups of whole windows, and a digest of each one's bytes."""
         groups = np.flatnonzero(self.whole[self.sa[self.starts]])
-        raw = np.maximum(self.s - 2, 0).astype(np.uint8).tobytes()
+        raw = self.raw.tobytes()
         return groups, [hashlib.blake2b(raw[k : k + LENGTH], digest_size=16).digest() for k in self.sa[self.starts[groups]].tolist()]
 
     def spans(self, elsewhere: dict[bytes, int]) -> list[list[tuple[int, int]]]:
@@ -134,7 +228,7 @@ class Windows:
         return spans
 
 
-_SPANS = "sid string, first_doc long, spans array<struct<start:long,stop:long>>"
+_SPANS = "sid binary, first_doc long, spans array<struct<start:long,stop:long>>"
 
 
 def _marked_shard(shard: pd.DataFrame, elsewhere: dict[bytes, int]) -> pd.DataFrame:
@@ -170,14 +264,18 @@ def _marked_segments(segments: DataFrame) -> DataFrame:
     return alone.unionByName(dealt.groupBy("shard").cogroup(smaller.groupBy("shard")).applyInPandas(heard, _SPANS))
 
 
-def _sharded(whole: DataFrame, shards: int) -> DataFrame:
-    """Segments (sid, name_doc, name_block, size) with a shard: 0 or more by name, below 0 for parts of a name of more than SHARD_BYTES."""
+def _sharded(distinct: DataFrame, shards: int) -> DataFrame:
+    """Segments (sid, name_doc, name_block, size, ...) with a shard: 0 or more by name, below 0 for parts of a name of more than SHARD_BYTES."""
     name = ["name_doc", "name_block"]
-    large = whole.groupBy(*name).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > SHARD_BYTES)
-    parts = large.select(*name, F.expr(f"bytes div {SHARD_BYTES} + 1").alias("parts"))  # at most a row for each SHARD_BYTES
-    part = F.xxhash64(*name, F.pmod(F.xxhash64("sid"), "parts"))
+    large = distinct.groupBy(*name).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > SHARD_BYTES)
+    parts = written(large.select(*name, F.expr(f"bytes div {SHARD_BYTES} + 1").alias("parts")), "parts")
     by_name = F.pmod(F.xxhash64(*name), F.lit(shards)).cast("long")
-    return whole.join(F.broadcast(parts), name, "left").withColumn("shard", F.when(F.col("parts").isNull(), by_name).otherwise(-1 - F.shiftrightunsigned(part, 1))).drop("parts")
+    few = parts.limit(_SENT_ROWS + 1).count()
+    if not few:
+        return distinct.withColumn("shard", by_name)
+    part = F.xxhash64(*name, F.pmod(F.xxhash64("sid"), "parts"))
+    joined = distinct.join(F.broadcast(parts) if few <= _SENT_ROWS else parts, name, "left")
+    return joined.withColumn("shard", F.when(F.col("parts").isNull(), by_name).otherwise(-1 - F.shiftrightunsigned(part, 1))).drop("parts")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -191,41 +289,37 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     first = facts.filter("doc_id IS NOT NULL").groupBy("sha", "n_bytes").agg(F.min("doc_id").alias("class"))
     facts = written(facts.join(first, ["sha", "n_bytes"], "left"), "facts")
 
-    # Stage 2. The order of a gram's rows makes its first text a running value; its last one needs the whole group.
-    # Texts go by their hash here: what only copies of one text share needs no suffix array, stage 1 has it.
-    rows = _anchor_rows(docs.filter("doc_id IS NOT NULL"))
-    gram = Window.partitionBy("gram")
-    origin = F.first(F.struct("row_key", "place")).over(gram.orderBy("row_key", "place").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("origin", origin).withColumn("last", F.max("row_key").over(gram)).filter("origin.row_key < last")
-    named = rows.groupBy("row_key", F.col("origin.row_key").alias("name_doc"), F.expr(f"origin.place div {BLOCK}").alias("name_block"), (F.col("place") - F.col("origin.place")).alias("shift"))
+    # Stage 2. Texts go by their hash here: what only copies of one text share needs no suffix array, stage 1 has it.
+    total = facts.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(partitions(spark), 2 * total // (_SPREAD + 1) // BUCKET_ROWS + 1)
+    rows = _named_anchors(docs.filter("doc_id IS NOT NULL"), buckets)
+    named = rows.groupBy("row_key", "name_doc", F.expr(f"name_place div {BLOCK}").alias("name_block"), (F.col("place") - F.col("name_place")).alias("shift"))
     ranges = named.agg(F.min("place").alias("low"), F.max("place").alias("high"))
     ranges = ranges.select("row_key", "name_doc", "name_block", F.greatest(F.col("low") - (LENGTH - GRAM), F.lit(0)).alias("low"), (F.col("high") + LENGTH).alias("high"))
-    ranges = written(ranges, "ranges")
-    release(spark)
+    lists = ranges.groupBy("row_key").agg(F.collect_list(F.struct("name_doc", "name_block", "low", "high")).alias("ranges"))
 
-    # Stage 3. Texts move only if they have a segment.
+    # Stage 3. Texts move only if they have a segment. They are the first of their copies, so their class is their doc_id.
     firsts_of = facts.filter("doc_id = class").select("doc_id", "row_key").distinct()
-    lists = ranges.groupBy("row_key").agg(F.collect_list(F.struct("name_doc", "name_block", "low", "high")).alias("ranges"))
     cut = F.transform("ranges", lambda r: F.struct(r["name_doc"].alias("name_doc"), r["name_block"].alias("name_block"), r["low"].alias("low"), F.substring(F.col("data"), r["low"] + 1, r["high"] - r["low"]).alias("data")))
     held = written(lists.join(firsts_of, "row_key"), "lists")
     release(spark)
     texts = _texts(docs, held.select("doc_id").distinct()).withColumns({"data": F.encode("text", "UTF-8"), "row_key": row_key}).drop("text")
     pieces = texts.join(held, ["doc_id", "row_key"]).select("doc_id", "row_key", F.explode(cut).alias("s")).select("doc_id", "row_key", "s.*").filter(F.octet_length("data") >= LENGTH)
-    sid = F.concat_ws(":", "name_doc", "name_block", F.sha2("data", 256))
-    pieces = written(pieces.withColumn("sid", sid), "segments")
+    name = F.encode(F.concat_ws(":", "name_doc", "name_block", F.lit("")), "UTF-8")
+    pieces = pieces.withColumns({"size": F.octet_length("data"), "sid": F.unhex(F.md5(F.concat(name, F.col("data"))))})
+    pieces = written(pieces, "segments")
+    release(spark)
+    placed = pieces.select("doc_id", "row_key", "low", "size", "sid")
+    distinct = pieces.groupBy("sid").agg(F.min("doc_id").alias("first_doc"), *(F.first(c).alias(c) for c in ("name_doc", "name_block", "size", "data")))
+    distinct = written(distinct, "distinct")
     release(spark)
-    owners = facts.filter("doc_id IS NOT NULL").select("doc_id", "row_key", "class").distinct()
-    placed = written(pieces.select("doc_id", "row_key", "low", F.octet_length("data").alias("size"), "sid", "name_doc", "name_block").join(owners, ["doc_id", "row_key"]), "placed")
-    whole = placed.groupBy("sid", "name_doc", "name_block").agg(F.min("class").alias("first_doc"), F.first("size").alias("size"))
-    total = whole.agg(F.sum("size")).first()[0] or 0
-    shards = max(partitions(spark), int(total) // SHARD_BYTES + 1)
-    bodies = pieces.groupBy("sid").agg(F.first("data").alias("data"))
-    distinct = _sharded(whole, shards).join(bodies, "sid").select("sid", "first_doc", "data", "shard")
+    shards = max(partitions(spark), (distinct.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES + 1)
+    distinct = _sharded(distinct, shards).select("sid", "first_doc", "data", "shard")
 
     # Stage 4 and 5. A later document's copy of a segment is marked as a whole.
     spans = written(_marked_segments(distinct), "spans")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop")))
-    joined = placed.join(spans, "sid").withColumn("spans", F.when(F.col("class") > F.col("first_doc"), everything).otherwise(F.col("spans"))).filter(F.size("spans") > 0)
+    joined = placed.join(spans, "sid").withColumn("spans", F.when(F.col("doc_id") > F.col("first_doc"), everything).otherwise(F.col("spans"))).filter(F.size("spans") > 0)
     moved = joined.select("doc_id", "row_key", F.explode("spans").alias("s"), "low").select("doc_id", "row_key", (F.col("s.start") + F.col("low")).alias("start"), (F.col("s.stop") + F.col("low")).alias("stop"))
     spans_of = written(moved.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")), "doc-spans")
     release(spark)

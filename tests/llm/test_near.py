@@ -73,7 +73,7 @@ def test_suffix_array(values):
     s = np.asarray([*values, 0], np.int16)
     sa, text = suffix_array(s, 258), s.tolist()
     assert sa.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
-    prefix = common_prefixes(s, sa, 10)
+    prefix = common_prefixes(s.astype(np.uint8), sa, 10)
     for a, b in zip(sa, sa[1:]):
         same = 0
         while same < 10 and max(a, b) + same < len(text) and text[a + same] == text[b + same]:
@@ -138,11 +138,24 @@ def test_suffix_dedup_deals_large_names(spark, monkeypatch):
 
     monkeypatch.setattr(suffix_dedup, "_marked_segments", seen)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4096)
-    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: tuple(r[1:]) for r in got} == brute_dedup(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (docs, docs.coalesce(1)):  # in one task the passage's grams are hot ones
+        got = suffix_dedup.deduplicated(parts).collect()
+        assert {r["doc_id"]: tuple(r[1:]) for r in got} == brute_dedup(rows)
     assert max(sizes) < 60  # of some 240 segments around the passage
 
 
+def test_suffix_dedup_hot_grams():
+    rng = np.random.default_rng(1)
+    gram = np.concatenate([np.full(100, 1 << 63, np.uint64), rng.integers(0, 1 << 63, 50, np.uint64)])
+    key, place = rng.integers(-(1 << 62), 1 << 62, 150), np.arange(150, dtype=np.int32)
+    rows = [(hot, *(np.frombuffer(c, t) for c, t in zip(columns, (np.uint64, np.int64, np.int32)))) for _, hot, *columns in suffix_dedup._dealt(gram, key, place, 7)]
+    for kind, many in ((False, 50), (True, 100), (None, 2)):
+        assert sum(len(r[1]) for r in rows if r[0] is kind) == many
+    ends = [k for hot, _, k, _ in rows if hot is None for k in k.tolist()]
+    assert sorted(ends) == [key[:100].min(), key[:100].max()]
+
+
 def pieces(text):
     from collections import Counter
 
