@@ -1,19 +1,20 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Training sees confirmed toxic texts and unlabelled texts, never texts labelled clean. With the class
+Training sees confirmed toxic texts and unlabelled ones, never what is labelled clean as such. With the class
 prior p, the risk of a linear classifier is  p R+(positive) + max(0, R-(unlabelled) - p R-(positive));
 where the second part falls below zero, its gradient is reversed, so the classifier can't win by
 pushing the estimate under what a risk can be. The prior is the share of toxic rows among all
 labelled training rows.
 
 Several numpy classifiers are fitted, each in its own task, leaving out another part of a bounded
-sample (MAX_POSITIVE, MAX_UNLABELLED rows in all, the smallest by hash). Their averaged logit
+sample (MAX_POSITIVE, MAX_UNLABELLED documents in all, the smallest by hash). Their averaged logit
 is calibrated by the same risk on what was left out. Scoring reads every text in full.
 
 Features are the distinct words of a text and the beginnings (5 to 7 bytes) of its longer words, hashed.
 
 Null text and text without words get the score of the intercept. Labels with null, or for documents
-that do not exist, are ignored; repeated labels count once (toxic if any says so). Without
+that do not exist, are ignored; repeated labels count once (toxic if any says so). Rows that repeat a
+doc_id lend the sample one of their texts, the smallest. Without
 any confirmed toxic text every score is 0. Rows keep their own columns; repeated rows are
 scored alike.
 """
@@ -31,7 +32,7 @@ from .common import small_batches, written
 from .hashing import NOT_ALNUM, Words, chunks, window
 
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
-BAGS, FEATURES, LEAST_TEXTS = 3, 1 << 20, 4
+BAGS, FEATURES, LEAST_TEXTS, LEAST_Z = 3, 1 << 20, 4, 2.0
 PREFIXES = (5, 6, 7)
 #: Strengths of the penalty on weights; the one with the least risk on what was left out is taken.
 PENALTIES = (2e-4, 6e-4, 2e-3)
@@ -54,29 +55,48 @@ def features(texts) -> Iterator[np.ndarray]:
             yield both[a:b] % FEATURES
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.1, l1: float = 2e-4) -> tuple[np.ndarray, np.ndarray, float]:
-    """One classifier: features, weights and intercept, under the non-negative logistic risk.
+def _counts(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many texts each feature occurs."""
+    total = np.zeros(FEATURES, np.int64)
+    for at in range(0, len(rows), 1024):
+        total += np.bincount(np.concatenate(rows[at : at + 1024]), minlength=FEATURES)
+    return total
 
-    Rare features weigh more (log of the inverse share of texts), which also evens out step sizes.
+
+class Sample:
+    """Features of the texts that one classifier learns from, positives first, without those that tell nothing.
+
+    A feature is kept if it is in LEAST_TEXTS texts or more and in at most nine tenths of all, and if its shares among
+    positives and unlabelled texts differ by LEAST_Z standard errors. Rare features weigh more (log of the
+    inverse share of texts), which also evens out step sizes.
     """
-    rows = positive + unlabelled
-    n, size = len(positive), np.asarray([len(r) for r in rows])
-    all_of = np.concatenate(rows)
-    often = np.bincount(all_of, minlength=FEATURES)
-    frequent = (often >= LEAST_TEXTS) & (often <= 0.9 * len(rows))
-    keep = frequent[all_of]
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)[keep]
-    col = (np.cumsum(frequent, dtype=np.int32) - 1)[all_of[keep]]
-    del all_of, keep
-    k = int(frequent.sum())
-    scale = np.log(len(rows) / often[frequent]) / np.log(len(rows) + 1)
-    value = scale.astype(np.float32)[col]
+
+    def __init__(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]):
+        self.n, self.size = len(positive), len(positive) + len(unlabelled)
+        p, u = _counts(positive), _counts(unlabelled)
+        often = p + u
+        share = often / self.size
+        spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / max(len(positive), 1) + 1 / max(len(unlabelled), 1)))
+        apart = np.abs(p / max(len(positive), 1) - u / max(len(unlabelled), 1)) >= LEAST_Z * spread
+        kept = (often >= LEAST_TEXTS) & (share <= 0.9) & apart
+        self.names = np.flatnonzero(kept)
+        self.scale = np.log(self.size / often[kept]) / np.log(self.size + 1)
+        place = np.cumsum(kept, dtype=np.int64) - 1
+        used = [place[r[kept[r]]] for r in (*positive, *unlabelled)]
+        self.row = np.repeat(np.arange(self.size), [len(x) for x in used])
+        self.col = np.concatenate(used) if used else np.empty(0, np.int64)
+        self.value = self.scale[self.col]
+
+
+def fit(sample: Sample, prior: float, steps: int = 200, rate: float = 0.1, l1: float = 2e-4) -> tuple[np.ndarray, np.ndarray, float]:
+    """One classifier: features, weights and intercept, under the non-negative logistic risk."""
+    row, col, value, n, k = sample.row, sample.col, sample.value, sample.n, len(sample.names)
     w, b = np.zeros(k), np.log(prior / (1 - prior))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
-    is_p = np.arange(len(rows)) < n
-    share = np.where(is_p, 1 / max(n, 1), 1 / max(len(rows) - n, 1))
+    is_p = np.arange(sample.size) < n
+    share = np.where(is_p, 1 / max(n, 1), 1 / max(sample.size - n, 1))
     for t in range(1, steps + 1):
-        z = np.clip(np.bincount(row, weights=w[col] * value, minlength=len(rows)) + b, -30, 30)
+        z = np.clip(np.bincount(row, weights=w[col] * value, minlength=sample.size) + b, -30, 30)
         p = 1 / (1 + np.exp(-z))
         minus = np.logaddexp(0, z) * share  # loss as a negative
         rest = minus[~is_p].sum() - prior * minus[is_p].sum()
@@ -90,7 +110,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         w, b = w - change[:-1], b - change[-1]
         w = np.sign(w) * np.maximum(0, np.abs(w) - step[:-1] * l1)
     used = w != 0
-    return np.flatnonzero(frequent)[used], (w * scale)[used], float(b)
+    return sample.names[used], (w * sample.scale)[used], float(b)
 
 
 def calibrated(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, float]:
@@ -119,28 +139,31 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[np.ndarray
     prior = min(prior, 0.9)
     order = F.xxhash64("doc_id", F.lit(seed))
     known = written(labels.filter("toxic > 0").select("doc_id").orderBy(order).limit(MAX_POSITIVE), "positive")
-    # Candidates for the unlabelled part, twice as many as wanted; both samples are bounded, so they are broadcast.
-    some = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(order).limit(2 * MAX_UNLABELLED)
-    some = labels.join(F.broadcast(some), "doc_id", "right").filter("toxic IS NULL").select("doc_id").orderBy(order).limit(MAX_UNLABELLED)
-    wanted = written(known.withColumn("positive", F.lit(True)).unionByName(some.withColumn("positive", F.lit(False))), "sample")
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("positive", F.pmod(order, F.lit(BAGS)).cast("int").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    # Unlabelled texts come from all documents whatever their labels, so that the prior holds for them.
+    some = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(order).limit(MAX_UNLABELLED)
+    kinds = known.withColumn("positive", F.lit(True)).unionByName(some.withColumn("positive", F.lit(False)))
+    wanted = written(kinds.groupBy("doc_id").agg(F.collect_set("positive").alias("kinds")), "sample")  # bounded, so it is broadcast
+    # One text for each doc_id, so that rows which repeat one do not enlarge the sample.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "kinds").agg(F.min("text").alias("text"))
+    texts = texts.select(F.explode("kinds").alias("positive"), F.pmod(order, F.lit(BAGS)).cast("int").alias("part"), "text")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch[["part", "positive"]].assign(words=[f.astype("<i4").tobytes() for f in features(batch["text"])])
 
     def fitted(bag: pd.DataFrame) -> pd.DataFrame:
-        bag = bag.sort_values(["positive", "words"])
-        rows = [np.frombuffer(x, "<i4") for x in bag["words"]]
-        kinds, out = bag["positive"].to_numpy(), bag["left_out"].to_numpy()
+        rows = sorted((p, o, x) for p, o, x in zip(bag["positive"], bag["left_out"], bag["words"]))
+        kinds, out = np.asarray([r[0] for r in rows], bool), np.asarray([r[1] for r in rows], bool)
+        rows = [np.frombuffer(r[2], "<i4") for r in rows]
         inside = {k: [r for r, p, o in zip(rows, kinds, out) if p == k and not o] for k in (True, False)}
-        found = []
+        left_out = [[r for r, p, o in zip(rows, kinds, out) if p == k and o] for k in (True, False)]
+        sample, found = Sample(inside[True], inside[False]) if inside[True] else None, []
         for penalty in PENALTIES if inside[True] else ():
-            names, weights, intercept = fit(inside[True], inside[False], prior, l1=penalty)
+            names, weights, intercept = fit(sample, prior, l1=penalty)
             dense = np.zeros(FEATURES)
             dense[names] = weights
-            z = np.asarray([dense[r].sum() for r in rows]) + intercept
-            found.append((penalty, names.astype("<i8").tobytes(), weights.tobytes(), intercept, z[out & kinds].tobytes(), z[out & ~kinds].tobytes()))
+            z = [(np.asarray([dense[r].sum() for r in part]) + intercept).tobytes() for part in left_out]
+            found.append((penalty, names.astype("<i8").tobytes(), weights.tobytes(), intercept, *z))
         return pd.DataFrame(found, columns=["penalty", "names", "weights", "intercept", "p", "u"])
 
     # Each classifier leaves out another part of the sample.
