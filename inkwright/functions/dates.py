@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: First Western year of each era.
-ERAS = {"天保": 1830, "弘化": 1844, "嘉永": 1848, "安政": 1854, "文久": 1861, "慶応": 1865, "明治": 1868, "大正": 1912, "昭和": 1926, "平成": 1989, "令和": 2019}
+ERAS = {"天保": 1830, "弘化": 1844, "嘉永": 1848, "安政": 1854, "文久": 1861, "元治": 1864, "慶応": 1865, "慶應": 1865, "明治": 1868, "大正": 1912, "昭和": 1926, "平成": 1989, "令和": 2019}
 #: Kanji digits and units.
 DIGITS = {"〇": 0, "零": 0, "元": 1, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000}
@@ -101,3 +101,80 @@ def page_span(pages: Column, explicit_list: Column, comma_count: Column, unit_ty
         .when(comma_count >= 2, "distributed_pages")
         .otherwise("range_context")
     )
+
+
+#: Last Western year of an era, in the order in which a year is looked up.
+ERA_ENDS = {"明治": 1912, "大正": 1926, "昭和": 1989, "平成": 2019, "令和": 2026, "慶応": 1868, "慶應": 1868, "元治": 1865, "文久": 1864, "安政": 1860, "嘉永": 1854}
+_NAMED_ERAS = "(" + "|".join(ERA_ENDS) + ")"
+_KANJI = "([一二三四五六七八九十]+)"
+#: The kinds of dates that are looked for, and how sure they are: which groups are era, year, month and day.
+DATE_KINDS = {
+    "full_date": (_NAMED_ERAS + r"(\d+|元)年(\d+)月(\d+)日", (1, 2, 3, 4), 0.95),
+    "year_month": (_NAMED_ERAS + r"(\d+|元)年(\d+)月", (1, 2, 3, 0), 0.90),
+    "era_year": (_NAMED_ERAS + r"(\d+|元)年", (1, 2, 0, 0), 0.85),
+    "era_year_short": (_NAMED_ERAS + r"(\d+)", (1, 2, 0, 0), 0.80),
+    "western_full_date": (r"(\d{4})年(\d{1,2})月(\d{1,2})日", (0, 1, 2, 3), 0.95),
+    "western_year_month": (r"(\d{4})年(\d{1,2})月", (0, 1, 2, 0), 0.90),
+    "western_year": (r"(\d{4})年", (0, 1, 0, 0), 0.85),
+    "full_date_space": (_NAMED_ERAS + r"(\d+|元)年\s*(\d+)月\s*(\d+)日", (1, 2, 3, 4), 0.95),
+    "kanji_month_day": (_KANJI + "月" + _KANJI + "日", (0, 0, 1, 2), 0.70),
+    "month_day": (r"(\d{1,2})月(\d{1,2})日", (0, 0, 1, 2), 0.75),
+}
+
+
+def text_dates(text: Column) -> Column:
+    """(kind, text, era, year, month, day, confidence) of every match of every kind, kind by kind; overlapping ones all stay."""
+
+    def found(kind: str) -> Column:
+        pattern, (era, year, month, day), sure = DATE_KINDS[kind]
+
+        def parsed(d: Column) -> Column:
+            def number(group: int) -> Column:
+                return kanji_number(F.regexp_extract(d, pattern, group)).cast("int") if group else F.lit(None).cast("int")
+
+            name = F.regexp_extract(d, pattern, era) if era else F.lit(None).cast("string")
+            western = era_year(name, number(year)).cast("int") if era else number(year)
+            return F.struct(F.lit(kind).alias("kind"), d.alias("text"), name.alias("era"), western.alias("year"), number(month).alias("month"), number(day).alias("day"), F.lit(sure).alias("confidence"))
+
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), parsed)
+
+    return F.concat(*[found(kind) for kind in DATE_KINDS])
+
+
+def era_of_year(year: Column) -> Column:
+    """The first era, in the order of ERA_ENDS, whose years hold the given one."""
+    return F.coalesce(*[F.when((year >= ERAS[era]) & (year <= end), era) for era, end in ERA_ENDS.items()])
+
+
+def wareki_date(text: Column) -> Column:
+    """(year, month, day) of the first regnal date, else of the first Western one; a month or day that is not told is 1."""
+    eras = "(明治|大正|昭和|平成|令和)"
+    regnal = eras + r"\s*(\d+)年(?:\s*(\d+)月)?(?:\s*(\d+)日)?"
+    western = r"(\d{4})年(?:\s*(\d{1,2})月)?(?:\s*(\d{1,2})日)?"
+
+    def number(pattern: str, group: int) -> Column:
+        return F.try_to_number(F.nullif(F.regexp_extract(text, pattern, group), F.lit("")), F.lit("9999999")).cast("int")
+
+    def date(year: Column, pattern: str, at: int) -> Column:
+        return F.struct(year.cast("int").alias("year"), F.coalesce(number(pattern, at), F.lit(1)).alias("month"), F.coalesce(number(pattern, at + 1), F.lit(1)).alias("day"))
+
+    return F.when(text.rlike(regnal), date(era_year(F.regexp_extract(text, regnal, 1), number(regnal, 2)), regnal, 3)).when(text.rlike(western), date(number(western, 1), western, 2))
+
+
+def date_range(text: Column) -> Column:
+    """(start, stop) of a range with a dash; a single date is both."""
+    parts = F.split(text, "[-–—]")
+    return F.struct(wareki_date(F.trim(parts[0])).alias("start"), wareki_date(F.trim(F.coalesce(F.get(parts, F.lit(1)), parts[0]))).alias("stop"))
+
+
+def title_era_years(text: Column) -> Column:
+    """Different "era year" strings of a title, as 明治5."""
+    pattern = r"(明治|大正|昭和|平成|令和)\s*([0-9]+|元)\s*年?"
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda d: F.concat(F.regexp_extract(d, pattern, 1), F.replace(F.regexp_extract(d, pattern, 2), F.lit("元"), F.lit("1")))))
+
+
+def era_years_agree(left: Column, right: Column) -> Column:
+    """Null unless both titles name years of one era; then whether they share one."""
+    a, b = title_era_years(left), title_era_years(right)
+    eras = lambda x: F.transform(x, lambda d: F.substring(d, 1, 2))
+    return F.when(F.arrays_overlap(eras(a), eras(b)), F.arrays_overlap(a, b))

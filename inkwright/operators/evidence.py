@@ -125,3 +125,17 @@ def page_check(page: Column, low: Column, high: Column) -> Column:
 def context_promotion(cited_score: Column, context_score: Column, distance: Column) -> Column:
     """A context page replaces the cited one if it is better by more than 0.15, at least 0.30, one page away at most, and the cited one is below 0.20."""
     return (context_score - cited_score > 0.15) & (context_score >= 0.30) & (distance <= 1) & (cited_score < 0.20)
+
+
+def matched_dates(annotations: DataFrame, sources: DataFrame) -> DataFrame:
+    """Source dates (page, date_key) with the first annotation (page, date_key, text) of that date, by page."""
+    first = annotations.groupBy("date_key").agg(F.min_by(F.struct(F.col("page").alias("annotation_page"), F.col("text").alias("annotation_text")), F.struct("page", "text")).alias("_a"))
+    return sources.join(first, "date_key").select("page", "date_key", "_a.*")
+
+
+def publication_year(dates: DataFrame, key: str) -> DataFrame:
+    """(key, year, era): the latest year among the dates (key, year) of a work, and the first era that holds it."""
+    from ..functions.dates import era_of_year
+
+    latest = dates.filter("year IS NOT NULL").groupBy(key).agg(F.max("year").alias("year"))
+    return latest.withColumn("era", era_of_year(F.col("year")))

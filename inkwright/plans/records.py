@@ -65,11 +65,11 @@ def e20_outline_issues(spark, sf_dir):
     return U.outline_issues(U.outline_ratios(s), ["introduction", "analysis", "conclusion"])
 
 
-@query("SELECT * FROM (VALUES (1, 0.98::DOUBLE), (2, 0.0::DOUBLE)) t(id, score)")
+@query("SELECT * FROM (VALUES (1, 1.0::DOUBLE), (2, 0.0::DOUBLE)) t(id, score)")
 def r05_record_scores(spark, sf_dir):
     rows = [(1, "満洲国史", "満洲国史編纂刊行会", "1970", None, "満洲国史", "満洲国史編纂刊行会", "1970", "x"), (2, "", None, None, None, "abc", None, None, None)]
     names = "id int, title string, author string, year string, publisher string, r_title string, r_author string, r_year string, r_publisher string"
-    return R.record_scores(spark.createDataFrame(rows, names)).select("id", F.least(F.round("score", 4), F.lit(0.98)).alias("score"))
+    return R.record_scores(spark.createDataFrame(rows, names)).select("id", F.round("score", 4).alias("score"))
 
 
 @query("SELECT s_suppkey, fallback FROM (SELECT s_suppkey, s_nationkey, score, max(score) OVER (PARTITION BY s_nationkey) < 0.35 AS fallback, row_number() OVER (PARTITION BY s_nationkey, score >= 0.2 ORDER BY s_suppkey) AS r FROM (SELECT *, s_nationkey / 60.0 + s_suppkey % 5 / 40.0 AS score FROM supplier)) WHERE (NOT fallback AND score >= 0.35) OR (fallback AND score >= 0.2 AND r = 1)")
@@ -110,11 +110,11 @@ def j12_aliased_titles(spark, sf_dir):
     return R.aliased_titles(notes).select("doc_id", "ordinal", "resolved_title")
 
 
-@query("SELECT event_id, round(greatest(0.1, least(0.35 + (event_id % 11) / 10.0 * 0.35 + (event_id % 3) / 2.0 * 0.15 + CASE WHEN event_id % 2 = 0 THEN 0.05 ELSE 0 END - least(0.35, event_id % 8 * 0.06), 0.95)), 1) AS confidence FROM events WHERE event_id % 10 = 3")
+@query("SELECT event_id, round(greatest(0.1, least(0.35 + (event_id % 11) / 10.0 * 0.35 + (event_id % 3) / 2.0 * 0.15 + CASE WHEN event_id % 2 = 0 THEN 0.05 ELSE 0 END - least(0.35, event_id % 8 * 0.06), 0.95)), 6) AS confidence FROM events")
 def z27_verification_confidence(spark, sf_dir):
     i = F.col("event_id")
-    value = R.verification_confidence((i % 11) / 10, (i % 3) / 2, i % 2 == 0, i % 8, digits=1)
-    return table(spark, sf_dir, "events").filter(i % 10 == 3).select("event_id", value.alias("confidence"))
+    value = R.verification_confidence((i % 11) / 10, (i % 3) / 2, i % 2 == 0, i % 8, digits=6)
+    return table(spark, sf_dir, "events").select("event_id", value.alias("confidence"))
 
 
 @query("SELECT 1 AS best_index, 0.88::DOUBLE AS confidence")
