@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_filter, may_hold, release, small_batches, written
+from .common import id_filter, may_hold, release, small_batches, tidy, written
 from .components import components
 from .hashing import chunks, mixed, shingle_sets
 
@@ -50,6 +50,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 def _profiles(docs: DataFrame, width: int) -> DataFrame:
     """Rows of two kinds: a document's set size, key and class counts; a partition's share of the sketch."""
 
+    @tidy
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
@@ -77,39 +78,33 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
 def _sketch(profiles: DataFrame) -> np.ndarray:
     """Frequencies on a scale of 16 bits, summed block by block on executors; its size is fixed."""
 
-    def total(batches: Iterator[pd.DataFrame], cells: str) -> Iterator[pd.DataFrame]:
+    @tidy
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch["block"], batch["counts"]):
-                part = np.frombuffer(zlib.decompress(data), cells).astype(np.int64)
+                part = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
                 sums[block] = sums[block] + part if block in sums else part
-        yield pd.DataFrame({"block": list(sums), "counts": [zlib.compress(s.astype("<i8").tobytes(), 1) for s in sums.values()]})
+        scaled = [np.minimum(65535, np.log2(1 + s) * 1500).astype("<u2").tobytes() for s in sums.values()]
+        yield pd.DataFrame({"block": list(sums), "counts": scaled})
 
     blocks = COUNTERS // COUNTER_BLOCK
     rows = profiles.filter("block IS NOT NULL").select("block", "counts")
-    rows = rows.repartition(blocks, "block").mapInPandas(lambda b: total(b, "<u4"), "block int, counts binary")
-    rows = rows.mapInPandas(lambda b: _scaled(b), "block int, counts binary")
+    rows = rows.repartition(blocks, "block").mapInPandas(total, "block int, counts binary")
     out = np.zeros(COUNTERS, np.uint16)
     for row in rows.collect():
         out[row["block"] * COUNTER_BLOCK : (row["block"] + 1) * COUNTER_BLOCK] = np.frombuffer(row["counts"], "<u2")
     return out
 
 
-def _scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import zlib
-
-    for batch in batches:
-        raw = [np.frombuffer(zlib.decompress(data), "<i8") for data in batch["counts"]]
-        yield pd.DataFrame({"block": batch["block"], "counts": [np.minimum(65535, np.log2(1 + x) * 1500).astype("<u2").tobytes() for x in raw]})
-
-
 def _prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
     """(gram, doc_id, n, place, centre): the rare-first prefix of every document."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
     schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("centre", pa.int32())])
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = held.value, set()
         for batch in batches:
@@ -157,6 +152,7 @@ def _overlap_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold."""
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -179,6 +175,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _possible(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose class counts allow enough shared shingles."""
 
+    @tidy
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -199,6 +196,7 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """Shingle sets of the wanted documents, computed where the text is read; only sets are shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
+    @tidy
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(held.value, batch.column(0).to_numpy(zero_copy_only=False))))

@@ -17,17 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, tidy, written
 from .tokens import END_ID, encoder
 
 CAPACITY = 4096
 #: Ranks are joined to slot intervals within blocks of this many ranks.
 BLOCK = 64
 _SPAN = 1 << 15
-_SALTS = 64
+#: Parts that a key's rows are numbered in: so many at least, and one for every _PART_ROWS rows of the largest key.
+_SALTS, _PART_ROWS = 64, 200_000
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -35,12 +37,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     small_batches(docs.sparkSession)
     end = np.asarray([END_ID], "<u4").tobytes()
 
+    @tidy
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer_path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = enc.encode(text) + end
+            for doc_id, ids in zip(batch["doc_id"], enc.encode_all(batch["text"])):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -96,13 +99,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return slots
 
 
-def ranked(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """Number rows 0, 1, ... within `key`, also where one key holds much of the table.
+def ranked(df: DataFrame, key: str, order: list[str], name: str, most: int) -> DataFrame:
+    """Number rows 0, 1, ... within `key`, also where one key holds much of the table; `most`: rows of the largest key.
 
-    Rows are numbered within (key, salt), and the number of rows in earlier salts is added; those
-    counts are at most `_SALTS` per key.
+    Rows are numbered within (key, salt), and the number of rows in earlier salts is added.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(_SALTS)).cast("int"))
+    salts = max(_SALTS, most // _PART_ROWS)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(key, "_salt").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(key).orderBy("_salt")) - F.col("_n")
     counts = counts.select(F.col(key).alias("_k"), F.col("_salt").alias("_s"), before.alias("_before"))
@@ -116,12 +119,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces; `parts` is read three times, so give a written table."""
     spark = parts.sparkSession
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    slots = spark.createDataFrame(pd.DataFrame(np.asarray(plan(histogram, capacity), "int64").reshape(-1, 5)), "p_length long, first long, n long, base long, at long")
+    columns = np.asarray(plan(histogram, capacity), "int64").reshape(-1, 5).T
+    slots = spark.createDataFrame(pa.table(list(columns), names=["p_length", "first", "n", "base", "at"]))
     # Blocks of ranks that an interval touches, in two steps so that no array grows with the corpus.
     low, high = F.expr(f"first div {BLOCK}"), F.expr(f"(first + n - 1) div {BLOCK}")
     slots = slots.withColumn("span", F.explode(F.sequence(F.expr(f"first div {BLOCK * _SPAN}"), F.expr(f"(first + n - 1) div {BLOCK * _SPAN}"))))
     slots = slots.withColumn("block", F.explode(F.sequence(F.greatest(low, F.col("span") * _SPAN), F.least(high, F.col("span") * _SPAN + _SPAN - 1))))
-    rows = ranked(parts, "length", ["doc_id", "piece", "ids_crc32", "start"], "rank").withColumn("r_block", F.expr(f"rank div {BLOCK}"))
+    rows = ranked(parts, "length", ["doc_id", "piece", "ids_crc32", "start"], "rank", max(histogram.values(), default=0)).withColumn("r_block", F.expr(f"rank div {BLOCK}"))
     found = rows.join(slots, (rows["length"] == slots["p_length"]) & (rows["r_block"] == slots["block"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("at").alias("offset"))
 

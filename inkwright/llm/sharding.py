@@ -55,5 +55,5 @@ def sharded(docs: DataFrame, shards: int) -> DataFrame:
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(data) + F.lit(16)).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
     rows = rows.select("*", F.lit(LAW).alias("law"), jump_shard(F.col("doc_id"), shards).alias("shard"), jump_shard(F.col("doc_id"), shards + 1).alias("grown_shard"))
-    return ranked(rows, "shard", ["doc_id", "text_crc32", "size"], "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return ranked(rows, "shard", ["doc_id", "text_crc32", "size"], "slot", docs.count()).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 

@@ -35,18 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_filter, may_hold, partitions, release, small_batches, written
+from .common import give_back, id_filter, may_hold, partitions, release, small_batches, tidy, written
 from .hashing import chunks, running, window
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM, BLOCK = 50, 20, 1024
-FLUSH_BYTES, BUCKET_ROWS, HOT_ROWS = 1 << 24, 1 << 20, 32
+FLUSH_BYTES, BUCKET_ROWS, HOT_ROWS = 1 << 23, 1 << 19, 32
 #: Digests of texts that a task remembers, to pass over copies.
 _REMEMBERED = 200_000
 #: Rows of a table that is small enough to be sent to every task.
 _SENT_ROWS = 100_000
 #: Bytes of distinct segments for which a shard is made.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 _SPREAD = LENGTH - GRAM + 1  # grams of a window
 
 
@@ -116,6 +116,7 @@ def _named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """
     schema = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("gram", pa.binary()), ("key", pa.binary()), ("place", pa.binary())])
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         held, size = [], 0
@@ -144,6 +145,7 @@ def _named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
+    @tidy
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for batch in batches:
@@ -234,6 +236,7 @@ _SPANS = "sid binary, first_doc long, spans array<struct<start:long,stop:long>>"
 def _marked_shard(shard: pd.DataFrame, elsewhere: dict[bytes, int]) -> pd.DataFrame:
     shard = shard.sort_values("sid")
     spans = marked(list(shard["data"]), shard["first_doc"].to_numpy(), elsewhere)
+    give_back()
     return shard[["sid", "first_doc"]].assign(spans=[[{"start": a, "stop": b} for a, b in x] for x in spans])
 
 
@@ -324,6 +327,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spans_of = written(moved.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")), "doc-spans")
     release(spark)
 
+    @tidy
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, written
+from .common import scratch, small_batches, tidy, written
 from .tokens import END_ID, encoder
 
 FRAME_IDS = 1 << 16
@@ -129,19 +129,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> DataFr
     spark = docs.sparkSession
     small_batches(spark)
 
+    @tidy
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, store, writer = encoder(tokenizer_path), None, None
         part = TaskContext.get().partitionId()
         name = f"ids-{part:06d}.zst"
         for batch in batches:
-            for doc_id, null, text in zip(batch["doc_id"], batch["null_id"], batch["text"]):
+            for doc_id, null, ids in zip(batch["doc_id"], batch["null_id"], enc.encode_all(batch["text"])):
                 if writer is None:
                     store, top = _open(path)
                     store.create_dir(top, recursive=True)
                     temporary = f"{top}/.{name}.{uuid.uuid4().hex}"
                     out = store.open_output_stream(temporary)
                     writer = FrameWriter(out)
-                writer.add(None if null else int(doc_id), enc.encode(text) + _END)
+                writer.add(None if null else int(doc_id), ids + _END)
         if writer is not None:
             writer.close()
             out.close()

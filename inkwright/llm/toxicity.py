@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import give_back, small_batches, tidy, written
 from .hashing import NOT_ALNUM, Words, chunks, window
 
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
@@ -147,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[np.ndarray
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "kinds").agg(F.min("text").alias("text"))
     texts = texts.select(F.explode("kinds").alias("positive"), F.pmod(order, F.lit(BAGS)).cast("int").alias("part"), "text")
 
+    @tidy
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch[["part", "positive"]].assign(words=[f.astype("<i4").tobytes() for f in features(batch["text"])])
@@ -164,6 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[np.ndarray
             dense[names] = weights
             z = [(np.asarray([dense[r].sum() for r in part]) + intercept).tobytes() for part in left_out]
             found.append((penalty, names.astype("<i8").tobytes(), weights.tobytes(), intercept, *z))
+        del rows, inside, left_out, sample
+        give_back()
         return pd.DataFrame(found, columns=["penalty", "names", "weights", "intercept", "p", "u"])
 
     # Each classifier leaves out another part of the sample.
