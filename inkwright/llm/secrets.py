@@ -1,8 +1,12 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. No Python on executors.
 
-A candidate is a run of at least 16 letters, digits and + / _ - that holds a digit or an inner change from lower to
-upper case. Texts are split at candidates, so each one has its exact place and its neighbours. The forest
-(MLlib) sees
+A candidate is one of
+
+* a token of three dotted parts that begins as encoded JSON does;
+* any value of four characters or more after a key-like word and an assignment, whatever its characters;
+* a run of at least 16 letters, digits and + / _ - that holds a digit or an inner change from lower to upper case.
+
+Texts are split at candidates, so each one has its exact place and its neighbours. The forest (MLlib) sees
 
 * length and shares of kinds of characters;
 * character transitions: changes between vowels, consonants, digits and marks, and upper/lower;
@@ -12,7 +16,10 @@ upper case. Texts are split at candidates, so each one has its exact place and i
 
 It learns from labelled findings. Those may be given as a table (value, before, after, path, label);
 `labelled_findings` makes a fixed set of LABELLED rows from seeded hashes: keys, tokens and passwords in
-the places where they leak, and what scanners confuse with them (digests, ids, card numbers, names).
+the places where they leak, and what scanners confuse with them (digests, ids, card numbers, names, placeholders).
+
+`redacted` replaces findings at their places in their own row, so equal values that are no secret elsewhere stay, and rows
+need no key. Rows without a candidate do not move.
 
 Null or empty text has no candidate. Findings of rows with a null doc_id are returned with it. Repeated rows
 and repeated secrets are findings of their own. Empty tables give empty results.
@@ -27,11 +34,22 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{16,}={0,2}"
+from .common import written
+
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]{16,}={0,2}"
+_WORD = r"(?:key|token|secret|password|passwd|pwd|passphrase|credential|credentials)"
+#: A key-like word, an assignment and perhaps a quotation mark; lengths are bounded, as they stand in a look-behind.
+_ASSIGNED = rf"(?i:{_WORD}[\"']?\s{{0,3}}(?:=|:|=>|:=)\s{{0,3}}[\"']?)"
+_VALUE = r"[^\s\"'<>,;]"
+CANDIDATE = rf"eyJ[A-Za-z0-9_-]{{4,}}\.[A-Za-z0-9_-]{{4,}}\.[A-Za-z0-9_-]+|(?<=[=:>\s\"'])(?<={_ASSIGNED}){_VALUE}{{4,}}|{_RUN}"
+#: What a text with a candidate holds; cheaper than the candidates themselves.
+_LIKELY = rf"{_ASSIGNED}{_VALUE}|{_RUN}"
 #: Characters before and after a candidate that are looked at for neighbouring words.
 NEAR = 80
 LABELLED, TREES, DEPTH, THRESHOLD = 6_000, 40, 8, 0.5
 PLACEHOLDER = "<SECRET>"
+#: Kinds of made findings.
+KINDS = 18
 
 #: Fixed word lists of the features.
 DICTIONARY = ("access", "account", "admin", "application", "build", "class", "client", "code", "component", "config", "connection", "controller", "count", "create", "data", "date", "default", "document", "error", "event", "example", "factory", "file", "function", "handler", "html", "http", "image", "index", "info", "item", "label", "list", "local", "manager", "message", "model", "module", "name", "node", "number", "object", "option", "order", "page", "param", "path", "product", "project", "query", "report", "request", "response", "result", "sample", "server", "service", "session", "setting", "source", "state", "status", "string", "system", "table", "test", "text", "time", "title", "type", "update", "user", "value", "version", "view", "widget")
@@ -57,15 +75,15 @@ def described(findings: DataFrame) -> DataFrame:
     """Findings (value, before, after, path) with the columns FEATURES."""
     v, low = F.col("value"), F.lower("value")
     columns = {
-        "length": F.least(F.length(v), F.lit(200)).cast("double"),
+        "length": F.length(v).cast("double"),
         "digits": _share(v, "0-9"),
         "upper": _share(v, "A-Z"),
         "lower": _share(v, "a-z"),
-        "marks": _share(v, "+/_=-"),
-        "changes": _changes(v, [("[A-Za-z]", "a"), ("[0-9]", "0"), ("[+/_=-]", "-")]),
+        "marks": 1 - _share(v, "A-Za-z0-9"),
+        "changes": _changes(v, [("[A-Za-z]", "a"), ("[0-9]", "0"), ("[^a0]", "-")]),
         "case_changes": _changes(v, [("[a-z]", "a"), ("[A-Z]", "B"), ("[^aB]", "-")]),
         "vowel_changes": _changes(low, [("[aeiouy]", "."), ("[a-z]", "b"), ("[0-9]", "0"), ("[^.b0]", "-")]),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(v, 1, 200), ""))) / F.least(F.length(v), F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(F.length(v), F.lit(64)),
         "hexadecimal": low.rlike("^[0-9a-f]+$").cast("double"),
         "only_digits": v.rlike("^[0-9]+$").cast("double"),
         "covered": 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / F.length(v),
@@ -79,23 +97,30 @@ def described(findings: DataFrame) -> DataFrame:
     return findings.withColumns({k: F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in columns.items()})
 
 
-def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, finding (from 0), start, value, before, after, path of every candidate; places in code points."""
-    where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", "text", where.alias("path")).filter(F.col("text").rlike(CANDIDATE))
+_ROW = "__scanned_row"
+
+
+def _likely_rows(docs: DataFrame) -> DataFrame:
+    """Rows that may hold a candidate, numbered and written, so that a task that runs again sees the same numbers."""
+    return written(docs.filter(F.col("text").rlike(_LIKELY)).withColumn(_ROW, F.monotonically_increasing_id()), "likely")
+
+
+def candidates(rows: DataFrame, path: str = "source") -> DataFrame:
+    """_ROW, finding (from 0), start, value, before, after, path of every candidate of numbered rows; places in code points."""
+    where = F.col(path).cast("string") if path in rows.columns else F.lit(None).cast("string")
     parts, values = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), 0)
     around = F.transform(parts, lambda p: F.struct(F.length(p).alias("size"), F.substring(p, 1, NEAR).alias("head"), F.right(p, F.lit(NEAR)).alias("tail")))
-    cut = rows.select("doc_id", "path", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("row"), around.alias("around"), values.alias("values"))
+    cut = rows.select(_ROW, where.alias("path"), around.alias("around"), values.alias("values"))
     zipped = F.arrays_zip(F.col("values"), F.slice("around", F.lit(1), F.size("values")).alias("left"), F.slice("around", F.lit(2), F.size("values")).alias("right"))
-    each = cut.select("doc_id", "path", "row", F.posexplode(zipped).alias("finding", "f"))
-    each = each.select("doc_id", "path", "row", "finding", F.col("f.values").alias("value"), F.col("f.left").alias("left"), F.col("f.right").alias("right"))
-    upto = Window.partitionBy("row").orderBy("finding").rowsBetween(Window.unboundedPreceding, 0)
+    each = cut.select(_ROW, "path", F.posexplode(zipped).alias("finding", "f"))
+    each = each.select(_ROW, "path", "finding", F.col("f.values").alias("value"), F.col("f.left").alias("left"), F.col("f.right").alias("right"))
+    upto = Window.partitionBy(_ROW).orderBy("finding").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum(F.col("left.size") + F.length("value")).over(upto) - F.length("value")
-    return each.select("doc_id", "finding", start.cast("long").alias("start"), "value", F.col("left.tail").alias("before"), F.col("right.head").alias("after"), "path")
+    return each.select(_ROW, "finding", start.cast("long").alias("start"), "value", F.col("left.tail").alias("before"), F.col("right.head").alias("after"), "path")
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = 11) -> DataFrame:
-    """(value, before, after, path, label): a fixed set of findings with known verdicts."""
+    """(kind, value, before, after, path, label): a fixed set of findings with known verdicts."""
 
     def pick(name: str, choices: tuple[str, ...]) -> Column:
         return F.get(F.array(*map(F.lit, choices)), F.pmod(F.xxhash64("id", F.lit(f"{seed}{name}")), F.lit(len(choices))).cast("int"))
@@ -112,7 +137,9 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = 11)
     plain = pick("plain", ("the ", "see ", "in ", "value ", "for ", "of ", "with ", "a "))
     other = pick("other", ("commit ", "sha256:", "md5 ", "checksum = ", "card ", "order ", "id: ", "etag \"", "uuid=", "phone ", "invoice "))
     after = pick("after", ('"', "\n", " and", ", ", " the", ";"))
-    kind = F.pmod(F.xxhash64("id", F.lit(f"{seed}kind")), F.lit(14))
+    kind = F.pmod(F.xxhash64("id", F.lit(f"{seed}kind")), F.lit(KINDS))
+    marks = pick("marks", ("!", "&", "#9", "$x", "%", "@", "*", "-", "."))
+    blank = pick("blank", ("your_token_here", "changeme", "example", "${PASSWORD}", "none", "null", "true", "required", "optional", "process.env.KEY", "getpass()", "xxxxxxxx", "****", "string", "the"))
     made = [  # kind, value, before, label
         (0, F.substring(digest("x"), 1, 40), leak, 1),
         (1, F.substring(digest("x"), 1, 18), leak, 1),
@@ -127,13 +154,17 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED, seed: int = 11)
         (10, snake, plain, 0),
         (11, F.regexp_replace(F.substring(digest("x"), 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.when(F.col("id") % 2 == 0, other).otherwise(plain), 0),
         (12, F.concat_ws("/", pick("w1", DICTIONARY), pick("w2", DICTIONARY), F.concat(pick("w3", DICTIONARY), F.substring(number, 1, 2))), plain, 0),
-        (13, F.concat(words, F.substring(number, 1, 4)), leak, 0),
+        (13, F.concat(words, F.substring(number, 1, 4)), plain, 0),
+        (14, F.concat(F.initcap(pick("w1", DICTIONARY)), F.substring(number, 1, 2), marks, F.substring(base64, 1, 4)), leak, 1),
+        (15, F.concat(pick("w1", DICTIONARY), F.substring(number, 1, 3)), leak, 1),
+        (16, F.concat(F.lit("eyJ"), F.substring(base64, 1, 24), F.lit("."), F.substring(base64, 24, 30), F.lit("."), F.substring(base64, 40, 30)), F.when(F.col("id") % 2 == 0, leak).otherwise(plain), 1),
+        (17, blank, leak, 0),
     ]
     value, before, label = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int")
     for k, v, b, y in made:
         value, before, label = F.when(kind == k, v).otherwise(value), F.when(kind == k, b).otherwise(before), F.when(kind == k, y).otherwise(label)
     path = pick("path", ("src/main.py", "src7", "test/example.py", "docs/readme.md", "web", "config/app.env"))
-    return spark.range(0, rows, 1, 1).select(value.alias("value"), F.concat(plain, pick("w5", DICTIONARY), F.lit(" "), before).alias("before"), after.alias("after"), path.alias("path"), label.alias("label"))
+    return spark.range(0, rows, 1, 1).select(kind.cast("int").alias("kind"), value.alias("value"), F.concat(plain, pick("w5", DICTIONARY), F.lit(" "), before).alias("before"), after.alias("after"), path.alias("path"), label.alias("label"))
 
 
 def trained(labelled: DataFrame, limit: int = LABELLED, seed: int = 5) -> PipelineModel:
@@ -143,19 +174,41 @@ def trained(labelled: DataFrame, limit: int = LABELLED, seed: int = 5) -> Pipeli
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(rows)
 
 
+#: Forests of `labelled_findings` by application, so that a session fits it once.
+_fitted: dict[str, PipelineModel] = {}
+
+
+def _forest(spark: SparkSession, labelled: DataFrame | None) -> PipelineModel:
+    if labelled is not None:
+        return trained(labelled)
+    key = spark.sparkContext.applicationId
+    if key not in _fitted:
+        _fitted.clear()
+        _fitted[key] = trained(labelled_findings(spark))
+    return _fitted[key]
+
+
+def _scored(rows: DataFrame, labelled: DataFrame | None, path: str) -> DataFrame:
+    scored = _forest(rows.sparkSession, labelled).transform(described(candidates(rows, path)))
+    score = vector_to_array("probability")[1]
+    return scored.select(_ROW, "finding", "start", F.length("value").cast("long").alias("length"), "value", F.round(score, 6).alias("score"), (score >= THRESHOLD).alias("is_secret"))
+
+
 def secret_findings(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> DataFrame:
     """doc_id, finding, start, length, value, score and is_secret of every candidate."""
-    model = trained(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    rows = model.transform(described(candidates(docs, path)))
-    score = vector_to_array("probability")[1]
-    return rows.select("doc_id", "finding", "start", F.length("value").cast("long").alias("length"), "value", F.round(score, 6).alias("score"), (score >= THRESHOLD).alias("is_secret"))
+    rows = _likely_rows(docs.select("doc_id", "text", *([path] if path in docs.columns else [])))
+    return _scored(rows, labelled, path).join(rows.select(_ROW, "doc_id"), _ROW).select("doc_id", "finding", "start", "length", "value", "score", "is_secret")
 
 
-def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+def redacted(docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> DataFrame:
     """`docs` with every secret replaced by PLACEHOLDER and n_chars brought up to date; no row goes."""
-    found = secret_findings(docs, labelled).filter("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets"))
-    text = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col("text"), lambda t, s: F.replace(t, s, F.lit(PLACEHOLDER)))
-    rows = docs.join(found, "doc_id", "left").withColumn("text", F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(text))
+    rows = _likely_rows(docs)
+    flags = _scored(rows, labelled, path).groupBy(_ROW).agg(F.array_sort(F.collect_list(F.struct("finding", "is_secret"))).alias("__flags")).filter(F.exists("__flags", lambda f: f["is_secret"]))
+    parts, values = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), 0)
+    kept = F.zip_with(values, "__flags", lambda v, f: F.when(f["is_secret"], PLACEHOLDER).otherwise(v))
+    text = F.array_join(F.zip_with(parts, kept, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+    hit = F.col("__flags").isNotNull()
+    changed = rows.join(flags, _ROW, "left").withColumn("text", F.when(hit, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*docs.columns)
+        changed = changed.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return docs.filter(~F.coalesce(F.col("text").rlike(_LIKELY), F.lit(False))).unionByName(changed.select(*docs.columns))

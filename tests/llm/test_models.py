@@ -55,6 +55,23 @@ def test_secrets(spark, odd, empty):
     assert secrets.secret_findings(empty).count() == 0 and secrets.redacted(odd).count() == odd.count()
 
 
+def test_secrets_of_other_forms(spark):
+    texts = [
+        (None, 'x password = "Tr0ub4dor&3x!" y'),
+        (None, "secret: hunter2hunter and hunter2hunter again"),
+        (3, "jwt eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U end"),
+        (4, "password: required, token = your_token_here"),
+        (None, "a plain text with a key and a lock: nothing else"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = secrets.secret_findings(docs).toPandas()
+    values = set(found[found.is_secret].value)
+    assert {"Tr0ub4dor&3x!", "hunter2hunter"} <= values and any(v.count(".") == 2 for v in values)
+    assert not values & {"required", "your_token_here"}
+    clean = sorted(t for t in secrets.redacted(docs).toPandas().text)
+    assert clean == sorted(['x password = "<SECRET>" y', "secret: <SECRET> and hunter2hunter again", "jwt <SECRET> end", texts[3][1], texts[4][1]])
+
+
 def test_secrets_learn_from_a_given_table(spark):
     made = secrets.labelled_findings(spark, 2000, seed=3)
     model = secrets.trained(secrets.labelled_findings(spark))
