@@ -80,9 +80,9 @@ class Sketches:
             np.add.at(self.sum, at, digest * wrap)
             np.add.at(self.check, at, check * wrap)
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray]:
-        """Number of digests recovered for each set, and whether all were. Empties the cells."""
-        found = np.zeros(self.sets, np.int64)
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(set, digest, sign) of all digests recovered, and whether each set gave all of its own. Empties the cells."""
+        found = []
         for _ in range(4 * self.cells):
             at = np.flatnonzero(np.abs(self.count) == 1)
             sign = self.count[at]
@@ -95,10 +95,11 @@ class Sketches:
             owner, digest, sign = owner[order], digest[order], sign[order]
             new = np.append(True, (owner[1:] != owner[:-1]) | (digest[1:] != digest[:-1]))
             owner, digest, sign = owner[new], digest[new], sign[new]
-            np.add.at(found, owner, 1)
+            found.append((owner, digest, sign))
             self.add(owner, digest, -sign)
         rest = (self.count != 0) | (self.sum != 0) | (self.check != 0)
-        return found, ~rest.reshape(self.sets, self.cells).any(axis=1)
+        none = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
+        return *(np.concatenate(c) for c in zip(none, *found)), ~rest.reshape(self.sets, self.cells).any(axis=1)
 
     def strings(self, sizes: np.ndarray) -> list[str]:
         rows = np.empty(self.sets * self.cells, [("count", "<i4"), ("sum", "<u8"), ("check", "<u4")])
@@ -106,20 +107,32 @@ class Sketches:
         return [f"{n}:{base64.b64encode(r.tobytes()).decode()}" for n, r in zip(sizes, rows.reshape(self.sets, self.cells))]
 
 
-def differences(owner: np.ndarray, digest: np.ndarray, pairs: np.ndarray, sets: int) -> np.ndarray:
-    """Size of the symmetric difference of the digest sets of each pair, by subtraction and peeling."""
+def differences(owner: np.ndarray, digest: np.ndarray, pairs: np.ndarray, sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, digest, sign) of every digest that one set of a pair has and the other has not, by subtraction and peeling.
+
+    The sign is 1 for a digest of the first set and -1 for one of the second.
+    """
     first = np.searchsorted(owner, np.arange(sets + 1))
-    out, left, cells = np.zeros(len(pairs), np.int64), np.arange(len(pairs)), BASE_CELLS
+    out, left, cells = [], np.arange(len(pairs)), BASE_CELLS
     while len(left):
         sketch = Sketches(len(left), cells)
         for side, sign in ((0, 1), (1, -1)):
             begin, end = first[pairs[left, side]], first[pairs[left, side] + 1]
             take = np.repeat(begin - np.append(0, np.cumsum(end - begin)[:-1]), end - begin) + np.arange((end - begin).sum())
             sketch.add(np.repeat(np.arange(len(left)), end - begin), digest[take], np.full(len(take), sign, np.int64))
-        found, whole = sketch.peel()
-        out[left[whole]] = found[whole]
+        at, value, sign, whole = sketch.peel()
+        kept = whole[at]
+        out.append((left[at[kept]], value[kept], sign[kept]))
         left, cells = left[~whole], cells * GROWTH
-    return out
+    none = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
+    return tuple(np.concatenate(c) for c in zip(none, *out))
+
+
+def differing_digests(old: str | None, new: str | None) -> tuple[list[int], list[int]]:
+    """Digests of the pieces that only the old text has, and of those that only the new one has, in ascending order."""
+    owner, digest = piece_digests([(old or "").encode(), (new or "").encode()])
+    _, value, sign = differences(owner, digest, np.asarray([[0, 1]]), 2)
+    return sorted(value[sign > 0].tolist()), sorted(value[sign < 0].tolist())
 
 
 def compared(texts: list[str], following: list[int]) -> list[tuple]:
@@ -136,7 +149,7 @@ def compared(texts: list[str], following: list[int]) -> list[tuple]:
     base.add(owner, digest, np.ones(len(owner), np.int64))
     prints = base.strings(sizes)
     pairs = np.asarray([(k, len(texts) + k) for k in range(n)] + list(enumerate(following)), np.int64).reshape(-1, 2)
-    gone = differences(owner, digest, pairs, m)
+    gone = np.bincount(differences(owner, digest, pairs, m)[0], minlength=len(pairs))
     both = sizes[pairs[:, 0]] + sizes[pairs[:, 1]]
     near = np.where(both + gone > 0, (both - gone) / np.maximum(both + gone, 1), 1.0)
     return [(len(texts[k]), hashlib.sha256(raw[len(texts) + k]).hexdigest(), prints[k], prints[len(texts) + k], float(near[k]), float(near[n + k])) for k in range(n)]

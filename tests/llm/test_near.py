@@ -183,3 +183,13 @@ def test_fingerprints(odd, empty):
     assert got[1][0]["fingerprint"] == got[2][0]["fingerprint"] != got[3][0]["fingerprint"]
     assert sum(map(len, got.values())) == len(rows)
     assert fingerprints.fingerprints(empty).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=60), st.lists(st.integers(0, 30), max_size=60))
+def test_fingerprints_recover_the_differing_digests(old, new):
+    texts = ["\n".join(f"line {k}" for k in lines) for lines in (old, new)]
+    owner, digest = fingerprints.piece_digests([t.encode() for t in texts])
+    a, b = ({int(d) for d in digest[owner == k]} for k in (0, 1))
+    assert fingerprints.differing_digests(*texts) == (sorted(a - b), sorted(b - a))
+    assert fingerprints.differing_digests(None, texts[1])[0] == []
