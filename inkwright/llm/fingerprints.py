@@ -33,7 +33,8 @@ from .common import partitions, small_batches
 from .hashing import SPACES, Words, mixed, window
 
 PIECE_WORDS, BASE_CELLS, GROWTH, HASHES = 8, 16, 4, 3
-_NULL_ID = -(1 << 63)
+#: Null ids are ordered as the least one.
+_LEAST = -(1 << 63)
 _CHECK = np.uint64(0xA0761D6478BD642F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = [np.uint64((k + 1) * int(_CHECK) % (1 << 64)) for k in range(HASHES)]
@@ -173,7 +174,7 @@ def _range_of(value: Column, bounds: list[int]) -> Column:
 def with_following(docs: DataFrame) -> DataFrame:
     """Rows dealt by ranges of doc_id and sorted downwards; `ahead` marks a copy of the next range's first row."""
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
     bounds = sorted(set(cuts[: n - 1]))
     keyed = rows.withColumn("range", _range_of(F.col("doc_id"), bounds))
@@ -187,8 +188,8 @@ def with_following(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("ahead"))
     also = F.struct(F.get(to, F.col("range")).alias("range"), F.lit(True).alias("ahead"))
     sent = keyed.withColumn("sent", F.explode(F.when(F.col("doc_id") == F.get(top, F.col("range")), F.array(own, also)).otherwise(F.array(own))))
-    sent = sent.select(F.col("sent.range").alias("range"), F.col("sent.ahead").alias("ahead"), "doc_id", "text")
-    return sent.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "ahead", F.desc("doc_id"), "text")
+    sent = sent.select(F.col("sent.range").alias("range"), F.col("sent.ahead").alias("ahead"), "doc_id", "null_id", "text")
+    return sent.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "ahead", F.desc("doc_id"), "null_id", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -196,15 +197,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    def result(ids: list[int], texts: list[str], following: list[int]) -> pd.DataFrame:
-        rows = [(None if i == _NULL_ID else i, *r) for i, r in zip(ids, compared(texts, following))]
+    def result(ids: list[int | None], texts: list[str], following: list[int]) -> pd.DataFrame:
+        rows = [(i, *r) for i, r in zip(ids, compared(texts, following))]
         frame = pd.DataFrame(rows, columns=names)
         return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
     def process(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, texts, size, held, done = [], [], 0, None, False  # texts[k + 1] follows texts[k]; the last waits for its next
         for batch in batches:
-            for part, ahead, doc_id, text in zip(batch["range"], batch["ahead"], batch["doc_id"], batch["text"]):
+            for part, ahead, doc_id, null, text in zip(batch["range"], batch["ahead"], batch["doc_id"], batch["null_id"], batch["text"]):
                 if part != held:
                     ids, texts, size, held, done = [], [], 0, part, False
                 if done:
@@ -217,7 +218,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if size > 1 << 20:
                     yield result(ids, [*texts, text], list(range(1, len(texts) + 1)))
                     ids, texts, size = [], [], 0
-                ids.append(int(doc_id))
+                ids.append(None if null else int(doc_id))
                 texts.append(text)
                 size += len(text)
 

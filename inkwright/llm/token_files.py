@@ -5,7 +5,7 @@ integers. It is a plain zstandard stream:
 
 * data frames, each compressed on its own, cut at document ends once FRAME_IDS ids are waiting
   (a longer document is cut into several frames);
-* a skippable frame with the index of documents: their ids and token counts;
+* a skippable frame with the index of documents: their ids, token counts, and which ids are null;
 * a skippable frame with the seek table of the public seekable format: compressed size,
   decompressed size and the low 32 bits of the xxh64 of each frame's content.
 
@@ -36,7 +36,6 @@ from .tokens import END_ID, encoder
 
 FRAME_IDS = 1 << 16
 _INDEX_MAGIC, _SEEK_MAGIC, _SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-_NULL_ID = -(1 << 63)
 _END = np.asarray([END_ID], "<u4").tobytes()
 
 
@@ -55,7 +54,7 @@ class FrameWriter:
         self.waiting, self.size, self.frames, self.docs = [], 0, [], []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((_NULL_ID if doc_id is None else doc_id, len(ids) // 4))
+        self.docs.append((0 if doc_id is None else doc_id, len(ids) // 4, doc_id is None))
         self.waiting.append(ids)
         self.size += len(ids)
         if self.size >= 4 * FRAME_IDS:
@@ -99,7 +98,7 @@ class FrameReader:
         self.plain = np.concatenate([[0], np.cumsum(table[:, 1])])
         source.seek(int(self.packed[-1]))
         _, size = struct.unpack("<II", source.read(8))
-        self.doc_ids, self.counts = np.frombuffer(self.zstd.decompress(source.read(size)), "<i8").reshape(2, -1)
+        self.doc_ids, self.counts, self.null_ids = np.frombuffer(self.zstd.decompress(source.read(size)), "<i8").reshape(3, -1)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
         self.held = (-1, b"")
 
@@ -147,10 +146,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> DataFr
             writer.close()
             out.close()
             store.move(temporary, f"{top}/{name}")
-            yield pd.DataFrame({"part": [part], "file": [name], "docs": [len(writer.docs)], "tokens": [sum(n for _, n in writer.docs)]})
+            yield pd.DataFrame({"part": [part], "file": [name], "docs": [len(writer.docs)], "tokens": [sum(n for _, n, _ in writer.docs)]})
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.desc("null_id"), "text")
     manifest = rows.mapInPandas(write, "part int, file string, docs long, tokens long")
     manifest.write.parquet(f"{path}/_manifest")
     return spark.read.parquet(f"{path}/_manifest")
@@ -167,9 +166,9 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
                     reader = FrameReader(source)
                     for at in range(0, len(reader.counts), 10_000):
                         span = range(at, min(at + 10_000, len(reader.counts)))
-                        ids = [int(x) for x in reader.doc_ids[at : at + 10_000]]
+                        ids = zip(reader.doc_ids[at : at + 10_000].tolist(), reader.null_ids[at : at + 10_000])
                         yield pd.DataFrame({
-                            "doc_id": pd.array([None if x == _NULL_ID else x for x in ids], "Int64"),
+                            "doc_id": pd.array([None if null else x for x, null in ids], "Int64"),
                             "start": reader.starts[at : at + len(span)] + int(first),
                             "n_tokens": reader.counts[at : at + len(span)],
                             "ids_crc32": [zlib.crc32(reader.ids(k)) for k in span],
