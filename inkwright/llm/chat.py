@@ -68,23 +68,30 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(leaf, node, distance) for every leaf and each of its ancestors up to its root, the leaf itself at 0.
+def branches(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(leaf, tree, score, depth) of every root-to-leaf path, and tables (node, up) of ancestors 1, 2, 4, ... steps up.
 
-    `messages` has node and parent. It is read once for every join, so give a written table.
+    `messages` (tree, node, parent, score) is read once for every join, so give a written table. In round k a
+    node's row sums up the node and its next 2^k - 1 ancestors, so no path is spelled out here, and a tree of
+    any shape takes one row for each node and round.
     """
-    known = messages.select(F.col("node").alias("parent"))
-    step = written(messages.select("node", "parent").dropna().join(known, "parent").select("node", F.col("parent").alias("up")), "steps")
-    bound = max(1, messages.count()).bit_length()
-    leaves = messages.select("node").join(step.select(F.col("up").alias("node")), "node", "left_anti")
-    steps = []
-    while len(steps) <= bound and not step.isEmpty():
-        steps.append(step)
-        far = step.select(F.col("node").alias("up"), F.col("up").alias("further"))
-        step = written(step.join(far, "up").select("node", F.col("further").alias("up")), "steps")
-    if len(steps) > bound:  # an ancestor further up than there are messages: the way leads into a cycle
-        leaves = leaves.join(step.select("node"), "node", "left_anti")
-    found = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
+    known = messages.select(F.col("node").alias("parent"), F.col("node").alias("up"))
+    table = written(messages.join(known, "parent", "left").select("node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "rounds")
+    leaves = messages.select(F.col("node").alias("leaf"), "tree").join(table.select(F.col("up").alias("leaf")), "leaf", "left_anti")
+    bound, steps = max(1, messages.count()).bit_length(), []
+    while len(steps) <= bound and not table.filter("up IS NOT NULL").isEmpty():
+        steps.append(table.filter("up IS NOT NULL").select("node", "up"))
+        above = table.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("total").alias("t"), F.col("depth").alias("d"))
+        zero = F.lit(0)
+        table = written(table.join(above, "up", "left").select("node", F.col("further").alias("up"), (F.col("total") + F.coalesce("t", zero)).alias("total"), (F.col("depth") + F.coalesce("d", zero)).alias("depth")), "rounds")
+    # An ancestor further up than there are messages: the way leads into a cycle, which is no path.
+    ends = table.filter("up IS NULL").select(F.col("node").alias("leaf"), F.col("total").alias("score"), "depth")
+    return leaves.join(ends, "leaf"), steps
+
+
+def paths(leaves: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """(leaf, node, distance) for each of the leaves and all their ancestors, the leaf itself at 0."""
+    found = leaves.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance"))
     for k in reversed(range(len(steps))):
         more = found.join(steps[k], "node").select("leaf", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
         found = written(found.unionByName(more), "paths")  # else each round would double the plan
@@ -94,17 +101,16 @@ def paths(messages: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame, keep: int = 1, learn: str = "assistant") -> DataFrame:
     """The `keep` best paths of each tree, formatted: tree, leaf, rank, score, formatted, spans.
 
-    `messages`: tree, node, parent, score double, role, text.
+    `messages`: tree, node, parent, score double, role, text. Paths are ranked by score, then depth; only those kept are spelled out.
     """
     small_batches(messages.sparkSession)
     ids = written(messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
-    links = written(paths(ids), "links")
-    scored = links.join(ids.select("node", "score"), "node").groupBy("leaf").agg(F.sum("score").alias("score"), F.count("*").alias("depth"))
-    scored = scored.join(ids.select(F.col("node").alias("leaf"), "tree"), "leaf")
+    scored, steps = branches(ids)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "leaf"))
-    chosen = scored.withColumn("rank", rank).filter(F.col("rank") <= keep)
+    chosen = written(scored.withColumn("rank", rank).filter(F.col("rank") <= keep), "chosen")
+    links = paths(chosen, steps)
     texts = messages.select("node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = links.join(chosen.select("leaf"), "leaf", "left_semi").join(texts, "node")
+    turns = links.join(texts, "node")
     grouped = turns.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("place"), "role", "text"))).alias("turns"))
     rows = grouped.join(chosen, "leaf").select("tree", "leaf", "rank", "score", "turns")
 

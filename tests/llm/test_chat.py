@@ -1,3 +1,4 @@
+import random
 import hashlib
 
 from hypothesis import given, settings
@@ -36,3 +37,44 @@ def test_trees_rank_and_cycles(spark):
     assert set(out) == {("t", 1), ("t", 2), ("v", 1)}
     assert chat.parse_turns(out["t", 1]["formatted"]) == [("user", "root"), ("assistant", "good"), ("user", "deep")]
     assert chat.parse_turns(out["t", 2]["formatted"]) == [("user", "root"), ("assistant", "bad")]
+
+
+def test_best_paths_of_random_trees(spark):
+    rng = random.Random(8)
+    rows, best = [], {}
+    for tree in range(25):
+        parents, score = {}, {}
+        for n in range(rng.randint(1, 30)):
+            node = f"{tree}/{n}"
+            parents[node] = f"{tree}/{rng.randint(max(0, n - 4), n - 1)}" if n else None
+            score[node] = float(rng.randint(-3, 9))
+            rows.append((tree, node, parents[node], score[node], rng.choice(["user", "assistant"]), f"said {n} </turn>"))
+        made = []
+        for leaf in set(parents) - set(parents.values()):
+            path = [leaf]
+            while parents[path[-1]]:
+                path.append(parents[path[-1]])
+            made.append((-sum(score[x] for x in path), -len(path), leaf, path[::-1]))
+        best[tree] = sorted(made)[:2]
+    said = {r[1]: (r[4], r[5]) for r in rows}
+    got = chat.conversations(spark.createDataFrame(rows, "tree long, node string, parent string, score double, role string, text string"), keep=2).collect()
+    assert len(got) == sum(map(len, best.values()))
+    for r in got:
+        total, _, leaf, path = best[r["tree"]][r["rank"] - 1]
+        assert (r["leaf"], r["score"]) == (leaf, -total)
+        assert chat.parse_turns(r["formatted"]) == [said[x] for x in path]
+
+
+def test_a_long_comb_takes_a_row_for_each_message(spark):
+    rows = [(0, str(k), str(k - 1) if k else None, 0.0, "user", "x") for k in range(300)] + [(0, f"leaf{k}", str(k), float(k == 150), "user", "y") for k in range(300)]
+    ids = spark.createDataFrame(rows, "tree long, node string, parent string, score double, role string, text string").cache()
+    leaves, steps = chat.branches(ids)
+    assert leaves.count() == 300 and max(s.count() for s in steps) <= len(rows)
+    best = chat.conversations(ids).collect()
+    assert [r["leaf"] for r in best] == ["leaf150"] and len(chat.parse_turns(best[0]["formatted"])) == 152
+
+
+def test_cycles_and_unknown_parents(spark):
+    rows = [(0, "a", "b", 0.0, "user", "x"), (0, "b", "a", 0.0, "user", "x"), (0, "c", "b", 9.0, "user", "x"), (1, "d", "nowhere", 0.0, None, None)]
+    got = chat.conversations(spark.createDataFrame(rows, "tree long, node string, parent string, score double, role string, text string")).collect()
+    assert [r["leaf"] for r in got] == ["d"] and chat.parse_turns(got[0]["formatted"]) == [("", "")]
