@@ -124,5 +124,8 @@ def verification_confidence(matched_share: Column, found_share: Column, has_repo
 
 
 def first_json(text: Column, schema: str) -> Column:
-    """The first JSON object in a reply, from its first brace to its last, read by a schema."""
-    return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema)
+    """The first valid JSON object in a reply, read by a schema: of what begins at each opening brace, the first that parses."""
+    pieces = F.split(text, r"\{")
+    starts = F.when(F.size(pieces) > 1, F.sequence(F.lit(2), F.size(pieces)))
+    tried = F.transform(starts, lambda k: F.get_json_object(F.concat(F.lit("{"), F.array_join(F.slice(pieces, k, F.size(pieces)), "{")), "$"))
+    return F.from_json(F.get(F.filter(tried, lambda t: t.isNotNull()), F.lit(0)), schema)

@@ -151,3 +151,54 @@ def merged_rows(lines: DataFrame, page: str, tolerance: float = 3.2) -> DataFram
     weight = F.length("_l.text")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.col("_l.text").alias("t")))), lambda s: s["t"]), "")
     return rows.groupBy(page, F.col("_l.row").alias("row")).agg(text.alias("text"), (F.sum(F.col("_l.size") * weight) / F.greatest(F.sum(weight), F.lit(1))).alias("size"))
+
+
+def stored_ids(chunks: DataFrame, document: int | str | None = None) -> DataFrame:
+    """Ids of all chunks, or of one document's."""
+    rows = chunks if document is None else chunks.filter(F.col("document_id") == document)
+    return rows.select("chunk_id", "document_id")
+
+
+def stored_upsert(chunks: DataFrame, more: DataFrame) -> DataFrame:
+    """The store with `more` added; of equal chunk ids the added one stays."""
+    return chunks.join(more.select("chunk_id").distinct(), "chunk_id", "left_anti").unionByName(more)
+
+
+def host_titles(titles: DataFrame, hosts: DataFrame, key: str) -> DataFrame:
+    """(key, host): hosts of `hosts` (contained, host) whose contained title equals the title or is a part of either.
+
+    `hosts` is a table of rules; it meets each title in one array, so it has to fit in one row.
+    """
+    rules = hosts.agg(F.array_sort(F.collect_set(F.struct("contained", "host"))).alias("_rules"))
+    rows = titles.join(F.broadcast(rules))
+    fits = F.filter("_rules", lambda r: (F.length(r["contained"]) > 0) & (F.length("title") > 0) & (F.contains("title", r["contained"]) | F.contains(r["contained"], F.col("title"))))
+    return rows.select(key, F.explode(F.array_distinct(F.transform(fits, lambda r: r["host"]))).alias("host"))
+
+
+def page_groups(pages: DataFrame, key: str, size: int = 50) -> DataFrame:
+    """(key, group, first, last, text): pages (key, page from 0, text) in groups of `size`, their texts in order."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    grouped = pages.groupBy(key, F.floor(F.col("page") / size).cast("long").alias("group")).agg(F.min("page").alias("first"), F.max("page").alias("last"), ordered.alias("_p"))
+    return grouped.select(key, "group", "first", "last", F.array_join(F.transform("_p", lambda p: p["text"]), "\n").alias("text"))
+
+
+def text_totals(pages: DataFrame, key: str) -> DataFrame:
+    """(key, pages, words, characters) of recognised pages."""
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    return pages.groupBy(key).agg(F.count("*").alias("pages"), F.sum(words).alias("words"), F.sum(F.length("text")).alias("characters"))
+
+
+def speech_statistics(speeches: DataFrame, most: int = 10) -> DataFrame:
+    """(measure, name, n): speeches in all, by kind, and those of the `most` frequent named speakers; the name orders equal ones."""
+    total = speeches.agg(F.lit("speeches").alias("measure"), F.lit("").alias("name"), F.count("*").alias("n"))
+    kinds = speeches.groupBy(F.lit("kind").alias("measure"), F.col("kind").alias("name")).agg(F.count("*").alias("n"))
+    named = speeches.filter(F.length("speaker") > 0).groupBy("speaker").agg(F.count("*").alias("n"))
+    best = named.orderBy(F.desc("n"), "speaker").limit(most).select(F.lit("speaker").alias("measure"), F.col("speaker").alias("name"), "n")
+    return total.unionByName(kinds).unionByName(best)
+
+
+def partial_progress(parts: DataFrame, expected: DataFrame) -> DataFrame:
+    """(run, expected, done, complete): how many of a run's expected ids (run, id) its partial results (run, id) hold."""
+    done = parts.select("run", "id").distinct().withColumn("_d", F.lit(1))
+    rows = expected.select("run", "id").distinct().join(done, ["run", "id"], "left")
+    return rows.groupBy("run").agg(F.count("*").alias("expected"), F.count("_d").alias("done")).withColumn("complete", F.col("done") == F.col("expected"))
