@@ -11,20 +11,21 @@ TITLE_WORD = "[A-Za-z一-鿿]{4,}"
 
 
 def citation_edges(docs: DataFrame) -> DataFrame:
-    """(source, target, confidence): two or more title words occur in the source's text.
+    """(source, target, confidence): two or more title words occur in the source's text; a word that a title repeats counts again.
 
     `docs`: id, title, text. Words meet by an equi-join on the text's own words first; a title word may also be part of a
     longer word, so the join key is the word's first four letters and containment is checked after it.
     """
-    titles = docs.select(F.col("id").alias("target"), F.array_distinct(F.transform(F.regexp_extract_all("title", F.lit(f"({TITLE_WORD})"), 1), lambda w: F.lower(w))).alias("words"))
-    words = titles.select("target", F.explode("words").alias("word")).withColumn("head", F.substring("word", 1, 4))
+    titles = docs.select(F.col("id").alias("target"), F.explode(F.transform(F.regexp_extract_all("title", F.lit(f"({TITLE_WORD})"), 1), lambda w: F.lower(w))).alias("word"))
+    words = titles.groupBy("target", "word").agg(F.count("*").alias("times")).withColumn("head", F.substring("word", 1, 4))
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 4  # no more of a run is needed to compare
     text = F.lower(F.coalesce("text", F.lit("")))
     # Every run of letters gives its 4-letter parts, distinct within a document.
     runs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({TITLE_WORD})"), 1))
-    parts = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 3), lambda k: F.struct(F.substring(r, k, F.lit(4)).alias("head"), F.substring(r, k, F.length(r)).alias("rest"))))))
+    parts = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 3), lambda k: F.struct(F.substring(r, k, F.lit(4)).alias("head"), F.substring(r, k, F.lit(longest)).alias("rest"))))))
     heads = docs.select(F.col("id").alias("source"), F.explode(parts).alias("p")).select("source", "p.head", "p.rest")
-    hits = heads.join(words, "head").filter("source <> target AND startswith(rest, word)").select("source", "target", "word").distinct()
-    overlap = hits.groupBy("source", "target").agg(F.count("*").alias("overlap")).filter("overlap >= 2")
+    hits = heads.join(words, "head").filter("source <> target AND startswith(rest, word)").select("source", "target", "word", "times").distinct()
+    overlap = hits.groupBy("source", "target").agg(F.sum("times").alias("overlap")).filter("overlap >= 2")
     return overlap.select("source", "target", F.least(F.lit(0.9), 0.4 + 0.15 * F.col("overlap")).alias("confidence"))
 
 
@@ -72,9 +73,13 @@ def schools(nodes: DataFrame, edges: DataFrame, k: int = 5, key: str = "id") ->
 
 def evolution(nodes: DataFrame, year: str = "year", title: str = "title") -> DataFrame:
     """Per year: works, citations, the three most cited titles, core titles."""
-    by_citations = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cited_by_count")).alias("c"), F.col(title).alias("t")))), 1, 3), lambda x: x["t"])
+    works = nodes.filter(F.col(year).isNotNull())
+    best = F.row_number().over(Window.partitionBy(year).orderBy(F.desc("cited_by_count"), title))
+    top = works.select(year, title, "cited_by_count").withColumn("_r", best).filter("_r <= 3")
+    key_works = top.groupBy(year).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.col(title).alias("t")))), lambda x: x["t"]).alias("key_works"))
     core = F.array_sort(F.collect_list(F.when(F.col("is_core"), F.col(title))))
-    return nodes.filter(F.col(year).isNotNull()).groupBy(year).agg(F.count("*").alias("works_count"), F.sum("citation_count").alias("total_citations"), by_citations.alias("key_works"), core.alias("foundational_works"))
+    totals = works.groupBy(year).agg(F.count("*").alias("works_count"), F.sum("citation_count").alias("total_citations"), core.alias("foundational_works"))
+    return totals.join(key_works, year)
 
 
 def backlinks(notes: DataFrame) -> DataFrame:

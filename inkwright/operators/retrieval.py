@@ -62,7 +62,9 @@ def batch_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: str = "vec_i
                 size = np.outer(norms, np.linalg.norm(x, axis=1))
                 score = np.divide(matrix @ x.T, size, out=np.zeros_like(size), where=size > 0)
                 keys = batch[key].to_numpy()
-                part = pd.DataFrame({"query_id": np.repeat(ids, len(keys)), key: np.tile(keys, len(ids)), "score": score.ravel()})
+                least = np.partition(score, -k, axis=1)[:, -k] if len(keys) > k else np.full(len(ids), -np.inf)
+                q, c = np.nonzero(score >= least[:, None])  # ties with the k-th best stay until keys decide
+                part = pd.DataFrame({"query_id": np.asarray(ids)[q], key: keys[c], "score": score[q, c]})
                 best = part if best is None else pd.concat([best, part])
                 best = best.sort_values(["query_id", "score", key], ascending=[True, False, True]).groupby("query_id").head(k)
             if best is not None:

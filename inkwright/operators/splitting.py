@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from .retrieval import cosine
 
-#: Separators from the coarsest to the finest, by language.
+#: Separators from the coarsest to the finest, by language; other languages have the general ones.
 SEPARATORS = {
     "general": ("\n\n\n", "\n\n", "\n", "。", "！", "？", ".", "!", "?", "；", ";", "，", ",", " "),
-    "chinese": ("\n\n\n", "\n\n", "\n", "。", "！", "？", "；", "，", " "),
     "japanese": ("\n\n\n", "\n\n", "\n", "。", "！", "？", "・", "、", " "),
 }
 _SENTENCE = re.compile(r"[^。！？.!?\n]*[。！？.!?\n]|[^。！？.!?\n]+")
@@ -58,7 +57,7 @@ def recursive_chunks(text: str, size: int = 512, overlap: int = 50, language: st
         return []
     spans = [(0, len(text))]
     if len(text) > size:
-        for separator in SEPARATORS[language or language_of(text)]:
+        for separator in SEPARATORS.get(language or language_of(text), SEPARATORS["general"]):
             pieces = _cuts(text, separator)
             if all(b - a <= size for a, b in pieces):
                 spans = _packed(pieces, size)

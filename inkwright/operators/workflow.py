@@ -98,7 +98,8 @@ def unavailable_reason(found: Column, downloadable: Column, restricted: Column,
 
 def merged_hints(matches: DataFrame, key: str) -> DataFrame:
     """(key, routes, score, hints): sorted distinct routes, best score, distinct (snippet, page) hints."""
-    return matches.groupBy(key).agg(F.array_sort(F.collect_set("route")).alias("routes"), F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hints")))).alias("hints"))
+    rows = matches.select(key, "route", "score", F.explode_outer("hints").alias("_hint"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set("route")).alias("routes"), F.max("score").alias("score"), F.array_sort(F.collect_set("_hint")).alias("hints"))
 
 
 def literature_split(works: DataFrame, year: str, this_year: int, k: int = 8) -> DataFrame:

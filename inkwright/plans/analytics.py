@@ -147,9 +147,9 @@ def g07_most_cited(spark, sf_dir):
     return G.degrees(*graph(spark, sf_dir)).orderBy(F.desc("cited_by_count"), "id").limit(10).select("id", "title", "cited_by_count")
 
 
-@query(f"WITH {_CORE} SELECT year, count(*) AS works_count, sum(citation_count)::BIGINT AS total_citations, count(*) FILTER (WHERE is_core) AS foundational FROM core GROUP BY year")
+@query(f"WITH {_CORE} SELECT year, count(*) AS works_count, sum(citation_count)::BIGINT AS total_citations, count(*) FILTER (WHERE is_core) AS foundational, array_to_string(list_slice(list(title ORDER BY cited_by_count DESC, title), 1, 3), '|') AS key_works FROM core GROUP BY year")
 def g08_evolution(spark, sf_dir):
-    return G.evolution(_graph(spark, sf_dir)[0]).select("year", "works_count", "total_citations", F.size("foundational_works").cast("long").alias("foundational"))
+    return G.evolution(_graph(spark, sf_dir)[0]).select("year", "works_count", "total_citations", F.size("foundational_works").cast("long").alias("foundational"), F.array_join("key_works", "|").alias("key_works"))
 
 
 @query(f"WITH {GRAPH_SQL}, founders AS (SELECT id FROM nodes ORDER BY cited_by_count DESC, citation_count DESC, id LIMIT 5) SELECT DISTINCT f.id AS founder, m AS member FROM founders f JOIN (SELECT source AS s, target AS m FROM edges UNION SELECT target, source FROM edges) ON s = f.id")

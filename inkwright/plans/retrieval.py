@@ -125,7 +125,7 @@ def c11_token_estimate(spark, sf_dir):
 
 @query("SELECT doc_id, len(s)::BIGINT AS sentences, length(list_aggregate(s, 'string_agg', ''))::BIGINT AS chars FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 0) AS s FROM documents WHERE text IS NOT NULL) WHERE len(s) > 0")
 def c10_sentences(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", T.sentences(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\S")).select("doc_id", T.sentences(F.col("text")).alias("s"))
     return d.select("doc_id", F.size("s").cast("long").alias("sentences"), F.length(F.array_join("s", "")).cast("long").alias("chars"))
 
 
