@@ -22,13 +22,42 @@ def query(sql: str | None = None):
     return keep
 
 
-@query()
+def _list(values) -> str:
+    return "[" + ", ".join(" || ".join(["chr(10)"] * len(v)) if v.strip("\n") == "" else f"'{v}'" for v in values) + "]"
+
+
+#: Pieces with their places are folded into groups; finished groups wait as text, as a list's fold keeps one type.
+_C01 = rf"""WITH d AS (SELECT doc_id, text, length(regexp_replace(text, '[^一-鿿]', '', 'g')) AS han, length(regexp_replace(text, '[^぀-ヿ]', '', 'g')) AS kana FROM documents WHERE regexp_matches(text, '\S')),
+s AS (SELECT doc_id, text, unnest(seps) AS s, generate_subscripts(seps, 1) AS ord FROM (SELECT *, CASE WHEN kana > 0.1 * han THEN {_list(S.SEPARATORS['japanese'])} ELSE {_list(S.SEPARATORS['general'])} END AS seps FROM d WHERE length(text) > 512)),
+l AS (SELECT doc_id, s, ord, string_split(text, s) AS l FROM s),
+p AS (SELECT doc_id, ord, list_concat(list_transform(l[1:-2], lambda x: x || s), [l[-1]]) AS pieces FROM l),
+best AS (SELECT doc_id, arg_min(pieces, ord) AS pieces FROM p WHERE len(list_filter(pieces, lambda x: length(x) > 512 AND regexp_matches(x, '\S'))) = 0 GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos FROM best),
+o AS (SELECT doc_id, pos, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS b FROM u),
+f AS (SELECT doc_id, list_reduce(list({{'a': b - length(piece), 'b': b, 'used': length(piece), 'done': ''}} ORDER BY pos), lambda x, y: CASE WHEN x.used + y.used <= 512 THEN {{'a': x.a, 'b': y.b, 'used': x.used + y.used, 'done': x.done}} ELSE {{'a': y.a, 'b': y.b, 'used': y.used, 'done': x.done || x.a || ':' || x.b || ','}} END) AS r FROM o WHERE regexp_matches(piece, '\S') GROUP BY doc_id),
+g AS (SELECT doc_id, unnest(string_split(r.done || r.a || ':' || r.b, ',')) AS g, generate_subscripts(string_split(r.done || r.a || ':' || r.b, ','), 1) - 1 AS index FROM f UNION ALL SELECT doc_id, '0:' || length(text), 0 FROM d WHERE length(text) <= 512),
+c AS (SELECT doc_id, index, text, string_split(g, ':')[1]::BIGINT AS a, string_split(g, ':')[2]::BIGINT AS b FROM g JOIN d USING (doc_id)),
+t AS (SELECT doc_id, index, a + length(body) - length(regexp_replace(body, '^[\s\x0B]+', '')) AS a, a + length(regexp_replace(body, '[\s\x0B]+$', '')) AS b, regexp_replace(body, '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS body FROM (SELECT *, substr(text, a + 1, b - a) AS body FROM c)),
+w AS (SELECT doc_id, text, a, least(a + 512, length(text)) AS b FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 462)) AS a FROM d WHERE length(text) > 512 AND doc_id NOT IN (SELECT doc_id FROM best)) WHERE regexp_matches(substr(text, a + 1, 512), '\S'))
+SELECT doc_id, index::INT AS index, a::INT AS start, b::INT AS stop, COALESCE(CASE WHEN index > 0 THEN least(50, lag(b - a) OVER (PARTITION BY doc_id ORDER BY index)) END, 0)::INT AS overlap, md5(body) AS digest FROM t
+UNION ALL SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT, a::INT, b::INT, 0, md5(substr(text, a + 1, b - a)) FROM w"""
+
+
+@query(_C01)
 def c01_recursive_chunks(spark, sf_dir):
     c = S.chunked(table(spark, sf_dir, "documents"), S.recursive_chunks)
     return c.select("doc_id", "index", "start", "stop", F.length("overlap").alias("overlap"), F.md5("body").alias("digest"))
 
 
-@query()
+_C07 = r"""WITH u AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^。！？.!?\n]*[。！？.!?\n]|[^。！？.!?\n]+') AS l FROM documents WHERE text <> '')),
+o AS (SELECT doc_id, pos, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS b FROM u),
+f AS (SELECT doc_id, list_reduce(list({'a': b - length(piece), 'b': b, 'n': length(piece), 'done': ''} ORDER BY pos), lambda x, y: CASE WHEN y.b - x.a > 512 THEN {'a': y.a, 'b': y.b, 'n': y.n, 'done': x.done || x.a || ':' || x.b || ':' || x.n || ','} ELSE {'a': x.a, 'b': y.b, 'n': y.n, 'done': x.done} END) AS r FROM o WHERE regexp_matches(piece, '\S') GROUP BY doc_id),
+g AS (SELECT doc_id, unnest(string_split(r.done || r.a || ':' || r.b || ':' || r.n, ',')) AS g, generate_subscripts(string_split(r.done || r.a || ':' || r.b || ':' || r.n, ','), 1) AS k FROM f),
+c AS (SELECT doc_id, k, string_split(g, ':')[1]::BIGINT AS a, string_split(g, ':')[2]::BIGINT AS b, string_split(lag(g) OVER (PARTITION BY doc_id ORDER BY k), ':')[3]::BIGINT AS n FROM g)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS index, a::INT AS start, b::INT AS stop, COALESCE(n, 0)::INT AS overlap, md5(substr(text, a + 1, b - a)) AS digest FROM c JOIN documents USING (doc_id) WHERE k = 1 OR b - a >= 100"""
+
+
+@query(_C07)
 def c07_sentence_chunks(spark, sf_dir):
     c = S.chunked(table(spark, sf_dir, "documents"), S.sentence_chunks)
     return c.select("doc_id", "index", "start", "stop", F.length("overlap").alias("overlap"), F.md5("body").alias("digest"))
