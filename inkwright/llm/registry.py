@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .chat import chains, conversations, digests
 from .common import table
 from .decontamination import leaks
@@ -71,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": sql.chat_formatting(MARKS), "op7_ngram_jaccard_join": sql.JACCARD_JOIN, "op9_suffix_array_dedup": sql.SUFFIX_DEDUP}
