@@ -26,11 +26,12 @@ links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
 reach AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT reach.doc_id, l.y FROM reach JOIN links l ON l.x = reach.r)
 SELECT s.doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = s.doc_id) AS component_id FROM s"""
 
-#: Every 50-byte string of every document, as hexadecimal digits.
+#: Every 50-byte string of every document, as hexadecimal digits, from parts of 1024 bytes and what follows them.
 SUFFIX_DEDUP = """
 WITH b AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS pos FROM b),
-w AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 2) AS byte, CASE WHEN 2 * (pos + 50) <= length(h) THEN substr(h, 2 * pos + 1, 100) END AS win FROM p),
+k AS (SELECT doc_id, k, substr(h, 2048 * k + 1, 2048 + 98) AS part FROM (SELECT doc_id, h, unnest(range(length(h) // 2048 + 1)) AS k FROM b)),
+p AS (SELECT doc_id, k, part, unnest(range(least(1024, length(part) // 2))) AS i FROM k),
+w AS (SELECT doc_id, 1024 * k + i AS pos, substr(part, 2 * i + 1, 2) AS byte, CASE WHEN 2 * (i + 50) <= length(part) THEN substr(part, 2 * i + 1, 100) END AS win FROM p),
 m AS (SELECT win, min(doc_id) AS first_doc FROM w WHERE win IS NOT NULL GROUP BY win),
 x AS (SELECT doc_id, pos, byte, COALESCE(first_doc < doc_id, false) AS hit FROM w LEFT JOIN m USING (win)),
 c AS (SELECT doc_id, pos, byte, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM x),
