@@ -72,9 +72,32 @@ def style_tokens(text: Column) -> Column:
 
 
 def author_terms(author: Column) -> Column:
-    """Parts of an author string, without roles, each once."""
-    bare = F.regexp_replace(collapse(author), "(著|编|編|编纂|編纂|研究会編|研究會編)$", "")
-    return F.array_distinct(F.filter(F.transform(F.split(bare, "[、，,;；・/]|\\s+"), F.trim), lambda a: F.length(a) > 1))
+    """The first two authors of a list."""
+    return F.slice(F.filter(F.transform(F.split(author, "[、,，;；]"), collapse), lambda a: F.length(a) > 0), 1, 2)
+
+
+def title_terms(title: Column) -> Column:
+    """Six search terms of a title at most: its parts at colons and dashes, each followed by its own parts, then longer words; each once."""
+
+    def chunks(part: Column) -> Column:
+        return F.concat(F.array(part), F.filter(F.transform(F.split(part, "[のと・／/]"), collapse), lambda c: F.length(c) > 0))
+
+    parts = F.filter(F.transform(F.split(title, "[：:\\-—]"), collapse), lambda p: F.length(p) > 0)
+    words = F.regexp_extract_all(title, F.lit("([぀-ヿ㐀-鿿A-Za-z0-9]{2,})"), 1)
+    return F.slice(F.array_distinct(F.concat(F.flatten(F.transform(parts, chunks)), words)), 1, 6)
+
+
+#: Modern and historical forms of characters.
+MODERN, HISTORICAL = "国条体学会", "國條體學會"
+
+
+def title_variants(title: Column) -> Column:
+    """Ten forms of a title at most: itself, with marks as spaces, without marks, its parts, and these in historical and modern characters; each once."""
+    cleaned = collapse(title)
+    forms = F.concat(F.array(cleaned, collapse(F.regexp_replace(cleaned, "[・·／/、，,;；]+", " ")), F.regexp_replace(cleaned, "[\\s　・·／/、，,;；]+", "")), F.transform(F.split(cleaned, "[・·／/、，,;；]+"), collapse))
+    forms = F.array_distinct(F.filter(forms, lambda v: F.length(v) > 0))
+    spelled = F.flatten(F.transform(forms, lambda v: F.array(F.translate(v, MODERN, HISTORICAL), F.translate(v, HISTORICAL, MODERN))))
+    return F.slice(F.array_distinct(F.concat(forms, spelled)), 1, 10)
 
 
 def outline(text: Column) -> Column:

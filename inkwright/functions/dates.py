@@ -178,3 +178,16 @@ def era_years_agree(left: Column, right: Column) -> Column:
     a, b = title_era_years(left), title_era_years(right)
     eras = lambda x: F.transform(x, lambda d: F.substring(d, 1, 2))
     return F.when(F.arrays_overlap(eras(a), eras(b)), F.arrays_overlap(a, b))
+
+
+def dated_days(text: Column) -> Column:
+    """(year, month, day) of every month and day, kanji ones first, under the first year of 明治 or else 大正; none without such a year."""
+    bare = F.regexp_replace(text, r"\s+", "")
+    years = [("明治", f"明治{_KANJI}年"), ("明治", r"明治(\d+)年"), ("大正", f"大正{_KANJI}年"), ("大正", r"大正(\d+)年")]
+    year = F.coalesce(*[F.when(bare.rlike(p), F.lit(ERAS[era] - 1) + kanji_number(F.regexp_extract(bare, p, 1))) for era, p in years])
+
+    def days(pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(bare, F.lit(pattern), 0), lambda d: F.struct(kanji_number(F.regexp_extract(d, pattern, 1)).alias("month"), kanji_number(F.regexp_extract(d, pattern, 2)).alias("day")))
+
+    found = F.concat(days(f"{_KANJI}月{_KANJI}日"), days(r"(\d+)月(\d+)日"))
+    return F.when(year.isNotNull(), F.transform(found, lambda d: F.struct(year.cast("int").alias("year"), d["month"].cast("int").alias("month"), d["day"].cast("int").alias("day"))))

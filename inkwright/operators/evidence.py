@@ -139,3 +139,25 @@ def publication_year(dates: DataFrame, key: str) -> DataFrame:
 
     latest = dates.filter("year IS NOT NULL").groupBy(key).agg(F.max("year").alias("year"))
     return latest.withColumn("era", era_of_year(F.col("year")))
+
+
+#: How much a decision counts.
+DECISIONS = {"direct_support": 3, "partial_support": 2, "uncertain": 1, "not_supported": 0}
+
+
+def reviewed_contexts(contexts: DataFrame, key: str) -> DataFrame:
+    """The best context of each key with its decision and confidence.
+
+    `contexts`: key, ordinal, context_id, decision, confidence, score, body (a body text), core (it holds core terms). A body text with
+    core terms and a score of 10 counts as direct support, one with 7 that was rejected as partial support. Decision,
+    confidence and score decide in this order; the first context wins ties.
+    """
+    score = F.col("score")
+    direct = F.col("body") & F.col("core") & (score >= 10)
+    partial = F.col("body") & (score >= 7) & (F.col("decision") == "not_supported")
+    decision = F.when(direct, "direct_support").when(partial, "partial_support").otherwise(F.col("decision"))
+    sure = F.when(direct, F.round(F.least(F.lit(0.92), F.greatest(F.lit(0.72), score / 18)), 4)).when(partial, F.round(F.least(F.lit(0.78), F.greatest(F.lit(0.45), score / 18)), 4)).otherwise(F.col("confidence"))
+    rank = F.coalesce(*[F.when(F.col("decision") == d, n) for d, n in DECISIONS.items()], F.lit(0))
+    rows = contexts.withColumns({"decision": decision, "confidence": sure}).withColumn("combined", rank * 100.0 + F.col("confidence") * 10.0 + score)
+    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("combined"), "ordinal"))
+    return rows.withColumn("_r", best).filter("_r = 1").select(key, "context_id", "decision", "confidence", "combined")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collapse
+
 from .dedup import keep_first
 
 DOI = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
@@ -148,3 +150,55 @@ def co_occurrences(sentences: DataFrame, entities: DataFrame) -> DataFrame:
     held = sentences.join(entities, "doc_id").filter(F.contains("text", "entity"))
     following = F.lead("entity").over(Window.partitionBy("doc_id", "sentence").orderBy("ord"))
     return held.withColumn("right", following).filter("right IS NOT NULL").select("doc_id", "sentence", F.col("entity").alias("left"), "right")
+
+
+def placed_matches(text: Column, pattern: str) -> Column:
+    """(text, start) of every match of a pattern, one after another; each is looked for behind the last one."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int>>").alias("out"))
+
+    def step(s: Column, found: Column) -> Column:
+        at = F.call_function("locate", found, text, s["at"] + 1)
+        item = F.struct(found.alias("text"), (at - 1).alias("start"))
+        return F.struct((at - 1 + F.length(found)).alias("at"), F.concat(s["out"], F.array(item)).alias("out"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), start, step, lambda s: s["out"])
+
+
+#: Forms of names, places and dates, and how sure they are.
+RULES = (
+    ("person", "[一-鿿]{2,4}(?:天皇|将军|公|侯|氏|子)?", 0.4),
+    ("location", "[一-鿿]{2,6}(?:国|都|道|府|县|縣|市|村|町)", 0.45),
+    ("date", r"\d{3,4}年(?:\d{1,2}月(?:\d{1,2}日)?)?", 0.7),
+    ("date", r"(?:明治|大正|昭和|平成|令和)\d{1,2}年", 0.7),
+)
+
+
+def rule_entities(docs: DataFrame, key: str, text: str, categories: tuple[str, ...] = ("person", "location", "date")) -> DataFrame:
+    """(key, entity, category, start, confidence) by RULES, each place of a category once; the surer rule stays."""
+
+    def found_by(category: str, pattern: str, sure: float) -> Column:
+        return F.transform(placed_matches(F.col(text), pattern), lambda m: F.struct(m["text"].alias("entity"), F.lit(category).alias("category"), m["start"].alias("start"), F.lit(sure).alias("confidence")))
+
+    found = [found_by(*rule) for rule in RULES if rule[0] in categories]
+    rows = docs.select(key, F.explode(F.concat(*found)).alias("_e")).select(key, "_e.*")
+    return rows.groupBy(key, "entity", "category", "start").agg(F.max("confidence").alias("confidence"))
+
+
+def first_fields(text: Column, patterns: dict[str, list[str]]) -> Column:
+    """A struct of fields: the first group of the first pattern that finds something, cleaned; empty where none does."""
+    return F.struct(*[F.coalesce(*[F.nullif(collapse(F.regexp_extract(text, f"(?im){p}", 1)), F.lit("")) for p in some], F.lit("")).alias(name) for name, some in patterns.items()])
+
+
+def evidence_count(reply: Column) -> Column:
+    """How many evidence_text fields of a JSON text, at any depth, say something."""
+    return F.regexp_count(reply, F.lit(r'"evidence_text"\s*:\s*+(?!""|null|false|0[,}\s]|\[\s*\]|\{\s*\})'))
+
+
+def draft_quality(text: Column, sections: Column, wanted: int) -> Column:
+    """(citation_markers, flags, confidence) of a draft of `sections` sections, of which `wanted` were asked for."""
+    text = F.coalesce(text, F.lit(""))
+    markers = F.regexp_count(text, F.lit(r"\[[0-9,\-]+\]|\([A-Z][A-Za-z]+,\s*\d{4}\)"))
+    short, weak, bare = F.length(text) < 2000, sections < max(2, min(wanted, 3)), markers == 0
+    flags = F.array_compact(F.array(F.when(short, "draft_short"), F.when(weak, "section_structure_weak"), F.when(bare, "no_citation_markers")))
+    value = F.lit(0.45) + F.when(short, 0.0).otherwise(0.20) + F.when(sections >= 3, 0.20).otherwise(0.0) + F.when(bare, 0.0).otherwise(0.10) + F.when(short | weak | bare, 0.0).otherwise(0.05)
+    return F.struct(markers.alias("citation_markers"), flags.alias("flags"), F.round(F.least(value, F.lit(0.98)), 2).alias("confidence"))

@@ -202,3 +202,46 @@ def partial_progress(parts: DataFrame, expected: DataFrame) -> DataFrame:
     done = parts.select("run", "id").distinct().withColumn("_d", F.lit(1))
     rows = expected.select("run", "id").distinct().join(done, ["run", "id"], "left")
     return rows.groupBy("run").agg(F.count("*").alias("expected"), F.count("_d").alias("done")).withColumn("complete", F.col("done") == F.col("expected"))
+
+
+def collected_works(lists: list[DataFrame]) -> DataFrame:
+    """Works (id, title, ordinal, ...) of several lists, each once by its id or else its title's first 80 characters; the first one stays."""
+    rows = None
+    for k, some in enumerate(lists):
+        some = some.withColumn("_list", F.lit(k))
+        rows = some if rows is None else rows.unionByName(some)
+    name = F.coalesce(F.nullif("id", F.lit("")), F.substring("title", 1, 80))
+    first = F.row_number().over(Window.partitionBy("_name").orderBy("_list", "ordinal"))
+    return rows.withColumn("_name", name).withColumn("_r", first).filter("_r = 1").withColumn("id", F.col("_name")).drop("_name", "_r", "_list")
+
+
+def compared_models(models: dict[str, DataFrame], k: int = 3) -> DataFrame:
+    """(model, query_id, id, score, rank): the k best of each model's scores (query_id, id, score) per query."""
+    rows = None
+    for name, scores in models.items():
+        some = scores.select(F.lit(name).alias("model"), "query_id", "id", "score")
+        rows = some if rows is None else rows.unionByName(some)
+    best = F.row_number().over(Window.partitionBy("model", "query_id").orderBy(F.desc("score"), "id"))
+    return rows.withColumn("rank", best).filter(F.col("rank") <= k)
+
+
+def person_rows(persons: DataFrame, most: int = 3) -> DataFrame:
+    """Persons (name, hometown, education, experiences, page, text) as flat rows: the first experiences in columns of their own, the text cut to 100 characters."""
+    columns = [F.coalesce(c, F.lit("")).alias(c) for c in ("name", "hometown", "education")]
+    for k in range(most):
+        columns += [F.coalesce(F.get("experiences", F.lit(k))[field], F.lit("")).alias(f"{field}_{k + 1}") for field in ("unit", "date_range", "description")]
+    return persons.select(*columns, "page", F.substring("text", 1, 100).alias("text"))
+
+
+def person_lines(pages: DataFrame) -> DataFrame:
+    """One JSON line for each person of pages (page, persons), with the page in front."""
+    rows = pages.select("page", F.explode("persons").alias("_p"))
+    return rows.select(F.to_json(F.struct("page", "_p.*")).alias("value"))
+
+
+def speech_notes(speeches: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, markdown): numbered speeches (kind, speaker, text, confidence) of a page; texts cut to 200 characters."""
+    item = F.concat_ws("\n", F.concat(F.lit("**"), F.col("_n").cast("string"), F.lit(". "), "kind", F.lit("**")), F.when(F.length("speaker") > 0, F.concat(F.lit("- 发言者: "), "speaker")), F.concat(F.lit("- 内容: "), F.substring("text", 1, 200), F.lit("...")), F.format_string("- 置信度: %.2f", "confidence"), F.lit(""))
+    rows = speeches.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).select(key, F.struct("_n", item.alias("i")).alias("_s"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["i"]), "\n")
+    return rows.groupBy(key).agg(F.concat(F.lit("## 第"), F.col(key).cast("string"), F.lit("页\n\n### 发言内容\n"), body).alias("markdown"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, citations, curation, dates, documents, extras, files, records, retrieval, workflow
+from .plans import analytics, citations, curation, dates, documents, extras, files, records, retrieval, reviews, workflow
 
-PARTS = (retrieval, analytics, documents, records, workflow, curation, citations, dates, extras, files)
+PARTS = (retrieval, analytics, documents, records, workflow, curation, citations, dates, extras, reviews, files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
