@@ -82,6 +82,21 @@ def evolution(nodes: DataFrame, year: str = "year", title: str = "title") -> Dat
     return totals.join(key_works, year)
 
 
+def citation_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: works, edges, edges per work, works without any edge, and the mean confidence of the edges."""
+    alone = F.count_if((F.col("citation_count") == 0) & (F.col("cited_by_count") == 0))
+    works = nodes.agg(F.count("*").alias("works"), alone.alias("isolated"))
+    links = edges.agg(F.count("*").alias("edges"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"))
+    return works.join(links).withColumn("edges_per_work", F.col("edges") / F.greatest(F.col("works"), F.lit(1)))
+
+
+def marked_nodes(nodes: DataFrame, key: str = "id") -> DataFrame:
+    """(kind, id): core works as `key`, works without any edge as `orphan`."""
+    alone = (F.col("citation_count") == 0) & (F.col("cited_by_count") == 0)
+    kinds = F.array_compact(F.array(F.when(F.col("is_core"), "key"), F.when(alone, "orphan")))
+    return nodes.select(F.explode(kinds).alias("kind"), F.col(key).alias("id"))
+
+
 def backlinks(notes: DataFrame) -> DataFrame:
     """(title, linked_from) of notes (title, text) that link to one another by [[title]]; a note's own links don't count."""
     found = notes.select(F.col("title").alias("linked_from"), F.explode(wiki_links(F.col("text"))).alias("title")).filter("title <> linked_from")

@@ -20,6 +20,22 @@ def paired_events(events: DataFrame, keys: list[str], order: list[str], kind: st
     return pairs.select(*keys, F.col("_at").alias("started_at"), F.col(time).alias("completed_at"), seconds.alias("seconds"))
 
 
+def with_subphases(pairs: DataFrame, phases: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs with the longest and the last sub-phase (keys, subphase, started_at, completed_at, seconds) that lies within each of them.
+
+    A key's pairs follow one another, so a sub-phase can only belong to the next pair that ends: a running value, not a join of ranges.
+    """
+    none = F.lit(None)
+    ends = pairs.select(*keys, F.col("completed_at").alias("_at"), F.lit(1).alias("_end"), F.struct("started_at", "completed_at").alias("_pair"), none.cast("string").alias("subphase"), none.cast("timestamp").alias("_begin"), none.cast("double").alias("seconds"))
+    inner = phases.select(*keys, F.col("completed_at").alias("_at"), F.lit(0).alias("_end"), F.lit(None).cast(ends.schema["_pair"].dataType).alias("_pair"), "subphase", F.col("started_at").cast("timestamp").alias("_begin"), "seconds")
+    after = Window.partitionBy(*keys).orderBy("_at", "_end").rowsBetween(0, Window.unboundedFollowing)
+    rows = ends.unionByName(inner).withColumn("_pair", F.first("_pair", ignorenulls=True).over(after))
+    held = rows.filter("_end = 0 AND _pair IS NOT NULL AND _begin >= _pair.started_at")
+    longest = F.max_by("subphase", F.struct("seconds", "_at", "subphase"))
+    best = held.groupBy(*keys, F.col("_pair.completed_at").alias("completed_at")).agg(F.count("*").alias("subphases"), longest.alias("longest"), F.max_by("subphase", F.struct("_at", "subphase")).alias("last"))
+    return pairs.join(best, [*keys, "completed_at"], "left")
+
+
 def slow_events(pairs: DataFrame, threshold: float = 240.0) -> DataFrame:
     return pairs.filter(F.col("seconds") >= threshold)
 

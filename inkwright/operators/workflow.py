@@ -61,10 +61,21 @@ def entry_quality(lines: DataFrame, key: str, markers: list[str]) -> DataFrame:
     return rows.withColumn("reasons", reasons)
 
 
-def entry_ids(lines: DataFrame, key: str, order: str, is_title: Column) -> DataFrame:
-    """entry: running number of the title line a line belongs to; 0 for lines before the first title."""
+def entry_ids(lines: DataFrame, key: str, order: str, is_title: Column, is_heading: Column | None = None, most: int = 3) -> DataFrame:
+    """entry: running number of the title line a line belongs to; 0 for lines before the first title.
+
+    Heading lines right before a title, `most` at most, belong to that title's entry.
+    """
     window = Window.partitionBy(key).orderBy(order)
-    return lines.withColumn("entry", F.sum(F.coalesce(is_title, F.lit(False)).cast("int")).over(window))
+    rows = lines.withColumns({"_title": F.coalesce(is_title, F.lit(False)), "_head": F.lit(False) if is_heading is None else F.coalesce(is_heading & ~is_title, F.lit(False))})
+    pulled, run = F.lit(False), F.col("_head")
+    for k in range(1, most + 1):
+        pulled = pulled | (run & F.coalesce(F.lead("_title", k).over(window), F.lit(False)))
+        run = run & F.coalesce(F.lead("_head", k).over(window), F.lit(False))
+    rows = rows.withColumn("_pulled", pulled)
+    fresh = (F.col("_pulled") | F.col("_title")) & ~F.coalesce(F.lag("_pulled").over(window), F.lit(False))
+    rows = rows.withColumn("_fresh", fresh.cast("int"))
+    return rows.withColumn("entry", F.sum("_fresh").over(window)).drop("_title", "_head", "_pulled", "_fresh")
 
 
 def visible_page_numbers(text: Column) -> Column:

@@ -142,6 +142,33 @@ def g06_graph_summary(spark, sf_dir):
     return nodes.agg(F.count("*").alias("nodes"), F.lit(total).alias("edges"), F.count_if("is_core").alias("core"), F.count_if((F.col("citation_count") == 0) & (F.col("cited_by_count") == 0)).alias("orphans"))
 
 
+@query(f"WITH {_CORE} SELECT 'key' AS kind, id FROM core WHERE is_core UNION ALL SELECT 'orphan', id FROM core WHERE citation_count = 0 AND cited_by_count = 0")
+def g06_marked_nodes(spark, sf_dir):
+    return G.marked_nodes(_graph(spark, sf_dir)[0])
+
+
+@query(f"WITH {GRAPH_SQL} SELECT count(*) AS works, count(*) FILTER (WHERE citation_count = 0 AND cited_by_count = 0) AS isolated, (SELECT count(*) FROM edges) AS edges, (SELECT round(avg(0.5 + source % 4 / 8.0), 6) FROM edges) AS mean_confidence, round((SELECT count(*) FROM edges) / count(*), 6) AS edges_per_work FROM nodes")
+def g07_citation_statistics(spark, sf_dir):
+    nodes, edges = graph(spark, sf_dir)
+    s = G.citation_statistics(G.degrees(nodes, edges), edges.withColumn("confidence", 0.5 + F.col("source") % 4 / 8))
+    return s.withColumns({c: F.round(c, 6) for c in ("mean_confidence", "edges_per_work")})
+
+
+_SUB = "SELECT user_id, event_type, started_at, completed_at, seconds FROM (SELECT user_id, event_type, lag(ts) OVER w AS started_at, ts AS completed_at, epoch_us(ts - lag(ts) OVER w) / 1e6 AS seconds, row_number() OVER w AS r FROM events WHERE event_type IN ('click', 'error') WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE r % 2 = 0"
+
+
+@query(f"WITH pairs AS ({_PAIRS}), sub AS ({_SUB}), held AS (SELECT p.user_id, p.completed_at, s.event_type, s.seconds, s.completed_at AS done FROM pairs p JOIN sub s ON s.user_id = p.user_id AND s.started_at >= p.started_at AND s.completed_at <= p.completed_at) SELECT p.user_id, p.completed_at, COALESCE(n, 0) AS subphases, COALESCE(longest, '') AS longest, COALESCE(l, '') AS last FROM pairs p LEFT JOIN (SELECT user_id, completed_at, count(*) AS n, arg_max(event_type, row(seconds, done, event_type)) AS longest, arg_max(event_type, row(done, event_type)) AS l FROM held GROUP BY 1, 2) h ON h.user_id = p.user_id AND h.completed_at = p.completed_at")
+def t01_subphases(spark, sf_dir):
+    """Every second click or error of a user ends the sub-phase that the one before began."""
+    e = table(spark, sf_dir, "events")
+    pairs = U.paired_events(e, ["user_id"], ["ts", "event_id"], "event_type", "ts", "view", "purchase")
+    by = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    marked = e.filter(F.col("event_type").isin("click", "error")).withColumn("side", F.when(F.row_number().over(by) % 2 == 1, "start").otherwise("stop"))
+    sub = U.paired_events(marked, ["user_id", "event_type"], ["ts", "event_id"], "side", "ts", "start", "stop").withColumnRenamed("event_type", "subphase")
+    out = U.with_subphases(pairs, sub, ["user_id"]).select("user_id", "completed_at", "subphases", "longest", "last")
+    return out.fillna(0, ["subphases"]).fillna("", ["longest", "last"])
+
+
 @query(f"WITH {GRAPH_SQL} SELECT id, title, cited_by_count FROM nodes ORDER BY cited_by_count DESC, id LIMIT 10")
 def g07_most_cited(spark, sf_dir):
     return G.degrees(*graph(spark, sf_dir)).orderBy(F.desc("cited_by_count"), "id").limit(10).select("id", "title", "cited_by_count")

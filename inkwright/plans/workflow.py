@@ -57,6 +57,12 @@ def w10_entry_ids(spark, sf_dir):
     return W.entry_ids(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "entry")
 
 
+@query("WITH l AS (SELECT conv_id, turn, role = 'assistant' AND turn % 4 = 3 AS t, turn % 4 IN (1, 2) AS h FROM conversations), p AS (SELECT *, h AND (COALESCE(lead(t, 1) OVER w, false) OR (COALESCE(lead(h, 1) OVER w, false) AND COALESCE(lead(t, 2) OVER w, false)) OR (COALESCE(lead(h, 1) OVER w, false) AND COALESCE(lead(h, 2) OVER w, false) AND COALESCE(lead(t, 3) OVER w, false))) AS pulled FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), f AS (SELECT *, ((pulled OR t) AND NOT COALESCE(lag(pulled) OVER (PARTITION BY conv_id ORDER BY turn), false))::INT AS fresh FROM p) SELECT conv_id, turn, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS entry FROM f")
+def w10_entries_with_headings(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return W.entry_ids(c, "conv_id", "turn", (F.col("role") == "assistant") & (F.col("turn") % 4 == 3), (F.col("turn") % 4).isin(1, 2)).select("conv_id", "turn", "entry")
+
+
 @query("SELECT * FROM (VALUES ('本文 一行' || chr(10) || '次の行')) t(text)")
 def x03_cleaned_ocr(spark, sf_dir):
     rows = spark.createDataFrame([("本文　　一行 \n - 12 - \n 次の行\x07",)], "t string")
