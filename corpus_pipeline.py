@@ -1,8 +1,11 @@
 """The corpus pipeline: documents become packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next stage's documents. All but the last keep the columns of documents. A document is known by its
-doc_id; rows that repeat one stay or go together, and rows without one stay.
+the next stage's documents. All but the last keep the columns of documents, whatever their names. A document is known by its
+doc_id; rows that repeat one stay or go together in the stages that compare documents, and rows without one stay.
+
+Null and empty texts are clean, link with nothing and hold no item or secret, so they stay; a null text stays null until
+packing, where it is one end id. An empty table stays empty. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -20,30 +23,31 @@ from inkwright.llm.toxicity import THRESHOLD, scored, train
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold go."""
+    """Documents whose score reaches the threshold go; each row is judged by its own text. Without labels none goes."""
     model = train(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model, "__score").filter(F.col("__score") < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
+    """Of each group of linked documents the one with the smallest doc_id stays, with all rows that repeat it."""
     linked = linked_documents(docs)
     gone = linked.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Without items none goes."""
     gone = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced; every document stays."""
+    """Secrets are replaced at their places in every row, also in rows without a doc_id; every document stays."""
     return redacted(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence; this stage alone has other columns."""
     return packed_documents(docs, tokenizer_path())
 
 
