@@ -8,7 +8,8 @@ A document's set holds the hashes of its distinct shingles. Stages:
    n - ceil(t n) + 1 shingles: each document emits that prefix, once.
 3. In each prefix group the member whose shingles are the most frequent is the pivot; others pair
    with it alone, under the length and positional filters. So a group of near copies costs a
-   few pairs per member, not all pairs. Links join members to components.
+   few pairs per member, not all pairs. Links join members to components. A group that the sketch says is large is
+   dealt over parts by document, so that no task sorts it whole; each part has a pivot, and these pair with the first of them.
 4. Groups that still hold several components pair their members across components (length and positional filters again),
    without pairs already looked at. Members of one component need no further link: the result is the components.
 5. Each candidate pair is verified once: first by bounds on the overlap from the counts of shingles in CLASSES classes
@@ -40,6 +41,10 @@ WIDTH, PERCENT = 5, 75
 COUNTERS, COUNTER_BLOCK = 1 << 20, 1 << 14
 #: Classes of hashes whose counts bound an overlap; a count is one byte, and 255 stands for more.
 CLASSES = 256
+#: Members of a part of a prefix group, about. Few groups are so large; what a full sketch says of others is evened out by its mean.
+PART_ROWS = 200_000
+#: Frequencies are kept as so many times the binary logarithm of one more.
+_SCALE = 1500
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -87,7 +92,7 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
             for block, data in zip(batch["block"], batch["counts"]):
                 part = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
                 sums[block] = sums[block] + part if block in sums else part
-        scaled = [np.minimum(65535, np.log2(1 + s) * 1500).astype("<u2").tobytes() for s in sums.values()]
+        scaled = [np.minimum(65535, np.log2(1 + s) * _SCALE).astype("<u2").tobytes() for s in sums.values()]
         yield pd.DataFrame({"block": list(sums), "counts": scaled})
 
     blocks = COUNTERS // COUNTER_BLOCK
@@ -99,10 +104,10 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(gram, doc_id, n, place, centre): the rare-first prefix of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("centre", pa.int32())])
+def _prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, part_rows: int) -> DataFrame:
+    """(gram, doc_id, n, place, centre, parts, part): the rare-first prefix of every document, and the part of the gram's group it is in."""
+    held, noise = docs.sparkSession.sparkContext.broadcast(sketch), float(np.exp2(sketch / _SCALE).mean())
+    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("centre", pa.int32()), ("parts", pa.int32()), ("part", pa.int32())])
 
     @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +115,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) ->
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for first, raw in chunks(texts):
-                grams, owner, size, place, centre = [], [], [], [], []
+                grams, owner, size, place, centre, often = [], [], [], [], [], []
                 for k, s in enumerate(shingle_sets(raw, width)):
                     n = len(s)
                     key = (n, int(s.sum()), int(mixed(s ^ _SALT).sum())) if n else None
@@ -118,18 +123,24 @@ def _prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) ->
                         continue
                     seen.add(key)
                     counts = rank[s & np.uint64(COUNTERS - 1)]
-                    kept = s[np.argsort(counts, kind="stable")[: n + (-percent * n // 100) + 1]]
+                    first_ones = np.argsort(counts, kind="stable")[: n + (-percent * n // 100) + 1]
+                    kept = s[first_ones]
                     grams.append(kept)
+                    often.append(counts[first_ones])
                     owner.append(ids[first + k])
                     size.append(n)
                     place.append(np.arange(len(kept)))
                     centre.append(int(counts.mean()))
                 if grams:
                     times = [len(g) for g in grams]
-                    columns = [_signed(np.concatenate(grams)), np.repeat(owner, times).astype(np.int64), np.repeat(size, times).astype(np.int32), np.concatenate(place).astype(np.int32), np.repeat(centre, times).astype(np.int32)]
+                    members = np.exp2(np.concatenate(often) / _SCALE) - noise
+                    parts = np.maximum(1, members // part_rows).astype(np.int64)
+                    owners = np.repeat(owner, times).astype(np.int64)
+                    part = (mixed(owners.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % parts
+                    columns = [_signed(np.concatenate(grams)), owners, np.repeat(size, times).astype(np.int32), np.concatenate(place).astype(np.int32), np.repeat(centre, times).astype(np.int32), parts.astype(np.int32), part.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(emit, "gram long, doc_id long, n int, place int, centre int")
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(emit, "gram long, doc_id long, n int, place int, centre int, parts int, part int")
 
 
 def _may_link(n: str, place: str, m: str, at: str, percent: int):
@@ -212,7 +223,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
 
-def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -222,13 +233,13 @@ def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     first = members.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("class"))
     classes = written(members.join(first, ["n", "key1", "key2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class")), "classes")
 
-    near = Window.partitionBy("gram").orderBy(F.desc("centre"), "doc_id")
-    seen = _prefixes(docs, width, percent, _sketch(profiles))
+    near = Window.partitionBy("gram", "part").orderBy(F.desc("centre"), "doc_id")
+    seen = _prefixes(docs, width, percent, _sketch(profiles), part_rows)
     pivot = F.first(F.struct("doc_id", "n", "place")).over(near.rowsBetween(Window.unboundedPreceding, 0))
     # A group of two has no other pair than the one with its pivot; only larger ones are looked at again.
     groups = seen.withColumn("pivot", pivot).withColumns({"rank": F.row_number().over(near), "second": F.lead("doc_id").over(near), "third": F.lead("doc_id", 2).over(near)})
-    groups = groups.withColumn("large", (F.col("rank") > 2) | ((F.col("rank") == 2) & F.col("second").isNotNull()) | F.col("third").isNotNull())
-    groups = written(groups.filter("rank > 1 OR large").select("gram", "doc_id", "n", "place", "pivot", "large"), "groups")
+    groups = groups.withColumn("large", (F.col("parts") > 1) | (F.col("rank") > 2) | ((F.col("rank") == 2) & F.col("second").isNotNull()) | F.col("third").isNotNull())
+    groups = written(groups.filter("rank > 1 OR large").select("gram", "doc_id", "n", "place", "parts", "pivot", "large"), "groups")
     release(spark)
 
     ids = classes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("class"))
@@ -246,16 +257,18 @@ def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
         named = named.join(ids.select(F.col("doc_id").alias("b"), F.col("class").alias("b2")), "b")
         return named.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
 
-    to_pivot = groups.filter("pivot.doc_id <> doc_id").filter(_may_link("n", "place", "pivot.n", "pivot.place", percent))
+    heads = groups.filter("parts > 1 AND pivot.doc_id = doc_id").select("gram", "doc_id", "n", "place")
+    heads = heads.withColumn("pivot", F.first(F.struct("doc_id", "n", "place")).over(Window.partitionBy("gram").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    to_pivot = groups.select("doc_id", "n", "place", "pivot").unionByName(heads.drop("gram")).filter("pivot.doc_id <> doc_id").filter(_may_link("n", "place", "pivot.n", "pivot.place", percent))
     tried = written(of_classes(to_pivot.select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).distinct()), "pairs")
     links = verified(tried)
 
     named = components(links)
     parts = written(ids.join(named.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "class", F.coalesce("component", "class").alias("part")), "parts")
-    group = Window.partitionBy("gram")
-    rest = groups.filter("large").join(parts, "doc_id").select("gram", "class", "n", "place", "part")
-    rest = rest.withColumn("low", F.min("part").over(group)).withColumn("high", F.max("part").over(group)).filter("low < high").drop("low", "high")
-    rest = written(rest.distinct(), "rest")
+    rest = groups.filter("large").select("gram", "doc_id", "n", "place").join(parts, "doc_id").select("gram", "class", "n", "place", "part")
+    split = written(rest.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("gram"), "split")
+    release(spark)
+    rest = written(rest.join(split, "gram").distinct(), "rest")
     release(spark)
     other = rest.select("gram", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("part").alias("part2"))
     across = rest.join(other, "gram").filter("part < part2").filter(_may_link("n", "place", "n2", "place2", percent))

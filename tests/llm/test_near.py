@@ -61,6 +61,21 @@ def test_ngram_join(spark, odd, empty):
     assert ngram_join.linked_documents(empty).count() == 0
 
 
+def test_ngram_join_in_parts(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randint(0, 40))
+    body, rows = [word() for _ in range(60)], []
+    for k in range(120):
+        text = list(body) if k % 3 else [word() for _ in range(40)]
+        for _ in range(rng.choice((0, 1, 2, 4))):
+            text[rng.randrange(len(text))] = word()
+        rows.append((k, " ".join(text)))
+    sets, named = brute_components(rows)
+    got = ngram_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string"), part_rows=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), named[i]) for i in sets}
+    assert max(list(named.values()).count(x) for x in named.values()) > 20
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 103), (103, 101), (200, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
