@@ -105,9 +105,9 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, part_rows: int) -> DataFrame:
-    """(gram, doc_id, n, place, centre, parts, part): the rare-first prefix of every document, and the part of the gram's group it is in."""
+    """(gram, doc_id, n, place, centre, part): the rare-first prefix of every document, and its part of the gram's group; -1: the group is not dealt."""
     held, noise = docs.sparkSession.sparkContext.broadcast(sketch), float(np.exp2(sketch / _SCALE).mean())
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("centre", pa.int32()), ("parts", pa.int32()), ("part", pa.int32())])
+    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("centre", pa.int32()), ("part", pa.int32())])
 
     @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +136,11 @@ def _prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray, par
                     members = np.exp2(np.concatenate(often) / _SCALE) - noise
                     parts = np.maximum(1, members // part_rows).astype(np.int64)
                     owners = np.repeat(owner, times).astype(np.int64)
-                    part = (mixed(owners.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % parts
-                    columns = [_signed(np.concatenate(grams)), owners, np.repeat(size, times).astype(np.int32), np.concatenate(place).astype(np.int32), np.repeat(centre, times).astype(np.int32), parts.astype(np.int32), part.astype(np.int32)]
+                    part = np.where(parts > 1, (mixed(owners.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % parts, -1)
+                    columns = [_signed(np.concatenate(grams)), owners, np.repeat(size, times).astype(np.int32), np.concatenate(place).astype(np.int32), np.repeat(centre, times).astype(np.int32), part.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(emit, "gram long, doc_id long, n int, place int, centre int, parts int, part int")
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(emit, "gram long, doc_id long, n int, place int, centre int, part int")
 
 
 def _may_link(n: str, place: str, m: str, at: str, percent: int):
@@ -238,8 +238,8 @@ def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     pivot = F.first(F.struct("doc_id", "n", "place")).over(near.rowsBetween(Window.unboundedPreceding, 0))
     # A group of two has no other pair than the one with its pivot; only larger ones are looked at again.
     groups = seen.withColumn("pivot", pivot).withColumns({"rank": F.row_number().over(near), "second": F.lead("doc_id").over(near), "third": F.lead("doc_id", 2).over(near)})
-    groups = groups.withColumn("large", (F.col("parts") > 1) | (F.col("rank") > 2) | ((F.col("rank") == 2) & F.col("second").isNotNull()) | F.col("third").isNotNull())
-    groups = written(groups.filter("rank > 1 OR large").select("gram", "doc_id", "n", "place", "parts", "pivot", "large"), "groups")
+    groups = groups.withColumn("large", (F.col("part") >= 0) | (F.col("rank") > 2) | ((F.col("rank") == 2) & F.col("second").isNotNull()) | F.col("third").isNotNull())
+    groups = written(groups.filter("rank > 1 OR large").select("gram", "doc_id", "n", "place", "part", "pivot", "large"), "groups")
     release(spark)
 
     ids = classes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("class"))
@@ -257,7 +257,7 @@ def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
         named = named.join(ids.select(F.col("doc_id").alias("b"), F.col("class").alias("b2")), "b")
         return named.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
 
-    heads = groups.filter("parts > 1 AND pivot.doc_id = doc_id").select("gram", "doc_id", "n", "place")
+    heads = groups.filter("part >= 0 AND pivot.doc_id = doc_id").select("gram", "doc_id", "n", "place")
     heads = heads.withColumn("pivot", F.first(F.struct("doc_id", "n", "place")).over(Window.partitionBy("gram").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)))
     to_pivot = groups.select("doc_id", "n", "place", "pivot").unionByName(heads.drop("gram")).filter("pivot.doc_id <> doc_id").filter(_may_link("n", "place", "pivot.n", "pivot.place", percent))
     tried = written(of_classes(to_pivot.select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).distinct()), "pairs")
