@@ -10,8 +10,11 @@ from .chat import chains, conversations, digests
 from .common import table
 from .decontamination import leaks
 from .fingerprints import fingerprints
+from .manifest import document_manifest
 from .ngram_join import linked_documents
 from .packing import packed_documents
+from .quality import quality_verdicts
+from .resampling import resampled
 from .secrets import secret_findings
 from .sharding import sharded
 from .suffix_dedup import deduplicated
@@ -67,9 +70,22 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return document_manifest(table(spark, sf_dir, "documents"), tampered=hit)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_token_files, op4_toxicity, op5_best_fit_packing, op6_jump_sharding, op7_ngram_jaccard_join, op8_fingerprints, op9_suffix_array_dedup, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_token_files, op4_toxicity, op5_best_fit_packing, op6_jump_sharding, op7_ngram_jaccard_join, op8_fingerprints, op9_suffix_array_dedup, op10_benchmark_decontamination, op11_quality_rules, op12_importance_resampling, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": sql.chat_formatting(MARKS), "op7_ngram_jaccard_join": sql.JACCARD_JOIN, "op9_suffix_array_dedup": sql.SUFFIX_DEDUP}
+    return {"op1_chat_formatting": sql.chat_formatting(MARKS), "op7_ngram_jaccard_join": sql.JACCARD_JOIN, "op9_suffix_array_dedup": sql.SUFFIX_DEDUP, "op11_quality_rules": sql.quality_rules(), "op12_importance_resampling": sql.IMPORTANCE_RESAMPLING, "op13_merkle_manifest": sql.MERKLE_MANIFEST}
