@@ -11,14 +11,17 @@ A document's set holds the hashes of its distinct shingles. Stages:
    few pairs per member, not all pairs. Links join members to components. A group that the sketch says is large is
    dealt over parts by document, so that no task sorts it whole; each part has a pivot, and these pair with the first of them.
 4. Groups that still hold several components pair their members across components (length and positional filters again),
-   without pairs already looked at. Members of one component need no further link: the result is the components.
+   without pairs already looked at. Members of one component need no further link: the result is the components. In a group of more than
+   SMALL_GROUP members the longer text looks up the shorter one by classes of length, only those that both filters leave
+   it; so texts that merely share a template, too far down their prefixes to link, don't meet.
 5. Each candidate pair is verified once: first by bounds on the overlap from the counts of shingles in CLASSES classes
    of hashes, so that whole sets travel only for pairs that may link; then by the suffix filter (bounds from halving the
    sorted suffixes around a middle shingle) and the size of the intersection.
 
 Null text and text without words have an empty set and link with nothing. A null doc_id keeps its row and its
-count, but takes no part in links. Rows that repeat a doc_id count as one document with one of their texts. An empty table
-gives an empty result; other columns are ignored.
+count, but takes no part in links. Rows that repeat a doc_id are one document, linked by any of its texts: further texts of an id are
+nodes of their own while links are sought (numbered above all ids, which must leave room for that), tied to the id by a link. Each row has the count
+of its own text. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_filter, may_hold, release, small_batches, tidy, written
 from .components import components
 from .hashing import chunks, mixed, shingle_sets
+from .packing import ranked
 
 WIDTH, PERCENT = 5, 75
 #: Counters of the frequency sketch, in blocks that are summed apart.
@@ -43,6 +47,8 @@ COUNTERS, COUNTER_BLOCK = 1 << 20, 1 << 14
 CLASSES = 256
 #: Members of a part of a prefix group, about. Few groups are so large; what a full sketch says of others is evened out by its mean.
 PART_ROWS = 200_000
+#: Members of a prefix group that are paired without classes of length, and the ratio of neighbouring classes.
+SMALL_GROUP, LENGTHS = 32, 1.08
 #: Frequencies are kept as so many times the binary logarithm of one more.
 _SCALE = 1500
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -151,6 +157,25 @@ def _may_link(n: str, place: str, m: str, at: str, percent: int):
     return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (F.lit(100 + percent) * most >= least)
 
 
+def _length_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(LENGTHS)).cast("int")
+
+
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different parts whose members may link by a gram; `rest` has the number of the group's members."""
+    small, n = F.col("members") <= SMALL_GROUP, F.col("n").cast("long")
+    # The longest text that a member's place in the prefix leaves it, and the shortest that its length does; one class is added for rounding.
+    most = F.least(n, F.floor(F.lit(100 + percent) * (n - F.col("place")) / F.lit(percent)) - n)
+    least = F.ceil(F.lit(percent) * n / F.lit(100))
+    sought = F.when(most >= least, F.sequence(_length_class(least) - 1, _length_class(most) + 1))
+    longer = rest.withColumn("length", F.explode(F.when(small, F.array(F.lit(-1))).otherwise(sought)))
+    own = F.when(small, F.lit(-1)).otherwise(_length_class(n))
+    shorter = rest.select("gram", own.alias("length"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("part").alias("part2"))
+    once = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("part") < F.col("part2")))
+    met = longer.join(shorter, ["gram", "length"]).filter("part <> part2").filter(once).filter(_may_link("n", "place", "n2", "place2", percent))
+    return met.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
+
+
 def _overlap_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
     """At most so many shared values of two sorted arrays: halve around the middle of y, `depth` times."""
     if depth == 0 or len(x) < 8 or len(y) < 8:
@@ -223,11 +248,39 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents with another doc_id for every further text of an id, and these nodes (node, doc_id); None if each id has one text."""
+    twice = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return docs, None
+    digest = F.coalesce(F.md5("text"), F.lit("")).alias("digest")
+    texts = docs.select("doc_id", digest).join(twice, "doc_id", "left_semi").distinct()
+    first = texts.groupBy("doc_id").agg(F.min("digest").alias("first"))
+    further = written(texts.join(first, "doc_id").filter("digest <> first").select("doc_id", "digest", F.lit(0).alias("all")), "texts")
+    n, top = further.count(), docs.agg(F.max("doc_id")).first()[0]
+    if not n:
+        return docs, None
+    if top + n >= 1 << 63:
+        raise ValueError("doc_ids leave no room for the further texts of repeated ones")
+    nodes = ranked(further, "all", ["doc_id", "digest"], "k", n).select("doc_id", "digest", (F.lit(top + 1) + F.col("k")).alias("node"))
+    nodes = written(nodes, "nodes")
+    named = docs.select("doc_id", "text", digest).join(nodes, ["doc_id", "digest"], "left")
+    return written(named.select(F.coalesce("node", "doc_id").alias("doc_id"), "text"), "documents"), nodes.select("node", "doc_id")
+
+
 def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
+    small_batches(docs.sparkSession)
+    docs, nodes = _apart(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    out = _linked(docs, nodes, width, percent, part_rows)
+    if nodes is None:
+        return out
+    own = nodes.select("node", F.col("doc_id").alias("own"))
+    return out.join(own, F.col("doc_id") == F.col("node"), "left").select(F.coalesce("own", "doc_id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, nodes: DataFrame | None, width: int, percent: int, part_rows: int) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profiles = written(_profiles(docs, width), "profiles")
     members = profiles.filter("block IS NULL").select("doc_id", "n", "key1", "key2")
     first = members.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("class"))
@@ -266,16 +319,16 @@ def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     named = components(links)
     parts = written(ids.join(named.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "class", F.coalesce("component", "class").alias("part")), "parts")
     rest = groups.filter("large").select("gram", "doc_id", "n", "place").join(parts, "doc_id").select("gram", "class", "n", "place", "part")
-    split = written(rest.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("gram"), "split")
+    split = rest.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("members"))
+    split = written(split.filter("low < high").select("gram", "members"), "split")
     release(spark)
     rest = written(rest.join(split, "gram").distinct(), "rest")
     release(spark)
-    other = rest.select("gram", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("part").alias("part2"))
-    across = rest.join(other, "gram").filter("part < part2").filter(_may_link("n", "place", "n2", "place2", percent))
-    across = across.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(written(across, "pairs"))
+    more = verified(written(_across(rest, percent).join(tried, ["a", "b"], "left_anti"), "pairs"))
 
     copies = ids.filter("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
+    if nodes is not None:
+        copies = copies.unionByName(nodes.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
     final = components(links.unionByName(more).unionByName(copies))
     joined = classes.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

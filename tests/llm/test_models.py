@@ -103,6 +103,20 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_repeated_and_null_ids(spark):
+    rng = random.Random(14)
+    sentence = lambda n: " ".join(f"w{rng.randint(0, 900)}" for _ in range(n))
+    item, other = sentence(30), sentence(30)
+    rows = [(None, sentence(20) + " " + item), (None, item + " " + sentence(9) + " " + item), (5, item), (5, sentence(40) + " " + item + " " + other), (5, item), (6, sentence(50))]
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    want = [(5, 1)] * 3 + [(5, 2)] + [(None, 1)] * 2
+    for parts in (1, 2, 6):
+        found = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), bench).collect()
+        assert sorted(((r["doc_id"], r["item_id"]) for r in found), key=str) == sorted(want, key=str)
+    named = spark.createDataFrame([(f"n{k}", t) for k, (_, t) in enumerate(rows)], "doc_id string, text string")
+    assert {r["doc_id"] for r in decontamination.leaks(named, bench).collect()} == {f"n{k}" for k in range(5)}
+
+
 def test_decontamination_of_long_items(spark):
     rng = random.Random(8)
     sentence = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]

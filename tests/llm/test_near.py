@@ -82,6 +82,47 @@ def test_components(spark):
     assert got == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100, 103: 100}
 
 
+def test_components_of_chains_take_few_rounds(spark, monkeypatch):
+    from inkwright.llm import components as module
+
+    names, write = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or write(df, name))
+    n = 5000
+    links = spark.range(1, n).selectExpr("id AS a", "id + 1 AS b").union(spark.range(9).selectExpr("id + 10000", "10009"))
+    got = {r["node"]: r["component"] for r in components(links).collect()}
+    assert got == {k: 1 for k in range(1, n + 1)} | {k: 10000 for k in range(10000, 10010)}
+    assert names.count("edges") - 1 < 20
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    rng = random.Random(9)
+    text = lambda: [rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(60)]
+    a, b = text(), text()
+    near = lambda t: " ".join([*t[:-1], "changed"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, None), (4, near(a) + " more"), (None, near(a)), (5, " ".join(text()))]
+    want = {1: {1}, 2: {1}, 3: {1}, 4: {1}, 5: {5}, None: {None}}
+    for order in (rows, rows[::-1]):
+        for parts in (1, 5):
+            got = ngram_join.linked_documents(spark.createDataFrame(order, "doc_id long, text string").repartition(parts)).collect()
+            found = {}
+            for r in got:
+                found.setdefault(r["doc_id"], set()).add(r["component_id"])
+            assert found == want and len(got) == len(rows)
+            assert sorted(r["n_shingles"] for r in got if r["doc_id"] == 4) == [0, 57]
+
+
+def test_ngram_join_pairs_large_groups_by_length(spark, monkeypatch):
+    rng = random.Random(21)
+    template, rows = [f"t{k}" for k in range(60)], []
+    for k in range(90):  # own words before the template; few of them link, many share every gram of it
+        rows.append((k, " ".join([f"own{rng.randint(0, 40)}" for _ in range(rng.randint(0, 24))] + template[: rng.randint(45, 60)])))
+    sets, named = brute_components(rows)
+    for small in (0, 10_000):
+        monkeypatch.setattr(ngram_join, "SMALL_GROUP", small)
+        got = ngram_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), named[i]) for i in sets}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=80))
 def test_suffix_array(values):
