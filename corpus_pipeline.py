@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwright.llm.common import scratch, table
+from inkwright.llm.common import scratch, table, written
 from inkwright.llm.decontamination import leaks
 from inkwright.llm.ngram_join import linked_documents
 from inkwright.llm.packing import packed_documents
@@ -36,9 +36,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go. Without items none goes."""
-    gone = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go, each row by its own text, also those without a doc_id. Without items none goes."""
+    texts = docs.select(F.md5("text").alias("doc_id"), "text")
+    gone = written(leaks(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__digest")).distinct(), "gone")
+    return docs.join(gone, F.md5(docs["text"]) == gone["__digest"], "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
