@@ -32,7 +32,7 @@ BUCKETS, LONGEST, SEED, LEAST_WORDS, PERCENT = 10_000, 1, 2024, 20, 10
 #: Gains and noise are floors of so many times a logarithm.
 SCALE = 1000
 #: Scores in a span of the histogram, and copies of a row that are numbered at once.
-SPAN, COPIES = 1 << 16, 1 << 16
+SPAN, COPIES = 1 << 12, 1 << 16
 #: Bytes of a text that are split into words at once.
 _SLICE = 1 << 20
 #: Bytes as they count in words: A-Z lower-cased, every other ASCII byte that is no letter or digit a space.
