@@ -71,9 +71,21 @@ def popularity_score(stars: Column, forks: Column, watchers: Column, digits: int
     return F.round(F.least(stars / 10000, F.lit(1.0)) * 40 + F.least(forks / 2000, F.lit(1.0)) * 35 + F.least(watchers / 5000, F.lit(1.0)) * 25, digits)
 
 
-def scan_page(book_page: Column, first_scan: Column, per_scan: Column) -> Column:
-    """Scan that holds a book page when each scan shows `per_scan` pages and page 1 is on `first_scan`."""
-    return first_scan + F.floor((book_page - 1) / per_scan).cast("int")
+def scan_page(book_page: Column, anchor_scan: Column, anchor_book: Column, per_scan: Column) -> Column:
+    """Scan that holds a book page when scans show `per_scan` pages each and `anchor_scan` begins with `anchor_book`; null for pages before it."""
+    return F.when(book_page >= anchor_book, anchor_scan + F.floor((book_page - anchor_book) / F.greatest(per_scan, F.lit(1))).cast("int"))
+
+
+def book_pages(scan: Column, anchor_scan: Column, anchor_book: Column, per_scan: Column) -> Column:
+    """Book pages on a scan, the way back from `scan_page`; none for scans before the anchor."""
+    per = F.greatest(per_scan, F.lit(1))
+    first = (anchor_book + (scan - anchor_scan) * per).cast("int")
+    return F.when(scan >= anchor_scan, F.sequence(first, first + per.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def page_window(page: Column, window: int) -> Column:
+    """The page, then those around it by distance, the earlier one first."""
+    return F.array(page, *[page + sign * k for k in range(1, window + 1) for sign in (-1, 1)])
 
 
 def page_list(label: Column) -> Column:

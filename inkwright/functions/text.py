@@ -56,10 +56,10 @@ def split_language(text: Column) -> Column:
 
 
 def reading_language(text: Column) -> Column:
-    """Language by shares of all characters: mixed, chinese, japanese or english."""
-    size = F.greatest(F.length(text), F.lit(1))
-    han, kana = F.regexp_count(text, F.lit(f"[{HAN}]")) / size, F.regexp_count(text, F.lit(f"[{KANA}]")) / size
-    return F.when((han > 0.1) & (kana > 0.1), "japanese").when(han > 0.3, "chinese").when(kana > 0.3, "japanese").otherwise("english")
+    """Language by shares of all characters: chinese, japanese, mixed_cjk, other; unknown without any."""
+    size = F.length(text)
+    han, kana = F.regexp_count(text, F.lit("[一-鿿]")) / size, F.regexp_count(text, F.lit("[぀-ヿ]")) / size
+    return F.when(size == 0, "unknown").when(han > 0.3, "chinese").when(kana > 0.2, "japanese").when((kana > 0.1) & (han > 0.1), "mixed_cjk").otherwise("other")
 
 
 def strip_html(html: Column) -> Column:

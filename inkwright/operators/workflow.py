@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import scan_page
+from ..functions.text import occurrences
 
 def merged_entities(entities: DataFrame) -> DataFrame:
     """One row per (text, category, start, stop): the most confident; it is for review if that row is, or a later, less confident one is.
@@ -18,21 +20,32 @@ def merged_entities(entities: DataFrame) -> DataFrame:
     return merged
 
 
-def relations(pairs: DataFrame, cues: list[tuple[str, list[str]]]) -> DataFrame:
-    """Pairs (left, right, text) with relation: the first kind of which a cue is in the text, else co_occurs."""
-    kind = F.lit("co_occurs")
-    for name, words in reversed(cues):
-        kind = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("text"), w)), name).otherwise(kind)
-    return pairs.withColumn("relation", kind)
+#: Cues of each kind of relation.
+RELATION_CUES = {"located_in": ["位于", "在", "属于"], "participated_in": ["参加", "参与", "出席"], "founded": ["创建", "建立", "创立"], "ruled_by": ["统治", "支配", "管辖"]}
+
+
+def relations(texts: DataFrame, cues: dict[str, list[str]] | None = None, text: str = "text", context: int = 160) -> DataFrame:
+    """Rows with `place`, `relation`, `pattern` and `context` for every cue of every kind that a text holds, in order of the cues."""
+    named = [(kind, word) for kind, words in (RELATION_CUES if cues is None else cues).items() for word in words]
+    all_cues = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(kind).alias("relation"), F.lit(word).alias("pattern")) for k, (kind, word) in enumerate(named)])
+    held = F.filter(all_cues, lambda c: F.contains(F.col(text), c["pattern"]))
+    rows = texts.withColumn("_c", F.explode(held))
+    return rows.withColumns({**{name: F.col(f"_c.{name}") for name in ("place", "relation", "pattern")}, "context": F.substring(text, 1, context)}).drop("_c")
 
 
 def page_texts(blocks: DataFrame, key: str, wanted: int = 6) -> DataFrame:
-    """(key, text, missing): text of a page's blocks 1..wanted in order, and the numbers of blocks that are not there."""
-    ordered = F.array_sort(F.collect_list(F.struct("block", "text")))
-    rows = blocks.filter("text IS NOT NULL").groupBy(key).agg(ordered.alias("b"))
-    numbers = F.transform("b", lambda x: x["block"].cast("int"))
-    text = F.array_join(F.transform("b", lambda x: x["text"]), "\n")
-    return rows.select(key, text.alias("text"), F.array_except(F.sequence(F.lit(1), F.lit(wanted)), numbers).alias("missing"))
+    """(key, text, marked, missing, characters) of a page's blocks 1..wanted in order: trimmed texts with a blank line between, the same between marks, and the numbers that are not there.
+
+    Other blocks, and blank ones, give no text; a block whose text is null is not there.
+    """
+    there = blocks.filter(F.col("text").isNotNull()).withColumn("_t", F.regexp_replace("text", r"^[\s　]+|[\s　]+$", ""))
+    inside = F.col("block").between(1, wanted)
+    ordered = F.array_sort(F.collect_list(F.when(inside & (F.col("_t") != ""), F.struct("block", "_t"))))
+    rows = there.groupBy(key).agg(ordered.alias("b"), F.collect_set(F.when(inside, F.col("block").cast("int"))).alias("have"))
+    text = F.array_join(F.transform("b", lambda x: x["_t"]), "\n\n")
+    mark = lambda x, end: F.concat(F.lit(f"<{end}block_"), x["block"].cast("string"), F.lit(">"))
+    marked = F.array_join(F.transform("b", lambda x: F.concat_ws("\n", mark(x, ""), x["_t"], mark(x, "/"))), "\n\n")
+    return rows.select(key, text.alias("text"), marked.alias("marked"), F.array_except(F.sequence(F.lit(1), F.lit(wanted)), "have").alias("missing"), F.length(text).alias("characters"))
 
 
 def ocr_statistics(pages: DataFrame) -> DataFrame:
@@ -48,19 +61,6 @@ def ocr_statistics(pages: DataFrame) -> DataFrame:
     )
 
 
-def entry_quality(lines: DataFrame, key: str, markers: list[str]) -> DataFrame:
-    """(key, mean_confidence, low_ratio, markers, reasons) of entries from their lines (confidence, text)."""
-    known = F.when(F.col("confidence") > 0, F.col("confidence"))
-    hits = sum((F.contains("text", F.lit(m)).cast("int") for m in markers), F.lit(0))
-    rows = lines.groupBy(key).agg(
-        F.coalesce(F.avg(known), F.lit(0.0)).alias("mean_confidence"),
-        F.coalesce(F.avg(F.when(known < 0.86, 1.0).when(known.isNotNull(), 0.0)), F.lit(0.0)).alias("low_ratio"),
-        F.sum(hits).alias("markers"),
-    )
-    reasons = F.array_compact(F.array(F.when(F.col("mean_confidence") < 0.86, F.lit("low_confidence")), F.when(F.col("low_ratio") > 0.3, F.lit("many_low_lines")), F.when(F.col("markers") == 0, F.lit("no_markers"))))
-    return rows.withColumn("reasons", reasons)
-
-
 def entry_ids(lines: DataFrame, key: str, order: str, is_title: Column, is_heading: Column | None = None, most: int = 3) -> DataFrame:
     """entry: running number of the title line a line belongs to; 0 for lines before the first title.
 
@@ -102,9 +102,23 @@ def numbered_references(parts: list[DataFrame]) -> DataFrame:
     return rows.withColumn("number", before + within).drop("_list")
 
 
-def unavailable_reason(found: Column, downloadable: Column, restricted: Column, page_known: Column) -> Column:
-    """Why a source has no text, by precedence."""
-    return F.when(~found, "source_not_found").when(restricted, "access_restricted").when(~downloadable, "not_downloadable").when(~page_known, "page_unknown")
+#: What notes tell about a source that has no text, in this order; `no_digital_pid` yields to a blocked page mapping.
+NOTED_REASONS = (("remote_copy_only_no_print", "remote_copy_only_no_print"), ("restricted_download_skipped_no_ndl_pid", "no_digital_pid"), ("download_not_pdf", "download_not_pdf"), ("download_http_404", "download_http_404"), ("download_http_403", "download_http_403"), ("print_button_not_found", "print_button_not_found"), ("download_link_not_found", "download_link_not_found"))
+#: Reasons that a blocked page mapping explains away.
+MAPPING_REASONS = ("no_digital_pid", "mapped_page_out_of_scan_range", "downloaded_page_range_adjusted")
+
+
+def unavailable_reason(has_text: Column, status: Column, reason: Column, notes: Column, failures: Column, mapping_blocked: Column) -> Column:
+    """Why a source has no text: the availability that is known, else what its notes say, else a failed download; null if it has text or nothing is known."""
+    blocked = F.coalesce(mapping_blocked, F.lit(False))
+    known = F.coalesce(F.nullif(reason, F.lit("")), F.lit("unknown"))
+    noted = F.lit(None).cast("string")
+    for mark, name in reversed(NOTED_REASONS):
+        told = F.coalesce(F.contains(notes, F.lit(mark)), F.lit(False))
+        noted = F.when(told & ~blocked if name == "no_digital_pid" else told, name).otherwise(noted)
+    failed = F.when(F.contains(failures, F.lit(NOTED_REASONS[0][0])), NOTED_REASONS[0][1])
+    listed = F.coalesce(status == "unavailable", F.lit(False))
+    return F.when(F.coalesce(has_text, F.lit(False)), None).when(listed, F.when(~(blocked & known.isin(*MAPPING_REASONS)), known)).otherwise(F.coalesce(noted, failed))
 
 
 def merged_hints(matches: DataFrame, key: str) -> DataFrame:
@@ -122,8 +136,16 @@ def literature_split(works: DataFrame, year: str, this_year: int, k: int = 8) ->
     return classic.unionByName(frontier)
 
 
-def download_plan(sources: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
-    """Sources (id, pages, last) with the window of pages to fetch: the cited ones with some around them, within the item."""
-    low = F.greatest(F.lit(1), F.array_min("pages") - before)
-    high = F.least(F.coalesce("last", F.array_max("pages") + after), F.array_max("pages") + after)
-    return sources.withColumns({"from_page": low, "to_page": high, "n_pages": F.when(high >= low, high - low + 1).otherwise(0)})
+def download_plan(sources: DataFrame, window: int = 2) -> DataFrame:
+    """Sources (pages, and a mapping: anchor_scan, anchor_book, pages_per_scan, start_scan, end_scan or nulls) with from_page, to_page, mapped and note.
+
+    A mapping that reaches a cited page gives its own range of scans; else the pages themselves with `window` more on either side. No pages: page 1.
+    """
+    pages = F.when(F.size("pages") > 0, F.col("pages")).otherwise(F.array(F.lit(1)))
+    at = F.array_compact(F.transform(pages, lambda p: scan_page(p, F.col("anchor_scan"), F.col("anchor_book"), F.coalesce("pages_per_scan", F.lit(2)))))
+    mapped = F.when(F.col("anchor_scan").isNotNull() & F.col("anchor_book").isNotNull(), at).otherwise(F.array().cast("array<int>"))
+    used = F.size(mapped) > 0
+    low = F.when(used, F.col("start_scan")).otherwise(F.greatest(F.lit(1), F.array_min(pages) - window))
+    high = F.when(used, F.col("end_scan")).otherwise(F.array_max(pages) + window)
+    note = F.when(used, F.concat(F.lit("double_page_mapping_used: book_p"), F.col("anchor_book").cast("string"), F.lit("->scan_p"), F.col("anchor_scan").cast("string"))).otherwise("")
+    return sources.withColumns({"from_page": low, "to_page": high, "mapped": mapped, "note": note})

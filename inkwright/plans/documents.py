@@ -53,9 +53,12 @@ def d06_kanji_round_trip(spark, sf_dir):
     return p.select("p_partkey", T.kanji_number(T.to_kanji(F.col("p_partkey"))).alias("value"))
 
 
-@query("SELECT p_partkey, 11 + (p_partkey - 1) // 2 AS scan FROM part WHERE p_partkey > 0")
+@query("SELECT p_partkey, CASE WHEN p_partkey >= 5 THEN 11 + (p_partkey - 5) // 2 ELSE 0 END::INT AS scan, CASE WHEN p_size >= 11 THEN 5 + (p_size - 11) * (1 + p_size % 3) ELSE 0 END::INT AS first_page, CASE WHEN p_size >= 11 THEN 1 + p_size % 3 ELSE 0 END::INT AS pages FROM part")
 def d08_scan_pages(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter("p_partkey > 0").select("p_partkey", T.scan_page(F.col("p_partkey"), F.lit(11).cast("long"), F.lit(2)).alias("scan"))
+    p = table(spark, sf_dir, "part")
+    scan = T.scan_page(F.col("p_partkey"), F.lit(11), F.lit(5), F.lit(2))
+    back = T.book_pages(F.col("p_size"), F.lit(11), F.lit(5), 1 + F.col("p_size") % 3)
+    return p.select("p_partkey", F.coalesce(scan, F.lit(0)).cast("int").alias("scan"), F.coalesce(F.get(back, F.lit(0)), F.lit(0)).alias("first_page"), F.size(back).alias("pages"))
 
 
 @query("SELECT * FROM (VALUES ('3', 'single_page', 1), ('3, 7', 'distributed_pages', 2), ('5-6', 'continuous_range', 2), ('5-9', 'range_context', 5), ('', 'unmarked', 0), ('9-5', 'unmarked', 0), ('1-3, 2', 'distributed_pages', 3)) t(label, mode, pages)")

@@ -15,7 +15,7 @@ from ..operators import runs as N
 from ..operators import selection as S
 from ..operators import summaries as U
 from ..sources import readers, writers
-from .files import _place, _put
+from .files import _put, place
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -87,10 +87,15 @@ def g26_ocr_confidence(spark, sf_dir):
 _HAN, _KANA = "length(regexp_replace(text, '[^一-鿿]', '', 'g')) / greatest(length(text), 1)", "length(regexp_replace(text, '[^぀-ヿ]', '', 'g')) / greatest(length(text), 1)"
 
 
-@query(f"SELECT doc_id, greatest(1, ceil(length(text) / 400))::INT AS minutes, CASE WHEN {_HAN} > 0.1 AND {_KANA} > 0.1 THEN 'japanese' WHEN {_HAN} > 0.3 THEN 'chinese' WHEN {_KANA} > 0.3 THEN 'japanese' ELSE 'english' END AS language FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('満洲国史の', substr(text, 1, doc_id % 9)) ELSE concat('一二三', substr(text, 1, doc_id % 7)) END AS text FROM documents WHERE text IS NOT NULL)")
+_SHARE = "(len(regexp_extract_all(text, '[{}]')) / length(text))"
+_READING = "concat(translate(replace(text, '(', ''), CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'aeiou' WHEN 2 THEN 'aeiou' WHEN 3 THEN 'eotn' ELSE 'etah' END, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'あいうえお' WHEN 2 THEN '一二三四五' WHEN 3 THEN 'あ二ソ' ELSE 'え一三ハ' END), repeat('《x》', CAST(doc_id % 13 AS INT)))"
+
+
+@query(f"SELECT doc_id, greatest(1, length(text) // 400)::INT AS minutes, CASE WHEN length(text) = 0 THEN 'unknown' WHEN {_SHARE.format('一-鿿')} > 0.3 THEN 'chinese' WHEN {_SHARE.format('぀-ヿ')} > 0.2 THEN 'japanese' WHEN {_SHARE.format('一-鿿')} > 0.1 AND {_SHARE.format('぀-ヿ')} > 0.1 THEN 'mixed_cjk' ELSE 'other' END AS language, CASE WHEN doc_id % 13 > 10 THEN 'difficult' WHEN doc_id % 13 > 5 THEN 'medium' ELSE 'easy' END AS difficulty FROM (SELECT doc_id, {_READING} AS text FROM documents WHERE text IS NOT NULL)")
 def z08_reading(spark, sf_dir):
-    d = _documents(spark, sf_dir).select("doc_id", F.expr("CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('満洲国史の', substr(text, 1, CAST(doc_id % 9 AS INT))) ELSE concat('一二三', substr(text, 1, CAST(doc_id % 7 AS INT))) END").alias("text"))
-    return d.select("doc_id", U.reading_minutes(F.col("text")).alias("minutes"), T.reading_language(F.col("text")).alias("language"))
+    """Whole texts, two thirds of them with kana or Han characters for some letters, and some terms."""
+    d = _documents(spark, sf_dir).select("doc_id", F.expr(_READING).alias("text"))
+    return d.select("doc_id", U.reading_minutes(F.col("text")).alias("minutes"), T.reading_language(F.col("text")).alias("language"), U.reading_difficulty(F.col("text")).alias("difficulty"))
 
 
 @query("SELECT doc_id, bucket, array_to_string(list_sort(list_distinct(flatten(list(terms)))), ',') AS terms FROM documents, (VALUES ('who', ['tion', 'zzz'], ['a', 'b']), ('who', ['eau'], ['b', 'c']), ('when', ['the '], ['d'])) r(bucket, triggers, terms) WHERE len(list_filter(triggers, lambda t: contains(text, t))) > 0 GROUP BY doc_id, bucket")
@@ -135,14 +140,14 @@ def r26_context_promotion(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def k05_export_json(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    writers.export_json(rows, path := _place(spark, "json"))
+    writers.export_json(rows, path := place(spark, "json"))
     return spark.read.schema(rows.schema).json(path)
 
 
 @query("SELECT '{\"o_orderkey\":' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN ',\"phase\":\"' || o_orderstatus || '\"' ELSE '' END || '}' AS value FROM orders")
 def k16_append_progress(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS phase")
-    writers.append_progress(rows, path := _place(spark, "progress"))
+    writers.append_progress(rows, path := place(spark, "progress"))
     return spark.read.text(path)
 
 
@@ -226,13 +231,13 @@ def s21_ocr_xml(spark, sf_dir):
     for key, name in _nations(spark, sf_dir):
         lines.setdefault(key % 5, []).append(f'<LINE ORDER="{key}" X="{key * 2}" Y="0" WIDTH="9" HEIGHT="3" STRING="{name}" CONF="0.5"/>')
     body = "".join(f'<TEXTBLOCK ID="b{k}">{"".join(v)}</TEXTBLOCK>' for k, v in lines.items())
-    _put(spark, f"{(path := _place(spark, 'ocr'))}/page.xml", f"<OCRDATASET><PAGE>{body}</PAGE></OCRDATASET>")
+    _put(spark, f"{(path := place(spark, 'ocr'))}/page.xml", f"<OCRDATASET><PAGE>{body}</PAGE></OCRDATASET>")
     return readers.ocr_xml(spark, path).select("block", "line", "x", "text", "confidence")
 
 
 @query("SELECT n_nationkey AS page, n_name || chr(10) || 'line' AS text, k AS kind FROM nation, (VALUES ('json'), ('csv')) t(k) UNION ALL SELECT n_nationkey + 1, n_name, 'text' FROM nation")
 def s22_ocr_pages(spark, sf_dir):
-    nations, path = _nations(spark, sf_dir), _place(spark, "pages")
+    nations, path = _nations(spark, sf_dir), place(spark, "pages")
     _put(spark, f"{path}/a/pages.json", json.dumps([{"page": k, "text": f"{n}\nline"} for k, n in nations]))
     _put(spark, f"{path}/b/pages.csv", "page,text\n" + "".join(f'{k},"{n}\nline"\n' for k, n in nations))
     _put(spark, f"{path}/c/pages.txt", "\f".join(n for _, n in sorted(nations)))
@@ -242,7 +247,7 @@ def s22_ocr_pages(spark, sf_dir):
 
 @query("SELECT (1000 + n_nationkey)::VARCHAR AS id, n_nationkey AS c_start, n_nationkey + 3 AS c_stop FROM nation")
 def s23_download_index(spark, sf_dir):
-    path = _place(spark, "downloads")
+    path = place(spark, "downloads")
     for key, _ in _nations(spark, sf_dir):
         _put(spark, f"{path}/ndl_{1000 + key}_p{key}-p{key + 3}.pdf", "x")
     _put(spark, f"{path}/other.pdf", "x")
@@ -254,5 +259,5 @@ def s24_entity_dictionary(spark, sf_dir):
     groups = {}
     for r in table(spark, sf_dir, "nation").select("n_regionkey", "n_name").collect():
         groups.setdefault(f"r{r['n_regionkey']}", {"description": "about", "entities": []})["entities"].append(r["n_name"])
-    _put(spark, f"{(path := _place(spark, 'dictionary'))}/d.json", json.dumps({"categories": groups}))
+    _put(spark, f"{(path := place(spark, 'dictionary'))}/d.json", json.dumps({"categories": groups}))
     return readers.entity_dictionary(spark, path)

@@ -24,15 +24,20 @@ def query(sql: str | None = None):
     return keep
 
 
-def _place(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+def place(spark, name: str) -> str:
+    """A new path under the folder that the cluster shares; a temporary one only on a single machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT vec_id AS chunk_id, vec_id % 50 AS document_id, len(embedding)::INT AS dimension FROM embeddings WHERE vec_id % 50 <> 7")
 def k01_k02_index_round_trip(spark, sf_dir):
     chunks = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 50).alias("document_id"), "embedding")
-    writers.save_index(chunks, chunks.select("document_id").distinct(), path := _place(spark, "index"))
+    writers.save_index(chunks, chunks.select("document_id").distinct(), path := place(spark, "index"))
     gone = spark.createDataFrame([(7,)], "document_id long")
     kept, _ = writers.removed(*writers.load_index(spark, path), gone)
     return kept.select("chunk_id", "document_id", F.size("embedding").alias("dimension"))
@@ -42,7 +47,7 @@ def k01_k02_index_round_trip(spark, sf_dir):
 def k06_csv_union(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("nation"))
     r = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("region"))
-    writers.export_csv([n, r], path := _place(spark, "csv"))
+    writers.export_csv([n, r], path := place(spark, "csv"))
     return spark.read.option("header", True).csv(path).fillna("")
 
 
@@ -50,7 +55,7 @@ def k06_csv_union(spark, sf_dir):
 def k07_gexf(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     nodes, edges = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title")), n.select(F.col("n_nationkey").alias("source"), F.col("n_regionkey").alias("target"))
-    writers.export_graph(nodes, edges, path := _place(spark, "graph"), "gexf")
+    writers.export_graph(nodes, edges, path := place(spark, "graph"), "gexf")
     return spark.read.text(path)
 
 
@@ -65,17 +70,17 @@ def k17_markdown_table(spark, sf_dir):
 def t01_stream_pairs(spark, sf_dir):
     """The batch pairing as a stream over the same rows, drained and read back."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp").alias("ts")).filter(F.col("kind").isin("view", "purchase"))
-    rows.write.parquet(source := _place(spark, "events"))
+    rows.write.parquet(source := place(spark, "events"))
     stream = progress.paired_stream(progress.event_stream(spark, source, rows.schema.simpleString()[7:-1].replace(":", " ")), "view", "purchase")
-    sink = _place(spark, "pairs")
-    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", _place(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    sink = place(spark, "pairs")
+    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", place(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     done = spark.read.schema(progress.PAIR).parquet(sink)
     return done.groupBy("key").agg(F.count("*").alias("pairs"), F.round(F.sum("seconds"), 2).alias("seconds"))
 
 
 @query("SELECT 'note.txt' AS name, 'text' AS kind, 'plain words' AS text UNION ALL SELECT 'page.html', 'html', 'Head body'")
 def s04_directory_scan(spark, sf_dir):
-    path = _place(spark, "files")
+    path = place(spark, "files")
     for name, text in (("note.txt", "plain words"), ("page.html", "<h1>Head</h1><p>body</p>"), ("skip.bin", "x")):
         _put(spark, f"{path}/{name}", text)
     return readers.documents(spark, path).select("name", "kind", "text")

@@ -71,9 +71,10 @@ def c09_similarity_segments(spark, sf_dir):
 _SENT = "SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS place, len(s) AS n FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]*[.!?\\n]|[^.!?\\n]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 0) AS s FROM documents)"
 
 
-@query(f"SELECT doc_id, md5(string_agg(sentence, ' ' ORDER BY place)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS r FROM (SELECT *, round(least(1.0, (place < 3)::INT * 0.5 + (place >= n - 2)::INT * 0.3 + contains(lower(sentence), 'tion')::INT * 0.1 + contains(lower(sentence), 'the')::INT * 0.1 + (length(sentence) > 50)::INT * 0.1), 6) AS score FROM ({_SENT}))) WHERE r <= 5 GROUP BY doc_id")
+@query("WITH s AS (SELECT doc_id, t, list_filter(list_transform(regexp_split_to_array(t, '[。！？；\n]+'), lambda x: regexp_replace(x, '^[\\s\\x0B　]+|[\\s\\x0B　]+$', '', 'g')), lambda x: x <> '') AS s FROM (SELECT doc_id, replace(COALESCE(text, ''), '.', '。') AS t FROM documents)), e AS (SELECT doc_id, len(s) AS n, unnest(range(len(s))) AS place, unnest(s) AS x FROM s WHERE len(s) > 5), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(least(1.0, (place < 3)::INT * 0.5 + (place >= n - 2)::INT * 0.3 + contains(x, 'tion')::INT * 0.1 + contains(x, 'The')::INT * 0.1 + (length(x) > 50)::INT * 0.1), 6) DESC, place) AS r FROM e) SELECT doc_id, md5(string_agg(x, ' ' ORDER BY place)) AS digest FROM r WHERE r <= 5 GROUP BY doc_id UNION ALL SELECT doc_id, md5(t) FROM s WHERE len(s) <= 5")
 def z06_extractive_summary(spark, sf_dir):
-    return U.extractive_summary(table(spark, sf_dir, "documents"), ["tion", "the"]).select("doc_id", F.md5("summary").alias("digest"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("."), F.lit("。")).alias("text"))
+    return U.extractive_summary(d, ("tion", "The")).select("doc_id", F.md5("summary").alias("digest"))
 
 
 @query("SELECT * FROM (SELECT doc_id, t.name, ((length(text) - length(replace(text, t.name, ''))) // length(t.name) + (length(text) - length(replace(lower(text), t.name, ''))) // length(t.name)) * CASE WHEN contains(substr(text, 1, 500), t.name) THEN 1.5 ELSE 1.0 END AS weight FROM documents, (VALUES ('the'), ('tion'), ('eau')) t(name)) WHERE weight > 0")

@@ -26,17 +26,18 @@ def z02_merged_entities(spark, sf_dir):
     return W.merged_entities(spark.createDataFrame(rows, "ord int, text string, category string, start int, stop int, confidence double, needs_review boolean"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'tion') THEN 'belongs_to' WHEN contains(text, 'the') OR contains(text, 'eau') THEN 'opposes' ELSE 'co_occurs' END AS relation FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, place, relation, pattern FROM documents, (VALUES (1, 'located_in', '在', 2), (2, 'located_in', '属于', 3), (5, 'participated_in', '出席', 5), (6, 'founded', '创建', 7), (11, 'ruled_by', '管辖', 11)) t(place, relation, pattern, m) WHERE text IS NOT NULL AND doc_id % m = 0")
 def e14_relations(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    return W.relations(d, [("belongs_to", ["tion"]), ("opposes", ["the", "eau"])]).select("doc_id", "relation")
+    cues = [F.when(F.col("doc_id") % m == 0, word).otherwise("") for word, m in (("管辖", 11), ("创建", 7), ("出席", 5), ("属于", 3), ("在", 2))]
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").withColumn("text", F.concat("text", *cues))
+    return W.relations(d).select("doc_id", "place", "relation", "pattern")
 
 
-@query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest, (6 - count(*) FILTER (WHERE turn BETWEEN 1 AND 6))::INT AS missing FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+@query("SELECT conv_id, md5(COALESCE(string_agg(t, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE turn BETWEEN 1 AND 6 AND t <> ''), '')) AS digest, md5(COALESCE(string_agg('<block_' || turn || '>' || chr(10) || t || chr(10) || '</block_' || turn || '>', chr(10) || chr(10) ORDER BY turn) FILTER (WHERE turn BETWEEN 1 AND 6 AND t <> ''), '')) AS marked, (6 - count(DISTINCT turn) FILTER (WHERE turn BETWEEN 1 AND 6))::INT AS missing FROM (SELECT conv_id, turn, regexp_replace(text, '^[\\s\\x0B　]+|[\\s\\x0B　]+$', '', 'g') AS t FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id")
 def z29_page_texts(spark, sf_dir):
     """Turns as the blocks of a page."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("block"), "text")
-    return W.page_texts(c, "conv_id").select("conv_id", F.md5("text").alias("digest"), F.size("missing").alias("missing"))
+    return W.page_texts(c, "conv_id").select("conv_id", F.md5("text").alias("digest"), F.md5("marked").alias("marked"), F.size("missing").alias("missing"))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE lang = 'en') AS success, count(*) FILTER (WHERE lang <> 'en') AS failed, sum(CASE WHEN lang = 'en' THEN length(text) ELSE 0 END)::BIGINT AS characters, round(avg(CASE WHEN lang = 'en' THEN length(text) END), 4) AS mean_characters, round(avg(CASE WHEN lang = 'en' THEN 100.0 ELSE 0.0 END), 2) AS success_percent FROM documents")
@@ -45,13 +46,6 @@ def z32_ocr_statistics(spark, sf_dir):
     return W.ocr_statistics(d).withColumn("mean_characters", F.round("mean_characters", 4))
 
 
-@query("SELECT l_orderkey, round(avg(CASE WHEN l_discount > 0 THEN l_discount * 10 END), 6) AS mean_confidence, round(avg(CASE WHEN l_discount > 0 THEN (l_discount * 10 < 0.86)::INT END), 6) AS low_ratio, count(*) FILTER (WHERE l_returnflag = 'A') AS markers FROM lineitem GROUP BY l_orderkey HAVING max(l_discount) > 0")
-def g24_entry_quality(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_discount") * 10).alias("confidence"), F.col("l_returnflag").alias("text"))
-    q = W.entry_quality(rows, "l_orderkey", ["A"]).filter("mean_confidence > 0")
-    return q.select("l_orderkey", F.round("mean_confidence", 6).alias("mean_confidence"), F.round("low_ratio", 6).alias("low_ratio"), F.col("markers").cast("long").alias("markers"))
-
-
 @query("SELECT conv_id, turn, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS entry FROM conversations")
 def w10_entry_ids(spark, sf_dir):
     return W.entry_ids(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "entry")
@@ -82,10 +76,13 @@ def z35_numbered_references(spark, sf_dir):
     return W.numbered_references([n, r]).select("ref", "number")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'source_not_found' WHEN event_id % 5 = 0 THEN 'access_restricted' WHEN event_id % 3 = 0 THEN 'not_downloadable' WHEN event_id % 2 = 0 THEN 'page_unknown' ELSE 'none' END AS reason FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'none' WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 9 = 0 THEN 'none' WHEN event_id % 3 = 0 THEN 'no_digital_pid' WHEN event_id % 3 = 1 THEN 'rights' ELSE 'unknown' END WHEN event_id % 4 = 0 THEN 'download_http_404' WHEN event_id % 4 = 1 AND event_id % 9 = 0 THEN 'print_button_not_found' WHEN event_id % 4 = 1 THEN 'no_digital_pid' WHEN event_id % 6 = 0 THEN 'remote_copy_only_no_print' ELSE 'none' END AS reason FROM events")
 def z26_unavailable_reason(spark, sf_dir):
     i = F.col("event_id")
-    reason = W.unavailable_reason(i % 7 != 0, i % 3 != 0, i % 5 == 0, i % 2 != 0)
+    known = F.when(i % 3 == 0, "no_digital_pid").when(i % 3 == 1, "rights").otherwise("")
+    notes = F.when(i % 4 == 0, "x download_http_404 y").when(i % 4 == 1, "print_button_not_found\nrestricted_download_skipped_no_ndl_pid").when(i % 4 == 2, "")
+    failures = F.when(i % 6 == 0, "{'reason': 'remote_copy_only_no_print'}")
+    reason = W.unavailable_reason(i % 7 == 0, F.when(i % 5 == 0, "unavailable"), known, notes, failures, i % 9 == 0)
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(reason, F.lit("none")).alias("reason"))
 
 
@@ -102,10 +99,12 @@ def t_k13_literature_split(spark, sf_dir):
     return W.literature_split(w, "year", 2025).select("id", "kind")
 
 
-@query("SELECT p_partkey, greatest(1, p_size - 2) AS from_page, least(40, p_size + 3 + 2) AS to_page FROM part WHERE p_size <= 40")
+@query("SELECT p_partkey, CASE WHEN m THEN s ELSE greatest(1, p_size - 2) END::INT AS from_page, CASE WHEN m THEN s + 30 ELSE p_size + 39 END::INT AS to_page, CASE WHEN NOT m THEN 0 WHEN p_size >= 10 THEN 2 ELSE 1 END::INT AS mapped, CASE WHEN m THEN 'double_page_mapping_used: book_p10->scan_p3' ELSE '' END AS note FROM (SELECT *, p_partkey % 2 = 0 AND p_size + 37 >= 10 AS m, 3 + p_size AS s FROM part)")
 def d09_download_plan(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_size <= 40").select("p_partkey", F.array(F.col("p_size"), F.col("p_size") + 3).alias("pages"), F.lit(40).alias("last"))
-    return W.download_plan(p).select("p_partkey", "from_page", "to_page")
+    """Two cited pages each; half of the items have a mapping."""
+    mapped = F.col("p_partkey") % 2 == 0
+    p = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size"), F.col("p_size") + 37).alias("pages"), *(F.when(mapped, F.lit(v)).alias(n) for n, v in (("anchor_scan", 3), ("anchor_book", 10), ("pages_per_scan", 2))), F.when(mapped, 3 + F.col("p_size")).alias("start_scan"), F.when(mapped, 33 + F.col("p_size")).alias("end_scan"))
+    return W.download_plan(p).select("p_partkey", "from_page", "to_page", F.size("mapped").alias("mapped"), "note")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")

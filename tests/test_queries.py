@@ -40,7 +40,7 @@ def test_query(spark, sf_dir, duck, name):
 
 
 def test_packed_chunks_cover_the_text(spark, sf_dir):
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - set(SQL) == {"r03_ivf_recall"}
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     for name in ("c01_recursive_chunks", "c07_sentence_chunks"):
         held = {}
