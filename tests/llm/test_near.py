@@ -241,6 +241,37 @@ def test_fingerprints(odd, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_fingerprints_of_hot_ids(spark):
+    rng = random.Random(31)
+    text = lambda: "\n".join(f"line {rng.randint(0, 50)}" for _ in range(rng.randint(0, 6)))
+    rows = [(7, text()) for _ in range(90)] + [(None, text()) for _ in range(80)] + [(k, text()) for k in range(20)] + [(7, "same")] * 30 + [(9, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = fingerprints.with_following(docs)
+    sizes = {r["range"]: r["count"] for r in dealt.filter("NOT ahead").groupBy("range").count().collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 110 and dealt.filter("ahead").count() == len(sizes)
+    got = fingerprints.fingerprints(docs).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"]) for r in got) == sorted((i is None, i or 0, len(t or "")) for i, t in rows)
+    # In one partition the same rows follow one another, so the edits are the same.
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    alone = fingerprints.fingerprints(docs.coalesce(1)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(str, got)) == sorted(map(str, alone))
+
+
+def test_likeness_of_stored_fingerprints(spark):
+    lines = [f"line {k} with some words" for k in range(40)]
+    texts = ["\n".join(lines), "\n".join([*lines[:38], "other"]), "\n".join(f"else {k}" for k in range(40)), "", "\n".join(lines)]
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    prints = [rows[k]["fingerprint"] for k in range(5)]
+    assert fingerprints.likeness(prints[0], prints[1]) == 38 / 41 and fingerprints.likeness(prints[0], prints[4]) == 1.0
+    assert fingerprints.likeness(prints[0], prints[2]) is None and fingerprints.likeness(prints[3], prints[3]) == 1.0 and fingerprints.likeness(None, prints[0]) is None
+    for r in rows.values():
+        alike = fingerprints.likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert alike is None or alike == r["near_edited"]
+    frame = spark.createDataFrame([(prints[0], prints[1]), (prints[0], prints[2]), (None, prints[0])], "a string, b string")
+    assert [r["v"] for r in frame.select(fingerprints.likeness_of("a", "b").alias("v")).collect()] == [38 / 41, None, None]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), max_size=60), st.lists(st.integers(0, 30), max_size=60))
 def test_fingerprints_recover_the_differing_digests(old, new):
