@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from ..functions.text import collapse
 from .dedup import keep_first
 
 HAN = "[㐀-鿿]"
@@ -77,16 +78,112 @@ def review_decision(score: Column, cues: Column, cue_matches: Column) -> Column:
     return F.when(score >= 0.45, "direct_support").when((score >= 0.16) | ((cues >= 0.25) & (cue_matches >= 2)), "partial_support").otherwise("not_supported")
 
 
+def page_segments(passages: DataFrame, least: int = 20) -> DataFrame:
+    """passages (text) with place and segment: blocks between blank lines that have `least` characters when cleaned.
+
+    A text that is not blank always has such blocks, so sentences are never grouped instead.
+    """
+    blocks = F.transform(F.split(F.translate(F.coalesce("text", F.lit("")), "\r", "\n"), r"\n{2,}"), lambda p: F.regexp_replace(p, r"^[\s　]+|[\s　]+$", ""))
+    rows = passages.withColumn("_b", F.filter(blocks, lambda p: F.length(p) > 0))
+    return rows.select(*passages.columns, F.posexplode("_b").alias("place", "segment")).filter(F.length(collapse(F.col("segment"))) >= least).drop("text")
+
+
+def scored_segments(claims: DataFrame, segments: DataFrame, key: str, groups: dict[str, list[str]]) -> DataFrame:
+    """Every claim (key, claim) with every segment of its key, and their score."""
+    pairs = claims.join(segments, key).withColumns({"_a": match_text(F.col("claim")), "_b": match_text(F.col("segment"))})
+    return pairs.withColumn("score", alignment_score(F.col("claim"), F.col("segment"), F.col("_a"), F.col("_b"), groups)).drop("_a", "_b")
+
+
+def trimmed_segments(rows: DataFrame, key: list[str], groups: dict[str, list[str]], size: int = 220, step: int = 60, whole: int = 260) -> DataFrame:
+    """Rows (key, claim, segment) with `matched`: the segment up to a scan number; of one longer than `whole` its best window, if that scores more than all of it."""
+    cleaned = collapse(F.split("segment", r"E\d{6,}", 2)[0])
+    starts = F.when(F.length("_c") > whole, F.sequence(F.lit(0), F.greatest(F.length("_c") - size, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_c", cleaned)
+    parts = rows.select(*key, "claim", "_c", F.explode(F.concat(F.array(F.lit(-1)), starts)).alias("_at"))
+    parts = parts.withColumn("_w", F.when(F.col("_at") < 0, F.col("_c")).otherwise(F.substring(F.col("_c"), F.col("_at") + 1, F.lit(size))))
+    parts = parts.withColumns({"_a": match_text(F.col("claim")), "_b": match_text(F.col("_w"))})
+    parts = parts.withColumn("_s", alignment_score(F.col("claim"), F.col("_w"), F.col("_a"), F.col("_b"), groups))
+    best = parts.groupBy(*key).agg(F.max_by("_w", F.struct("_s", -F.col("_at"))).alias("matched"))
+    return rows.drop("_c").join(best, key)
+
+
 def aligned(claims: DataFrame, passages: DataFrame, groups: dict[str, list[str]], least: int = 20) -> DataFrame:
-    """The best passage of each claim: (candidate_id, claim, page, segment, score), joined on candidate_id.
+    """The best passage of each claim: (candidate_id, claim, page, segment, score, matched), joined on candidate_id.
+
+    Passages are split at blank lines; segments under `least` characters don't count. The exact score decides, ties go to the lower page; it is told
+    to four places, and `matched` is the part of a long segment that fits best.
+    """
+    scored = scored_segments(claims, page_segments(passages.select("candidate_id", "page", "text"), least), "candidate_id", groups)
+    best = keep_first(scored, ["candidate_id", "claim"], [F.desc("score"), "page", "place"]).drop("place")
+    return _rounded(trimmed_segments(best.withColumn("_k", F.md5("claim")), ["candidate_id", "_k"], groups).drop("_k"))
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("score", F.bround("score", 4))
+
+
+def page_priority_alignment(candidates: DataFrame, pages: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """(candidate_id, page, matched, score, scope, notes) of candidates by the pages they cite, then by those around them.
+
+    candidates: (candidate_id, claim, cited: pages, mode: page span, claims: parts of the claim); pages: (candidate_id, ordinal, page, text).
+
+    * Without cited pages all pages count. If no cited page is there, all pages do (context_fallback).
+    * Spans of separate pages are aligned claim by claim, eight at most, to the cited pages; `matched` lists what was found.
+    * In a continuous range the cited pages also count as one page, the first.
+    * A context page is taken instead where `context_promotion` says so.
+    * If the cited pages give nothing, all pages count again.
 
-    Passages are split at blank lines; segments under `least` characters don't count. Ties go to the lower page.
+    Every segment is scored once against the whole claim; the three scopes are the best of its rows.
     """
-    parts = F.transform(F.split("text", r"\n{2,}"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", "")))
-    segments = passages.select("candidate_id", "page", F.posexplode(parts).alias("place", "segment")).filter(F.length("segment") >= least)
-    pairs = claims.join(segments, "candidate_id").withColumns({"_a": match_text(F.col("claim")), "_b": match_text(F.col("segment"))})
-    scored = pairs.withColumn("score", F.bround(alignment_score(F.col("claim"), F.col("segment"), F.col("_a"), F.col("_b"), groups), 4))
-    return keep_first(scored, ["candidate_id", "claim"], [F.desc("score"), "page", "place"]).drop("place", "_a", "_b")
+    held = pages.join(candidates.select("candidate_id", "cited", "mode"), "candidate_id")
+    held = held.withColumns({"is_cited": F.coalesce(F.array_contains("cited", F.col("page")), F.lit(False))})
+    cited = held.filter("is_cited")
+    shown = cited.groupBy("candidate_id").agg(F.count("*").alias("n_cited"), F.count_distinct("page").alias("n_pages"), F.array_sort(F.collect_list(F.struct("page", "ordinal", F.coalesce("text", F.lit("")).alias("t")))).alias("_p"), F.first("mode").alias("mode"))
+    joined = F.array_join(F.transform(F.filter("_p", lambda x: x["t"] != ""), lambda x: x["t"]), "\n\n")
+    window = shown.filter("mode = 'continuous_range' AND n_pages >= 2").select("candidate_id", F.lit(1 << 30).alias("ordinal"), F.get("_p", F.lit(0))["page"].alias("page"), joined.alias("text"), F.lit(True).alias("is_cited"), F.lit(True).alias("joined"))
+    rows = held.select("candidate_id", "ordinal", "page", "text", "is_cited", F.lit(False).alias("joined")).unionByName(window)
+    scored = scored_segments(candidates.select("candidate_id", "claim"), page_segments(rows), "candidate_id", groups)
+    best = lambda when: F.max_by(F.when(when, F.struct("page", "segment", "score")), F.when(when, F.struct("score", -F.col("ordinal"), -F.col("place"))))
+    scopes = scored.groupBy("candidate_id").agg(best(F.col("is_cited")).alias("_cited"), best(~F.col("is_cited")).alias("_context"), best(~F.col("joined")).alias("_all"))
+
+    parts = shown.filter("mode = 'distributed_pages' AND n_cited >= 2").select("candidate_id").join(candidates.select("candidate_id", "claim", F.slice(F.coalesce("claims", F.array("claim")), 1, 8).alias("claims")), "candidate_id")
+    parts = parts.select("candidate_id", F.posexplode(F.when(F.size("claims") > 0, F.col("claims")).otherwise(F.array("claim"))).alias("index", "claim"))
+    segments = page_segments(cited.select("candidate_id", "ordinal", "page", "text"))
+    each = keep_first(scored_segments(parts, segments, "candidate_id", groups), ["candidate_id", "index"], [F.desc("score"), "ordinal", "place"])
+    each = _rounded(trimmed_segments(each, ["candidate_id", "index"], groups))
+    listed = F.array_sort(F.collect_list(F.struct("index", F.concat(F.lit("[p"), F.col("page").cast("string"), F.lit("] "), "matched").alias("t"))))
+    spread = each.groupBy("candidate_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("_text"), F.max_by("page", F.struct("score", -F.col("index"))).alias("_page"), F.max("score").alias("_score"))
+
+    out = candidates.select("candidate_id", "claim", "cited").join(shown.select("candidate_id", "n_cited", F.col("mode").alias("_mode"), "n_pages"), "candidate_id", "left").join(scopes, "candidate_id", "left").join(spread, "candidate_id", "left")
+    score = lambda c: F.coalesce(F.bround(F.col(f"{c}.score"), 4), F.lit(0.0))
+    none = F.coalesce(F.size("cited"), F.lit(0)) <= 0
+    distance = page_distance(F.col("_context.page"), F.col("cited"))
+    better = F.coalesce(F.col("_context").isNotNull() & (score("_context") > score("_cited") + 0.15), F.lit(False))
+    promoted = F.coalesce(F.col("_context").isNotNull() & context_promotion(F.when(F.col("_cited").isNull(), 0.0).otherwise(score("_cited")), score("_context"), distance), F.lit(False))
+    scope = F.when(none, "all_extracted_pages").when(F.col("n_cited").isNull(), "context_fallback").when(F.col("_text").isNotNull(), "distributed_cited_pages").when(promoted, "context_promoted_from_cited_pages").when(F.col("_cited").isNotNull(), "cited_pages").otherwise("context_fallback")
+    out = out.withColumn("scope", scope)
+    chosen = F.when(F.col("scope") == "context_promoted_from_cited_pages", F.col("_context")).when(F.col("scope") == "cited_pages", F.col("_cited")).otherwise(F.col("_all"))
+    used = ~none & F.col("n_cited").isNotNull() & F.col("_text").isNull()
+    place = F.concat(F.lit("p"), F.col("_context.page").cast("string"))
+    aligned_here = F.when(chosen.isNull(), "no_passage_candidates").otherwise("heuristic_alignment_used")
+    notes = F.concat_ws(
+        "; ",
+        F.when(F.col("scope") == "distributed_cited_pages", "distributed_page_claim_alignment_used"),
+        F.when(used, "cited_page_alignment_used"),
+        F.when(used & (F.col("_mode") == "continuous_range"), "continuous_page_window_alignment_used"),
+        F.when(used, F.when(F.col("_cited").isNull(), "no_passage_candidates").otherwise("heuristic_alignment_used")),
+        F.when(used & better, F.concat(F.lit("context_alignment_preview_higher_confidence:"), place)),
+        F.when(used & promoted, F.concat(F.lit("context_alignment_selected_over_weak_cited_page:"), place)),
+        F.when(used & (F.col("scope") == "context_fallback"), F.concat(F.lit("cited_pages_no_alignment_context_fallback; "), aligned_here)),
+        F.when(~none & F.col("n_cited").isNull(), F.concat(F.lit("cited_pages_not_extracted_context_fallback; "), aligned_here)),
+        F.when(none, aligned_here),
+    )
+    picked = out.withColumns({"notes": notes, "_chosen": chosen})
+    whole = picked.filter("_text IS NULL OR scope <> 'distributed_cited_pages'").filter("_chosen IS NOT NULL").select("candidate_id", "claim", F.col("_chosen.segment").alias("segment"))
+    matched = trimmed_segments(whole, ["candidate_id"], groups).select("candidate_id", "matched")
+    spread_out = F.col("scope") == "distributed_cited_pages"
+    final = picked.join(matched, "candidate_id", "left")
+    return final.select("candidate_id", F.when(spread_out, F.col("_page")).otherwise(F.col("_chosen.page")).alias("page"), F.when(spread_out, F.col("_text")).otherwise(F.coalesce("matched", F.lit(""))).alias("matched"), F.when(spread_out, F.col("_score")).otherwise(F.bround("_chosen.score", 4)).alias("score"), "scope", "notes")
 
 
 def narrowest_range(requests: DataFrame, cached: DataFrame) -> DataFrame:

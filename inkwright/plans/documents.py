@@ -186,13 +186,6 @@ def e13_disambiguation(spark, sf_dir):
     return E.disambiguated(rows, rules).select("entity", "standard_name", "score", "known")
 
 
-@query("SELECT 1::BIGINT AS candidate_id, 41 AS page")
-def r25_alignment(spark, sf_dir):
-    claims = spark.createDataFrame([(1, "维护制度的实践路径")], "candidate_id long, claim string")
-    passages = spark.createDataFrame([(1, 40, "天気は晴れで、海は静かであり、船は港を出た。人々は見送った。"), (1, 41, "制度維持の実践手順を詳しく述べ、制度と実践の関係を論じたうえで結論を示す。")], "candidate_id long, page int, text string")
-    return V.aligned(claims, passages, {"制度": ["制度"], "实践": ["实践", "実践"]}).select("candidate_id", "page")
-
-
 @query("SELECT * FROM (VALUES ('Edo', 'place', 0, 1.0::DOUBLE), ('', 'person', 1, 0.5::DOUBLE)) t(name, category, missing, confidence)")
 def f14_required_fields(spark, sf_dir):
     rows = spark.createDataFrame([("Edo", "place"), ("", "person")], "name string, category string")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import citation_units as C
 from ..operators import entries as N
+from ..operators import evidence as E
 from ..operators import layout as L
+from ..operators import narratives as T
 from ..operators import page_mapping as P
+from ..operators import resolvers as R
 from ..operators import vector_index as V
 from ..operators.retrieval import batch_top_k
 from .files import place
@@ -193,3 +196,106 @@ def e25_title_lines(spark, sf_dir):
     text = F.expr("CASE p_size % 8 WHEN 0 THEN '山田 太郎' WHEN 1 THEN '市川重三郎' WHEN 2 THEN '満鉄総務部' WHEN 3 THEN '奥村重直' WHEN 4 THEN '三馬路一一七' WHEN 5 THEN '大和通' WHEN 6 THEN '島田一二' ELSE '山田太郎' END")
     kind, height = F.expr("CASE WHEN p_size % 8 IN (3, 7) THEN '本文' ELSE 'タイトル本文' END"), F.expr("CASE WHEN p_size % 8 = 3 THEN 180 ELSE 40 END")
     return table(spark, sf_dir, "part").select("p_partkey", N.title_line(text, kind, F.lit(60), height).alias("title"))
+
+
+_CLAIM, _OTHER = "维护制度的实践路径与满洲铁道的调查", "A passage in another script that says nothing of it."
+
+
+@query(f"SELECT o_orderkey AS candidate_id, CASE WHEN o_orderkey % 3 = 0 THEN 42 ELSE 41 END AS page, 0.8::DOUBLE AS score, '{_CLAIM}の記録である' AS matched FROM orders")
+def r25_alignment(spark, sf_dir):
+    """Orders as candidates: two pages each, of several segments, one of which holds the claim."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("candidate_id"))
+    held = F.lit(f"{_OTHER}\n\n短い\n\n{_CLAIM}の記録である\n\n{_OTHER}")
+    texts = F.array(F.struct(F.lit(41).alias("page"), F.when(F.col("candidate_id") % 3 == 0, _OTHER).otherwise(held).alias("text")), F.struct(F.lit(42).alias("page"), F.when(F.col("candidate_id") % 3 == 0, held).otherwise(f"{_OTHER}\n\n{_OTHER}").alias("text")))
+    found = E.aligned(o.withColumn("claim", F.lit(_CLAIM)), o.select("candidate_id", F.explode(texts).alias("p")).select("candidate_id", "p.page", "p.text"), {})
+    # The claim is the beginning of its segment: all its characters and pairs are there; the ratio of sequences depends on the lengths.
+    a, b = len(_CLAIM), len(_CLAIM) + len("の記録である")
+    return found.select("candidate_id", "page", F.round(F.col("score") - 0.2 * (2 * a / (a + b)) + 0.2, 3).alias("score"), "matched")
+
+
+@query("SELECT o_orderkey AS candidate_id, CASE o_orderkey % 7 WHEN 0 THEN 10 WHEN 1 THEN 11 WHEN 2 THEN 12 WHEN 3 THEN 10 WHEN 4 THEN 10 WHEN 5 THEN 10 ELSE 12 END AS page, CASE o_orderkey % 7 WHEN 0 THEN 'cited_pages' WHEN 1 THEN 'context_promoted_from_cited_pages' WHEN 2 THEN 'context_fallback' WHEN 3 THEN 'all_extracted_pages' WHEN 4 THEN 'cited_pages' WHEN 5 THEN 'distributed_cited_pages' ELSE 'context_fallback' END AS scope FROM orders")
+def r26_page_priority(spark, sf_dir):
+    """Orders as candidates of seven kinds: the claim on a cited page, beside one, where no cited page is at hand, and so on."""
+    kind = F.col("candidate_id") % 7
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("candidate_id")).withColumn("claim", F.lit(_CLAIM))
+    cited = F.when(kind == 3, F.array().cast("array<int>")).when(kind == 2, F.array(F.lit(90))).when(kind.isin(4, 5), F.array(F.lit(10), F.lit(11))).otherwise(F.array(F.lit(10)))
+    mode = F.when(kind == 4, "continuous_range").when(kind == 5, "distributed_pages").otherwise("single_page")
+    o = o.withColumns({"cited": cited, "mode": mode, "claims": F.array(F.lit(_CLAIM[:9]), F.lit(_CLAIM[9:]))})
+    held, other = F.lit(_CLAIM + "の記録である"), F.lit(_OTHER)
+    first = F.when(kind.isin(0, 3, 5), held).when(kind == 6, F.lit("short")).when(kind == 4, F.lit(_CLAIM[:12] + "とある、その前半である")).otherwise(other)
+    second = F.when(kind.isin(1), held).when(kind == 4, F.lit(_CLAIM[12:] + "とある、その後半である")).otherwise(other)
+    third = F.when(kind.isin(2), held).when(kind == 6, F.lit("満と鉄のみを少し含むが、ほとんど関係のない別の長い文章である。" + _OTHER * 2)).otherwise(other)
+    pages = F.array(*(F.struct(F.lit(k).alias("ordinal"), F.lit(10 + k).alias("page"), t.alias("text")) for k, t in enumerate((first, F.when(kind == 6, F.lit("short")).otherwise(second), third))))
+    rows = o.select("candidate_id", F.explode(pages).alias("p")).select("candidate_id", "p.ordinal", "p.page", "p.text")
+    return E.page_priority_alignment(o, rows, {}).select("candidate_id", "page", "scope")
+
+
+@query(f"SELECT book, '山田太郎' AS name, '東京' AS hometown, count(*) AS careers, arg_min(1925 + (n * 7) % 19 + 1, [(n * 7) % 19, n]) AS first_year, arg_min('昭和' || ((n * 7) % 19 + 1) || '年 満鉄' || how || '部', [(n * 7) % 19, n]) AS first_unit FROM {_LINES} GROUP BY book")
+def e17_person_blocks(spark, sf_dir):
+    """Orders as blocks: a name, a birthplace, and a career with a line for each line of the order."""
+    year = (F.col("n") * 7) % 19 + 1
+    said = F.concat(F.lit("昭和"), year.cast("string"), F.lit("年 満鉄"), "how", F.lit("部 勤務"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("s")))), lambda x: x["s"])
+    blocks = _lines(spark, sf_dir).groupBy("book").agg(F.array_join(ordered, "\n").alias("s"))
+    blocks = blocks.select("book", F.concat(F.lit("山田太郎（やまだ）\n本籍： 東京, 麻布\n短\n"), "s").alias("text"))
+    found = T.person_blocks(blocks)
+    first = F.get("experiences", F.lit(0))
+    return found.select("book", "name", "hometown", F.size("experiences").cast("long").alias("careers"), first["start"]["year"].cast("long").alias("first_year"), first["unit"].alias("first_unit"))
+
+
+@query(f"SELECT book, n - 1 AS ordinal, '直接引语' AS kind, 'item ' || l_partkey AS text, CASE WHEN n % 2 = 1 THEN 'Yamada' ELSE '' END AS speaker, CASE WHEN n % 2 = 1 THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence, 2::BIGINT AS times FROM {_LINES}")
+def e16_speeches(spark, sf_dir):
+    """Orders as texts with a speech for each line; both patterns of its quotation marks find it."""
+    said = F.concat(F.when(F.col("n") % 2 == 1, "\nYamada 曰").otherwise("\nThen "), F.lit("「item "), F.col("l_partkey").cast("string"), F.lit("」。"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("s")))), lambda x: x["s"])
+    docs = _lines(spark, sf_dir).groupBy("book").agg(F.array_join(ordered, "").alias("text"))
+    found = T.speeches(docs, "book")
+    rows = found.groupBy("book", "start", "kind", "text", "speaker", "confidence").agg(F.count("*").alias("times"))
+    return rows.select("book", (F.row_number().over(Window.partitionBy("book").orderBy("start")) - 1).cast("long").alias("ordinal"), "kind", "text", "speaker", "confidence", "times")
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN 'in 1905' WHEN 2 THEN '1931-12' WHEN 3 THEN '1904年3月5日' ELSE '' END AS date, CASE p_size % 4 WHEN 1 THEN p_brand WHEN 2 THEN substr('1931-12, ' || p_brand, 1, 50) WHEN 3 THEN p_brand ELSE '' END AS event FROM part")
+def e10_timeline(spark, sf_dir):
+    """The first event of texts with a year in a line, a year alone, a full date, and none."""
+    text = F.expr("CASE p_size % 4 WHEN 1 THEN concat('no\\nin 1905年', p_brand) WHEN 2 THEN concat('See 1931-12, ', p_brand) WHEN 3 THEN concat('1904年3月5日：', p_brand) ELSE 'nothing' END")
+    found = F.get(T.timeline(F.col("t")), F.lit(0))
+    return table(spark, sf_dir, "part").select("p_partkey", text.alias("t")).select("p_partkey", F.coalesce(found["date"], F.lit("")).alias("date"), F.coalesce(found["event"], F.lit("")).alias("event"))
+
+
+_NATION_TERMS = "SELECT n_nationkey AS ord, 'n' || n_regionkey AS source_id, lower(replace(n_name, ' ', '')) AS t FROM nation"
+
+
+@query(f"WITH i AS (SELECT ord, source_id, unnest([t, substr(t, 1, 4)]) AS t FROM ({_NATION_TERMS})), c AS (SELECT s_suppkey AS id, unnest([lower(replace(n_name, ' ', '')) || 'archive', 'x' || s_suppkey]) AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey), m AS (SELECT id, ord, source_id, count(DISTINCT i.t) AS hits FROM c JOIN i ON contains(c.t, i.t) OR contains(i.t, c.t) GROUP BY id, ord, source_id), f AS (SELECT *, row_number() OVER (PARTITION BY id, source_id ORDER BY hits DESC, ord) AS r FROM m) SELECT id, source_id, hits, row_number() OVER (PARTITION BY id ORDER BY hits DESC, ord) AS rank FROM f WHERE r = 1")
+def z16_configured_ids(spark, sf_dir):
+    """Suppliers as citations, nations as configured sources of their region's id."""
+    n = table(spark, sf_dir, "nation")
+    items = n.select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("source_id"), F.array(F.col("n_name"), F.substring(F.replace("n_name", F.lit(" ")), 1, 4)).alias("terms"), F.lit(False).alias("is_default"))
+    asked = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.array(F.concat("n_name", F.lit("・Archive")), F.concat(F.lit("X"), F.col("s_suppkey").cast("string"))).alias("terms"))
+    return R.configured_ids(asked, items).select("id", "source_id", "hits", F.col("rank").cast("long").alias("rank"))
+
+
+@query("WITH i AS (SELECT n_nationkey AS ord, n_regionkey, lower(replace(n_name, ' ', '')) AS t FROM nation), c AS (SELECT s_suppkey AS id, lower(replace(n_name, ' ', '')) || 'archive' AS t FROM supplier JOIN nation ON s_nationkey = n_nationkey), m AS (SELECT DISTINCT id, ord, n_regionkey FROM c JOIN i ON contains(c.t, i.t) OR contains(i.t, c.t)) SELECT id, array_to_string(list_sort(list(ord)), ',') AS items, count(DISTINCT n_regionkey) AS sources, 1 + count(DISTINCT n_regionkey) AS anchors FROM m GROUP BY id")
+def z17_configured_documents(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    items = n.select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("source_id"), F.array("n_name").alias("terms"), F.array(F.lit("all"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.lit("")).alias("anchor"))
+    asked = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.array(F.concat("n_name", F.lit(" Archive"))).alias("terms"))
+    found = R.configured_documents(asked, items, ["anchor"])
+    return found.select("id", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), F.size("source_ids").cast("long").alias("sources"), F.size("anchor").cast("long").alias("anchors"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'series' WHEN o_orderstatus = 'F' THEN 'diary' WHEN o_orderpriority LIKE '1%' THEN 'monograph' ELSE 'generic' END AS resolver FROM orders")
+def m13_resolver_dispatch(spark, sf_dir):
+    rules = [("series", F.col("o_totalprice") > 200000), ("diary", F.col("o_orderstatus") == "F"), ("monograph", F.startswith("o_orderpriority", F.lit("1")))]
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.first_rule(rules).alias("resolver"))
+
+
+@query(f"WITH m AS (SELECT book AS id, n - 1 AS ordinal, 'v' || l_partkey AS source_id, l_suppkey % 3 AS t FROM {_LINES}), f AS (SELECT id, source_id, min(ordinal) AS o FROM m WHERE t < 2 OR (source_id IN (SELECT 'v' || p_partkey FROM part WHERE p_partkey % 50 = 0)) GROUP BY id, source_id), r AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY o) AS rank, source_id, o + 1 AS match_rank FROM f) SELECT id, rank, source_id, match_rank FROM (SELECT *, count(*) OVER (PARTITION BY id) AS k FROM r WHERE rank <= 8) WHERE k > 1")
+def j19_equivalent_sources(spark, sf_dir):
+    """Orders as candidates, their lines as matches: two of three carry the title with another volume, the rest another title; parts divisible by 50 are configured."""
+    line = _lines(spark, sf_dir)
+    title = F.expr("CASE l_suppkey % 3 WHEN 0 THEN '満洲 国史・第三巻' WHEN 1 THEN '満洲国史（下巻）' ELSE '別の書' END")
+    matches = line.select(F.col("book").alias("id"), (F.col("n") - 1).alias("ordinal"), F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("source_id"), title.alias("title"))
+    candidates = line.select(F.col("book").alias("id")).distinct().withColumns({"title": F.lit("論文"), "host_title": F.lit("満洲国史 第十二巻")})
+    configured = line.filter("l_partkey % 50 = 0").select(F.col("book").alias("id"), F.col("n").alias("ordinal"), F.concat(F.lit("v"), F.col("l_partkey").cast("string")).alias("source_id"))
+    found = R.equivalent_sources(candidates, matches, configured)
+    return found.select("id", F.col("rank").cast("long").alias("rank"), "source_id", F.col("match_rank").cast("long").alias("match_rank"))
