@@ -96,7 +96,7 @@ DICTIONARY_BLOCK = 50_000
 
 
 def dictionary_entities(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, entity, category, start): every place of every dictionary entity, overlapping ones too.
+    """(key, entity, category, start): every place of every dictionary entity, overlapping ones too, once for each of its categories.
 
     One pass over each text with an Aho-Corasick automaton of a block of `dictionary` (entity, category).
     """
@@ -107,10 +107,10 @@ def dictionary_entities(docs: DataFrame, dictionary: DataFrame, key: str = "doc_
 
             known = ahocorasick.Automaton()
             for entity, category in words:
-                known.add_word(entity, (entity, category))
+                known.add_word(entity, (entity, [*known.get(entity, (entity, []))[1], category]))
             known.make_automaton()
             for batch in batches:
-                out = [(k, entity, category, end - len(entity) + 1) for k, t in zip(batch[key], batch[text]) if t for end, (entity, category) in known.iter(t)]
+                out = [(k, entity, category, end - len(entity) + 1) for k, t in zip(batch[key], batch[text]) if t for end, (entity, kinds) in known.iter(t) for category in kinds]
                 yield pd.DataFrame(out, columns=[key, "entity", "category", "start"])
 
         return run
@@ -122,7 +122,7 @@ def dictionary_entities(docs: DataFrame, dictionary: DataFrame, key: str = "doc_
         hits = rows.mapInPandas(scan(held), schema)
         return hits if found is None else found.unionByName(hits)
 
-    for row in dictionary.filter("entity <> ''").dropDuplicates(["entity"]).toLocalIterator():
+    for row in dictionary.filter("entity <> ''").select("entity", "category").distinct().orderBy("entity", "category").toLocalIterator():
         held.append((row["entity"], row["category"]))
         if len(held) == DICTIONARY_BLOCK:
             found, held = with_block(found, held), []

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import scan_page
-from ..functions.text import occurrences
 
 def merged_entities(entities: DataFrame) -> DataFrame:
     """One row per (text, category, start, stop): the most confident; it is for review if that row is, or a later, less confident one is.

@@ -1,15 +1,10 @@
-"""Queries for dates, citations, entities, evidence and scores.
-
-The driver's tables hold no kana, Han characters, headings or citations, so most of these run on small literal
-inputs; their SQL gives the results worked out by hand or computed from the same literals.
-"""
+"""Queries for dates, evidence and scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import dates as T
-from ..functions import text as X
 from ..operators import evidence as V
 from ..operators import extraction as E
 from ..operators import runs as U
@@ -34,19 +29,6 @@ def d01_era_year(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(T.era_year(era, F.col("p_size")), F.lit(-1)).alias("year"))
 
 
-@query("SELECT * FROM (VALUES ('1903-01-01', 36), ('1903-01-02', 36), ('1926-12-25', 15)) t(date_key, era_year)")
-def d02_era_dates(spark, sf_dir):
-    pages = spark.createDataFrame([(7, "明治三十六年一月一日 晴。日誌本文。明治36年1月2日"), (8, "大正十五年十二月廿五日")], "page int, text string")
-    d = pages.select(F.explode(T.era_dates(F.col("text"))).alias("d")).select("d.*")
-    return d.select(T.date_key(F.col("year"), F.col("month"), F.col("day")).alias("date_key"), "era_year")
-
-
-@query("SELECT * FROM (VALUES ('三十六', 36), ('百二', 102), ('千九百', 1900), ('一九〇三', 1903), ('廿五', 25), ('元', 1), ('十', 10), ('第三', -1)) t(text, value)")
-def d05_kanji_numbers(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("三十六", "百二", "千九百", "一九〇三", "廿五", "元", "十", "第三")], "text string")
-    return rows.select("text", F.coalesce(T.kanji_number(F.col("text")), F.lit(-1)).alias("value"))
-
-
 @query("SELECT p_partkey, p_partkey::INT AS value FROM part WHERE p_partkey BETWEEN 1 AND 9999")
 def d06_kanji_round_trip(spark, sf_dir):
     p = table(spark, sf_dir, "part").filter("p_partkey BETWEEN 1 AND 9999")
@@ -61,13 +43,6 @@ def d08_scan_pages(spark, sf_dir):
     return p.select("p_partkey", F.coalesce(scan, F.lit(0)).cast("int").alias("scan"), F.coalesce(F.get(back, F.lit(0)), F.lit(0)).alias("first_page"), F.size(back).alias("pages"))
 
 
-@query("SELECT * FROM (VALUES ('3', 'single_page', 1), ('3, 7', 'distributed_pages', 2), ('5-6', 'continuous_range', 2), ('5-9', 'range_context', 5), ('', 'unmarked', 0), ('9-5', 'unmarked', 0), ('1-3, 2', 'distributed_pages', 3)) t(label, mode, pages)")
-def e08_page_span(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("3", "3, 7", "5-6", "5-9", "", "9-5", "1-3, 2")], "label string").withColumn("p", T.page_list(F.col("label")))
-    mode = T.page_span(F.col("p"), F.col("label").rlike("[,，、;；]"), F.lit(0), F.lit(""), F.col("label").contains("-"))
-    return rows.select("label", mode.alias("mode"), F.size("p").alias("pages"))
-
-
 @query("SELECT o_orderkey, CASE WHEN d < 30 THEN 95 WHEN d < 90 THEN 85 WHEN d < 180 THEN 75 WHEN d < 365 THEN 65 ELSE 55 END::DOUBLE AS score FROM (SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-12-31') AS d FROM orders)")
 def r19_recency(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.recency_score(F.to_date("o_orderdate"), F.lit("1998-12-31").cast("date")).alias("score"))
@@ -125,82 +100,12 @@ def r31_page_check(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", V.page_check(page, low, F.lit(20)).alias("page_status"))
 
 
-_CITATION = 'Smith, John. "Tokugawa Reforms." Journal of Japanese History, 2012, vol. 12, no. 3, pp. 45-67. https://doi.org/10.1234/abcd'
-
-
-@query("SELECT 'Tokugawa Reforms' AS title, '2012' AS year, '12' AS volume, '3' AS issue, '45-67' AS pages, '10.1234/abcd' AS doi, 'https://doi.org/10.1234/abcd' AS url, 0.95::DOUBLE AS confidence, 'chicago' AS style")
-def e01_citation_fields(spark, sf_dir):
-    rows = spark.createDataFrame([(_CITATION,)], "c string").withColumn("f", E.citation_fields(F.col("c")))
-    return rows.select("f.*", E.citation_confidence(F.col("f")).alias("confidence"), E.citation_style(F.col("c")).alias("style"))
-
-
-@query("SELECT * FROM (VALUES ('制度維持の手順'), ('a long English quote')) t(quote)")
-def e07_quotes(spark, sf_dir):
-    rows = spark.createDataFrame([("彼は「制度維持の手順」と「短い」と述べ “a long English quote” とした",)], "t string")
-    return rows.select(F.explode(E.quotes(F.col("t"))).alias("quote"))
-
-
-_NOTES = "preface\n# Introduction\none\n## Part\ntwo\n## Other\n### Deep\nx\n# Conclusion\nend"
-
-
-@query("SELECT * FROM (VALUES (0, 0, 'Document Start', -1), (1, 1, 'Introduction', -1), (2, 2, 'Part', 1), (3, 2, 'Other', 1), (4, 3, 'Deep', 3), (5, 1, 'Conclusion', -1)) t(section, level, title, parent)")
-def s09_markdown_sections(spark, sf_dir):
-    docs = spark.createDataFrame([(1, _NOTES)], "doc_id long, text string")
-    return E.heading_parents(E.headings(docs)).select(F.col("section").cast("int").alias("section"), "level", "title", F.coalesce(F.col("parent").cast("int"), F.lit(-1)).alias("parent"))
-
-
-@query("SELECT * FROM (VALUES ('home', 'https://example.com')) t(title, url)")
-def s10_markdown_links(spark, sf_dir):
-    rows = spark.createDataFrame([("see [home](https://example.com) now",)], "t string")
-    return rows.select(F.explode(X.links(F.col("t"))).alias("l")).select("l.title", "l.url")
-
-
-@query("SELECT * FROM (VALUES (0, 'python', 2, 'a = 1' || chr(10) || 'b = 2' || chr(10) || '```')) t(index, language, line_count, preview)")
-def s11_code_blocks(spark, sf_dir):
-    rows = spark.createDataFrame([("text\n```python\na = 1\nb = 2\n```\nend",)], "t string")
-    return rows.select(F.explode(X.code_blocks(F.col("t"))).alias("b")).select("b.*")
-
-
-@query("SELECT * FROM (VALUES ('a.PDF', 'pdf'), ('b/c.markdown', 'markdown'), ('n.txt', 'text'), ('x.htm', 'html'), ('y.docx', 'docx'), ('none', 'unknown')) t(path, kind)")
-def s01_file_types(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("a.PDF", "b/c.markdown", "n.txt", "x.htm", "y.docx", "none")], "path string")
-    return rows.select("path", X.file_type(F.col("path")).alias("kind"))
-
-
-@query("SELECT * FROM (VALUES ('日本の歴史です', 'japanese'), ('江户幕府将军统治制度', 'chinese'), ('plain text', 'general')) t(text, language)")
-def c02_split_language(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("日本の歴史です", "江户幕府将军统治制度", "plain text")], "text string")
-    return rows.select("text", X.split_language(F.col("text")).alias("language"))
-
-
 @query("SELECT doc_id, w.word AS entity, (k - 1)::BIGINT AS start FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS k FROM documents) d JOIN (VALUES ('thing'), ('hin'), ('qui ')) w(word) ON substr(d.text, d.k, length(w.word)) = w.word")
 def e12_dictionary_entities(spark, sf_dir):
     words = spark.createDataFrame([("thing", "noun"), ("hin", "part"), ("qui ", "pronoun")], "entity string, category string")
     return E.dictionary_entities(table(spark, sf_dir, "documents"), words).select("doc_id", "entity", F.col("start").cast("long").alias("start"))
 
 
-@query("SELECT * FROM (VALUES ('江户', '德川幕府', 0.8::DOUBLE, true), ('Unknown Entity', 'Unknown Entity', 0.0::DOUBLE, false)) t(entity, standard_name, score, known)")
-def e13_disambiguation(spark, sf_dir):
-    rules = spark.createDataFrame([("江户", 1, "东京", "place", ["城市"], ["都市"]), ("江户", 2, "德川幕府", "organization", ["幕府", "将军"], ["统治"])], "entity string, rule_order int, standard_name string, category string, patterns array<string>, keywords array<string>")
-    rows = spark.createDataFrame([("江户", "江户幕府 将军 统治"), ("Unknown Entity", "")], "entity string, context string")
-    return E.disambiguated(rows, rules).select("entity", "standard_name", "score", "known")
-
-
-@query("SELECT * FROM (VALUES ('Edo', 'place', 0, 1.0::DOUBLE), ('', 'person', 1, 0.5::DOUBLE)) t(name, category, missing, confidence)")
-def f14_required_fields(spark, sf_dir):
-    rows = spark.createDataFrame([("Edo", "place"), ("", "person")], "name string, category string")
-    missing, confidence = U.required_fields(["name", "category"])
-    return rows.select("name", "category", F.size(missing).alias("missing"), confidence.alias("confidence"))
-
-
-@query("SELECT 'doc_a' AS source, 'doc_b' AS target, 0.85::DOUBLE AS confidence")
-def j04_citation_edges(spark, sf_dir):
-    from ..operators.graph import citation_edges
-
-    docs = spark.createDataFrame([("doc_a", "Meiji Political Thought", "It builds on Tokugawa Governance Reform of 2001."), ("doc_b", "Tokugawa Governance Reform", "An older study.")], "id string, title string, text string")
-    return citation_edges(docs).select("source", "target", F.round("confidence", 4).alias("confidence"))
-
-
 @query("SELECT doc_id, (doc_id % 5 + unnest([1, 2, 3]))::INT AS page FROM documents")
 def d10_page_explode(spark, sf_dir):
     pages = F.expr("concat(doc_id % 5 + 1, '-', doc_id % 5 + 3)")

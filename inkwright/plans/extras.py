@@ -176,11 +176,6 @@ def w13_section_bodies(spark, sf_dir):
     return s.select("p_partkey", F.col("section").cast("int").alias("section"), "level", F.md5("content").alias("digest"))
 
 
-@query("SELECT 1 AS a, 'x' AS b")
-def m05_first_valid_json(spark, sf_dir):
-    return spark.range(1).select(R.first_json(F.lit('note {x} and {"a": 1, "b": "x"} {"a": 2}'), "a int, b string").alias("j")).select("j.*")
-
-
 @query("SELECT vec_id AS chunk_id, vec_id % 50 AS document_id FROM embeddings WHERE vec_id % 50 = 3")
 def f17_stored_ids(spark, sf_dir):
     return S.stored_ids(table(spark, sf_dir, "embeddings").selectExpr("vec_id AS chunk_id", "vec_id % 50 AS document_id"), 3)

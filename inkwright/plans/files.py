@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources import readers, writers
+from ..sources import writers
 from ..streaming import progress
 from .tables import table
 
@@ -78,14 +78,6 @@ def t01_stream_pairs(spark, sf_dir):
     return done.groupBy("key").agg(F.count("*").alias("pairs"), F.round(F.sum("seconds"), 2).alias("seconds"))
 
 
-@query("SELECT 'note.txt' AS name, 'text' AS kind, 'plain words' AS text UNION ALL SELECT 'page.html', 'html', 'Head body'")
-def s04_directory_scan(spark, sf_dir):
-    path = place(spark, "files")
-    for name, text in (("note.txt", "plain words"), ("page.html", "<h1>Head</h1><p>body</p>"), ("skip.bin", "x")):
-        _put(spark, f"{path}/{name}", text)
-    return readers.documents(spark, path).select("name", "kind", "text")
-
-
 def _put(spark, path: str, text: str) -> None:
     """A small file, written through Spark's own file system layer so that executors can read it."""
     jvm = spark.sparkContext._jvm

@@ -89,19 +89,6 @@ def g11_sentence_shape(spark, sf_dir):
     return s.select("doc_id", *[F.round(f"s.{c}", 4).alias(c) for c in ("mean_length", "long_share", "short_share")])
 
 
-@query("SELECT * FROM (VALUES (1, 'missing_section', 'analysis'), (1, 'length_warning', NULL), (1, 'section_too_long', 'Introduction'), (1, 'section_too_short', 'Conclusion')) t(doc_id, issue, section)")
-def e20_outline_issues(spark, sf_dir):
-    s = spark.createDataFrame([(1, 0, "Introduction", "a b c d e f g h i j k l m n o p q r s t u v"), (1, 1, "Conclusion", "x")], "doc_id int, section int, title string, content string")
-    return U.outline_issues(U.outline_ratios(s), ["introduction", "analysis", "conclusion"])
-
-
-@query("SELECT * FROM (VALUES (1, 1.0::DOUBLE), (2, 0.0::DOUBLE)) t(id, score)")
-def r05_record_scores(spark, sf_dir):
-    rows = [(1, "満洲国史", "満洲国史編纂刊行会", "1970", None, "満洲国史", "満洲国史編纂刊行会", "1970", "x"), (2, "", None, None, None, "abc", None, None, None)]
-    names = "id int, title string, author string, year string, publisher string, r_title string, r_author string, r_year string, r_publisher string"
-    return R.record_scores(spark.createDataFrame(rows, names)).select("id", F.round("score", 4).alias("score"))
-
-
 @query("SELECT s_suppkey, fallback FROM (SELECT s_suppkey, s_nationkey, score, max(score) OVER (PARTITION BY s_nationkey) < 0.35 AS fallback, row_number() OVER (PARTITION BY s_nationkey, score >= 0.2 ORDER BY s_suppkey) AS r FROM (SELECT *, s_nationkey / 60.0 + s_suppkey % 5 / 40.0 AS score FROM supplier)) WHERE (NOT fallback AND score >= 0.35) OR (fallback AND score >= 0.2 AND r = 1)")
 def z13_plausible_or_best(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumns({"score": F.col("s_nationkey") / 60 + F.col("s_suppkey") % 5 / 40, "ordinal": F.col("s_suppkey")})
@@ -116,38 +103,8 @@ def t_k16_preferred_source(spark, sf_dir):
     return R.preferred_source(rows, "o_custkey").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT 1 AS book, 2 AS per_scan")
-def w07_pages_per_scan(spark, sf_dir):
-    seen = [(1, s, n) for s, ns in {1: (10, 11), 2: (12, 13), 4: (16, 17), 5: (18, 19), 6: (60, 61)}.items() for n in ns]
-    return R.pages_per_scan(spark.createDataFrame(seen, "book int, scan int, number int"), "book")
-
-
-@query("SELECT * FROM (VALUES (1, 1, 'diary'), (1, 2, 'diary 1904'), (1, 3, 'diary v2'), (1, 4, 'diary v2 1904')) t(id, ordinal, query)")
-def m12_query_terms(spark, sf_dir):
-    return R.query_terms(spark.createDataFrame([(1, ["diary"], ["v2"], ["1904"])], "id int, anchors array<string>, volumes array<string>, specifics array<string>"))
-
-
-@query("SELECT * FROM (VALUES (1, true, 2::BIGINT, 3::BIGINT), (2, false, 1::BIGINT, 1::BIGINT)) t(id, complete, covered, hits)")
-def z21_facet_packets(spark, sf_dir):
-    facets = spark.createDataFrame([(1, "who", ["満鉄"], True), (1, "when", ["昭和"], True), (2, "who", ["満鉄"], True), (2, "where", ["大連"], True)], "id int, facet string, terms array<string>, required boolean")
-    contexts = spark.createDataFrame([(1, 0, "満鉄の昭和史"), (1, 1, "満鉄調査部"), (2, 0, "満鉄のみ")], "id int, ordinal int, text string")
-    return R.facet_packets(facets, contexts)
-
-
-@query("SELECT * FROM (VALUES (1, 0, '満洲国史'), (1, 1, '満洲国史'), (1, 2, 'other')) t(doc_id, ordinal, resolved_title)")
-def j12_aliased_titles(spark, sf_dir):
-    notes = spark.createDataFrame([(1, 0, "満洲国史", ["满洲国史"]), (1, 1, "满洲国史", []), (1, 2, "other", ["满洲国史"])], "doc_id int, ordinal int, title string, defines array<string>")
-    return R.aliased_titles(notes).select("doc_id", "ordinal", "resolved_title")
-
-
 @query("SELECT event_id, round(greatest(0.1, least(0.35 + (event_id % 11) / 10.0 * 0.35 + (event_id % 3) / 2.0 * 0.15 + CASE WHEN event_id % 2 = 0 THEN 0.05 ELSE 0 END - least(0.35, event_id % 8 * 0.06), 0.95)), 6) AS confidence FROM events")
 def z27_verification_confidence(spark, sf_dir):
     i = F.col("event_id")
     value = R.verification_confidence((i % 11) / 10, (i % 3) / 2, i % 2 == 0, i % 8, digits=6)
     return table(spark, sf_dir, "events").select("event_id", value.alias("confidence"))
-
-
-@query("SELECT 1 AS best_index, 0.88::DOUBLE AS confidence")
-def m05_first_json(spark, sf_dir):
-    rows = spark.createDataFrame([('Reply: ```json\n{"best_index": 1, "confidence": 0.88}\n``` done',)], "t string")
-    return rows.select(R.first_json(F.col("t"), "best_index int, confidence double").alias("j")).select("j.*")

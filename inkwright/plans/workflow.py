@@ -20,12 +20,6 @@ def query(sql: str | None = None):
     return keep
 
 
-@query("SELECT * FROM (VALUES ('江户', 'place', 0, 2, 0.9::DOUBLE, true), ('Edo', 'place', 5, 8, 0.7::DOUBLE, false)) t(text, category, start, stop, confidence, needs_review)")
-def z02_merged_entities(spark, sf_dir):
-    rows = [(1, "江户", "place", 0, 2, 0.5, True), (2, "江户", "place", 0, 2, 0.9, False), (3, "江户", "place", 0, 2, 0.6, True), (4, "Edo", "place", 5, 8, 0.7, False)]
-    return W.merged_entities(spark.createDataFrame(rows, "ord int, text string, category string, start int, stop int, confidence double, needs_review boolean"))
-
-
 @query("SELECT doc_id, place, relation, pattern FROM documents, (VALUES (1, 'located_in', '在', 2), (2, 'located_in', '属于', 3), (5, 'participated_in', '出席', 5), (6, 'founded', '创建', 7), (11, 'ruled_by', '管辖', 11)) t(place, relation, pattern, m) WHERE text IS NOT NULL AND doc_id % m = 0")
 def e14_relations(spark, sf_dir):
     cues = [F.when(F.col("doc_id") % m == 0, word).otherwise("") for word, m in (("管辖", 11), ("创建", 7), ("出席", 5), ("属于", 3), ("在", 2))]
@@ -57,18 +51,6 @@ def w10_entries_with_headings(spark, sf_dir):
     return W.entry_ids(c, "conv_id", "turn", (F.col("role") == "assistant") & (F.col("turn") % 4 == 3), (F.col("turn") % 4).isin(1, 2)).select("conv_id", "turn", "entry")
 
 
-@query("SELECT * FROM (VALUES ('本文 一行' || chr(10) || '次の行')) t(text)")
-def x03_cleaned_ocr(spark, sf_dir):
-    rows = spark.createDataFrame([("本文　　一行 \n - 12 - \n 次の行\x07",)], "t string")
-    return rows.select(W.cleaned_ocr(F.col("t")).alias("text"))
-
-
-@query("SELECT * FROM (VALUES (1, 12), (1, 13)) t(scan, number)")
-def e24_visible_page_numbers(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "12\ntext 99 here\n - 13 -\n")], "scan int, t string")
-    return rows.select("scan", F.explode(W.visible_page_numbers(F.col("t"))).alias("number"))
-
-
 @query("SELECT 'N' || n_nationkey AS ref, row_number() OVER (ORDER BY n_nationkey)::INT AS number FROM nation UNION ALL SELECT 'R' || r_regionkey, (SELECT count(*) FROM nation) + row_number() OVER (ORDER BY r_regionkey) FROM region")
 def z35_numbered_references(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("ref"), F.col("n_nationkey").alias("ord"))
