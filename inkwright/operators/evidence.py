@@ -187,9 +187,21 @@ def page_priority_alignment(candidates: DataFrame, pages: DataFrame, groups: dic
 
 
 def narrowest_range(requests: DataFrame, cached: DataFrame) -> DataFrame:
-    """Each request (id, start, stop) with the narrowest cached range (id, c_start, c_stop, ordinal) that holds it."""
-    held = requests.join(cached, "id").filter("c_start <= start AND c_stop >= stop")
-    return keep_first(held, ["id", "start", "stop"], [F.col("c_stop") - F.col("c_start"), "ordinal"])
+    """Each request (id, start, stop) with the narrowest cached range (id, c_start, c_stop, ordinal) that holds it.
+
+    A cached range lies in the bin of its start among bins of the least power of two that is as long as it. One that holds a request starts in the
+    request's bin or the one before, for each such length; so requests meet ranges around them, not all of their id.
+    """
+    size = lambda low, high: F.ceil(F.log2(F.greatest(high - low + 1, F.lit(1)).cast("double"))).cast("int")
+    width = lambda k: F.pow(F.lit(2.0), k)
+    held = cached.filter("c_stop >= c_start").withColumn("_size", size(F.col("c_start"), F.col("c_stop")))
+    held = held.withColumn("_bin", F.floor(F.col("c_start") / width(F.col("_size"))))
+    sizes = [r["_size"] for r in held.select("_size").distinct().collect()]  # at most one for each bit of a length
+    asked = requests.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).filter(F.col("_size") >= size(F.col("start"), F.col("stop")))
+    at = F.floor(F.col("start") / width(F.col("_size")))
+    asked = asked.withColumn("_bin", F.explode(F.array(at, at - 1)))
+    met = asked.join(held, ["id", "_size", "_bin"]).filter("c_start <= start AND c_stop >= stop").drop("_size", "_bin")
+    return keep_first(met, ["id", "start", "stop"], [F.col("c_stop") - F.col("c_start"), "ordinal"])
 
 
 def preferred_hit(hits: DataFrame, windows: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import collapse
 
@@ -21,29 +22,34 @@ NOTE_SIZE = 11.6
 ROW, GAP, HEAD, FOOT, LOW = 3.2, 18, 44, 80, 35
 
 
-def page_rows(lines: DataFrame, tolerance: float = ROW) -> DataFrame:
-    """Lines whose y0 is within `tolerance` of the first of their row, from top to bottom, as one row from left to right.
-
-    The size of a row is the mean of its lines' sizes by text length. A row's first line decides, so lines are numbered in one pass over sorted
-    partitions; pages stay whole in them.
-    """
+def in_rows(ordered: DataFrame, page: list[str], y: str, tolerance: float) -> DataFrame:
+    """Sorted partitions of whole pages with `row`: the next one whenever y is further than `tolerance` from the first line of a row."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, first, row = None, 0.0, 0
+        held, first, row = None, 0.0, 0
         for batch in batches:
             rows = []
-            for doc, number, y in zip(batch["doc"].to_pylist(), batch["page"].to_pylist(), batch["y0"].to_pylist()):
-                if page != (doc, number):
-                    page, first, row = (doc, number), y, 0
-                elif abs(first - y) > tolerance:
-                    first, row = y, row + 1
+            for *here, at in zip(*(batch[c].to_pylist() for c in page), batch[y].to_pylist()):
+                if held != here:
+                    held, first, row = here, at, 0
+                elif abs(first - at) > tolerance:
+                    first, row = at, row + 1
                 rows.append(row)
             yield batch.append_column("row", pa.array(rows, pa.int32()))
 
+    return ordered.mapInArrow(number, StructType([*ordered.schema.fields, StructField("row", IntegerType())]))
+
+
+def page_rows(lines: DataFrame, tolerance: float = ROW) -> DataFrame:
+    """Lines whose y0 is within `tolerance` of the first of their row, from top to bottom, as one row from left to right.
+
+    The size of a row is the mean of its lines' sizes by text length. A row's first line decides, so lines are numbered in one pass over sorted
+    partitions; pages stay whole in them.
+    """
+
     rows = lines.select(*(F.col(c).cast("long").alias(c) for c in ("doc", "page")), *(F.col(c).cast("double").alias(c) for c in ("height", "x0", "y0", "x1", "y1", "size")), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("doc", "page").sortWithinPartitions("doc", "page", F.round("y0", 1), "x0", "text")
-    schema = "doc long, page long, height double, x0 double, y0 double, x1 double, y1 double, size double, text string"
-    numbered = ordered.mapInArrow(number, f"{schema}, row int")
+    numbered = in_rows(ordered, ["doc", "page"], "y0", tolerance)
     length = F.greatest(F.length("text"), F.lit(1))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y0", "text"))), lambda x: x["text"]), "")
     ends = [F.max("height").alias("height"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]

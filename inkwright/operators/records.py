@@ -81,12 +81,14 @@ def query_terms(plans: DataFrame, most: int = 12) -> DataFrame:
 def active_facets(claims: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, bucket, terms): terms of all rules (triggers, bucket, terms) of which a trigger occurs in the claim.
 
-    Rules are joined by their triggers' first two characters, then checked.
+    Rules meet claims by their triggers' first two characters; the text of a claim is fetched only where these are in it, and checked.
     """
-    heads = claims.select("id", "claim", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("claim") - 1, F.lit(1))), lambda k: F.substring(F.col("claim"), k, F.lit(2))))).alias("head"))
-    keyed = rules.select(F.monotonically_increasing_id().alias("rule"), "bucket", "terms", F.explode("triggers").alias("trigger")).withColumn("head", F.substring("trigger", 1, 2))
-    hit = heads.join(keyed, "head").filter("contains(claim, trigger)").select("id", "bucket", "terms")
-    return hit.groupBy("id", "bucket").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("claim") - 1, F.lit(1))), lambda k: F.substring(F.col("claim"), k, F.lit(2)))
+    heads = claims.select("id", F.explode(F.array_distinct(pairs)).alias("head"))
+    keyed = rules.select("bucket", "terms", F.explode("triggers").alias("trigger")).withColumn("head", F.substring("trigger", 1, 2))
+    met = heads.join(keyed, "head").select("id", "bucket", "terms", "trigger")
+    hit = met.join(claims.select("id", "claim"), "id").filter("contains(claim, trigger)")
+    return hit.groupBy("id", "bucket").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
 
 
 def facet_packets(facets: DataFrame, contexts: DataFrame, most: int = 4) -> DataFrame:

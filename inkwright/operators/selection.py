@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import in_rows
+
 
 def selected_items(results: DataFrame, status: str | None = None, downloadable: bool | None = None) -> DataFrame:
     """Results of one status and with or without a source to download; `offset` and the rest stay."""
@@ -136,21 +138,14 @@ def validated_output(value: Column, ok: Column) -> Column:
 def merged_rows(lines: DataFrame, page: str, tolerance: float = 3.2) -> DataFrame:
     """(page, row, text, size) of lines (page, ordinal, y, text, size): one row as long as y is within `tolerance` of the row's first line.
 
-    The size of a row is the mean weighted by text length. A row's first line decides, so lines of a page are folded in order; a page is bounded.
+    The size of a row is the mean weighted by text length. A row's first line decides, so lines are numbered in one pass over sorted partitions.
     """
-    start = F.array().cast("array<struct<y:double,row:int,text:string,size:double>>")
-    line = F.array_sort(F.collect_list(F.struct("ordinal", F.col("y").cast("double").alias("y"), "text", F.col("size").cast("double").alias("size"))))
-
-    def step(done: Column, x: Column) -> Column:
-        near = (F.size(done) > 0) & (F.abs(F.try_element_at(done, F.lit(-1))["y"] - x["y"]) <= tolerance)
-        at = F.try_element_at(done, F.lit(-1))
-        item = F.struct(F.when(near, at["y"]).otherwise(x["y"]).alias("y"), F.when(near, at["row"]).otherwise(F.coalesce(at["row"] + 1, F.lit(0))).alias("row"), x["text"].alias("text"), x["size"].alias("size"))
-        return F.concat(done, F.array(item))
-
-    rows = lines.groupBy(page).agg(F.aggregate(line, start, step).alias("_rows")).select(page, F.posexplode("_rows").alias("_p", "_l"))
-    weight = F.length("_l.text")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.col("_l.text").alias("t")))), lambda s: s["t"]), "")
-    return rows.groupBy(page, F.col("_l.row").alias("row")).agg(text.alias("text"), (F.sum(F.col("_l.size") * weight) / F.greatest(F.sum(weight), F.lit(1))).alias("size"))
+    rows = lines.select(page, "ordinal", F.col("y").cast("double").alias("y"), "text", F.col("size").cast("double").alias("size"))
+    ordered = rows.repartition(page).sortWithinPartitions(page, "ordinal")
+    numbered = in_rows(ordered, [page], "y", tolerance)
+    weight = F.length("text")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.col("text").alias("t")))), lambda s: s["t"]), "")
+    return numbered.groupBy(page, "row").agg(text.alias("text"), (F.sum(F.col("size") * weight) / F.greatest(F.sum(weight), F.lit(1))).alias("size"))
 
 
 def stored_ids(chunks: DataFrame, document: int | str | None = None) -> DataFrame:

@@ -220,3 +220,19 @@ def test_equivalent_sources(spark):
     assert got == [(1, 1, "b", "match", 2), (1, 2, "c", "match", 4), (1, 3, "k", "match", 5), (1, 4, "new", "configured", None), (3, 1, "p", "match", 1), (3, 2, "q", "match", 2)]
     many = spark.createDataFrame([(1, k, f"m{k}", "満洲国史") for k in range(20)], frame.schema)
     assert resolvers.equivalent_sources(candidates, many, configured).count() == 8
+
+
+def test_narrowest_ranges(spark):
+    rng = random.Random(11)
+    span = lambda n: sorted((rng.randint(1, 60), rng.randint(1, 60))) if n else (rng.randint(1, 60),) * 2
+    cached = [(rng.randint(0, 3), *span(rng.random() < 0.8), k) for k in range(80)] + [(1, 9, 3, 99)]
+    asked = sorted({(rng.randint(0, 4), *span(rng.random() < 0.6)) for _ in range(60)})
+    want = {}
+    for i, a, b in asked:
+        fits = [(d - c, o, c, d) for j, c, d, o in cached if j == i and c <= a and d >= b and d >= c]
+        if fits:
+            want[i, a, b] = min(fits)[1:]
+    frames = spark.createDataFrame(asked, "id int, start int, stop int"), spark.createDataFrame(cached, "id int, c_start int, c_stop int, ordinal int")
+    got = {(r["id"], r["start"], r["stop"]): (r["ordinal"], r["c_start"], r["c_stop"]) for r in evidence.narrowest_range(*frames).collect()}
+    assert got == want
+    assert evidence.narrowest_range(frames[0], frames[1].limit(0)).count() == 0
