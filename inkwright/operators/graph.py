@@ -111,3 +111,14 @@ def backlinks(notes: DataFrame) -> DataFrame:
     """(title, linked_from) of notes (title, text) that link to one another by [[title]]; a note's own links don't count."""
     found = notes.select(F.col("title").alias("linked_from"), F.explode(wiki_links(F.col("text"))).alias("title")).filter("title <> linked_from")
     return found.distinct()
+
+
+def citation_network(docs: DataFrame, most: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Works (id, title, year, text) with degrees and core flags, their first `most` edges by source and target, and one row of statistics.
+
+    The cut is the report's own; degrees, flags and statistics are those of all edges. A network of more than three works without any edge is `sparse`.
+    """
+    edges = citation_edges(docs)
+    nodes = with_core(degrees(docs.select("id", "title", "year"), edges))
+    told = citation_statistics(nodes, edges)
+    return nodes, edges.orderBy("source", "target").limit(most), told.withColumn("sparse", (F.col("edges") == 0) & (F.col("works") > 3))

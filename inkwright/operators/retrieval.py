@@ -137,3 +137,15 @@ def hash_vector(text: Column, size: int = 384) -> Column:
 def basic_answer(chunks: Column, sources: Column) -> Column:
     """The first three chunks, cut to 300 characters, with their sources."""
     return F.array_join(F.transform(F.slice(F.arrays_zip(chunks.alias("c"), sources.alias("s")), 1, 3), lambda x: F.concat(F.lit("["), x["s"], F.lit("] "), F.substring(x["c"], 1, 300))), "\n\n")
+
+
+def answered(questions: DataFrame, chunks: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", text: str = "text", source: str = "source") -> DataFrame:
+    """(query_id, answer, confidence, sources, context): the k best chunks of each question, a basic answer from them, the mean of their scores.
+
+    `context` is all of their texts in order. A question without chunks gives no row.
+    """
+    hits = batch_top_k(questions, chunks, k, key, vector).join(chunks.select(key, F.coalesce(text, F.lit("")).alias("_t"), F.coalesce(source, F.lit("")).alias("_s")), key)
+    ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(key).alias("_k"), "_t", "_s")))
+    rows = hits.groupBy("query_id").agg(ordered.alias("_h"), F.avg("score").alias("confidence"))
+    pick = lambda c: F.transform("_h", lambda h: h[c])
+    return rows.select("query_id", basic_answer(pick("_t"), pick("_s")).alias("answer"), "confidence", pick("_k").alias("sources"), F.array_join(pick("_t"), "\n\n").alias("context"))

@@ -12,7 +12,9 @@ from ..functions import text as X
 from ..operators import extraction as E
 from ..operators import graph as G
 from ..operators import records as R
+from ..operators import retrieval as Q
 from ..operators import runs as U
+from ..operators import screening as C
 from ..operators import summaries as S
 from ..operators import workflow as W
 from ..sources import readers
@@ -122,14 +124,17 @@ def f14_required_fields(spark, sf_dir):
     return rows.select("p_partkey", F.size(missing).alias("missing"), confidence.alias("confidence"))
 
 
-@query("SELECT p_partkey AS source, p_partkey + 1 AS target, CASE WHEN p_partkey % 3 = 0 THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence FROM part WHERE p_partkey % 3 < 2 AND p_partkey + 1 IN (SELECT p_partkey FROM part)")
-def j04_citation_edges(spark, sf_dir):
+def _works(spark, sf_dir):
     """Parts as works: two thirds name three or two words of the next one's title, the others one word of it."""
     word = lambda head, shift: f"concat('{head}', translate(CAST(p_partkey + {shift} AS STRING), '0123456789', 'abcdefghij'), 'z')"
     title = f"concat(initcap({word('topic', 0)}), ' of ', {word('study', 0)}, '; ', {word('notes', 0)})"
     text = f"concat('It builds on the pre', {word('topic', 1)}, 's', CASE WHEN p_partkey % 3 < 2 THEN concat(', and ', {word('study', 1)}) ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN concat(' or ', upper({word('notes', 1)})) ELSE '' END, '. notes, topic study')"
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(title).alias("title"), F.expr(text).alias("text"))
-    return G.citation_edges(docs).select("source", "target", F.round("confidence", 4).alias("confidence"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(title).alias("title"), F.expr(text).alias("text"), (F.lit(1950) + F.col("p_size")).cast("string").alias("year"))
+
+
+@query("SELECT p_partkey AS source, p_partkey + 1 AS target, CASE WHEN p_partkey % 3 = 0 THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence FROM part WHERE p_partkey % 3 < 2 AND p_partkey + 1 IN (SELECT p_partkey FROM part)")
+def j04_citation_edges(spark, sf_dir):
+    return G.citation_edges(_works(spark, sf_dir)).select("source", "target", F.round("confidence", 4).alias("confidence"))
 
 
 @query("SELECT p_partkey AS doc_id, 'missing_section' AS issue, 'analysis' AS section FROM part UNION ALL SELECT p_partkey, 'length_warning', NULL FROM part UNION ALL SELECT p_partkey, 'section_too_long', 'Introduction' FROM part UNION ALL SELECT p_partkey, 'section_too_short', 'Conclusion' FROM part WHERE p_size > 5")
@@ -221,3 +226,91 @@ def s04_directory_scan(spark, sf_dir):
     found = readers.documents(spark, path)
     part = lambda name: F.regexp_extract("path", f"/{name}=([^/]+)/", 1).alias(name)
     return found.groupBy(part("lang"), part("source"), "kind").agg(F.sum(F.length("text")).cast("long").alias("characters"))
+
+
+_SOURCES = "SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0"
+
+
+@query(f"SELECT query_id, string_agg('[doc' || vec_id % 7 || '] ' || substr('text of chunk ' || vec_id || ': ' || repeat('word ', (vec_id % 90)::INT), 1, 300), chr(10) || chr(10) ORDER BY rank) FILTER (WHERE rank <= 3) AS answer, round(avg(score), 6) AS confidence, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS sources FROM ({_SOURCES}) WHERE rank <= 4 GROUP BY query_id")
+def r15_answers(spark, sf_dir):
+    """Vectors whose id is divisible by 20 as questions; chunks have texts of their ids."""
+    text = "concat('text of chunk ', vec_id, ': ', repeat('word ', CAST(vec_id % 90 AS INT)))"
+    e = table(spark, sf_dir, "embeddings").withColumns({"text": F.expr(text), "source": F.expr("concat('doc', vec_id % 7)")})
+    found = Q.answered(e.filter("vec_id % 20 = 0"), e, 4)
+    return found.select("query_id", "answer", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
+
+
+@query("SELECT p_partkey AS source, p_partkey + 1 AS target FROM part WHERE p_partkey % 3 < 2 AND p_partkey + 1 IN (SELECT p_partkey FROM part) ORDER BY p_partkey LIMIT 500")
+def p07_citation_network(spark, sf_dir):
+    """The report's edges; it keeps the first 500."""
+    return G.citation_network(_works(spark, sf_dir))[1].select("source", "target")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN 23 WHEN 2 THEN 7 ELSE -1 END::INT AS page_number, CASE WHEN p_partkey % 2 = 0 THEN '第三章 ' || p_name ELSE '' END AS header, CASE WHEN p_size % 2 = 0 THEN '二、' || p_name ELSE '' END AS footer, CASE WHEN p_partkey % 2 = 1 THEN 'opening' || chr(10) ELSE '' END || 'body of ' || p_brand || '.' || chr(10) || 'more.' || chr(10) || 'end.' AS body FROM part")
+def e18_page_furniture(spark, sf_dir):
+    """Parts as pages: a chapter's heading or not, a section's heading at the foot or not, and a number in some form."""
+    text = r"concat(CASE WHEN p_partkey % 2 = 0 THEN concat('第三章 ', p_name) ELSE 'opening' END, '\nbody of ', p_brand, '.\nmore.\nend.\n', CASE WHEN p_size % 2 = 0 THEN concat('二、', p_name, '\n') ELSE '' END, CASE p_partkey % 4 WHEN 0 THEN concat('- ', p_size, ' -') WHEN 1 THEN '— 二十三 —' WHEN 2 THEN '七' ELSE '' END)"
+    p = _part(spark, sf_dir, text).withColumn("t", F.when((F.col("p_partkey") % 4 == 3) & (F.col("p_size") % 2 == 0), F.concat("t", F.lit("."))).otherwise(F.col("t")))
+    found = C.page_furniture(p.select("p_partkey", "p_brand", F.col("t").alias("text")))
+    return found.select("p_partkey", F.coalesce("page_number", F.lit(-1)).alias("page_number"), "header", "footer", "body")
+
+
+@query("SELECT p_partkey, ['unknown', 'header', 'footer', 'date', 'title', 'body_text', 'date'][p_partkey % 7 + 1] AS region, ['unknown', 'handwritten', 'quote', 'date', 'weather', 'handwritten', 'handwritten'][p_partkey % 7 + 1] AS content FROM part")
+def e19_region_classes(spark, sf_dir):
+    text = "CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN concat(p_brand, ' 序') WHEN 2 THEN concat('「', p_name, '」') WHEN 3 THEN concat('昭和五年三月一日 ', p_brand) WHEN 4 THEN '序 晴' WHEN 5 THEN concat(repeat('長い本文', 12), p_brand) ELSE concat('1904年3月5日 ', p_brand) END"
+    top, bottom = F.when(F.col("p_partkey") % 7 == 1, 10).otherwise(400), F.when(F.col("p_partkey") % 7 == 2, 990).otherwise(600)
+    return _part(spark, sf_dir, text).select("p_partkey", C.region_class(F.col("t"), top, bottom, F.lit(1000)).alias("region"), C.content_class(F.col("t")).alias("content"))
+
+
+@query(f"WITH l AS (SELECT book, n, ['National ARCHIVES, and laws', 'letters', 'census', 'none', 'Annals', 'a law', 'Journals'][l_partkey % 7 + 1] AS t FROM {_LINES}), k AS (SELECT book, n * 10 + o AS pos, h FROM l JOIN (VALUES ('National ARCHIVES, and laws', 0, 'archive'), ('National ARCHIVES, and laws', 6, 'legal'), ('letters', 5, 'correspondence'), ('census', 7, 'statistical'), ('Annals', 2, 'chronicle'), ('a law', 6, 'legal'), ('Journals', 3, 'parliament')) v(t, o, h) USING (t) WHERE n <= 15), f AS (SELECT book, h, min(pos) AS pos FROM k GROUP BY book, h) SELECT b.book, COALESCE(string_agg(h, ',' ORDER BY pos), '') AS hints FROM (SELECT DISTINCT book FROM l) b LEFT JOIN f ON f.book = b.book GROUP BY b.book")
+def e22_source_hints(spark, sf_dir):
+    said = F.get(F.array(*map(F.lit, ("National ARCHIVES, and laws", "letters", "census", "none", "Annals", "a law", "Journals"))), (F.col("l_partkey") % 7).cast("int"))
+    works = _lines(spark, sf_dir).select("book", "n", F.when(F.col("n") % 2 == 0, said).alias("title"), F.when(F.col("n") % 2 == 1, said).alias("abstract"))
+    return C.source_hints(works, "book", "n").select("book", F.array_join("hints", ",").alias("hints"))
+
+
+@query(f"SELECT book, n, row_number() OVER (PARTITION BY book ORDER BY [0, 1, 2, 3, 4, 5, 0][l_partkey % 7 + 1], l_returnflag <> 'R', l_linestatus <> 'O', l_discount DESC, l_tax <= 0.04, l_quantity <= 25, n) AS rank FROM {_LINES} WHERE l_suppkey % 3 < 2")
+def t_k11_ordered_leads(spark, sf_dir):
+    """Lines of orders as hints; a third belongs to another source than the preferred one."""
+    category = F.get(F.array(*map(F.lit, (*C.LEADS, "other", "body_candidate"))), (F.col("l_partkey") % 7).cast("int"))
+    source = F.when(F.col("l_suppkey") % 3 == 0, "s").when(F.col("l_suppkey") % 3 == 2, "other")
+    hints = _lines(spark, sf_dir).select("book", "n", category.alias("category"), (F.col("l_returnflag") == "R").alias("has_claim"), (F.col("l_linestatus") == "O").alias("is_specific"), F.col("l_discount").alias("specificity"), (F.col("l_tax") > 0.04).alias("has_context"), (F.col("l_quantity") > 25).alias("has_page"), source.alias("source_id"), F.lit("s").alias("wanted"), F.col("n").alias("ordinal"))
+    return C.ordered_leads(hints, "book", "wanted").select("book", F.col("n").cast("long").alias("n"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT p_partkey AS id, f AS facet_id, r AS required, CASE WHEN f = 'bucket_theme' THEN 2 ELSE 1 END AS terms FROM part, (VALUES (0, 'bucket_theme', true), (0, 'bucket_policy', true), (0, 'bucket_person', false), (1, 'bucket_theme', true), (1, 'bucket_person', true), (1, 'bucket_date', false), (3, 'bucket_theme', true), (3, 'bucket_date', true)) v(k, f, r) WHERE p_partkey % 4 = k")
+def z22_generic_facets(spark, sf_dir):
+    """Parts as plans of four kinds: enough of themselves, with a person, too few, with an event's date."""
+    kind = F.col("p_partkey") % 4
+    entry = lambda when, bucket, ordinal, term: F.when(when, F.struct(F.lit(bucket).alias("bucket"), F.lit(ordinal).alias("ordinal"), term.alias("term")))
+    entries = F.array_compact(F.array(entry(kind.isin(0, 1, 3), "theme", 0, F.lit(" 満鉄調査 ")), entry(kind.isin(0, 1, 3), "theme", 1, F.col("p_name")), entry(kind.isin(0, 1, 3), "theme", 2, F.col("p_name")), entry(kind == 0, "policy", 0, F.lit("委任統治")), entry(kind.isin(0, 1), "person", 0, F.lit("後藤新平")), entry(kind == 1, "date", 0, F.lit("一九三一年")), entry(kind == 2, "document_title", 0, F.lit("満洲国史")), entry(kind == 2, "policy", 0, F.lit("・・短")), entry(kind == 3, "date", 0, F.lit("三月五日")), entry(kind == 3, "unknown", 0, F.lit("無視する"))))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(entries).alias("e")).select("id", "e.*")
+    return C.generic_facets(rows).select("id", "facet_id", "required", F.size("terms").alias("terms"))
+
+
+@query(f"WITH m AS (SELECT book AS pid, n, CASE WHEN l_returnflag = 'R' THEN '' ELSE 'see ' || mode || ' there' END AS snippet, CASE WHEN l_suppkey % 4 = 0 THEN 500 + l_suppkey ELSE n + 1 END AS pdf_page FROM {_LINES} WHERE book % 3 < 2), f AS (SELECT pid, snippet, pdf_page, min(n) AS n FROM m WHERE snippet <> '' AND NOT (snippet = 'see AIR there' AND pdf_page = 2) GROUP BY pid, snippet, pdf_page) SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY n) - 1 AS ordinal, snippet, pdf_page FROM f")
+def z14_merged_snippets(spark, sf_dir):
+    """Lines of orders as contents of a reply; a third of the orders is unknown, some contents have a mapped page, one hint is known."""
+    line = _lines(spark, sf_dir)
+    match = F.struct(F.lit("see  ").alias("head"), F.col("mode").alias("word"), F.lit("\nthere ").alias("tail"))
+    none = F.struct(F.lit(" ").alias("head"), F.lit(None).cast("string").alias("word"), F.lit("").alias("tail"))
+    contents = line.select(F.col("book").alias("pid"), F.col("n").alias("ordinal"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("cid"), F.col("n").alias("index"), F.when(F.col("l_returnflag") == "R", F.array(none)).otherwise(F.array(match, match)).alias("matches"))
+    maps = line.filter("l_suppkey % 4 = 0").select(F.col("book").alias("pid"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("cid"), (F.lit(500) + F.col("l_suppkey")).alias("page")).distinct()
+    records = line.filter("book % 3 < 2").select(F.col("book").alias("pid")).distinct()
+    known = records.select("pid", F.lit("see AIR there").alias("snippet"), F.lit(2).cast("long").alias("pdf_page"))
+    found = C.merged_snippets(records, known, contents, maps)
+    return found.select("pid", F.col("ordinal").cast("long").alias("ordinal"), "snippet", F.col("pdf_page").cast("long").alias("pdf_page"))
+
+
+@query("SELECT event_id, ['direct_support', 'page_mismatch_but_support', 'partial_support', 'needs_manual_review', 'not_supported', 'needs_manual_review', 'page_mismatch_but_support', 'partial_support', 'partial_support', 'direct_support', 'partial_support'][event_id % 11 + 1] AS support, ['matched', 'matched', 'needs_manual_review', 'needs_manual_review', 'needs_manual_review', 'needs_manual_review', 'matched', 'needs_manual_review', 'needs_manual_review', 'matched', 'needs_manual_review'][event_id % 11 + 1] AS verification FROM events")
+def m11_support_assessment(spark, sf_dir):
+    """Events as candidates of eleven kinds, five of them reviewed."""
+    i = F.col("event_id") % 11
+    decision = F.when(i.isin(0, 1), "direct_support").when(i == 2, "partial_support").when(i == 3, "uncertain").when(i == 10, "uncertain")
+    exact, reason = F.when(i.isin(0, 1), "a sentence"), F.when(i == 3, "why")
+    matched = F.when(i == 4, "").otherwise("text")
+    confidence = F.when(i == 5, 0.1).when(i.isin(7, 10), 0.3).otherwise(0.7)
+    distance = F.when(i.isin(1, 6, 7), 3).otherwise(0)
+    scope = F.when(i == 8, "context_fallback").otherwise("cited_pages")
+    notes = F.when(i == 4, "LLM_rejected_candidates: no").otherwise("fine")
+    return table(spark, sf_dir, "events").select("event_id", C.support_assessment(decision, exact, reason, matched, confidence, distance, scope, notes).alias("s")).select("event_id", "s.*")
