@@ -17,8 +17,8 @@ def outline_ratios(sections: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def outline_issues(ratios: DataFrame, required: list[str], key: str = "doc_id", short: float = 0.05, long: float = 0.60, least: int = 1200) -> DataFrame:
-    """(key, issue, section): sections that are too short or too long, documents that are short, required sections that miss."""
-    parts = ratios.filter((F.col("ratio") < short) | (F.col("ratio") > long))
+    """(key, issue, section): sections other than references that are too short or too long, documents that are short, required sections that miss."""
+    parts = ratios.filter((F.lower("title") != "references") & ((F.col("ratio") < short) | (F.col("ratio") > long)))
     uneven = parts.select(key, F.when(F.col("ratio") < short, "section_too_short").otherwise("section_too_long").alias("issue"), F.col("title").alias("section"))
     docs = ratios.groupBy(key).agg(F.sum("n").alias("n"), F.collect_set(F.lower("title")).alias("names"))
     length = docs.filter(F.col("n") < least).select(key, F.lit("length_warning").alias("issue"), F.lit(None).cast("string").alias("section"))

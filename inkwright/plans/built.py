@@ -11,6 +11,7 @@ from ..functions import dates as D
 from ..functions import text as X
 from ..operators import extraction as E
 from ..operators import graph as G
+from ..operators import packages as K
 from ..operators import records as R
 from ..operators import retrieval as Q
 from ..operators import runs as U
@@ -143,7 +144,8 @@ def e20_outline_issues(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     intro = p.select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("section"), F.lit("Introduction").alias("title"), F.expr("repeat('word ', 40)").alias("content"))
     end = p.select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("section"), F.lit("Conclusion").alias("title"), F.expr("CASE WHEN p_size > 5 THEN 'x' ELSE repeat('x ', 10) END").alias("content"))
-    return S.outline_issues(S.outline_ratios(intro.unionByName(end)), ["introduction", "analysis", "conclusion"])
+    notes = p.select(F.col("p_partkey").alias("doc_id"), F.lit(2).alias("section"), F.lit("References").alias("title"), F.lit("y").alias("content"))
+    return S.outline_issues(S.outline_ratios(intro.unionByName(end).unionByName(notes)), ["introduction", "analysis", "conclusion"])
 
 
 @query("SELECT p_partkey AS id, [1.0, 0.0, 0.9][p_partkey % 3 + 1]::DOUBLE AS score FROM part")
@@ -314,3 +316,74 @@ def m11_support_assessment(spark, sf_dir):
     scope = F.when(i == 8, "context_fallback").otherwise("cited_pages")
     notes = F.when(i == 4, "LLM_rejected_candidates: no").otherwise("fine")
     return table(spark, sf_dir, "events").select("event_id", C.support_assessment(decision, exact, reason, matched, confidence, distance, scope, notes).alias("s")).select("event_id", "s.*")
+
+
+@query("SELECT p_partkey, ['chicago', 'apa', 'mla', 'gb7714', 'ieee', 'apa', 'unknown', 'chicago'][p_partkey % 8 + 1] AS style FROM part")
+def e02_detected_style(spark, sf_dir):
+    """Eight kinds of citations; in the sixth two styles have a mark each, in the last one the first style of three."""
+    text = """CASE p_partkey % 8 WHEN 0 THEN concat('A. "', p_name, '." J. 1999, 3') WHEN 1 THEN concat('A. (1999b). The ', p_name, '. 12(3)') WHEN 2 THEN concat('A, ', p_name, ', VOL. 3, PP. 4') WHEN 3 THEN concat('[1] A ', p_name, '[J]') WHEN 4 THEN concat('[2] A, ', p_name, ', vol. 3, no. 2') WHEN 5 THEN concat('A (1999) "', p_name) WHEN 6 THEN p_name ELSE concat('A. ', p_name, '. 1999, vol. 3') END"""
+    return _part(spark, sf_dir, text).select("p_partkey", K.detected_style(F.col("t")).alias("style"))
+
+
+@query("SELECT p_partkey, [0.0, 0.6, 0.5, 0.75][p_partkey % 4 + 1]::DOUBLE AS disambiguation, [0.45, 0.8, 0.66, 0.45][p_partkey % 4 + 1]::DOUBLE AS biography, [0.2, 0.9, 0.64, 0.84][p_partkey % 4 + 1]::DOUBLE AS recognition, [0.0, 0.9, 0.6, 0.35][p_partkey % 4 + 1]::DOUBLE AS embedding FROM part")
+def m02_confidences(spark, sf_dir):
+    """Four kinds of packages: failed, whole, flagged, empty."""
+    k, none = F.col("p_partkey") % 4, F.array().cast("array<string>")
+    flags = F.when(k == 2, F.array(F.lit("unknown_entity_rules"), F.lit("mock_embedding_used"), F.lit("no_results"), F.lit("no_results"))).otherwise(none)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        K.disambiguation_confidence(F.when(k == 0, 0).otherwise(3), F.when(k == 3, 0.75).otherwise(0.6), flags).alias("disambiguation"),
+        K.biography_confidence(F.when(k.isin(1, 2), 2).otherwise(0), F.when(k == 2, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(none)).alias("biography"),
+        K.recognition_confidence(k != 0, F.lit(1), F.when(k == 3, 0).otherwise(9), F.when(k == 2, F.array(F.lit("x"))).otherwise(none)).alias("recognition"),
+        K.embedding_confidence(k != 0, k.isin(1, 2), F.when(k == 3, 0).otherwise(5), F.when(k == 3, F.array(F.lit("no_results"), F.lit("empty_query"))).otherwise(flags)).alias("embedding"),
+    )
+
+
+@query("SELECT p_partkey, ['objective', 'subjective', 'mixed'][p_partkey % 3 + 1] AS perspective, CASE WHEN p_size % 2 = 0 THEN 'critical' ELSE 'measured' END AS stance, ['comparison-heavy', 'enumerative', 'logical-argumentation', 'comparison-heavy'][p_partkey % 4 + 1] AS preference, ['comparative', 'deductive', 'deductive', 'deductive'][p_partkey % 4 + 1] AS mode FROM part")
+def e21_tone_and_rhetoric(spark, sf_dir):
+    text = "concat(p_name, CASE p_partkey % 3 WHEN 0 THEN ' research shows; 资料显示; I argue' WHEN 1 THEN ' I suggest, 笔者认为; research shows' ELSE ' In My View' END, CASE WHEN p_size % 2 = 0 THEN ' however insufficient' ELSE ' however' END, CASE p_partkey % 4 WHEN 0 THEN ' IN CONTRAST' WHEN 1 THEN ' First, 因此' WHEN 2 THEN ' thus' ELSE ' whereas, second, hence 因为' END)"
+    rows = _part(spark, sf_dir, text).select("p_partkey", K.tone(F.col("t")).alias("t"), K.rhetoric(F.col("t")).alias("r"))
+    return rows.select("p_partkey", "t.perspective", "t.stance", "r.preference", "r.mode")
+
+
+@query("SELECT p_partkey, ['direct_support', 'uncertain', 'partial_support', 'direct_support', 'uncertain'][p_partkey % 5 + 1] AS decision, [2, 0, 1, 1, 0][p_partkey % 5 + 1] AS best_index, CASE p_partkey % 5 WHEN 0 THEN 'second ' || p_name WHEN 3 THEN p_brand ELSE '' END AS exact_sentence, [1.0, 0.0, 0.25, 0.5, 0.0][p_partkey % 5 + 1]::DOUBLE AS confidence FROM part")
+def m05_review_payload(spark, sf_dir):
+    """Replies of five kinds: an invented sentence, none at all, partial support, a part of the named sentence, strange values."""
+    kinds = [("direct_support", "2", "1.7", F.lit("invented")), (" direct_support ", "9", "-2", F.lit(" ")), ("partial_support", "1", "0.25", F.col("p_name")), ("direct_support", " 1 ", "5e-1", F.col("p_brand")), ("yes", "x", "high", F.col("p_name"))]
+    replies = F.array(*[F.struct(F.lit(d).alias("decision"), F.lit(i).alias("best_index"), F.lit(c).alias("confidence"), e.alias("exact_sentence"), F.lit("why").alias("reason")) for d, i, c, e in kinds])
+    p = table(spark, sf_dir, "part").select("p_partkey", F.get(replies, (F.col("p_partkey") % 5).cast("int")).alias("reply"), F.array(F.concat(F.lit("first "), "p_brand", F.lit(" here")), F.concat(F.lit("second "), "p_name")).alias("sentences"))
+    return p.select("p_partkey", K.review_payload(F.col("reply"), F.col("sentences")).alias("r")).select("p_partkey", "r.decision", "r.best_index", "r.exact_sentence", "r.confidence")
+
+
+@query("SELECT p_partkey AS doc_id, t AS \"table\", r AS row, replace(c, 'N', p_name) AS cells FROM part, (VALUES (0, 0, 'N|a'), (0, 1, 'b|c|d'), (1, 0, 'x|y')) v(t, r, c) WHERE t = 0 OR p_size % 2 = 0")
+def e09_text_tables(spark, sf_dir):
+    text = r"concat('title\n', p_name, '\t\ta\n b ,, c，，d \n\n', CASE WHEN p_size % 2 = 0 THEN 'x\ty' ELSE 'x, y' END)"
+    docs = _part(spark, sf_dir, text).select(F.col("p_partkey").alias("doc_id"), F.col("t").alias("text"))
+    return K.text_tables(docs).select("doc_id", F.col("table").cast("int").alias("table"), "row", F.array_join("cells", "|").alias("cells"))
+
+
+@query("SELECT p_partkey AS doc_id, l AS list, r AS row, replace(i, 'N', p_name) AS item, k AS kind FROM part, (VALUES (0, 0, 'N', 'ordered'), (0, 1, 'two', 'ordered'), (1, 0, 'x', 'bullet'), (1, 1, 'third', 'bullet')) v(l, r, i, k)")
+def e09_text_lists(spark, sf_dir):
+    text = r"concat('intro\n 1. ', p_name, '\n② two\n\n- x\n3、third\n4 no')"
+    docs = _part(spark, sf_dir, text).select(F.col("p_partkey").alias("doc_id"), F.col("t").alias("text"))
+    return K.text_lists(docs).select("doc_id", F.col("list").cast("int").alias("list"), "row", "item", "kind")
+
+
+@query(f"WITH r AS (SELECT book AS query, n, CASE WHEN n % 3 = 0 THEN '' ELSE 'id' || l_partkey % 5 END AS source_id, mode AS url, l_returnflag AS route, CASE WHEN n % 2 = 0 THEN l_linestatus ELSE '' END AS author FROM {_LINES}), k AS (SELECT *, CASE WHEN source_id <> '' THEN source_id ELSE url END AS k FROM r), g AS (SELECT query, k, min(n) AS first, arg_min(author, n) FILTER (WHERE author <> '') AS author, list(route ORDER BY n) AS routes, count(DISTINCT route) AS n_hints FROM k GROUP BY query, k) SELECT query, row_number() OVER (PARTITION BY query ORDER BY first) AS rank, COALESCE(author, '') AS author, array_to_string(list_filter(routes, lambda x, i: list_position(routes, x) = i), ',') AS routes, n_hints FROM g")
+def z12_merged_records(spark, sf_dir):
+    line = _lines(spark, sf_dir)
+    records = line.select(F.col("book").alias("query"), F.lit(0).alias("list"), F.col("n").alias("ordinal"), F.col("mode").alias("title"), F.expr("CASE WHEN n % 3 = 0 THEN '' ELSE concat('id', l_partkey % 5) END").alias("source_id"), F.col("mode").alias("url"), F.expr("CASE WHEN n % 2 = 0 THEN l_linestatus END").alias("author"), *(F.lit("").alias(c) for c in ("date", "publisher", "pdf_url")), F.col("l_returnflag").alias("route"), F.array(F.struct(F.col("l_returnflag").alias("snippet"), F.lit(1).alias("pdf_page"))).alias("hints"))
+    found = K.merged_records(records)
+    return found.select("query", F.col("rank").cast("long").alias("rank"), "author", F.array_join("routes", ",").alias("routes"), F.size("hints").cast("long").alias("n_hints"))
+
+
+@query(f"SELECT book, n, row_number() OVER (PARTITION BY book ORDER BY l_returnflag = 'R', l_suppkey % 5, l_discount DESC, n) AS rank FROM {_LINES}")
+def z11_source_order(spark, sf_dir):
+    matches = _lines(spark, sf_dir).select("book", "n", (F.col("l_returnflag") == "R").alias("mismatch"), (F.col("l_suppkey") % 5).alias("priority"), F.col("l_discount").alias("effective_score"), F.col("n").alias("source_rank"))
+    return K.ordered_sources(matches, "book").select("book", F.col("n").cast("long").alias("n"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("WITH s AS (SELECT CASE WHEN event_id % 3 = 0 THEN '' ELSE 'u' || user_id END AS speaker FROM events), c AS (SELECT speaker, count(*) AS n FROM s WHERE speaker <> '' GROUP BY speaker) SELECT 'speeches' AS measure, '' AS name, count(*) AS n FROM s UNION ALL SELECT 'dates', '', count(*) FROM orders UNION ALL SELECT 'entities', '', count(*) FROM part UNION ALL SELECT 'speakers', '', count(*) FROM c UNION ALL (SELECT 'speaker', speaker, n FROM c ORDER BY n DESC, speaker LIMIT 10) UNION ALL SELECT 'kind', p_type, count(*) FROM part GROUP BY p_type UNION ALL SELECT 'year', 'min', min(year(o_orderdate)) FROM orders UNION ALL SELECT 'year', 'max', max(year(o_orderdate)) FROM orders")
+def g12_record_statistics(spark, sf_dir):
+    speeches = table(spark, sf_dir, "events").selectExpr("CASE WHEN event_id % 3 <> 0 THEN concat('u', user_id) ELSE '' END AS speaker")
+    return K.record_statistics(speeches, table(spark, sf_dir, "orders").selectExpr("year(o_orderdate) AS year"), table(spark, sf_dir, "part").selectExpr("p_type AS category"))
