@@ -17,6 +17,6 @@ def test_query(spark, sf_dir, name):
     want = con.execute(SQL[name]).df()
     got = QUERIES[name](spark, sf_dir).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    plain = lambda v: None if v is None or v != v or v is pd.NA else str(int(v)) if isinstance(v, float) else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or v != v else str(int(v)) if isinstance(v, float) else str(v)
     rows = lambda f: sorted((tuple(map(plain, r)) for r in f[list(want.columns)].astype(object).itertuples(index=False)), key=str)
     assert rows(got) == rows(want)
