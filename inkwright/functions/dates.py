@@ -203,3 +203,33 @@ def dated_days(text: Column) -> Column:
 
     found = F.concat(days(f"{_KANJI}月{_KANJI}日"), days(r"(\d+)月(\d+)日"))
     return F.when(year.isNotNull(), F.transform(found, lambda d: F.struct(year.cast("int").alias("year"), d["month"].cast("int").alias("month"), d["day"].cast("int").alias("day"))))
+
+
+#: Forms of a source's dates, in order, and the years of eras that a Western year may belong to.
+SOURCE_DATES = (r"(?:1[89]\d{2}|20\d{2})\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日", r"(?:明治|大正|昭和|平成|令和)\s*[0-9一二三四五六七八九十百元]+\s*年\s*(?:\d{1,2})?\s*月?\s*(?:\d{1,2})?\s*日?", r"(?:1[89]\d{2}|20\d{2})\s*年")
+ERA_YEARS = (("明治", 1868, 1912), ("大正", 1912, 1926), ("昭和", 1926, 1989), ("平成", 1989, 2019), ("令和", 2019, 2100))
+
+
+def source_dates(text: Column, most: int = 8) -> Column:
+    """Different dates of a source's texts as they stand, by form and place. Width forms are left to `evidence.nfkc`."""
+    return F.slice(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 0) for p in SOURCE_DATES]))), 1, most)
+
+
+def era_variants(text: Column) -> Column:
+    """Each Western date in the eras that its year belongs to, with the year in digits and in kanji (and 元 for a first one), each once."""
+    pattern = F.lit(r"(1[89]\d{2}|20\d{2})\s*年(?:\s*(\d{1,2})\s*月(?:\s*(\d{1,2})\s*日)?)?")
+    found = F.arrays_zip(*(F.regexp_extract_all(text, pattern, k).alias(f"g{k}") for k in (1, 2, 3)))
+
+    def forms(d: Column) -> Column:
+        number = lambda c, mark: F.when(c != "", F.concat(c.cast("int").cast("string"), F.lit(mark))).otherwise("")
+        rest = F.concat(F.lit("年"), number(d["g2"], "月"), number(d["g3"], "日"))
+
+        def era(name: str, first: int, last: int) -> Column:
+            year = d["g1"].cast("int") - (first - 1)
+            names = F.when(year == 1, F.array(F.lit("元"), F.lit("1"), F.lit("一"))).otherwise(F.array(year.cast("string"), to_kanji(year)))
+            spelt = F.transform(names, lambda y: F.concat(F.lit(name), y, rest))
+            return F.when(d["g1"].cast("int").between(first, last), spelt).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.array(*[era(*e) for e in ERA_YEARS]))
+
+    return F.array_distinct(F.flatten(F.transform(found, forms)))

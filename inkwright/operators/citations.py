@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,3 +164,36 @@ def footnote(text: Column) -> Column:
     lower = F.lower(text)
     kind = F.when(F.contains(lower, F.lit("jacar")) | F.contains(lower, F.lit("ref.")), "archive").when(text.rlike("紀要|学报|期"), "article").otherwise("book")
     return F.struct(title.alias("title"), author.alias("author"), collapse(_first(after, colon, 1)).alias("place"), collapse(_first(after, colon, 2)).alias("publisher"), _first(text, r"(1[89]\d{2}|20\d{2})年").alias("year"), label.alias("page_label"), pages.alias("pages"), kind.alias("type"))
+
+
+#: Forms of a book's citation, plain, with pages, with an edition, and with both.
+BOOKS = {
+    "chicago": ("{author}. {title} [M]. {publisher}, {year}.", "{author}. {title} [M]. {publisher}, {year}. pp. {pages}.", "{author}. {title} [M]. {publisher}, {year}. {edition}.", "{author}. {title} [M]. {publisher}, {year}. {edition}. pp. {pages}."),
+    "apa": ("{author} ({year}). {title}. {publisher}.", "{author} ({year}). {title}. {publisher}. {pages}p.", "{author} ({year}). {title} ({edition}). {publisher}.", "{author} ({year}). {title} ({edition}). {publisher}. {pages}p."),
+    "gb7714": ("[{index}] {author}. {title} [M]. {publisher}, {year}.", "[{index}] {author}. {title} [M]. {publisher}, {year}: {pages}.", "[{index}] {author}. {title} [M]. {publisher}, {year}.", "[{index}] {author}. {title} [M]. {publisher}, {year}: {pages}."),
+    "mla": ("{author}. {title} [M]. {publisher}, {year}.", "{author}. {title} [M]. {publisher}, {year}. Print.", "{author}. {title} [M]. {publisher}, {year}.", "{author}. {title} [M]. {publisher}, {year}. Print."),
+    "ieee": ("{author}, {title}. {publisher}, {year}.", "{author}, {title}. {publisher}, {year}, pp. {pages}.", "{author}, {title}. {publisher}, {year}.", "{author}, {title}. {publisher}, {year}, pp. {pages}."),
+    "harvard": ("{author} ({year}) {title}. {publisher}.", "{author} ({year}) {title}. {publisher}, pp. {pages}.", "{author} ({year}) {title}. {publisher}.", "{author} ({year}) {title}. {publisher}, pp. {pages}."),
+}
+
+
+def rendered_book(style: str, title: Column, author: Column, publisher: Column, year: Column, pages: Column, edition: Column, index: Column) -> Column:
+    """A book's citation; unknown author, publisher and year are said so, pages and edition that are blank or 未知 are left out."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    known = lambda c: ~(blank(c) | (c == "未知"))
+    values = {
+        "author": F.when(known(author), collapse(author)).otherwise("未知作者"),
+        "title": F.coalesce(title, F.lit("")),
+        "publisher": F.when(blank(publisher), "未知出版社").otherwise(publisher),
+        "year": F.when(blank(year), "n.d.").otherwise(year),
+        "pages": F.coalesce(pages, F.lit("")),
+        "edition": F.coalesce(edition, F.lit("")),
+        "index": index.cast("string"),
+    }
+
+    def filled(form: str) -> Column:
+        pieces = [(text, name) for text, name, _, _ in Formatter().parse(form)]
+        return F.concat(*(part for text, name in pieces for part in ([F.lit(text)] if text else []) + ([values[name]] if name else [])))
+
+    plain, paged, again, both = map(filled, BOOKS[style])
+    return F.when(known(pages) & known(edition), both).when(known(pages), paged).when(known(edition), again).otherwise(plain)

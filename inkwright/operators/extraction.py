@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.text import collapse
 
@@ -189,9 +191,25 @@ def first_fields(text: Column, patterns: dict[str, list[str]]) -> Column:
     return F.struct(*[F.coalesce(*[F.nullif(collapse(F.regexp_extract(text, f"(?im){p}", 1)), F.lit("")) for p in some], F.lit("")).alias(name) for name, some in patterns.items()])
 
 
-def evidence_count(reply: Column) -> Column:
-    """How many evidence_text fields of a JSON text, at any depth, say something."""
-    return F.regexp_count(reply, F.lit(r'"evidence_text"\s*:\s*+(?!""|null|false|0[,}\s]|\[\s*\]|\{\s*\})'))
+@F.pandas_udf(IntegerType())
+def evidence_count(replies: pd.Series) -> pd.Series:
+    """How many evidence_text fields of a JSON text, at any depth, say something; what is inside strings does not count, a text that is no JSON has none."""
+
+    def count(text: str | None) -> int:
+        try:
+            held, n = [json.loads(text or "null")], 0
+        except ValueError:
+            return 0
+        while held:
+            value = held.pop()
+            if isinstance(value, dict):
+                n += bool(value.get("evidence_text"))
+                held.extend(value.values())
+            elif isinstance(value, list):
+                held.extend(value)
+        return n
+
+    return replies.map(count).astype("int32")
 
 
 def draft_quality(text: Column, sections: Column, wanted: int) -> Column:

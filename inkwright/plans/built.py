@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as X
+from ..operators import citations as B
 from ..operators import extraction as E
 from ..operators import graph as G
 from ..operators import packages as K
@@ -387,3 +388,33 @@ def z11_source_order(spark, sf_dir):
 def g12_record_statistics(spark, sf_dir):
     speeches = table(spark, sf_dir, "events").selectExpr("CASE WHEN event_id % 3 <> 0 THEN concat('u', user_id) ELSE '' END AS speaker")
     return K.record_statistics(speeches, table(spark, sf_dir, "orders").selectExpr("year(o_orderdate) AS year"), table(spark, sf_dir, "part").selectExpr("p_type AS category"))
+
+
+_BOOK = "SELECT p_partkey, style, CASE style {} END AS text FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '未知作者' ELSE p_brand END AS a, p_name AS t, CASE WHEN p_partkey % 7 = 0 THEN '未知出版社' ELSE p_type END AS p, CASE WHEN p_partkey % 3 = 0 THEN 'n.d.' ELSE (1950 + p_size)::VARCHAR END AS y, CASE WHEN p_partkey % 2 = 0 THEN p_size::VARCHAR ELSE '' END AS n, CASE WHEN p_partkey % 4 < 2 THEN '2nd ed' ELSE '' END AS e FROM part), (VALUES ('chicago'), ('apa'), ('gb7714'), ('mla'), ('ieee'), ('harvard')) s(style)"
+_BOOKS = {
+    "chicago": "a || '. ' || t || ' [M]. ' || p || ', ' || y || '.' || CASE WHEN e <> '' THEN ' ' || e || '.' ELSE '' END || CASE WHEN n <> '' THEN ' pp. ' || n || '.' ELSE '' END",
+    "apa": "a || ' (' || y || '). ' || t || CASE WHEN e <> '' THEN ' (' || e || ')' ELSE '' END || '. ' || p || '.' || CASE WHEN n <> '' THEN ' ' || n || 'p.' ELSE '' END",
+    "gb7714": "'[' || p_partkey + 1 || '] ' || a || '. ' || t || ' [M]. ' || p || ', ' || y || CASE WHEN n <> '' THEN ': ' || n ELSE '' END || '.'",
+    "mla": "a || '. ' || t || ' [M]. ' || p || ', ' || y || '.' || CASE WHEN n <> '' THEN ' Print.' ELSE '' END",
+    "ieee": "a || ', ' || t || '. ' || p || ', ' || y || CASE WHEN n <> '' THEN ', pp. ' || n ELSE '' END || '.'",
+    "harvard": "a || ' (' || y || ') ' || t || '. ' || p || CASE WHEN n <> '' THEN ', pp. ' || n ELSE '' END || '.'",
+}
+
+
+@query(_BOOK.format(" ".join(f"WHEN '{name}' THEN {form}" for name, form in _BOOKS.items())))
+def e04_rendered_books(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    author, publisher = F.when(k % 5 == 0, F.lit("未知")).otherwise(F.concat(F.lit(" "), "p_brand", F.lit("  "))), F.when(k % 7 != 0, F.col("p_type"))
+    year, pages, edition = F.when(k % 3 != 0, (F.lit(1950) + F.col("p_size")).cast("string")), F.when(k % 2 == 0, F.col("p_size").cast("string")).otherwise("未知"), F.when(k % 4 < 2, "2nd ed").otherwise("")
+    rows = F.array(*[F.struct(F.lit(style).alias("style"), B.rendered_book(style, F.col("p_name"), author, publisher, year, pages, edition, k + 1).alias("text")) for style in B.BOOKS])
+    return p.select("p_partkey", F.explode(rows).alias("r")).select("p_partkey", "r.style", "r.text")
+
+
+@query("SELECT p_partkey, '昭和' || 5 + p_size || '年3月5日' AS first, CASE WHEN p_partkey % 2 = 0 THEN 7 ELSE 2 END AS variants, CASE WHEN p_partkey % 2 = 0 THEN '1912年' ELSE '昭和五年三' END AS last_date FROM part")
+def d07_era_variants(spark, sf_dir):
+    """A date in one era, and for every other part a year that two eras share; and the dates of the same text as they stand."""
+    text = "concat('At ', 1930 + p_size, '年 3月05日, ', CASE WHEN p_partkey % 2 = 0 THEN '1912年' ELSE '' END, ' 昭和五年三月')"
+    rows = _part(spark, sf_dir, text).select("p_partkey", D.era_variants(F.col("t")).alias("v"), D.source_dates(F.col("t")).alias("d"))
+    last = F.when(F.col("p_partkey") % 2 == 0, F.try_element_at("d", F.lit(-1))).otherwise(F.concat(F.rtrim(F.get("d", F.lit(1))), F.lit("三")))
+    return rows.select("p_partkey", F.get("v", F.lit(0)).alias("first"), F.size("v").alias("variants"), last.alias("last_date"))

@@ -96,3 +96,19 @@ def test_replies_and_records(spark):
     merged = W.merged_entities(spark.createDataFrame(rows, "ord int, text string, category string, start int, stop int, confidence double, needs_review boolean")).collect()
     assert sorted((r["text"], r["confidence"], r["needs_review"]) for r in merged) == [("Edo", 0.7, False), ("江户", 0.9, True)]
     assert value(spark, W.cleaned_ocr(F.lit("本文　　一行 \n - 12 - \n 次の行\x07"))) == "本文 一行\n次の行"
+
+
+def test_era_variants_and_source_dates(spark):
+    from inkwright.operators import citations as C
+
+    got = value(spark, D.era_variants(F.lit("1912年3月05日 and 1926年、2019年1月 and 1700年")))
+    assert got == ["明治45年3月5日", "明治四十五年3月5日", "大正元年3月5日", "大正1年3月5日", "大正一年3月5日", "大正15年", "大正十五年", "昭和元年", "昭和1年", "昭和一年", "平成31年1月", "平成三十一年1月", "令和元年1月", "令和1年1月", "令和一年1月"]
+    assert value(spark, D.source_dates(F.lit("1904年3月5日 明治三十七年3月 1904年"))) == ["1904年3月5日", "明治三十七年3月 19", "1904年"]
+    none = F.lit(None).cast("string")
+    assert value(spark, C.rendered_book("gb7714", F.lit("史"), none, none, none, none, none, F.lit(3))) == "[3] 未知作者. 史 [M]. 未知出版社, n.d.."
+
+
+def test_evidence_is_counted_in_values_alone(spark):
+    replies = ['{"evidence_text": "a", "b": [{"evidence_text": ""}, {"evidence_text": ["x"], "c": {"evidence_text": 1}}]}', '{"t": "\\"evidence_text\\": \\"no\\""}', "no json", None, "[[{\"evidence_text\": true}]]"]
+    rows = spark.createDataFrame(list(enumerate(replies)), "id int, t string")
+    assert [r["n"] for r in rows.orderBy("id").select(E.evidence_count("t").alias("n")).collect()] == [3, 0, 0, 0, 1]
