@@ -29,6 +29,8 @@ CACHE_WORDS, BATCH_CHARS = 250_000, 1 << 19
 
 #: Texts with one of these go to the library whole: Python parts words there and the tokenizer does not, or the other way.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: How the tokens that end a word are marked in the vocabulary.
+_WORD_END = "</w>"
 _LATIN = re.compile("[\x00-\xff]*")
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)")
 
@@ -41,6 +43,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cache_words
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self.recent: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -52,10 +58,10 @@ class Encoder:
         found = {}
         for k in range(0, len(words), 4096):
             part = words[k : k + 4096]
-            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.asarray(encoded.ids, "<u4"), np.asarray(encoded.word_ids)
-            cuts = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(ids)) if len(ids) else np.zeros(1, np.int64)
-            if len(cuts) - 1 == len(part):
+            # Offsets are not asked for: ids that end words part them.
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) - 1 == len(part) and cuts[-1] == len(ids):
                 data, cuts = ids.tobytes(), (4 * cuts).tolist()
                 found.update((w, data[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
             else:
