@@ -25,7 +25,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Words kept in each of the two generations of a worker's cache, and characters of text that are looked up together.
-CACHE_WORDS, BATCH_CHARS = 250_000, 1 << 19
+CACHE_WORDS, BATCH_CHARS = 320_000, 1 << 19
 
 #: Texts with one of these go to the library whole: Python parts words there and the tokenizer does not, or the other way.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
