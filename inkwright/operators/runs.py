@@ -36,6 +36,51 @@ def with_subphases(pairs: DataFrame, phases: DataFrame, keys: list[str]) -> Data
     return pairs.join(best, [*keys, "completed_at"], "left")
 
 
+#: Kinds of progress events, and sub-phases that only hold others.
+STARTED, FINISHED = "candidate_started", "candidate_completed"
+STAGE_STARTED, STAGE_FINISHED = "worker_stage_started", ("worker_stage_completed", "worker_stage_failed")
+WRAPPERS = ("volume_series_fulltext_review",)
+#: What a progress event belongs to.
+PHASE_KEYS = ["phase", "position", "candidate"]
+
+
+def phase_reports(events: DataFrame) -> DataFrame:
+    """(keys, status, started_at, completed_at, seconds, subphases, longest, longest_seconds, last, last_status): one report of every completed start.
+
+    events: (phase, position, candidate, kind, subphase, status, ts, ordinal), where ordinal is the order of a key's rows. A later start replaces an
+    open one, and ends without a start go, for candidates as for sub-phases. A key's sub-phases add up over its pairs: a report counts
+    all that ended before it. The longest (the first of equals; one without a time never) and the last are taken among leaves, or among wrappers where no leaf
+    ended; else the last sub-phase told of is the last; without any, the phase as a whole is both. Null keys count as empty.
+    """
+    rows = events.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*PHASE_KEYS, "kind", "subphase"]})
+    stage = (F.col("subphase") != "") & F.startswith("kind", F.lit("worker_stage_"))
+    rows = rows.filter(stage | F.col("kind").isin(STARTED, FINISHED)).withColumn("_stage", stage)
+    paired = F.col("kind").isin(STARTED, FINISHED, STAGE_STARTED, *STAGE_FINISHED)
+    lane = F.when(F.col("_stage") & paired, F.col("subphase")).when(paired, "").otherwise(None)
+    before = Window.partitionBy(*PHASE_KEYS, "_stage", "_lane").orderBy("ordinal")
+    rows = rows.withColumn("_lane", lane).withColumns({"_kind": F.lag("kind").over(before), "_at": F.lag("ts").over(before)})
+    ended = F.col("_stage") & F.col("kind").isin(*STAGE_FINISHED) & (F.col("_kind") == STAGE_STARTED)
+    rows = rows.withColumns({"_s": (F.unix_micros("ts") - F.unix_micros("_at")) / F.lit(1e6), "_ended": F.coalesce(ended, F.lit(False)), "_leaf": ~F.col("subphase").isin(*WRAPPERS)})
+
+    sofar = Window.partitionBy(*PHASE_KEYS).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    name = F.struct("subphase", F.col("_s").alias("seconds"), "status")
+    weight = F.struct(F.when(F.col("_s") == 0, -1.0).otherwise(F.col("_s")), -F.col("ordinal"))
+
+    def over(side: Column) -> tuple[Column, Column]:
+        timed = side & F.col("_s").isNotNull()
+        return F.max_by(F.when(timed, name), F.when(timed, weight)).over(sofar), F.last(F.when(side, name), ignorenulls=True).over(sofar)
+
+    leaf, wrapper = over(F.col("_ended") & F.col("_leaf")), over(F.col("_ended") & ~F.col("_leaf"))
+    told = F.last(F.when(F.col("_stage"), name), ignorenulls=True).over(sofar)
+    rows = rows.withColumns({"subphases": F.count_if("_ended").over(sofar), "_ll": leaf[0], "_lf": leaf[1], "_wl": wrapper[0], "_wf": wrapper[1], "_told": told})
+    done = rows.filter(F.col("kind").eqNullSafe(FINISHED) & (F.col("_kind") == STARTED) & F.col("_s").isNotNull())
+    total = F.struct(F.concat(F.when(F.col("phase") == "", "candidate").otherwise(F.col("phase")), F.lit("_total")).alias("subphase"), F.col("_s").alias("seconds"), "status")
+    longest = F.when(F.col("_lf").isNotNull(), F.col("_ll")).when(F.col("_wf").isNotNull(), F.col("_wl")).when(F.col("_told").isNull(), total)
+    last = F.coalesce("_lf", "_wf", "_told", total)
+    done = done.withColumns({"_longest": longest, "_last": last})
+    return done.select(*PHASE_KEYS, "status", F.col("_at").alias("started_at"), F.col("ts").alias("completed_at"), F.col("_s").alias("seconds"), "subphases", F.col("_longest.subphase").alias("longest"), F.col("_longest.seconds").alias("longest_seconds"), F.col("_last.subphase").alias("last"), F.col("_last.status").alias("last_status"))
+
+
 def slow_events(pairs: DataFrame, threshold: float = 240.0) -> DataFrame:
     return pairs.filter(F.col("seconds") >= threshold)
 

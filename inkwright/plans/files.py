@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import runs as U
 from ..sources import writers
 from ..streaming import progress
 from .tables import table
@@ -78,6 +79,48 @@ def t01_stream_pairs(spark, sf_dir):
     return done.groupBy("key").agg(F.count("*").alias("pairs"), F.round(F.sum("seconds"), 2).alias("seconds"))
 
 
+#: Progress events from the table: views begin, purchases end; of the other kinds even ids begin a sub-phase and odd ones end it.
+_PROGRESS = """events_ AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'verify' ELSE '' END AS phase, CAST(user_id AS VARCHAR) AS candidate, event_id AS ordinal, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN event_id % 3 = 0 THEN 'ok' ELSE 'late' END AS status,
+ CASE WHEN event_type = 'view' THEN 'candidate_started' WHEN event_type = 'purchase' THEN 'candidate_completed' WHEN event_id % 2 = 0 THEN 'worker_stage_started' WHEN event_type = 'error' THEN 'worker_stage_failed' ELSE 'worker_stage_completed' END AS kind,
+ CASE WHEN event_type IN ('view', 'purchase') THEN '' WHEN event_type = 'signup' THEN 'volume_series_fulltext_review' ELSE event_type END AS subphase FROM events)"""
+_REPORTS = f"""WITH {_PROGRESS}, lagged AS (SELECT *, lag(kind) OVER w AS pk, lag(ts) OVER w AS pts FROM events_ WINDOW w AS (PARTITION BY candidate, subphase ORDER BY ordinal)),
+marked AS (SELECT *, subphase <> '' AND kind <> 'worker_stage_started' AND pk = 'worker_stage_started' AS ended, subphase = 'volume_series_fulltext_review' AS wraps, epoch_us(ts - pts) / 1000000.0 AS s FROM lagged),
+seen AS (SELECT *, count(*) FILTER (ended) OVER k AS subphases, count(*) FILTER (ended AND NOT wraps) OVER k AS leaves,
+ arg_max(row(subphase, s), row(CASE WHEN s = 0 THEN -1 ELSE s END, -ordinal)) FILTER (ended AND NOT wraps) OVER k AS ll, arg_max(row(subphase, s), row(CASE WHEN s = 0 THEN -1 ELSE s END, -ordinal)) FILTER (ended AND wraps) OVER k AS wl,
+ arg_max(row(subphase, status), ordinal) FILTER (ended AND NOT wraps) OVER k AS lf, arg_max(row(subphase, status), ordinal) FILTER (ended AND wraps) OVER k AS wf, arg_max(row(subphase, status), ordinal) FILTER (subphase <> '') OVER k AS told
+ FROM marked WINDOW k AS (PARTITION BY candidate ORDER BY ordinal ROWS UNBOUNDED PRECEDING)),
+named AS (SELECT *, CASE WHEN phase = '' THEN 'candidate' ELSE phase END || '_total' AS total FROM seen WHERE kind = 'candidate_completed' AND pk = 'candidate_started')
+SELECT phase, '' AS position, candidate, status, pts AS started_at, ts AS completed_at, s AS seconds, subphases, CASE WHEN leaves > 0 THEN ll[1] WHEN subphases > 0 THEN wl[1] WHEN told IS NULL THEN total END AS longest,
+ CASE WHEN leaves > 0 THEN ll[2] WHEN subphases > 0 THEN wl[2] WHEN told IS NULL THEN s END AS longest_seconds, CASE WHEN leaves > 0 THEN lf[1] WHEN subphases > 0 THEN wf[1] WHEN told IS NULL THEN total ELSE told[1] END AS last,
+ CASE WHEN leaves > 0 THEN lf[2] WHEN subphases > 0 THEN wf[2] WHEN told IS NULL THEN status ELSE told[2] END AS last_status FROM named"""
+
+
+def _progress(spark, sf_dir):
+    e, odd = table(spark, sf_dir, "events"), F.col("event_id") % 2 == 1
+    kind = F.when(F.col("event_type") == "view", U.STARTED).when(F.col("event_type") == "purchase", U.FINISHED).when(~odd, U.STAGE_STARTED).when(F.col("event_type") == "error", U.STAGE_FINISHED[1]).otherwise(U.STAGE_FINISHED[0])
+    subphase = F.when(F.col("event_type").isin("view", "purchase"), "").when(F.col("event_type") == "signup", U.WRAPPERS[0]).otherwise(F.col("event_type"))
+    phase = F.when(F.col("user_id") % 2 == 0, "verify").otherwise("")
+    return e.select(phase.alias("phase"), F.lit("").alias("position"), F.col("user_id").cast("string").alias("candidate"), kind.alias("kind"), subphase.alias("subphase"), F.when(F.col("event_id") % 3 == 0, "ok").otherwise("late").alias("status"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("ordinal"))
+
+
+@query(_REPORTS)
+def t01_phase_reports(spark, sf_dir):
+    out = U.phase_reports(_progress(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at")})
+
+
+@query(_REPORTS)
+def t01_stream_reports(spark, sf_dir):
+    """The same reports from a stream over the same rows, drained and read back."""
+    rows = _progress(spark, sf_dir)
+    rows.write.parquet(source := place(spark, "progress"))
+    progress.durable_state(spark)
+    stream, sink = progress.reported_stream(spark.readStream.schema(rows.schema).parquet(source)), place(spark, "reports")
+    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", place(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(stream.schema).parquet(sink)
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at")})
+
+
 def _put(spark, path: str, text: str) -> None:
     """A small file, written through Spark's own file system layer so that executors can read it."""
     jvm = spark.sparkContext._jvm
