@@ -140,7 +140,7 @@ def reranked_matches(matches: DataFrame, candidates: DataFrame, hints: DataFrame
     """Matches with `weight` and their new `place` (from 1) among those of their candidate.
 
     matches: (id, ordinal, source_id, title, author, publisher, date, score, mismatch, source_rank); candidates: (id, year, publisher), an id once; hints: (id,
-    source_id, query, snippet, pdf_page, specific). Mismatches come last, then weight decides, then source_rank (none or 0: 9999), then ordinal. Equal
+    source_id, query, snippet, pdf_page, specific). Mismatches come last, then weight to six places decides, then source_rank (none or 0: 9999), then ordinal. Equal
     years add 0.55 and others take 0.45; a publisher that the record names adds 0.45, one of three characters or more that it does not takes 0.2; the best
     specific hint of the source, or of none, adds 1.0 and more for words and a page. A match without a source_id takes the best hint of all. Hints are
     reduced to one value for each source before they are joined.
@@ -164,5 +164,5 @@ def reranked_matches(matches: DataFrame, candidates: DataFrame, hints: DataFrame
     by_hint = F.coalesce(F.when(F.col("_source") == "", F.col("_all")).otherwise(F.greatest("_own", "_any")), F.lit(0.0))
     rows = rows.withColumn("weight", F.coalesce("score", F.lit(0.0)) + by_year + by_publisher + by_hint)
     rank = F.coalesce(F.nullif("source_rank", F.lit(0)), F.lit(9999))
-    order = Window.partitionBy("id").orderBy(F.coalesce("mismatch", F.lit(False)), F.desc("weight"), rank, "ordinal")
+    order = Window.partitionBy("id").orderBy(F.coalesce("mismatch", F.lit(False)), F.round("weight", 6).desc(), rank, "ordinal")
     return rows.withColumn("place", F.row_number().over(order)).select(*matches.columns, "weight", "place")

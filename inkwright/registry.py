@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analytics, built, citations, curation, dates, documents, extras, files, papers, records, retrieval, reviews, workflow
+from .plans import analytics, built, citations, curation, dates, documents, extras, facets, files, papers, records, retrieval, reviews, workflow
 
-PARTS = (retrieval, analytics, documents, records, workflow, curation, citations, dates, extras, reviews, files, papers, built)
+PARTS = (retrieval, analytics, documents, records, workflow, curation, citations, dates, extras, reviews, files, facets, papers, built)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
