@@ -15,6 +15,9 @@ LIGHT_FIXES = [(" ,", ","), (" .", "."), (" , ", ", "), (" . ", ". "), ("  ", "
 #: Character variants of the source key and of the lookup title.
 SOURCE_VARIANTS = ("國會學條關說卷册·", "国会学条関説巻冊・")
 LOOKUP_VARIANTS = ("關說會舊國圖學", "関説会旧国図学")
+#: Character variants and marks of match texts.
+MATCH_VARIANTS = ("人戰國會體訓號竜實踐聽營廳驒覺證擔豫終爐兒聲變關縣處祿學與", "亻戦国会体训号龍実践聴営庁駄覚証担予终炉児声変関県処禄学与")
+MATCH_MARKS = "[「」『』《》“”\"'`・･、，。．：:；;（）()！？【】\\[\\]\\-—\\s\\p{Z}\\x1c-\\x1f\\x85]+"
 _SOURCE_MARKS = r"[\s　「」『』《》〈〉（）()\[\]［］・･·,，.。:：;；、\-‐‑–—_/]+"
 _LOOKUP_MARKS = r"[\s　『』「」《》〈〉（）()［］\[\]・,，.。:：;；、\-ー―—_/]+"
 _ALIAS_MARKS = r"[\s　「」『』《》〈〉（）()［］\[\]、，,。．.・·:：；;]+"

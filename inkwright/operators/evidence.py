@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from ..functions.cleanup import MATCH_MARKS, MATCH_VARIANTS
 from ..functions.text import collapse
 from .dedup import keep_first
 
@@ -29,9 +30,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 
 def match_text(text: Column) -> Column:
-    """Compatibility forms, no parentheticals, no punctuation or space, lower case."""
-    plain = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), r"\([^)]*\)|（[^）]*）", "")
-    return F.lower(F.regexp_replace(plain, r"[\p{P}\p{S}\s]+", ""))
+    """Compatibility forms, no parentheticals, one form of variant characters, no quotes, brackets, full stops of East Asian texts or space, lower case.
+
+    Commas, full stops and other marks of Western texts stay, for they may tell numbers apart.
+    """
+    plain = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), "[（(][^）)]*[）)]", "")
+    return F.lower(F.regexp_replace(F.translate(plain, *MATCH_VARIANTS), MATCH_MARKS, ""))
 
 
 def text_similarity(left: Column, right: Column) -> Column:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from inkwright.operators import facets as T
+from inkwright.operators.evidence import match_text
 
 RULES = "ord int, bucket string, role string, patterns array<string>, triggers array<string>, terms array<string>"
 ROWS = [
@@ -19,7 +20,7 @@ def faceted(spark, claims, rules=ROWS):
 
 
 def test_facets_of_claims(spark):
-    got = {r["id"]: [(f["bucket"], f["role"], [t["term"] for t in f["terms"]]) for f in r["facets"]] for r in faceted(spark, [(1, "AMERICA と合衆国の T-rade、将来"), (2, "Ａｍｅｒｉｋａ"), (3, "nothing"), (4, None), (5, "")]).collect()}
+    got = {r["id"]: [(f["bucket"], f["role"], [t["term"] for t in f["terms"]]) for f in r["facets"]] for r in faceted(spark, [(1, "AMERICA と合衆國の T-rade、将来"), (2, "Ａｍｅｒｉｋａ"), (3, "nothing"), (4, None), (5, "")]).collect()}
     us = ("us", "country", ["米国", "亜米利加", "北米"])
     assert got == {1: [us, ("economy", "theme", ["富", "財政"]), ("future_influence", "theme", ["将来", "前途", "後日"])], 2: [("us", "country", ["米国", "亜米利加"])], 3: [], 4: [], 5: []}
     assert [r["facets"] for r in faceted(spark, [(1, "America")], [(1, "b", None, None, None, ["t"])]).collect()] == [[]]
@@ -78,3 +79,10 @@ def test_reranked(spark):
     hints = spark.createDataFrame([(1, "s3", "q", "x", 4, True), (1, "s3", "門戸開放", "民ヲ安ズル", None, True), (1, "s2", "q", None, 7, False), (1, "other", "q", "門戶開放", 1, True)], "id long, source_id string, query string, snippet string, pdf_page int, specific boolean")
     got = sorted((r["id"], r["place"], r["ordinal"], round(r["weight"], 4)) for r in T.reranked_matches(matches, candidates, hints).collect())
     assert got == [(1, 1, 3, 2.8), (1, 2, 4, 2.8), (1, 3, 1, 1.5), (1, 4, 2, 0.25), (1, 5, 0, 1.25), (2, 1, 0, 0.0), (2, 2, 1, 0.0)]
+
+
+def test_match_texts(spark):
+    texts = ["國會ノ 戰（注）體", "Ａ.B, c！d", "(a） b [c]-「d」", "１,2", "人", None, "", "　\u00a0x\t", "!?/", "open (end"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["m"] for r in rows.select("i", match_text(F.col("t")).alias("m")).orderBy("i").collect()]
+    assert got == ["国会ノ戦体", "a.b,c!d", "bcd", "1,2", "亻", "", "", "x", "!?/", "openend"]
