@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,28 +85,46 @@ def person_summary(blocks: DataFrame, persons: DataFrame, text: str = "text") ->
 #: Patterns of speech with their kinds, and what stands before a speech after its speaker's name, each in order.
 SPEECHES = ((r"「([^」]+)」", "直接引语"), (r"『([^』]+)』", "引用文献"), (r"（(.+?)）", "括号注释"), (r"\((.+?)\)", "括号注释"), (r"「(.+?)」", "直接引语"), (r"曰く、?(.+?)(?:と|云|言|述)", "间接引语"), (r"(.+?)と申候", "正式陈述"), (r"(.+?)と申上候", "正式陈述"), (r"(.+?)候", "古文陈述"))
 SPEAKERS = (r"(.+?)(?:曰|云|言|述|申|書|寄せ)", r"(.+?)殿", r"(.+?)卿", r"(.+?)公", r"(.+?)氏", r"(.+?)閣下", r"(.+?)より", r"(.+?)よりの書", r"(.+?)の書")
-_PLACED = ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType()), StructField("start", IntegerType()), StructField("stop", IntegerType())]))
+_PLACED = ArrayType(StructType([StructField("kind", StringType()), StructField("text", StringType()), StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("before", StringType())]))
+_ANYWHERE = "(.+?)"
 
 
-@F.pandas_udf(_PLACED)
-def _placed_speeches(texts: pd.Series) -> pd.Series:
-    """Matches of all patterns with their places, which built-ins do not give."""
-    compiled = [(re.compile(p), kind) for p, kind in SPEECHES]
-    return pd.Series([[{"kind": kind, "text": m.group(1).strip(), "start": m.start(), "stop": m.end()} for p, kind in compiled for m in p.finditer(text or "")] for text in texts])
+def _matches(pattern: str, text: str) -> Iterator[re.Match]:
+    """All matches in order; a pattern that may begin anywhere is tried up to the last place of its ending in a line, so no line is read again and again."""
+    compiled = re.compile(pattern)
+    if not pattern.startswith(_ANYWHERE):
+        yield from compiled.finditer(text)
+        return
+    ending, at = pattern[len(_ANYWHERE) :], 0
+    while (hit := text.find(ending, at)) >= 0:
+        stop = text.find("\n", hit)
+        at = len(text) if stop < 0 else stop
+        yield from compiled.finditer(text, text.rfind("\n", 0, hit) + 1, text.rfind(ending, hit, at) + len(ending))
+
+
+def _placed_speeches(near: int):
+    @F.pandas_udf(_PLACED)
+    def placed(texts: pd.Series) -> pd.Series:
+        """Matches of all patterns with their places and the text before them, which built-ins do not give."""
+        return pd.Series([[{"kind": kind, "text": m.group(1).strip(), "start": m.start(), "stop": m.end(), "before": text[max(0, m.start() - near) : m.start()]} for p, kind in SPEECHES for m in _matches(p, text or "")] for text in texts])
+
+    return placed
 
 
 def speeches(docs: DataFrame, key: str, text: str = "text", near: int = 100) -> DataFrame:
     """(key, place, kind, text, start, stop, speaker, confidence) of every match of every pattern, in order of pattern and place.
 
     The speaker is named within the `near` characters before, by the first pattern that gives a name of 20 characters or fewer; else it is empty.
-    Patterns overlap, so one passage may be several speeches. Null texts give none.
+    Patterns overlap, so one passage may be several speeches. Null texts give none. A name is the last line that is not blank, up to the ending.
     """
-    rows = docs.select(key, F.col(text).alias("_t"), F.posexplode(_placed_speeches(text)).alias("place", "_s"))
-    before = F.substring(F.col("_t"), F.greatest(F.col("_s.start") - near, F.lit(0)) + 1, F.least(F.col("_s.start"), F.lit(near)))
+    rows = docs.select(key, F.posexplode(_placed_speeches(near)(text)).alias("place", "_s"))
+    rows = rows.withColumn("_line", F.substring_index(F.regexp_replace("_s.before", _FLAGS + r"\s+$", ""), "\n", -1))
     tried = []
     for pattern in SPEAKERS:
-        found = F.regexp_replace(F.regexp_extract(before, _FLAGS + pattern + r"\s*$", 1), r"[　\s]+", "")
-        tried.append(F.when((F.length(found) <= 20) & (found != ""), found))
+        endings = pattern.removeprefix(_ANYWHERE).removeprefix("(?:").removesuffix(")").split("|")
+        found = F.coalesce(*[F.when(F.endswith("_line", F.lit(e)), F.left("_line", F.length("_line") - len(e))) for e in endings])
+        found = F.regexp_replace(found, r"[　\s]+", "")
+        tried.append(F.when(F.length(found).between(1, 20), found))
     speaker = F.coalesce(*tried, F.lit(""))
     return rows.select(key, "place", "_s.kind", "_s.text", "_s.start", "_s.stop", speaker.alias("speaker")).withColumn("confidence", F.when(F.col("speaker") != "", 0.8).otherwise(0.6))
 
