@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from .evidence import match_text, nfkc
 
 #: Rules are configuration: so many at most.
@@ -109,15 +110,26 @@ def facet_queries(facets: Column, dates: Column, most: int = 18) -> Column:
     Date, anchor and theme; date and anchor where there are no themes; anchor and two combined facets; pairs of terms of all facets. Of a facet the first
     terms count, three in the first two forms, two in the others. Without facets there are none.
     """
-    none = F.array().cast("array<string>")
     terms = lambda f, n: F.slice(F.transform(f["terms"], lambda t: t["term"]), 1, n)
     of = lambda fs, n: F.array_distinct(F.flatten(F.transform(fs, lambda f: terms(f, n))))
     anchor = lambda f: f["role"].isin(*ANCHOR_ROLES)
-    every = F.flatten(F.transform(facets, lambda f: terms(f, 2)))
-    named, themed = of(F.filter(facets, anchor), 3), of(F.filter(facets, lambda f: ~anchor(f)), 3)
-    anchors = F.when(F.size(named) > 0, named).otherwise(F.array_distinct(every))
-    themes = F.when(F.size(themed) > 0, themed).otherwise(F.array_except(every, anchors))
-    bucket = lambda name: F.flatten(F.transform(F.filter(facets, lambda f: f["bucket"] == name), lambda f: terms(f, 2)))
+    bucket = lambda fs, name: F.flatten(F.transform(F.filter(fs, lambda f: f["bucket"] == name), lambda f: terms(f, 2)))
+    buckets = sorted({name for pair in COMBINED for name in pair})
+
+    # Each list of terms is computed once and then named, for lambdas would compute it again for each of their elements.
+    lists = F.struct(F.flatten(F.transform(facets, lambda f: terms(f, 2))).alias("every"), of(F.filter(facets, anchor), 3).alias("named"), of(F.filter(facets, lambda f: ~anchor(f)), 3).alias("themed"), *[bucket(facets, b).alias(b) for b in buckets], dates.alias("dates"), F.size(facets).alias("facets"))
+
+    def chosen(s: Column) -> Column:
+        anchors = F.when(F.size(s["named"]) > 0, s["named"]).otherwise(F.array_distinct(s["every"]))
+        themes = F.when(F.size(s["themed"]) > 0, s["themed"]).otherwise(F.array_except(s["every"], anchors))
+        return bound(F.struct(anchors.alias("anchors"), themes.alias("themes")), lambda c: _listed(s, c["anchors"], c["themes"], most))
+
+    return F.when(F.size(facets) > 0, bound(lists, chosen)).otherwise(F.array().cast("array<string>"))
+
+
+def _listed(terms: Column, anchors: Column, themes: Column, most: int) -> Column:
+    """The searches of lists of terms: every term, those of the combined facets, dates, the number of facets."""
+    none, every, dates = F.array().cast("array<string>"), terms["every"], terms["dates"]
 
     def each(outer: Column, inner) -> Column:
         return F.flatten(F.transform(outer, inner))
@@ -127,13 +139,13 @@ def facet_queries(facets: Column, dates: Column, most: int = 18) -> Column:
     plain = F.when(F.size(themes) == 0, each(dates, lambda d: F.transform(F.slice(anchors, 1, 4), lambda a: joined(d, a)))).otherwise(none)
 
     def combined(x: str, y: str, a: Column) -> Column:
-        return each(bucket(x), lambda s: F.transform(bucket(y), lambda t: joined(a, s, t)))
+        return each(terms[x], lambda s: F.transform(terms[y], lambda t: joined(a, s, t)))
 
     mixed = each(F.slice(anchors, 1, 3), lambda a: F.concat(*[combined(x, y, a) for x, y in COMBINED]))
     pairs = each(F.slice(every, 1, 4), lambda s: F.transform(F.filter(F.slice(every, 1, 6), lambda t: t != s), lambda t: joined(s, t)))
-    listed = F.concat(full, plain, mixed, F.when(F.size(facets) >= 2, pairs).otherwise(none))
+    listed = F.concat(full, plain, mixed, F.when(terms["facets"] >= 2, pairs).otherwise(none))
     clean = F.transform(listed, lambda q: F.trim(F.regexp_replace(q, r"\s+", " ")))
-    return F.when(F.size(facets) > 0, F.slice(F.array_distinct(F.filter(clean, lambda q: q != "")), 1, most)).otherwise(none)
+    return F.slice(F.array_distinct(F.filter(clean, lambda q: q != "")), 1, most)
 
 
 def reranked_matches(matches: DataFrame, candidates: DataFrame, hints: DataFrame) -> DataFrame:

@@ -80,8 +80,9 @@ SELECT id, array_to_string(({_ONCE('q')})[1:18], ';') AS queries FROM forms"""
 def z20_facet_queries(spark, sf_dir):
     size = F.col("p_size").cast("string")
     dates = F.when(F.col("p_size") % 5 == 0, F.array(F.concat((F.col("p_size") + 1900).cast("string"), F.lit("年")))).otherwise(F.array(F.concat(F.lit("1919"), F.lit("年")), F.concat(size, F.lit("日")), F.concat(F.lit("大正"), size, F.lit("年"))))
-    out = _claims(spark, sf_dir).select("id", T.facet_queries(F.col("facets"), T.date_anchors(dates)).alias("q"))
-    return out.filter(F.size("q") > 0).select("id", F.array_join("q", ";").alias("queries"))
+    queries = F.array_join(T.facet_queries(F.col("facets"), T.date_anchors(dates)), ";")
+    # As elements of an array the queries are not computed once more for a filter.
+    return _claims(spark, sf_dir).select("id", F.explode(F.array_compact(F.array(F.nullif(queries, F.lit(""))))).alias("queries"))
 
 
 @query(
