@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import scan_page
+from ..functions.text import bound
 from .evidence import nfkc
 
 #: What marks a page of contents, headings in the body, the words a heading may be known by, lengths of its beginnings.
@@ -37,7 +38,7 @@ def printed_number(token: Column) -> Column:
 
     with_units = F.aggregate(F.filter(F.split(plain, ""), lambda c: c != ""), start, step, lambda s: s["total"] + s["held"])
     value = F.when(plain.rlike("^[0-9]+$"), by_place).when(plain.rlike(f"^[0-9{_UNITS}]{{1,12}}$"), with_units)
-    return F.when(value > 0, value)
+    return F.nullif(value, F.lit(0))
 
 
 def _form(text: Column) -> Column:
@@ -54,17 +55,21 @@ def _is_contents(text: Column) -> Column:
 
 def _listed_page(contents: Column, heading: Column) -> Column:
     """Page number that follows the heading, or the longest known beginning of it, in the form of a page of contents."""
-    name = _form(heading)
+    return bound(_form(heading), lambda name: _page_after(contents, name))
+
+
+def _page_after(contents: Column, name: Column) -> Column:
     begun = [F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in BEGINNINGS]
     opened = [F.when(F.startswith(name, F.lit(o)), F.lit(o)) for o in OPENINGS]
     tried = F.array_distinct(F.filter(F.array(name, *begun, *opened), lambda x: F.length(x) >= 2))
 
     def page(x: Column) -> Column:
-        at = F.call_function("instr", contents, x)
-        after = F.substring(contents, at + F.length(x), F.lit(80))
-        return F.when(at > 0, printed_number(F.regexp_extract(after, rf"([0-9{_DIGITS}{_UNITS}]{{1,6}})", 1)))
+        after = lambda at: F.substring(contents, at + F.length(x), F.lit(80))
+        number = lambda at: bound(F.regexp_extract(after(at), rf"([0-9{_DIGITS}{_UNITS}]{{1,6}})", 1), printed_number)
+        return bound(F.call_function("instr", contents, x), lambda at: F.when(at > 0, number(at)))
 
-    return F.get(F.filter(F.transform(tried, page), lambda n: n.isNotNull()), F.lit(0))
+    # The first that gives a page; what comes after it is not looked up.
+    return F.aggregate(tried, F.lit(None).cast("int"), lambda n, x: F.when(n.isNotNull(), n).otherwise(page(x)))
 
 
 def contents_anchors(pages: DataFrame, vote: bool = False) -> DataFrame:
@@ -78,7 +83,9 @@ def contents_anchors(pages: DataFrame, vote: bool = False) -> DataFrame:
     found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(h), 0) for h in HEADINGS]))
     named = F.array_distinct(F.filter(F.transform(found, lambda h: F.btrim(h, F.lit(_EDGES))), lambda h: F.length(_form(h)) >= 2))
     heads = plain.filter(~_is_contents(F.col("text"))).select("book", "scan", F.explode(named).alias("heading"))
-    anchors = heads.join(contents, "book").filter("listed < scan").withColumn("page", _listed_page(F.col("contents"), F.col("heading"))).filter("page IS NOT NULL")
+    # As elements of an array the pages are not computed once more for a filter.
+    listed = F.explode(F.array_compact(F.array(_listed_page(F.col("contents"), F.col("heading"))))).alias("page")
+    anchors = heads.join(contents, "book").filter("listed < scan").select("book", "scan", listed)
     if vote:
         anchors = anchors.withColumn("off", F.col("scan") - F.floor(F.col("page") / 2))
         votes = anchors.groupBy("book", "off").agg(F.count("*").alias("votes"))

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from inkwright.operators import facets, narratives
+from inkwright.operators import facets, narratives, page_mapping
 
 
 def test_speeches_of_a_long_line(spark):
@@ -25,3 +25,9 @@ def test_speeches_of_a_long_line(spark):
 
 def test_lists_of_facet_queries_are_computed_once(spark):
     assert len(str(facets.facet_queries(F.col("f"), F.col("d")))) < 4_000  # 5,437 with each list spelled out where it is used
+
+
+def test_a_listed_page_is_looked_up_once(spark):
+    assert len(str(page_mapping._listed_page(F.col("a"), F.col("b")))) < 3_000  # 4,559 with the heading's form spelled out where it is used
+    rows = spark.createDataFrame([("第一章海 十二 第一章海路 三", "第一章海路"), ("第一章海", "第一章海路"), ("序", "緒論")], "a string, b string")
+    assert [r[0] for r in rows.select(page_mapping._listed_page(F.col("a"), F.col("b"))).collect()] == [3, None, None]
