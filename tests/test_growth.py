@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from inkwright.operators import facets, narratives, page_mapping
+from inkwright.operators import claims, facets, narratives, page_mapping
 
 
 def test_speeches_of_a_long_line(spark):
@@ -31,3 +31,16 @@ def test_a_listed_page_is_looked_up_once(spark):
     assert len(str(page_mapping._listed_page(F.col("a"), F.col("b")))) < 3_000  # 4,559 with the heading's form spelled out where it is used
     rows = spark.createDataFrame([("第一章海 十二 第一章海路 三", "第一章海路"), ("第一章海", "第一章海路"), ("序", "緒論")], "a string, b string")
     assert [r[0] for r in rows.select(page_mapping._listed_page(F.col("a"), F.col("b"))).collect()] == [3, None, None]
+
+
+def test_best_window_of_a_long_text(spark):
+    text = "ab th " * 20_000 + "th " * 70 + "cd " * 300 + "😀" * 300
+    began = time.time()
+    rows = spark.createDataFrame([(text,), ("th" * 100,), (None,), ("q" * 261,)], "t string")
+    score = lambda t: (F.length(t) - F.length(F.replace(t, F.lit("th"), F.lit("")))) / F.length(t)
+    got = [r[0] for r in rows.select(claims.best_window(F.col("t"), score)).collect()]
+    assert time.time() - began < 20
+    t = text.strip()
+    windows = [t[k : k + 220] for k in range(0, len(t) - 219, 60)]
+    best = max(windows, key=lambda w: (len(w) - len(w.replace("th", ""))) / len(w))
+    assert got == [best, "th" * 100, None, "q" * 261]
