@@ -81,13 +81,14 @@ def query_terms(plans: DataFrame, most: int = 12) -> DataFrame:
 def active_facets(claims: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, bucket, terms): terms of all rules (triggers, bucket, terms) of which a trigger occurs in the claim.
 
-    Rules meet claims by their triggers' first two characters; the text of a claim is fetched only where these are in it, and checked.
+    Rules meet claims by their triggers' first two characters, or the only one, where a claim has these. Rules are small beside claims: they and their
+    beginnings go to every task, so a claim is read once, in its own task, and no text is moved.
     """
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("claim") - 1, F.lit(1))), lambda k: F.substring(F.col("claim"), k, F.lit(2)))
-    heads = claims.select("id", F.explode(F.array_distinct(pairs)).alias("head"))
+    pairs = F.array_union(F.regexp_extract_all("claim", F.lit("(?s)(?=(..))"), 1), F.array_union(F.split("claim", ""), F.array(F.lit(""))))
     keyed = rules.select("bucket", "terms", F.explode("triggers").alias("trigger")).withColumn("head", F.substring("trigger", 1, 2))
-    met = heads.join(keyed, "head").select("id", "bucket", "terms", "trigger")
-    hit = met.join(claims.select("id", "claim"), "id").filter("contains(claim, trigger)")
+    known = keyed.agg(F.collect_set("head").alias("_known"))
+    met = claims.select("id", "claim").crossJoin(F.broadcast(known)).select("id", "claim", F.explode(F.array_intersect(pairs, F.col("_known"))).alias("head"))
+    hit = met.join(F.broadcast(keyed), "head").filter("contains(claim, trigger)").select("id", "bucket", "terms")
     return hit.groupBy("id", "bucket").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("terms"))
 
 

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from inkwright.operators import claims, facets, narratives, page_mapping
+from inkwright.operators import claims, facets, narratives, page_mapping, records
 
 
 def test_speeches_of_a_long_line(spark):
@@ -44,3 +44,12 @@ def test_best_window_of_a_long_text(spark):
     windows = [t[k : k + 220] for k in range(0, len(t) - 219, 60)]
     best = max(windows, key=lambda w: (len(w) - len(w.replace("th", ""))) / len(w))
     assert got == [best, "th" * 100, None, "q" * 261]
+
+
+def test_active_facets_of_a_long_claim_and_short_triggers(spark):
+    claims_ = spark.createDataFrame([(1, "ab " * 60_000 + "zed"), (2, "q"), (3, None), (4, "b😀q")], "id int, claim string")
+    rules = spark.createDataFrame([("one", ["q"], ["t"]), ("end", ["zed", "b😀"], ["u", "v"]), ("any", [""], ["w"]), ("none", ["zz"], ["x"])], "bucket string, triggers array<string>, terms array<string>")
+    began = time.time()
+    got = {(r["id"], r["bucket"]): r["terms"] for r in records.active_facets(claims_, rules).collect()}
+    assert time.time() - began < 20
+    assert got == {(1, "end"): ["u", "v"], (1, "any"): ["w"], (2, "one"): ["t"], (2, "any"): ["w"], (4, "one"): ["t"], (4, "end"): ["u", "v"], (4, "any"): ["w"]}
