@@ -131,12 +131,18 @@ def mentions(text: Column) -> Column:
 def mention_edges(documents: DataFrame, mentions: DataFrame) -> DataFrame:
     """(source, target, confidence): a mention (id, title, confidence) whose title is a document's title (id, title), whatever the case.
 
-    Equal titles are what a join can find without comparing every pair; 0.55 at least.
+    Equal titles are what a join can find without comparing every pair; 0.55 at least. Mentions and documents are made distinct before they meet, so that
+    edges, as many as the product of both for each title, leave the join as they are; only those to a document of several titles are grouped.
     """
-    left = mentions.select(F.col("id").alias("source"), F.lower("title").alias("t"), "confidence")
-    right = documents.select(F.col("id").alias("target"), F.lower("title").alias("t"))
-    found = left.filter(F.length("t") > 0).join(right, "t").filter("source <> target")
-    return found.groupBy("source", "target").agg(F.greatest(F.max("confidence"), F.lit(0.55)).alias("confidence"))
+    left = mentions.select(F.col("id").alias("source"), F.lower("title").alias("t"), "confidence").filter(F.length("t") > 0)
+    left = left.groupBy("source", "t").agg(F.max("confidence").alias("confidence"))
+    right = documents.select(F.col("id").alias("target"), F.lower("title").alias("t")).filter(F.length("t") > 0)
+    named = right.groupBy("target").agg(F.min("t").alias("t"), F.max("t").alias("_last"))
+    several = right.join(named.filter("t <> _last").select("target"), "target", "left_semi").distinct()
+    weight = lambda c: F.greatest(c, F.lit(0.55)).alias("confidence")
+    met = lambda docs: left.join(docs, "t").filter("source <> target")
+    once = met(named.filter("t = _last").select("target", "t")).select("source", "target", weight(F.col("confidence")))
+    return once.unionByName(met(several).groupBy("source", "target").agg(weight(F.max("confidence"))))
 
 
 def footnote(text: Column) -> Column:

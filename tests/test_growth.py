@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from inkwright.operators import claims, facets, narratives, page_mapping, records
+from inkwright.operators import citations, claims, facets, graph, narratives, page_mapping, records
 
 
 def test_speeches_of_a_long_line(spark):
@@ -53,3 +53,20 @@ def test_active_facets_of_a_long_claim_and_short_triggers(spark):
     got = {(r["id"], r["bucket"]): r["terms"] for r in records.active_facets(claims_, rules).collect()}
     assert time.time() - began < 20
     assert got == {(1, "end"): ["u", "v"], (1, "any"): ["w"], (2, "one"): ["t"], (2, "any"): ["w"], (4, "one"): ["t"], (4, "end"): ["u", "v"], (4, "any"): ["w"]}
+
+
+def test_citation_edges_by_whole_words(spark):
+    docs = spark.createDataFrame([(1, "Study of Studying 満州鉄道", None), (2, "no title", "understudying 南満州鉄道の"), (3, "Study study", "x"), (4, None, "study")], "id int, title string, text string")
+    got = {(r["source"], r["target"]): round(r["confidence"], 2) for r in graph.citation_edges(docs).collect()}
+    assert got == {(2, 1): 0.85, (2, 3): 0.7, (4, 3): 0.7}
+    # Texts and titles that share all their parts but no word make no pairs to be checked.
+    names = ["".join(chr(97 + int(d)) for d in f"{k:05d}") for k in range(3_000)]
+    many = spark.createDataFrame([(k, f"topic{n}z", f"retopic{n}y") for k, n in enumerate(names)], "id int, title string, text string")
+    assert graph.citation_edges(many).count() == 0
+
+
+def test_mention_edges_to_documents_of_several_titles(spark):
+    docs = spark.createDataFrame([(1, "A"), (1, "B"), (2, "a"), (2, "A"), (3, ""), (3, None), (4, "b")], "id int, title string")
+    found = spark.createDataFrame([(2, "a", 0.5), (2, "B", 0.9), (4, "A", None), (4, "a", 0.6), (1, "b", 0.2), (9, "", 0.9)], "id int, title string, confidence double")
+    edges = citations.mention_edges(docs, found)
+    assert sorted(edges.collect()) == [(1, 4, 0.55), (2, 1, 0.9), (2, 4, 0.9), (4, 1, 0.6), (4, 2, 0.6)]
