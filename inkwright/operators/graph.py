@@ -13,27 +13,19 @@ TITLE_WORD = "[A-Za-z一-鿿]{4,}"
 def citation_edges(docs: DataFrame) -> DataFrame:
     """(source, target, confidence): two or more title words occur in the source's text; a word that a title repeats counts again.
 
-    `docs`: id, title, text. A title word may be part of a longer word, so words and texts meet by four-letter parts: a word by that one of its own parts
-    that the fewest texts have. Frequent parts ("tion") thus meet nothing but words that have no other, and containment is checked after the join.
+    `docs`: id, title, text. A title word may be part of a longer word. Of each length that title words have, a text gives all its parts, each once, and
+    these meet the words by equality, so no text meets a word that it does not hold.
     """
     titles = docs.select(F.col("id").alias("target"), F.explode(F.transform(F.regexp_extract_all("title", F.lit(f"({TITLE_WORD})"), 1), lambda w: F.lower(w))).alias("word"))
     words = titles.groupBy("target", "word").agg(F.count("*").alias("times"))
-    longest = words.agg(F.max(F.length("word"))).first()[0] or 4  # no more of a run, before and after a part, is needed to compare
-
-    def parts(text: Column, size: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), size - 3), lambda k: F.struct(F.substring(text, k, F.lit(4)).alias("part"), F.substring(text, F.greatest(k - longest, F.lit(1)), F.lit(2 * longest)).alias("around")))
-
-    text = F.lower(F.coalesce("text", F.lit("")))
-    # Every run of letters gives its parts, distinct within a document.
-    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({TITLE_WORD})"), 1))
-    held = F.array_distinct(F.flatten(F.transform(runs, lambda r: parts(r, F.length(r)))))
-    heads = docs.select(F.col("id").alias("source"), F.explode(held).alias("p")).select("source", "p.part", "p.around")
-    counts = heads.groupBy("part").agg(F.count("*").alias("n"))
-    distinct = words.select("word").distinct()
-    own = distinct.select("word", F.explode(F.array_distinct(F.transform(parts(F.col("word"), F.length("word")), lambda p: p["part"]))).alias("part"))
-    rarest = own.join(counts, "part").groupBy("word").agg(F.min_by("part", F.struct("n", "part")).alias("part"))
+    lengths = sorted(r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect())  # one number for each length
+    letter = TITLE_WORD.removesuffix("{4,}")
+    parts = [F.regexp_extract_all("_t", F.lit(f"(?=({letter}{{{n}}}))"), 1) for n in lengths] or [F.array().cast("array<string>")]
+    # Texts give many parts each, so they are dealt anew: a table in one file would else be read and taken apart by one task.
+    texts = docs.select(F.col("id").alias("source"), F.lower(F.coalesce("text", F.lit(""))).alias("_t")).repartition("source")
+    held = texts.select("source", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("word"))
     # Which words a text has, once each, before titles come in.
-    seen = heads.join(rarest, "part").filter("contains(around, word)").select("source", "word").distinct()
+    seen = held.join(words.select("word"), "word", "left_semi").distinct()
     hits = seen.join(words, "word").filter("source <> target")
     overlap = hits.groupBy("source", "target").agg(F.sum("times").alias("overlap")).filter("overlap >= 2")
     return overlap.select("source", "target", F.least(F.lit(0.9), 0.4 + 0.15 * F.col("overlap")).alias("confidence"))
