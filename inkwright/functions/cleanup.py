@@ -17,7 +17,7 @@ SOURCE_VARIANTS = ("國會學條關說卷册·", "国会学条関説巻冊・")
 LOOKUP_VARIANTS = ("關說會舊國圖學", "関説会旧国図学")
 #: Character variants and marks of match texts.
 MATCH_VARIANTS = ("人戰國會體訓號竜實踐聽營廳驒覺證擔豫終爐兒聲變關縣處祿學與", "亻戦国会体训号龍実践聴営庁駄覚証担予终炉児声変関県処禄学与")
-MATCH_MARKS = "[「」『』《》“”\"'`・･、，。．：:；;（）()！？【】\\[\\]\\-—\\s\\p{Z}\\x1c-\\x1f\\x85]+"
+MATCH_MARKS = "「」『』《》“”\"'`・･、，。．：:；;（）()！？【】[]-—" + "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f　"
 _SOURCE_MARKS = r"[\s　「」『』《》〈〉（）()\[\]［］・･·,，.。:：;；、\-‐‑–—_/]+"
 _LOOKUP_MARKS = r"[\s　『』「」《》〈〉（）()［］\[\]・,，.。:：;；、\-ー―—_/]+"
 _ALIAS_MARKS = r"[\s　「」『』《》〈〉（）()［］\[\]、，,。．.・·:：；;]+"

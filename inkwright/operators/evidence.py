@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StringType
 from ..functions.cleanup import MATCH_MARKS, MATCH_VARIANTS
 from ..functions.text import collapse
 from .dedup import keep_first
+from .spread import spread
 
 HAN = "[㐀-鿿]"
 
@@ -19,7 +20,14 @@ HAN = "[㐀-鿿]"
 @F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two short texts; there is no built-in for it."""
-    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)])
+    return pd.Series([_ratio(a or "", b or "") for a, b in zip(left, right)], dtype="float64")
+
+
+def _ratio(a: str, b: str) -> float:
+    # Under 200 characters none are left out as too frequent, so the part that both share is the longest block and nothing lies beside it.
+    if len(b) < 200 and (a in b or b in a) and a and b:
+        return 2.0 * min(len(a), len(b)) / (len(a) + len(b))
+    return 0.0 if a and b and set(a).isdisjoint(b) else SequenceMatcher(None, a, b).ratio()
 
 
 @F.pandas_udf(StringType())
@@ -35,7 +43,7 @@ def match_text(text: Column) -> Column:
     Commas, full stops and other marks of Western texts stay, for they may tell numbers apart.
     """
     plain = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), "[（(][^）)]*[）)]", "")
-    return F.lower(F.regexp_replace(F.translate(plain, *MATCH_VARIANTS), MATCH_MARKS, ""))
+    return F.lower(F.translate(plain, MATCH_VARIANTS[0] + MATCH_MARKS, MATCH_VARIANTS[1]))
 
 
 def text_similarity(left: Column, right: Column) -> Column:
@@ -48,17 +56,28 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
 
 
+def _is_han(letter: Column) -> Column:
+    return letter.between(HAN[1], HAN[3])
+
+
+def _characters(text: Column) -> Column:
+    """Distinct Han characters."""
+    return F.when(text.rlike(HAN), F.array_distinct(F.filter(F.split(text, ""), _is_han))).otherwise(F.array().cast("array<string>"))
+
+
+def _pairs(text: Column) -> Column:
+    """Distinct pairs of neighbours, one of them at least a Han character."""
+    letters = F.split(text, "")
+    pairs = F.zip_with(F.slice(letters, F.lit(1), F.size(letters) - 1), F.slice(letters, F.lit(2), F.size(letters)), lambda x, y: F.when(_is_han(x) | _is_han(y), F.concat(x, y)))
+    return F.when((F.length(text) >= 2) & text.rlike(HAN), F.array_distinct(F.array_compact(pairs))).otherwise(F.array().cast("array<string>"))
+
+
 def han_overlap(claim: Column, segment: Column) -> Column:
-    pick = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(f"({HAN})"), 1))
-    return _overlap(pick(claim), pick(segment))
+    return _overlap(_characters(claim), _characters(segment))
 
 
 def bigram_overlap(claim: Column, segment: Column) -> Column:
-    def pick(t: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda k: F.substring(t, k, F.lit(2)))
-        return F.array_distinct(F.filter(pairs, lambda p: (F.length(p) == 2) & p.rlike(HAN)))
-
-    return _overlap(pick(claim), pick(segment))
+    return _overlap(_pairs(claim), _pairs(segment))
 
 
 def cue_score(claim: Column, segment: Column, groups: dict[str, list[str]]) -> Column:
@@ -71,44 +90,61 @@ def cue_score(claim: Column, segment: Column, groups: dict[str, list[str]]) -> C
     return F.when(active > 0, both / active).otherwise(0.0)
 
 
-def alignment_score(claim: Column, segment: Column, a: Column, b: Column, groups: dict[str, list[str]]) -> Column:
-    """Score of a claim and a segment; a and b are their match_text, as columns of their own."""
-    ratio = sequence_ratio(F.substring(a, 1, 400), F.substring(b, 1, 400))
-    score = ratio * 0.20 + han_overlap(claim, segment) * 0.35 + bigram_overlap(a, b) * 0.25 + cue_score(claim, segment, groups) * 0.20
-    return F.when((a == "") | (b == ""), 0.0).otherwise(F.least(score, F.lit(1.0)))
+def _sides(rows: DataFrame, text: str, side: str) -> DataFrame:
+    """Rows with what a score takes from a text: its match_text, Han characters and pairs, as _<side>, _<side>h and _<side>p."""
+    return rows.withColumn(f"_{side}", match_text(F.col(text))).withColumns({f"_{side}h": _characters(F.coalesce(text, F.lit(""))), f"_{side}p": _pairs(F.col(f"_{side}"))})
+
+
+_SIDES = ("_a", "_ah", "_ap", "_b", "_bh", "_bp")
+
+
+def _scored(rows: DataFrame, claim: str, text: str, groups: dict[str, list[str]], classes: list[str]) -> DataFrame:
+    """Rows with _sides of a claim (a) and a text (b): those that can be the best of their classes, and their exact score.
+
+    A score is known but for its share of 0.20 for the ratio, which is at most 1 and at most what the two lengths allow. Ratios are computed only where
+    that share can make up for what is missing to the highest sum without it.
+    """
+    empty = (F.col("_a") == "") | (F.col("_b") == "")
+    la, lb = F.least(F.length("_a"), F.lit(400)), F.least(F.length("_b"), F.lit(400))
+    cues = cue_score(F.col(claim), F.col(text), groups)
+    parts = {"_h": _overlap(F.col("_ah"), F.col("_bh")) * 0.35, "_p": _overlap(F.col("_ap"), F.col("_bp")) * 0.25, "_c": cues * 0.20, "_more": F.when(empty, 0.0).otherwise(F.least(la, lb) * 0.40 / (la + lb))}
+    rows = rows.withColumns(parts).drop("_ah", "_bh", "_ap", "_bp").withColumn("_known", F.when(empty, 0.0).otherwise(F.col("_h") + F.col("_p") + F.col("_c")))
+    rows = rows.withColumn("_least", F.max("_known").over(Window.partitionBy(*classes))).filter("_known + _more + 1e-9 >= _least")
+    ratio = sequence_ratio(F.substring("_a", 1, 400), F.substring("_b", 1, 400))
+    score = F.when(empty, 0.0).otherwise(F.least(ratio * 0.20 + F.col("_h") + F.col("_p") + F.col("_c"), F.lit(1.0)))
+    return rows.withColumn("score", score).drop("_a", "_b", "_h", "_p", "_c", "_known", "_more", "_least")
 
 
 def review_decision(score: Column, cues: Column, cue_matches: Column) -> Column:
     return F.when(score >= 0.45, "direct_support").when((score >= 0.16) | ((cues >= 0.25) & (cue_matches >= 2)), "partial_support").otherwise("not_supported")
 
 
-def page_segments(passages: DataFrame, least: int = 20) -> DataFrame:
+def page_segments(passages: DataFrame, least: int = 20, outer: bool = False) -> DataFrame:
     """passages (text) with place and segment: blocks between blank lines that have `least` characters when cleaned.
 
-    A text that is not blank always has such blocks, so sentences are never grouped instead.
+    A text that is not blank always has such blocks, so sentences are never grouped instead. `outer` keeps passages without any, with null.
     """
-    blocks = F.transform(F.split(F.translate(F.coalesce("text", F.lit("")), "\r", "\n"), r"\n{2,}"), lambda p: F.regexp_replace(p, r"^[\s　]+|[\s　]+$", ""))
-    rows = passages.withColumn("_b", F.filter(blocks, lambda p: F.length(p) > 0))
-    return rows.select(*passages.columns, F.posexplode("_b").alias("place", "segment")).filter(F.length(collapse(F.col("segment"))) >= least).drop("text")
-
-
-def scored_segments(claims: DataFrame, segments: DataFrame, key: str, groups: dict[str, list[str]]) -> DataFrame:
-    """Every claim (key, claim) with every segment of its key, and their score."""
-    pairs = claims.join(segments, key).withColumns({"_a": match_text(F.col("claim")), "_b": match_text(F.col("segment"))})
-    return pairs.withColumn("score", alignment_score(F.col("claim"), F.col("segment"), F.col("_a"), F.col("_b"), groups)).drop("_a", "_b")
+    blocks = F.transform(F.split(F.translate(F.coalesce("text", F.lit("")), "\r", "\n"), r"\n{2,}"), lambda p: F.btrim(p, F.lit(" \t\n\v\f\r　")))
+    whole = F.filter(blocks, lambda p: F.length(p) > 0)
+    numbered = F.filter(F.transform(whole, lambda p, k: F.struct(k.alias("place"), p.alias("segment"))), lambda x: F.length(collapse(x["segment"])) >= least)
+    kept = [c for c in passages.columns if c != "text"]
+    return passages.select(*kept, (F.explode_outer if outer else F.explode)(numbered).alias("_s")).select(*kept, "_s.place", "_s.segment")
 
 
 def trimmed_segments(rows: DataFrame, key: list[str], groups: dict[str, list[str]], size: int = 220, step: int = 60, whole: int = 260) -> DataFrame:
     """Rows (key, claim, segment) with `matched`: the segment up to a scan number; of one longer than `whole` its best window, if that scores more than all of it."""
+    kept = rows.columns
     cleaned = collapse(F.split("segment", r"E\d{6,}", 2)[0])
-    starts = F.when(F.length("_c") > whole, F.sequence(F.lit(0), F.greatest(F.length("_c") - size, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_c", cleaned)
-    parts = rows.select(*key, "claim", "_c", F.explode(F.concat(F.array(F.lit(-1)), starts)).alias("_at"))
-    parts = parts.withColumn("_w", F.when(F.col("_at") < 0, F.col("_c")).otherwise(F.substring(F.col("_c"), F.col("_at") + 1, F.lit(size))))
-    parts = parts.withColumns({"_a": match_text(F.col("claim")), "_b": match_text(F.col("_w"))})
-    parts = parts.withColumn("_s", alignment_score(F.col("claim"), F.col("_w"), F.col("_a"), F.col("_b"), groups))
-    best = parts.groupBy(*key).agg(F.max_by("_w", F.struct("_s", -F.col("_at"))).alias("matched"))
-    return rows.drop("_c").join(best, key)
+    starts = F.when(F.length("_t") > whole, F.sequence(F.lit(0), F.greatest(F.length("_t") - size, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    parts = rows.withColumn("_t", cleaned).withColumn("_at", F.explode(F.concat(F.array(F.lit(-1)), starts)))
+    parts = parts.withColumn("_w", F.when(F.col("_at") < 0, F.col("_t")).otherwise(F.substring(F.col("_t"), F.col("_at") + 1, F.lit(size))))
+    # Nothing is compared where there is one part only.
+    single = F.length("_t") <= whole
+    parts = parts.withColumns({"_x": F.when(single, "").otherwise(F.col("claim")), "_y": F.when(single, "").otherwise(F.col("_w"))})
+    scored = _scored(_sides(_sides(parts, "_x", "a"), "_y", "b"), "claim", "_y", groups, key)
+    first = [c for c in kept if c not in key]
+    best = scored.groupBy(*key).agg(*(F.first(c).alias(c) for c in first), F.max_by("_w", F.struct("score", -F.col("_at"))).alias("matched"))
+    return best.select(*kept, "matched")
 
 
 def aligned(claims: DataFrame, passages: DataFrame, groups: dict[str, list[str]], least: int = 20) -> DataFrame:
@@ -117,9 +153,11 @@ def aligned(claims: DataFrame, passages: DataFrame, groups: dict[str, list[str]]
     Passages are split at blank lines; segments under `least` characters don't count. The exact score decides, ties go to the lower page; it is told
     to four places, and `matched` is the part of a long segment that fits best.
     """
-    scored = scored_segments(claims, page_segments(passages.select("candidate_id", "page", "text"), least), "candidate_id", groups)
+    segments = _sides(page_segments(spread(passages.select("candidate_id", "page", "text"), "candidate_id"), least), "segment", "b")
+    pairs = _sides(spread(claims, "candidate_id"), "claim", "a").join(segments, "candidate_id")
+    scored = _scored(pairs, "claim", "segment", groups, ["candidate_id", "claim"])
     best = keep_first(scored, ["candidate_id", "claim"], [F.desc("score"), "page", "place"]).drop("place")
-    return _rounded(trimmed_segments(best.withColumn("_k", F.md5("claim")), ["candidate_id", "_k"], groups).drop("_k"))
+    return _rounded(trimmed_segments(best.withColumnRenamed("score", "_score").withColumn("_k", F.md5("claim")), ["candidate_id", "_k"], groups).drop("_k").withColumnRenamed("_score", "score"))
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
@@ -137,37 +175,41 @@ def page_priority_alignment(candidates: DataFrame, pages: DataFrame, groups: dic
     * A context page is taken instead where `context_promotion` says so.
     * If the cited pages give nothing, all pages count again.
 
-    Every segment is scored once against the whole claim; the three scopes are the best of its rows.
+    Every segment meets the whole claim once and, on cited pages of a separate span, the claim's parts; the scopes are the best of these rows.
     """
-    held = pages.join(candidates.select("candidate_id", "cited", "mode"), "candidate_id")
-    held = held.withColumns({"is_cited": F.coalesce(F.array_contains("cited", F.col("page")), F.lit(False))})
-    cited = held.filter("is_cited")
-    shown = cited.groupBy("candidate_id").agg(F.count("*").alias("n_cited"), F.count_distinct("page").alias("n_pages"), F.array_sort(F.collect_list(F.struct("page", "ordinal", F.coalesce("text", F.lit("")).alias("t")))).alias("_p"), F.first("mode").alias("mode"))
-    joined = F.array_join(F.transform(F.filter("_p", lambda x: x["t"] != ""), lambda x: x["t"]), "\n\n")
-    window = shown.filter("mode = 'continuous_range' AND n_pages >= 2").select("candidate_id", F.lit(1 << 30).alias("ordinal"), F.get("_p", F.lit(0))["page"].alias("page"), joined.alias("text"), F.lit(True).alias("is_cited"), F.lit(True).alias("joined"))
-    rows = held.select("candidate_id", "ordinal", "page", "text", "is_cited", F.lit(False).alias("joined")).unionByName(window)
-    scored = scored_segments(candidates.select("candidate_id", "claim"), page_segments(rows), "candidate_id", groups)
-    best = lambda when: F.max_by(F.when(when, F.struct("page", "segment", "score")), F.when(when, F.struct("score", -F.col("ordinal"), -F.col("place"))))
-    scopes = scored.groupBy("candidate_id").agg(best(F.col("is_cited")).alias("_cited"), best(~F.col("is_cited")).alias("_context"), best(~F.col("joined")).alias("_all"))
-
-    parts = shown.filter("mode = 'distributed_pages' AND n_cited >= 2").select("candidate_id").join(candidates.select("candidate_id", "claim", F.slice(F.coalesce("claims", F.array("claim")), 1, 8).alias("claims")), "candidate_id")
-    parts = parts.select("candidate_id", F.posexplode(F.when(F.size("claims") > 0, F.col("claims")).otherwise(F.array("claim"))).alias("index", "claim"))
-    segments = page_segments(cited.select("candidate_id", "ordinal", "page", "text"))
-    each = keep_first(scored_segments(parts, segments, "candidate_id", groups), ["candidate_id", "index"], [F.desc("score"), "ordinal", "place"])
-    each = _rounded(trimmed_segments(each, ["candidate_id", "index"], groups))
-    listed = F.array_sort(F.collect_list(F.struct("index", F.concat(F.lit("[p"), F.col("page").cast("string"), F.lit("] "), "matched").alias("t"))))
-    spread = each.groupBy("candidate_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("_text"), F.max_by("page", F.struct("score", -F.col("index"))).alias("_page"), F.max("score").alias("_score"))
-
-    out = candidates.select("candidate_id", "claim", "cited").join(shown.select("candidate_id", "n_cited", F.col("mode").alias("_mode"), "n_pages"), "candidate_id", "left").join(scopes, "candidate_id", "left").join(spread, "candidate_id", "left")
+    here = Window.partitionBy("candidate_id")
+    held = spread(pages.select("candidate_id", "ordinal", "page", "text"), "candidate_id").join(candidates.select("candidate_id", "cited", "mode"), "candidate_id")
+    held = held.withColumn("is_cited", F.coalesce(F.array_contains("cited", F.col("page")), F.lit(False))).drop("cited")
+    shown = F.when(F.col("is_cited") & (F.col("mode") == "continuous_range"), F.struct("page", "ordinal", F.coalesce("text", F.lit("")).alias("t")))
+    held = held.withColumns({"n_cited": F.sum(F.col("is_cited").cast("long")).over(here), "_n": F.row_number().over(here.orderBy(F.desc("is_cited"), "page", "ordinal")), "_p": F.collect_list(shown).over(here)})
+    several = (F.col("_n") == 1) & (F.size(F.array_distinct(F.transform("_p", lambda x: x["page"]))) >= 2)
+    joined = F.array_join(F.transform(F.filter(F.array_sort("_p"), lambda x: x["t"] != ""), lambda x: x["t"]), "\n\n")
+    # The continuous range as one page goes with the first of its pages.
+    texts = F.array(F.struct("ordinal", "text", F.lit(False).alias("joined")), F.when(several, F.struct(F.lit(1 << 30).cast(pages.schema["ordinal"].dataType).alias("ordinal"), joined.alias("text"), F.lit(True).alias("joined"))))
+    rows = held.withColumn("_p", F.explode(F.filter(texts, lambda x: x.isNotNull()))).select("candidate_id", "_p.*", "page", "mode", "is_cited", "n_cited")
+    apart = F.col("is_cited") & ~F.col("joined") & (F.col("mode") == "distributed_pages") & (F.col("n_cited") >= 2)
+    segments = _sides(page_segments(rows, outer=True).withColumn("_apart", F.coalesce(apart & F.col("segment").isNotNull(), F.lit(False))), "segment", "b")
+
+    listed = F.slice(F.coalesce("claims", F.array("claim")), 1, 8)
+    whole = F.array(F.struct(F.lit(-1).alias("index"), F.col("claim").alias("part")))
+    numbered = F.transform(F.when(F.size(listed) > 0, listed).otherwise(F.array("claim")), lambda c, k: F.struct(k.alias("index"), c.alias("part")))
+    parts = candidates.select("candidate_id", F.inline(F.concat(whole, F.when(F.col("mode") == "distributed_pages", numbered).otherwise(F.array().cast("array<struct<index:int,part:string>>")))))
+    met = _sides(spread(parts, "candidate_id"), "part", "a").join(segments, "candidate_id").filter("index < 0 OR _apart")
+    scored = _scored(met, "part", "segment", groups, ["candidate_id", "index", "is_cited", "joined"])
+    best = lambda when: F.max_by(F.when(when, F.struct("page", "segment", "score")), F.when(when & F.col("segment").isNotNull(), F.struct("score", -F.col("ordinal"), -F.col("place"))))
+    scopes = scored.groupBy("candidate_id", "index").agg(F.first("part").alias("part"), F.first("n_cited").alias("n_cited"), F.first("mode").alias("_mode"), best(F.col("is_cited")).alias("_cited"), best(~F.col("is_cited")).alias("_context"), best(~F.col("joined")).alias("_all"))
+
+    out = candidates.select("candidate_id", "claim", "cited").join(scopes, "candidate_id", "left").withColumns({"n_cited": F.nullif("n_cited", F.lit(0)), "index": F.coalesce("index", F.lit(-1))})
+    out = out.withColumn("_spread", F.max("index").over(here) >= 0)
     score = lambda c: F.coalesce(F.bround(F.col(f"{c}.score"), 4), F.lit(0.0))
     none = F.coalesce(F.size("cited"), F.lit(0)) <= 0
     distance = page_distance(F.col("_context.page"), F.col("cited"))
     better = F.coalesce(F.col("_context").isNotNull() & (score("_context") > score("_cited") + 0.15), F.lit(False))
     promoted = F.coalesce(F.col("_context").isNotNull() & context_promotion(F.when(F.col("_cited").isNull(), 0.0).otherwise(score("_cited")), score("_context"), distance), F.lit(False))
-    scope = F.when(none, "all_extracted_pages").when(F.col("n_cited").isNull(), "context_fallback").when(F.col("_text").isNotNull(), "distributed_cited_pages").when(promoted, "context_promoted_from_cited_pages").when(F.col("_cited").isNotNull(), "cited_pages").otherwise("context_fallback")
+    scope = F.when(none, "all_extracted_pages").when(F.col("n_cited").isNull(), "context_fallback").when(F.col("_spread"), "distributed_cited_pages").when(promoted, "context_promoted_from_cited_pages").when(F.col("_cited").isNotNull(), "cited_pages").otherwise("context_fallback")
     out = out.withColumn("scope", scope)
     chosen = F.when(F.col("scope") == "context_promoted_from_cited_pages", F.col("_context")).when(F.col("scope") == "cited_pages", F.col("_cited")).otherwise(F.col("_all"))
-    used = ~none & F.col("n_cited").isNotNull() & F.col("_text").isNull()
+    used = ~none & F.col("n_cited").isNotNull() & ~F.col("_spread")
     place = F.concat(F.lit("p"), F.col("_context.page").cast("string"))
     aligned_here = F.when(chosen.isNull(), "no_passage_candidates").otherwise("heuristic_alignment_used")
     notes = F.concat_ws(
@@ -182,12 +224,17 @@ def page_priority_alignment(candidates: DataFrame, pages: DataFrame, groups: dic
         F.when(~none & F.col("n_cited").isNull(), F.concat(F.lit("cited_pages_not_extracted_context_fallback; "), aligned_here)),
         F.when(none, aligned_here),
     )
-    picked = out.withColumns({"notes": notes, "_chosen": chosen})
-    whole = picked.filter("_text IS NULL OR scope <> 'distributed_cited_pages'").filter("_chosen IS NOT NULL").select("candidate_id", "claim", F.col("_chosen.segment").alias("segment"))
-    matched = trimmed_segments(whole, ["candidate_id"], groups).select("candidate_id", "matched")
-    spread_out = F.col("scope") == "distributed_cited_pages"
-    final = picked.join(matched, "candidate_id", "left")
-    return final.select("candidate_id", F.when(spread_out, F.col("_page")).otherwise(F.col("_chosen.page")).alias("page"), F.when(spread_out, F.col("_text")).otherwise(F.coalesce("matched", F.lit(""))).alias("matched"), F.when(spread_out, F.col("_score")).otherwise(F.bround("_chosen.score", 4)).alias("score"), "scope", "notes")
+    is_part = F.col("index") >= 0
+    picked = out.withColumns({"notes": notes, "_chosen": F.when(is_part, F.col("_all")).when(F.col("scope") != "distributed_cited_pages", chosen)})
+    picked = picked.select("candidate_id", "index", F.when(is_part, F.col("part")).otherwise(F.col("claim")).alias("claim"), F.col("_chosen.page").alias("page"), F.col("_chosen.segment").alias("segment"), F.bround("_chosen.score", 4).alias("score_"), "scope", "notes")
+    trimmed = trimmed_segments(picked, ["candidate_id", "index"], groups)
+    # One row a candidate: that of its whole claim, or what its parts found, in their order.
+    found = F.array_sort(F.collect_list(F.when(is_part, F.struct("index", F.concat(F.lit("[p"), F.col("page").cast("string"), F.lit("] "), "matched").alias("t")))))
+    only = lambda c: F.max(F.when(~is_part, F.col(c)))
+    first = F.max_by(F.when(is_part, F.col("page")), F.when(is_part, F.struct("score_", -F.col("index"))))
+    by_parts = F.max("index") >= 0
+    text = F.when(by_parts, F.array_join(F.transform(found, lambda x: x["t"]), "\n\n")).otherwise(F.coalesce(only("matched"), F.lit("")))
+    return trimmed.groupBy("candidate_id").agg(F.when(by_parts, first).otherwise(only("page")).alias("page"), text.alias("matched"), F.max("score_").alias("score"), F.first("scope").alias("scope"), only("notes").alias("notes"))
 
 
 def narrowest_range(requests: DataFrame, cached: DataFrame) -> DataFrame:

@@ -70,3 +70,35 @@ def test_mention_edges_to_documents_of_several_titles(spark):
     found = spark.createDataFrame([(2, "a", 0.5), (2, "B", 0.9), (4, "A", None), (4, "a", 0.6), (1, "b", 0.2), (9, "", 0.9)], "id int, title string, confidence double")
     edges = citations.mention_edges(docs, found)
     assert sorted(edges.collect()) == [(1, 4, 0.55), (2, 1, 0.9), (2, 4, 0.9), (4, 1, 0.6), (4, 2, 0.6)]
+
+
+def test_page_priority_reads_its_tables_a_few_times(spark, sf_dir):
+    """Every scope by joins of its own read the orders 54 times and sent 30 tables to the driver."""
+    from inkwright.plans.papers import QUERIES
+
+    plan = QUERIES["r26_page_priority"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("FileScan") <= 6 and plan.count("BroadcastExchange") <= 4
+
+
+def test_only_segments_that_can_win_are_compared_in_full(spark):
+    """Of 40 segments without a common character and one that holds the claim, one is left for the ratio; all that are equal stay."""
+    from inkwright.operators import evidence
+
+    claim = "満洲鉄道の調査"
+    rows = spark.createDataFrame([(k, claim, f"天気は晴れで海は静か {k}" if k else claim + "である") for k in range(41)] + [(99, claim, claim + "である")], "id int, claim string, segment string").withColumn("c", F.lit(1))
+    sides = evidence._sides(evidence._sides(rows, "claim", "a"), "segment", "b")
+    got = {r["id"]: r["score"] for r in evidence._scored(sides, "claim", "segment", {}, ["c"]).collect()}
+    assert set(got) == {0, 99} and abs(got[0] - (0.2 * 14 / 17 + 0.35 + 0.25)) < 1e-9
+
+
+def test_ratios_by_parts_that_both_share():
+    import random
+    from difflib import SequenceMatcher
+
+    from inkwright.operators.evidence import _ratio
+
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcd鉄道") for _ in range(rng.choice((0, 1, 5, 30, 250)))) for _ in range(2))
+        for x, y in ((a, b), (a, a[3:] + b), (a + b, b), (a, a)):
+            assert _ratio(x, y) == SequenceMatcher(None, x, y).ratio()
