@@ -102,3 +102,15 @@ def test_ratios_by_parts_that_both_share():
         a, b = ("".join(rng.choice("abcd鉄道") for _ in range(rng.choice((0, 1, 5, 30, 250)))) for _ in range(2))
         for x, y in ((a, b), (a, a[3:] + b), (a + b, b), (a, a)):
             assert _ratio(x, y) == SequenceMatcher(None, x, y).ratio()
+
+
+def test_claims_clean_a_text_once(spark):
+    """Parts of a cleaned text need no cleaning of their own: one pattern of spaces, where each part and group had one."""
+    import inspect
+
+    text = "  多く の文、　短い 部分。\x0b and a part , of  it;\n\nmore！ " * 3
+    for f in (claims.claims, claims.page_claims, claims.review_sentences):
+        got = spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("c")).collect()[0]["c"]
+        assert got and all(c == re.sub(r"[\s 　]+", " ", c).strip(" ") for c in got)
+    assert "collapse" not in inspect.getsource(claims._pieces)
+    assert str(claims.page_claims(F.col("t"))).count("regexp_replace") == 1
