@@ -114,3 +114,16 @@ def test_claims_clean_a_text_once(spark):
         assert got and all(c == re.sub(r"[\s 　]+", " ", c).strip(" ") for c in got)
     assert "collapse" not in inspect.getsource(claims._pieces)
     assert str(claims.page_claims(F.col("t"))).count("regexp_replace") == 1
+
+
+def test_word_frequencies_without_a_join(spark):
+    from inkwright.operators import summaries
+
+    rows = spark.createDataFrame([(1, "A cat saw a Cat. No! ... x. dog"), (2, None), (3, "nothing")], "id int, t string")
+    out = summaries.sentence_importance(rows, "id", "t", ["cat"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    # cat twice, saw once, of five words; "No" once of one; "." has no word; x is too short.
+    want = {0: 0.25 + 0.07 + 0.06 + 0.25 * 0.5, 1: 0.25 + 0.06 + 0.25 * 0.5, 2: 0.25 + 0.06, 3: 0.125 + 0.06}
+    got = {(r["id"], r["place"]): round(r["score"], 9) for r in out.collect()}
+    assert got == {(1, place): round(score, 9) for place, score in want.items()}
