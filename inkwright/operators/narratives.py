@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions.text import bound
+
 #: First Western year of the eras of a career, in the order in which they are looked for.
 CAREER_ERAS = {"明治": 1868, "大正": 1912, "昭和": 1926, "平成": 1989, "令和": 2019}
 #: Patterns of a person block, each list in order.
@@ -23,7 +25,7 @@ _FLAGS = "(?dU)"
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s　]+|[\s　]+$", "")
+    return F.btrim(text, F.lit(" \t\n\v\f\r　"))
 
 
 def _first(text: Column, patterns, group: int | None = None) -> Column:
@@ -60,10 +62,12 @@ def person_blocks(blocks: DataFrame, text: str = "text") -> DataFrame:
     name = F.get(F.filter(names, lambda n: F.length(_stripped(n)).between(2, 5)), F.lit(0))
 
     def experience(line: Column) -> Column:
-        date = _first(line, CAREER_DATES, 0)
-        ends = F.transform(F.split(date, "[-–—]"), lambda d: career_date(_stripped(d)))
-        stop = F.when(F.size(ends) >= 2, F.get(ends, F.lit(1))).otherwise(F.get(ends, F.lit(0)))
-        return F.struct(_stripped(_first(line, UNITS, 1)).alias("unit"), date.alias("date_range"), F.get(ends, F.lit(0)).alias("start"), stop.alias("stop"), _stripped(line).alias("description"))
+        def dated(date: Column, ends: Column) -> Column:
+            stop = F.when(F.size(ends) >= 2, F.get(ends, F.lit(1))).otherwise(F.get(ends, F.lit(0)))
+            return F.struct(_stripped(_first(line, UNITS, 1)).alias("unit"), date.alias("date_range"), F.get(ends, F.lit(0)).alias("start"), stop.alias("stop"), _stripped(line).alias("description"))
+
+        ends = lambda date: F.transform(F.split(date, "[-–—]"), lambda d: career_date(_stripped(d)))
+        return bound(_first(line, CAREER_DATES, 0), lambda date: bound(ends(date), lambda e: dated(date, e)))
 
     dated = F.filter(F.transform(F.filter(F.split(t, "\n"), lambda x: F.length(_stripped(x)) >= 5), experience), lambda e: e["date_range"].isNotNull() & e["unit"].isNotNull())
     never = F.struct(F.lit(9999).alias("year"), F.lit(12).alias("month"), F.lit(31).alias("day"))

@@ -14,6 +14,7 @@ from ..operators import page_mapping as P
 from ..operators import resolvers as R
 from ..operators import vector_index as V
 from ..operators.retrieval import batch_top_k
+from ..operators.spread import spread
 from .files import place
 from .tables import table
 
@@ -39,7 +40,7 @@ _LINES = f"(SELECT *, l_orderkey AS book, row_number() OVER (PARTITION BY l_orde
 def _lines(spark, sf_dir):
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     named = lambda names, column: F.get(F.array(*map(F.lit, names)), (F.col(column) % len(names)).cast("int"))
-    return table(spark, sf_dir, "lineitem").withColumns({"book": F.col("l_orderkey"), "n": F.row_number().over(order), "mode": named(_MODES, "l_partkey"), "how": named(_HOW, "l_suppkey")})
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumns({"book": F.col("l_orderkey"), "n": F.row_number().over(order), "mode": named(_MODES, "l_partkey"), "how": named(_HOW, "l_suppkey")})
 
 
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
