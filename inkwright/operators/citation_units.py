@@ -11,11 +11,13 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from ..functions.text import collapse
 from .claims import claims
+from .spread import spread
 
 #: Quotation marks, ends of sentences, marks that a context does not begin with.
 QUOTES = (r"“([^”]{2,})”", r"「([^」]{2,})」", r"『([^』]{2,})』", r"\"([^\"\n]{2,})\"")
 CLOSING = "[”」』\"]$"
 _ENDS, _EDGE = "。！？.!?", "^[，,。；;：:、 ]+"
+_SPACE = " \t\n\v\f\r　"
 
 
 _SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("quote", StringType())]))
@@ -32,7 +34,7 @@ def quote_spans(texts: pd.Series) -> pd.Series:
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s　]+|[\s　]+$", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def trimmed(text: Column, limit: int = 280) -> Column:
@@ -44,8 +46,8 @@ def trimmed(text: Column, limit: int = 280) -> Column:
 def last_sentence(text: Column) -> Column:
     """From the last end of a sentence, not counting the marks at the very end."""
     whole = _stripped(text)
-    core = F.regexp_replace(whole, f"[{_ENDS}]+$", "")
-    kept = F.length(F.regexp_extract(core, f"([^{_ENDS}]*)$", 1)) + F.length(whole) - F.length(core)
+    core = F.rtrim(whole, F.lit(_ENDS))
+    kept = F.length(F.element_at(F.split(core, f"[{_ENDS}]"), -1)) + F.length(whole) - F.length(core)
     return F.right(whole, kept)
 
 
@@ -58,7 +60,7 @@ def citation_units(paragraphs: DataFrame, key: str = "paragraph") -> DataFrame:
     """
     order = Window.partitionBy("_p").orderBy("position", "note_id")
     rows = paragraphs.withColumn("_p", F.monotonically_increasing_id()).select("_p", key, F.coalesce("text", F.lit("")).alias("_text"), "notes")
-    rows = rows.withColumn("_quotes", quote_spans("_text")).select("_p", key, "_text", "_quotes", F.explode("notes").alias("_n")).select("_p", key, "_text", "_quotes", F.col("_n.note_id").alias("note_id"), F.col("_n.position").cast("int").alias("position"))
+    rows = spread(rows, "_p").withColumn("_quotes", quote_spans("_text")).select("_p", key, "_text", "_quotes", F.explode("notes").alias("_n")).select("_p", key, "_text", "_quotes", F.col("_n.note_id").alias("note_id"), F.col("_n.position").cast("int").alias("position"))
     rows = rows.withColumns({"_from": F.coalesce(F.lag("position").over(order), F.lit(0)), "_next": F.lead("position").over(order)})
     cut = lambda a, b: F.substring(F.col("_text"), a + 1, F.greatest(b - a, F.lit(0)))
     at = F.col("position")
@@ -67,7 +69,7 @@ def citation_units(paragraphs: DataFrame, key: str = "paragraph") -> DataFrame:
     tail = last_sentence(after)
     following = trimmed(F.substring(after, F.lit(1), F.length(after) - F.length(tail)), 360)
     near = F.filter("_quotes", lambda q: (q["start"] >= F.col("_from")) & (q["stop"] <= at) & (at - q["stop"] <= 3))
-    attached = F.regexp_replace(F.substring(F.col("_text"), F.lit(1), at), r"[\s　]+$", "").rlike(CLOSING)
+    attached = F.right(F.rtrim(F.substring(F.col("_text"), F.lit(1), at), F.lit(_SPACE)), F.lit(2)).rlike(CLOSING)
     rows = rows.withColumns({"following": following, "_quote": F.when(attached, F.try_element_at(near, F.lit(-1))["quote"]), "_bounded": bounded})
     sentence = last_sentence(F.col("_bounded"))
     rows = rows.withColumn("_context", trimmed(F.when(F.length(collapse(sentence)) >= 12, sentence).otherwise(F.col("_bounded")), 520))
