@@ -2,8 +2,8 @@
 
 Passages are windows of WINDOW words, a new one every STRIDE words, over every whole text. In the
 space of the benchmark's own words they have TF-IDF weights; document frequencies come from all passages.
-A distributed randomised SVD of TF-IDF passages (the items and those of a bounded sample, SAMPLE_DOCS
-documents) gives a basis of at most RANK latent dimensions. Every passage of the corpus is projected and compared with
+A distributed randomised SVD of TF-IDF passages (the items and all windows of the corpus, whose counted terms are
+written once and read in three rounds) gives a basis of at most RANK latent dimensions. Every passage of the corpus is projected and compared with
 every item by cosine; an item of more than WINDOW words counts with the nearest of itself and its own passages, one
 every PIECE words. Those at COSINE or more are checked on the words up to 1.25 item lengths around them: the longest
 common subsequence with the item in its best stretch of 1.25 item lengths, and the share of the answer's words
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +33,9 @@ from .hashing import NOT_ALNUM, Words, chunks
 
 PIECE = 16
 WINDOW, STRIDE = 4 * PIECE, 2 * PIECE
-RANK, OVERSAMPLE, SAMPLE_DOCS, BLOCK_ITEMS, PASS_BLOCKS = 96, 8, 2_000, 256, 16
-#: Passages that are multiplied with a dense matrix at once.
-_ROWS = 256
+RANK, OVERSAMPLE, BLOCK_ITEMS, PASS_BLOCKS = 96, 8, 256, 16
+#: Windows whose terms meet a matrix at once; numbers of a partial sum that travel in one row.
+_ROWS, _PART = 512, 1 << 16
 COSINE, LCS_SHARE, ANSWER_SHARE = 0.6, 0.6, 0.6
 _RESULT = "item_id long, start_word long, cosine double, lcs_share double, answer_share double"
 
@@ -104,24 +103,13 @@ class Chunk:
         fresh = (np.arange(len(self.hash)) - self.first[text]) % WINDOW == 0
         return np.cumsum(fresh) - 1, int(fresh.sum())
 
-    def frequencies(self, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-        """In how many windows each term occurs, and their number."""
+    def counted(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Distinct terms of the windows one after the other, how often each occurs there, its window, and the number of windows."""
         passage, n = self.windows()
         term = _places(vocabulary, self.hash)
         known = np.flatnonzero(term >= 0)
-        both = np.unique(passage[known] * len(vocabulary) + term[known])
-        return np.bincount(both % len(vocabulary), minlength=len(vocabulary)), n
-
-    def weighted(self, block: Block, idf: np.ndarray) -> Iterator[np.ndarray]:
-        """TF-IDF rows of the windows, scaled to length 1, at most _ROWS of them at a time."""
-        passage, n = self.windows()
-        term, v = block.terms(self.hash), len(idf)
-        edges = np.searchsorted(passage, np.arange(0, n + _ROWS, _ROWS))
-        for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-            known = lo + np.flatnonzero(term[lo:hi] >= 0)
-            row = passage[known] - k * _ROWS
-            out = np.bincount(row * v + term[known], weights=idf[term[known]], minlength=_ROWS * v).reshape(_ROWS, v)
-            yield out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        both, times = np.unique(passage[known] * len(vocabulary) + term[known], return_counts=True)
+        return both % len(vocabulary), times, both // len(vocabulary), n
 
     def projected(self, term: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Latent vectors of all passages, scaled to length 1, and the first piece of each; basis: one row per term, weighted."""
@@ -174,88 +162,144 @@ def checked(words: np.ndarray, item: np.ndarray, answer: np.ndarray) -> tuple[in
     return at, best / len(item), float(np.isin(answer, part).mean()) if len(answer) else 1.0
 
 
-def _summed(df: DataFrame) -> np.ndarray | None:
-    """Sum of the partial arrays in the only column, which come from at most SAMPLE_PARTS tasks; None without any."""
-    total = None
-    for row in df.toLocalIterator():
-        part = np.frombuffer(row[0])
-        total = part if total is None else total + part
-    return total
+def _windows(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(terms, times, window, windows) of every chunk of texts of the corpus, written."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @tidy
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, raw in chunks(_lower(batch["text"])):
+                term, times, window, n = Chunk(raw).counted(held.value)
+                # A window has at most WINDOW words, so a count is one byte.
+                row = [term.astype("<i4").tobytes(), times.astype(np.uint8).tobytes(), window.astype("<i4").tobytes(), n]
+                yield pd.DataFrame([row], columns=["terms", "times", "window", "windows"])
 
-#: Tasks that share the sample; so many partial sums of fixed size reach the driver, one by one.
-SAMPLE_PARTS = 6
+    return written(docs.select("text").mapInPandas(run, "terms binary, times binary, window binary, windows long"), "windows")
 
 
-def latent_basis(sample: DataFrame, block: Block, idf: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (one row per term) of the TF-IDF passages of the sample and of the items.
+def _read(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for terms, times, window in zip(batch["terms"], batch["times"], batch["window"]):
+        yield np.frombuffer(terms, "<i4"), np.frombuffer(times, np.uint8), np.frombuffer(window, "<i4")
 
-    Randomised range finder: the sample's parts add up A'(A omega), which is made orthonormal; a second
-    round adds up (AQ)'(AQ), whose eigenvectors rotate Q to the singular vectors.
-    """
-    v, width = len(block.vocabulary), min(RANK + OVERSAMPLE, len(block.vocabulary))
-    omega = np.random.default_rng(seed).standard_normal((v, width))
-    items = np.stack([np.bincount(block.terms(x), minlength=v) * idf for x in block.items])
-    items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
 
-    def both(kind: str, matrix: np.ndarray) -> np.ndarray:
-        size = v if kind == "range" else width
-        held = sample.sparkSession.sparkContext.broadcast((block, idf, matrix))
+def _added(partial: DataFrame, sizes: list[int]) -> list[np.ndarray]:
+    """Sums of (block, part, values), added up on executors; what reaches the driver has the size of one sum."""
+
+    @tidy
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {}
+        for batch in batches:
+            for block, part, values in zip(batch["block"], batch["part"], batch["values"]):
+                more = np.frombuffer(values)
+                sums[block, part] = sums[block, part] + more if (block, part) in sums else more
+        if sums:
+            yield pd.DataFrame([(b, p, x.tobytes()) for (b, p), x in sums.items()], columns=["block", "part", "values"])
+
+    out = [np.zeros(n) for n in sizes]
+    for row in partial.repartition("block", "part").mapInPandas(run, partial.schema).toLocalIterator(prefetchPartitions=True):
+        values = np.frombuffer(row["values"])
+        out[row["block"]][row["part"] * _PART :][: len(values)] = values
+    return out
+
+
+def latent_bases(windows: DataFrame, vocabulary: np.ndarray, blocks: list[Block], idfs: list[np.ndarray], seed: int = 7) -> list[np.ndarray]:
+    """For each block the right singular vectors (one row per term) of the TF-IDF windows of the whole corpus and of its items.
+
+    Randomised range finder: the corpus adds up A'(A omega), which is made orthonormal; a second
+    round adds up (AQ)'(AQ), whose eigenvectors rotate Q to the singular vectors. Rows of A are scaled to length 1.
+    """
+    places = []
+    for block in blocks:
+        place = np.full(len(vocabulary), -1)
+        place[_places(vocabulary, block.vocabulary)] = np.arange(len(block.vocabulary))
+        places.append(place)
+
+    def rows(terms: np.ndarray, times: np.ndarray, window: np.ndarray, place: np.ndarray, idf: np.ndarray) -> Iterator[tuple]:
+        """(term, value, row, first value of each row) of at most _ROWS windows at a time; terms of other blocks are left out."""
+        known = np.flatnonzero(place[terms] >= 0)
+        term, window = place[terms[known]], window[known]
+        value = times[known] * idf[term]
+        _, first, row = np.unique(window, return_index=True, return_inverse=True)
+        value = (value / np.maximum(np.sqrt(np.bincount(row, weights=value * value)), 1e-12)[row]).astype(np.float32)
+        ends = np.append(first, len(row))
+        for a in range(0, len(first), _ROWS):
+            b = min(a + _ROWS, len(first))
+            lo, hi = ends[a], ends[b]
+            yield term[lo:hi], value[lo:hi, None], row[lo:hi] - a, first[a:b] - lo
+
+    def both(kind: str, matrices: list[np.ndarray]) -> list[np.ndarray]:
+        shapes = [m.shape if kind == "range" else (m.shape[1], m.shape[1]) for m in matrices]
+        held = windows.sparkSession.sparkContext.broadcast(list(zip(places, idfs, [m.astype(np.float32) for m in matrices])))
 
         @tidy
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-            block, idf, matrix = held.value
-            total, seen = np.zeros((size, width)), False
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            totals, seen = [np.zeros(shape) for shape in shapes], False
             for batch in batches:
-                for _, raw in chunks(_lower(batch["text"])):
+                for chunk in _read(batch):
                     seen = True
-                    for rows in Chunk(raw).weighted(block, idf):
-                        y = rows @ matrix
-                        total += (rows if kind == "range" else y).T @ y
-            if seen:
-                yield pd.DataFrame({"values": [total.tobytes()]})
-
-        out = _summed(sample.select("text").mapInPandas(run, "values binary"))
-        return np.zeros((size, width)) if out is None else out.reshape(size, width)
-
-    # The items are the rows to be told apart; they weigh as much as all passages of the sample together.
-    b = both("range", omega)
-    own = items.T @ (items @ omega)
-    b = b / max(np.linalg.norm(b), 1e-12) + own / max(np.linalg.norm(own), 1e-12)
-    q, _ = np.linalg.qr(b)
-    gram, mine = both("gram", q), (items @ q).T @ (items @ q)
-    gram = gram / max(np.trace(gram), 1e-12) + mine / max(np.trace(mine), 1e-12)
-    _, rotate = np.linalg.eigh(gram)
-    return (q @ rotate[:, ::-1][:, :RANK]).astype(np.float32)
-
-
-def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+                    for total, (place, idf, matrix) in zip(totals, held.value):
+                        for term, value, row, first in rows(*chunk, place, idf):
+                            y = np.add.reduceat(matrix[term] * value, first, axis=0)
+                            if kind == "range":
+                                order = np.argsort(term, kind="stable")
+                                different, begin = np.unique(term[order], return_index=True)
+                                total[different] += np.add.reduceat((y[row] * value)[order], begin, axis=0)
+                            else:
+                                total += y.T @ y
+            for number, total in enumerate(totals if seen else []):
+                flat = total.reshape(-1)
+                parts = range(-(-len(flat) // _PART))
+                yield pd.DataFrame([(number, k, flat[k * _PART : (k + 1) * _PART].tobytes()) for k in parts], columns=["block", "part", "values"])
+
+        sums = _added(windows.select("terms", "times", "window").mapInPandas(run, "block int, part int, values binary"), [a * b for a, b in shapes])
+        return [x.reshape(shape) for x, shape in zip(sums, shapes)]
+
+    # The items are the rows to be told apart; they weigh as much as all windows of the corpus together.
+    items, omegas = [], []
+    for block, idf in zip(blocks, idfs):
+        v = len(block.vocabulary)
+        omegas.append(np.random.default_rng(seed).standard_normal((v, min(RANK + OVERSAMPLE, v))))
+        own = np.stack([np.bincount(block.terms(x), minlength=v) * idf for x in block.items])
+        items.append(own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12))
+    bases = []
+    for b, own, omega in zip(both("range", omegas), items, omegas):
+        mine = own.T @ (own @ omega)
+        bases.append(np.linalg.qr(b / max(np.linalg.norm(b), 1e-12) + mine / max(np.linalg.norm(mine), 1e-12))[0])
+    out = []
+    for gram, own, q in zip(both("gram", bases), items, bases):
+        mine = (own @ q).T @ (own @ q)
+        _, rotate = np.linalg.eigh(gram / max(np.trace(gram), 1e-12) + mine / max(np.trace(mine), 1e-12))
+        out.append((q @ rotate[:, ::-1][:, :RANK]).astype(np.float32))
+    return out
+
+
+def _frequencies(windows: DataFrame, terms: int) -> tuple[np.ndarray, int]:
     """Number of windows of the whole corpus that hold each term, and of all windows."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = held.value
-        total, windows = np.zeros(len(vocabulary), np.int64), 0
+        total, n = np.zeros(terms, np.int64), 0
         for batch in batches:
-            for _, raw in chunks(_lower(batch["text"])):
-                some, n = Chunk(raw).frequencies(vocabulary)
-                total, windows = total + some, windows + n
-        yield pd.DataFrame({"term": np.append(np.arange(len(vocabulary)), -1), "n": np.append(total, windows)}).query("n > 0")
+            n += int(batch["windows"].sum())
+            for term, _, _ in _read(batch):
+                total += np.bincount(term, minlength=terms)
+        yield pd.DataFrame({"term": np.append(np.arange(terms), -1), "n": np.append(total, n)}).query("n > 0")
 
-    out = np.zeros(len(vocabulary) + 1)
-    for row in docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros(terms + 1)
+    for row in windows.mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[row["term"]] = row["n"]
     return out[:-1], int(out[-1])
 
 
-def _searched(docs: DataFrame, sample: DataFrame, blocks: list[Block]) -> DataFrame:
+def _searched(docs: DataFrame, blocks: list[Block]) -> DataFrame:
     vocabulary = np.unique(np.concatenate([b.vocabulary for b in blocks]))
-    frequency, windows = _frequencies(docs, vocabulary)
+    windows = _windows(docs, vocabulary)
+    frequency, n = _frequencies(windows, len(vocabulary))
+    idfs = [np.log((n + 1) / (frequency[_places(vocabulary, b.vocabulary)] + 1)) + 1e-3 for b in blocks]
     parts = []
-    for block in blocks:
-        idf = np.log((windows + 1) / (frequency[_places(vocabulary, block.vocabulary)] + 1)) + 1e-3
-        basis = latent_basis(sample, block, idf) * idf[:, None].astype(np.float32)
+    for block, idf, basis in zip(blocks, idfs, latent_bases(windows, vocabulary, blocks, idfs)):
+        basis = basis * idf[:, None].astype(np.float32)
         latent = np.stack([basis[block.terms(x)].sum(axis=0) for x in block.queries])
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         parts.append((block, basis, latent.astype(np.float32)))
@@ -301,9 +345,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     has_answer = "answer" in benchmark.columns
     answer = F.col("answer") if has_answer else F.regexp_extract(F.trim("text"), r"([^.!?\n]*)[.!?\s]*$", 1)
     rows = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text", answer.alias("answer")).orderBy("item_id", "text")
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sample, out = None, docs.limit(0).select("doc_id", *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in _RESULT.split(", "))])
+    out = docs.limit(0).select("doc_id", *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in _RESULT.split(", "))])
     blocks, held, size = [], [], 0
 
     def closed(blocks: list[Block], held: list) -> list[Block]:
@@ -317,9 +359,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if size >= BLOCK_ITEMS:
             blocks, held, size = closed(blocks, held), [], 0
         if len(blocks) == PASS_BLOCKS:
-            sample = sample or written(texts.repartition(SAMPLE_PARTS), "sample")
-            out, blocks = out.unionByName(_searched(docs, sample, blocks)), []
+            out, blocks = out.unionByName(_searched(docs, blocks)), []
     if blocks := closed(blocks, held):
-        sample = sample or written(texts.repartition(SAMPLE_PARTS), "sample")
-        out = out.unionByName(_searched(docs, sample, blocks))
+        out = out.unionByName(_searched(docs, blocks))
     return out

@@ -195,3 +195,26 @@ def test_best_stretch():
 def test_longest_common_subsequence():
     a, b = np.asarray([1, 2, 3, 4, 5], np.uint64), np.asarray([9, 1, 3, 4, 9, 5], np.uint64)
     assert decontamination._lcs(a, b) == 4
+
+
+def test_decontamination_fits_its_basis_on_every_document(spark):
+    d, rng = decontamination, np.random.default_rng(3)
+    names = np.asarray([f"w{k}" for k in range(30)])
+    texts = [" ".join(rng.choice(names, 70)) for _ in range(2_100)]
+    block = d.Block([{"item_id": k, "text": " ".join(rng.choice(names, 20)), "answer": ""} for k in range(5)], 0.0)
+    size = len(block.vocabulary)
+    windows = d._windows(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), block.vocabulary)
+    frequency, n = d._frequencies(windows, size)
+    assert n == 2 * len(texts)
+    idf = np.linspace(0.5, 2.0, size)
+
+    def scaled(words: list) -> np.ndarray:
+        x = np.stack([np.bincount(block.terms(w)[block.terms(w) >= 0], minlength=size) for w in words])
+        return x, x * idf / np.maximum(np.linalg.norm(x * idf, axis=1, keepdims=True), 1e-12)
+
+    counts, corpus = scaled([w[a : a + d.WINDOW] for w in map(d._words, texts) for a in (0, d.WINDOW)])
+    assert (frequency == (counts > 0).sum(axis=0)).all()
+    own = scaled(block.items)[1]
+    whole = sum(x.T @ x / np.trace(x.T @ x) for x in (corpus, own))
+    basis = d.latent_bases(windows, block.vocabulary, [block], [idf])[0]
+    assert np.allclose(basis.T @ whole @ basis, np.diag(np.linalg.eigvalsh(whole)[::-1]), atol=1e-5)
