@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import scan_page
 from ..functions.text import bound
 from .evidence import nfkc
+from .spread import spread
 
 #: What marks a page of contents, headings in the body, the words a heading may be known by, lengths of its beginnings.
 CONTENTS = ("目次", "目録", "Contents", "CONTENTS")
@@ -97,14 +98,20 @@ def contents_anchors(pages: DataFrame, vote: bool = False) -> DataFrame:
 
 def lone_numbers(text: Column) -> Column:
     """Sorted distinct numbers, 1 to 3000, that stand alone on a line of normalized text."""
-    lines = F.transform(F.split(F.translate(text, "\r", "\n"), "\n"), lambda x: F.regexp_replace(x, r"[\s.\-—_　]+", ""))
-    values = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.when(x.rlike("^[0-9]{1,4}$"), x.cast("int")).otherwise(printed_number(x)))
+    marks = " \t\x0b\f.-—_　"
+    # Whole lines of nothing but marks and numerals, found in one pass; all else is not looked at line by line.
+    lines = F.regexp_extract_all(text, F.lit(rf"(?<![^\n\r])[ \t\x0B\f.\-—_　0-9Oo{_DIGITS}{_UNITS}]++(?![^\n\r])"), 0)
+    numerals = F.transform(lines, lambda x: F.translate(x, marks, ""))
+    values = F.transform(numerals, lambda x: F.when(x.rlike("^[0-9]{1,4}$"), x.cast("int")).otherwise(printed_number(x)))
     return F.array_sort(F.array_distinct(F.filter(values, lambda n: n.between(1, 3000))))
 
 
 def visible_anchors(pages: DataFrame) -> DataFrame:
     """(book, mapping) of books with printed numbers on three scans at least: the usual growth a scan, and the first scan that shows a run of numbers."""
-    scans = pages.select("book", "scan", lone_numbers(nfkc(F.coalesce("text", F.lit("")))).alias("numbers")).filter(F.size("numbers") >= 2)
+    texts = pages.select("book", "scan", nfkc(F.coalesce("text", F.lit(""))).alias("text"))
+    # As elements of an array the numbers are not computed once more for the filter; dealt by book before they part, they are computed once for both sides.
+    enough = F.filter(F.array(lone_numbers(F.col("text"))), lambda n: F.size(n) >= 2)
+    scans = spread(texts.select("book", "scan", F.explode(enough).alias("numbers")), "book")
     order = Window.partitionBy("book").orderBy("scan")
     seen = scans.withColumns({"scans": F.count("*").over(Window.partitionBy("book")), "most": F.array_max("numbers")}).filter("scans >= 3")
     steps = seen.select("book", (F.col("scan") - F.lag("scan").over(order)).alias("by"), (F.col("most") - F.lag("most").over(order)).alias("grown"))

@@ -141,3 +141,19 @@ def test_last_sentence_of_a_long_text_and_dates_once(spark):
     assert time.time() - began < 20
     found = narratives.person_blocks(spark.createDataFrame([(1, "昭和3年 満鉄調査部 勤務")], "i int, text string"))
     assert len(found._jdf.queryExecution().analyzed().toString()) < 12_000  # 22,170 with each date spelled out where it is used
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_printed_numbers_are_read_once(spark, sf_dir):
+    """Numbers of a page were read for the filter, for the steps and for the runs; lines were cleaned one by one."""
+    lines = "- 12 -\r\n十二\n\tO5\n12a\n第3\n\n3001\n0\n二千九百\n1234567890123\n一二\x0b\f.\n—7_"
+    pages = spark.createDataFrame([(1, lines), (2, ""), (3, None)], "i int, t string")
+    assert [r[0] for r in pages.orderBy("i").select(page_mapping.lone_numbers(F.col("t"))).collect()] == [[5, 7, 12, 2900], [], None]
+    books = spark.createDataFrame([(b, s, f"{2 * s}\n{2 * s + 1}") for b in (1, 2) for s in range(4)], "book int, scan int, text string")
+    found = page_mapping.visible_anchors(books)
+    assert sorted((r["book"], r["anchor_scan"], r["anchor_book"], r["pages_per_scan"]) for r in found.collect()) == [(1, 1, 2, 2), (2, 1, 2, 2)]
+    plan = _plan(found).split("Initial Plan")[0]
+    assert plan.count("regexp_extract_all") == 1 and plan.count("ReusedExchange") == 1
