@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import functools
 import gc
 import tempfile
 import time
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.batches import BATCH_BYTES, BATCH_ROWS, give_back, small_batches, tidy
 from .hashing import mixed
 
-#: Rows and bytes in an Arrow batch handed to Python. Whole documents travel in these, so they are kept small.
-BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
-
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "FILTER_BITS", "give_back", "id_filter", "may_hold", "partitions", "release", "scratch", "small_batches", "table", "tidy", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,11 +26,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the folder that the cluster shares; a temporary one only if none is set, on a single machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -63,26 +53,6 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def give_back() -> None:
-    """Return freed memory to the system: workers outlive tasks, and several share an executor with its JVM."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-        ctypes.CDLL(None).malloc_trim(0)
-
-
-def tidy(batches_to_batches: Callable) -> Callable:
-    """A function for mapInPandas or mapInArrow that gives memory back when its task ends."""
-
-    @functools.wraps(batches_to_batches)
-    def run(batches: Iterator) -> Iterator:
-        try:
-            yield from batches_to_batches(batches)
-        finally:
-            give_back()
-
-    return run
-
-
 #: Bits of an id filter, 2 MB whatever the number of ids.
 FILTER_BITS, _FILTER_BLOCKS = 1 << 24, 8
 

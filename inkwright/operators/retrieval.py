@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .batches import tidy, vector_batches
 
-#: Query vectors held by a task at once.
-QUERY_BLOCK = 1024
+#: Query vectors held by a task at once, and chunks scored against them at once.
+QUERY_BLOCK, CHUNK_BLOCK = 1024, 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,17 +48,17 @@ def top_k(chunks: DataFrame, query: list[float], k: int, key: str = "vec_id", ve
 def batch_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, score, rank): every query against every chunk, in blocks of QUERY_BLOCK queries.
 
-    Each task keeps its k best per query, so the only shuffle carries k rows per query and task.
+    Each task keeps its k best per query, so the only shuffle carries k rows per query and task. A worker holds scores of CHUNK_BLOCK chunks.
     """
+    vector_batches(chunks.sparkSession)
 
     def search(ids: list, matrix: np.ndarray):
         norms = np.linalg.norm(matrix, axis=1)
 
+        @tidy
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             best = None
-            for batch in batches:
-                if not len(batch):
-                    continue
+            for batch in (whole.iloc[a : a + CHUNK_BLOCK] for whole in batches for a in range(0, len(whole), CHUNK_BLOCK)):
                 x = np.stack(batch[vector].to_numpy()).astype(np.float64)
                 size = np.outer(norms, np.linalg.norm(x, axis=1))
                 score = np.divide(matrix @ x.T, size, out=np.zeros_like(size), where=size > 0)

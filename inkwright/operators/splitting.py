@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import small_batches, tidy
 from .retrieval import cosine
 
 #: Separators from the coarsest to the finest, by language; other languages have the general ones.
@@ -21,6 +23,8 @@ SEPARATORS = {
     "japanese": ("\n\n\n", "\n\n", "\n", "。", "！", "？", "・", "、", " "),
 }
 _SENTENCE = re.compile(r"[^。！？.!?\n]*[。！？.!?\n]|[^。！？.!?\n]+")
+#: Chunks that leave a worker in one batch.
+OUT_ROWS = 2_000
 CHUNK = "{key} {kind}, index int, start int, stop int, overlap string, body string"
 
 
@@ -92,12 +96,20 @@ def sentence_chunks(text: str, size: int = 512, overlap_sentences: int = 1, leas
 
 
 def chunked(docs: DataFrame, how, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Chunks of every document by recursive_chunks, sentence_chunks or any function of a text to such triples."""
+    """Chunks of every document by recursive_chunks, sentence_chunks or any function of a text to such triples.
 
+    A worker holds one small batch of texts and OUT_ROWS chunks at a time.
+    """
+    small_batches(docs.sparkSession)
+
+    def frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        while some := list(islice(rows, OUT_ROWS)):
+            yield pd.DataFrame(some, columns=[key, "index", "start", "stop", "overlap", "body"])
+
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, i, a, b, o, t[a:b]) for k, t in zip(batch[key], batch[text]) if t for i, (a, b, o) in enumerate(how(t))]
-            yield pd.DataFrame(rows, columns=[key, "index", "start", "stop", "overlap", "body"])
+            yield from frames((k, i, a, b, o, t[a:b]) for k, t in zip(batch[key], batch[text]) if t for i, (a, b, o) in enumerate(how(t)))
 
     return docs.select(key, text).mapInPandas(run, CHUNK.format(key=key, kind=dict(docs.dtypes)[key]))
 

@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .batches import tidy, vector_batches
 from .retrieval import batch_top_k
 
 LISTS, SAMPLE, ROUNDS, SEED = 100, 50_000, 8, 17
 #: Vectors, or queries, of a block; sample queries for the recall.
 BLOCK, SAMPLE_QUERIES = 512, 200
+#: Rows of a query and a list that leave a worker in one batch.
+OUT_ROWS = 4_096
 
 
 @dataclass(frozen=True)
@@ -73,10 +76,14 @@ def nearest_lists(queries: DataFrame, index: VectorIndex, probes: int | None = N
     held = queries.sparkSession.sparkContext.broadcast(index.centroids)
     wanted = len(index.centroids) if probes is None else min(probes, len(index.centroids))
 
+    vector_batches(queries.sparkSession)
+
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = held.value
-        for batch in batches:
-            if len(batch) and wanted:
+        some = max(1, OUT_ROWS // max(1, wanted))
+        for batch in (whole.iloc[a : a + some] for whole in batches for a in range(0, len(whole), some)):
+            if wanted:
                 x = _unit(np.stack(batch[index.vector].to_numpy()).astype(np.float64))
                 order = np.argsort((c * c).sum(axis=1) - 2 * x @ c.T, axis=1, kind="stable")[:, :wanted]
                 out = batch.loc[batch.index.repeat(wanted)].reset_index(drop=True)
@@ -110,10 +117,11 @@ def search(queries: DataFrame, index: VectorIndex, k: int, probes: int | None =
     vectors = index.vectors(spark).filter(F.col("list").isin(wanted))
     kind = dict(queries.dtypes)[key]
     asked = _blocks(near, key, index.vector).select("list", F.col("keys").alias("query_ids"), F.col("matrix").alias("queries"))
+    vector_batches(spark)
     met = _blocks(vectors, key, index.vector).join(asked, "list").select("query_ids", "queries", "keys", "matrix")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in batches:  # a few blocks at a time, by their bytes
             for ids, asked, keys, held in zip(batch["query_ids"], batch["queries"], batch["keys"], batch["matrix"]):
                 q, x = (_unit(np.frombuffer(m, "<f8").reshape(n, -1)) for m, n in ((asked, len(ids)), (held, len(keys))))
                 score = q @ x.T

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_type, strip_html
+from ..operators.batches import small_batches
 
 #: Suffixes that a directory scan takes by default.
 SUFFIXES = ("pdf", "md", "txt", "markdown", "html", "htm")
@@ -32,8 +33,10 @@ def documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIX
 
     @F.pandas_udf("string")
     def decoded(contents: pd.Series) -> pd.Series:
-        def one(raw: bytes) -> str:
-            for name in ("utf-8-sig", "shift_jis", "gb18030"):
+        def one(raw: bytes | None) -> str | None:
+            if raw is None:
+                return None
+            for name in ("shift_jis", "gb18030"):
                 try:
                     return raw.decode(name)
                 except UnicodeDecodeError:
@@ -45,7 +48,11 @@ def documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIX
     rows = files(spark, path, suffixes, recursive)
     known = F.col("kind").isin("text", "markdown", "html")
     text = F.when(F.col("kind") == "html", strip_html(F.col("raw"))).when(known, F.col("raw"))
-    rows = rows.withColumn("raw", decoded("content"))
+    # Spark itself reads what is UTF-8, but for its mark; only other files go to Python, a few at a time.
+    small_batches(spark)
+    plain = F.try_validate_utf8(F.col("content").cast("string"))
+    rows = rows.withColumn("_plain", plain).withColumn("_other", decoded(F.when(F.col("_plain").isNull(), F.col("content"))))
+    rows = rows.withColumn("raw", F.coalesce(F.when(F.startswith("_plain", F.lit("\ufeff")), F.substring("_plain", 2, 1 << 30)).otherwise(F.col("_plain")), "_other"))
     return rows.select("path", "name", "size", "modified", "kind", text.alias("text"), F.when(~known, F.concat(F.lit("no reader for "), F.col("kind"))).alias("error"))
 
 

@@ -157,3 +157,32 @@ def test_printed_numbers_are_read_once(spark, sf_dir):
     assert sorted((r["book"], r["anchor_scan"], r["anchor_book"], r["pages_per_scan"]) for r in found.collect()) == [(1, 1, 2, 2), (2, 1, 2, 2)]
     plan = _plan(found).split("Initial Plan")[0]
     assert plan.count("regexp_extract_all") == 1 and plan.count("ReusedExchange") == 1
+
+
+def test_what_a_worker_holds(spark, tmp_path):
+    """Chunks leave in bounded frames, vectors are scored in slices, UTF-8 files are not sent to Python."""
+    import numpy as np
+
+    from inkwright.operators import retrieval, splitting, vector_index
+    from inkwright.sources import readers
+
+    text = "abc. " * 5_000
+    got = splitting.chunked(spark.createDataFrame([(1, text)], "doc_id long, text string"), lambda t: [(k, k + 3, "") for k in range(0, len(t), 5)])
+    assert got.count() == 5_000 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20) and splitting.OUT_ROWS < 5_000
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(k, rng.integers(-3, 4, 4).astype(float).tolist()) for k in range(5_000)], "vec_id long, embedding array<double>").coalesce(1).cache()
+    few = rows.filter("vec_id % 1000 = 0")
+    found = retrieval.batch_top_k(few, rows, 3)
+    x = np.stack([r["embedding"] for r in rows.orderBy("vec_id").collect()])
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    for r in found.groupBy("query_id").agg(F.sort_array(F.collect_list("score")).alias("s")).collect():
+        assert np.allclose(r["s"], np.sort(unit @ unit[r["query_id"]])[-3:])
+    index = vector_index.build(rows, str(tmp_path / "index"), lists=3)
+    near = vector_index.nearest_lists(rows, index)
+    assert near.count() == 15_000 and near.groupBy("vec_id").agg(F.count_distinct("list").alias("n")).filter("n <> 3").count() == 0
+    (tmp_path / "texts").mkdir()
+    for name, raw in (("a", "\ufeff海b".encode()), ("b", "海路".encode("shift_jis")), ("d", "海\ufeff".encode())):
+        (tmp_path / "texts" / f"{name}.txt").write_bytes(raw)
+    texts = readers.documents(spark, str(tmp_path / "texts"))
+    assert {r["name"]: r["text"] for r in texts.collect()} == {"a.txt": "海b", "b.txt": "海路", "d.txt": "海\ufeff"}
+    assert "isnull" in texts._jdf.queryExecution().analyzed().toString().lower()
