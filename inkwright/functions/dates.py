@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 #: First Western year of each era.
 ERAS = {"天保": 1830, "弘化": 1844, "嘉永": 1848, "安政": 1854, "文久": 1861, "元治": 1864, "慶応": 1865, "慶應": 1865, "明治": 1868, "大正": 1912, "昭和": 1926, "平成": 1989, "令和": 2019}
 #: Kanji digits and units.
@@ -20,19 +22,22 @@ def era_year(era: Column, year: Column) -> Column:
 
 def kanji_number(text: Column) -> Column:
     """Value of digits (read by place) or kanji numerals up to thousands; 廿 is 20 and 卅 30. Null if anything else is in it."""
-    text = F.replace(F.replace(text, F.lit("廿"), F.lit("二十")), F.lit("卅"), F.lit("三十"))
-    digit = F.create_map(*[x for k, v in DIGITS.items() for x in (F.lit(k), F.lit(v))], *[x for k in range(10) for x in (F.lit(str(k)), F.lit(k))])
-    unit = F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.lit(v))])
+    return bound(text, _numeral)
+
+
+def _numeral(text: Column) -> Column:
+    plain = F.translate(F.replace(F.replace(text, F.lit("廿"), F.lit("二十")), F.lit("卅"), F.lit("三十")), "".join(DIGITS), "".join(map(str, DIGITS.values())))
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("digits"), F.lit(False).alias("seen"))
 
     def step(s: Column, c: Column) -> Column:
-        d, u = F.try_element_at(digit, c), F.try_element_at(unit, c)
+        d, u = c.try_cast("int"), F.when(c == "十", UNITS["十"]).when(c == "百", UNITS["百"]).otherwise(UNITS["千"])
         on_digit = F.struct(s["total"].alias("total"), (s["digits"] * 10 + d).alias("digits"), F.lit(True).alias("seen"))
         on_unit = F.struct((s["total"] + F.when(s["seen"], s["digits"]).otherwise(1) * u).alias("total"), F.lit(0).alias("digits"), F.lit(False).alias("seen"))
-        return F.when(d.isNotNull(), on_digit).otherwise(on_unit)
+        return F.when(c.isin(*UNITS), on_unit).otherwise(on_digit)
 
-    value = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step, lambda s: s["total"] + s["digits"])
-    return F.when(text.rlike("^[0-9〇零元一二三四五六七八九十百千]+$"), value)
+    value = lambda t: F.aggregate(F.filter(F.split(t, ""), lambda c: c != ""), start, step, lambda s: s["total"] + s["digits"])
+    # Few digits are a number as they stand.
+    return bound(plain, lambda t: F.when(t.rlike("^[0-9]{1,9}$"), t.cast("int")).when(t.rlike("^[0-9十百千]+$"), value(t)))
 
 
 def to_kanji(number: Column) -> Column:
@@ -140,15 +145,18 @@ def text_dates(text: Column) -> Column:
     def found(kind: str) -> Column:
         pattern, (era, year, month, day), sure = DATE_KINDS[kind]
 
+        # One pass over the text for each group, instead of one over each match.
+        matches = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), g).alias(f"g{g}") for g in sorted({0, era, year, month, day})))
+
         def parsed(d: Column) -> Column:
             def number(group: int) -> Column:
-                return kanji_number(F.regexp_extract(d, pattern, group)).cast("int") if group else F.lit(None).cast("int")
+                return kanji_number(d[f"g{group}"]).cast("int") if group else F.lit(None).cast("int")
 
-            name = F.regexp_extract(d, pattern, era) if era else F.lit(None).cast("string")
+            name = d[f"g{era}"] if era else F.lit(None).cast("string")
             western = era_year(name, number(year)).cast("int") if era else number(year)
-            return F.struct(F.lit(kind).alias("kind"), d.alias("text"), name.alias("era"), western.alias("year"), number(month).alias("month"), number(day).alias("day"), F.lit(sure).alias("confidence"))
+            return F.struct(F.lit(kind).alias("kind"), d["g0"].alias("text"), name.alias("era"), western.alias("year"), number(month).alias("month"), number(day).alias("day"), F.lit(sure).alias("confidence"))
 
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), parsed)
+        return F.transform(matches, parsed)
 
     return F.concat(*[found(kind) for kind in DATE_KINDS])
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegerType
 from ..functions.text import collapse
 
 from .dedup import keep_first
+from .spread import spread
 
 DOI = r"10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
 YEAR = r"(?:^|[^0-9])((?:1[5-9]|20)\d\d)(?:$|[^0-9])"
@@ -182,7 +183,8 @@ def rule_entities(docs: DataFrame, key: str, text: str, categories: tuple[str, .
         return F.transform(placed_matches(F.col(text), pattern), lambda m: F.struct(m["text"].alias("entity"), F.lit(category).alias("category"), m["start"].alias("start"), F.lit(sure).alias("confidence")))
 
     found = [found_by(*rule) for rule in RULES if rule[0] in categories]
-    rows = docs.select(key, F.explode(F.concat(*found)).alias("_e")).select(key, "_e.*")
+    # Dealt by key first, so that no task groups the entities of a whole file.
+    rows = spread(docs.select(key, text), key).select(key, F.explode(F.concat(*found)).alias("_e")).select(key, "_e.*")
     return rows.groupBy(key, "entity", "category", "start").agg(F.max("confidence").alias("confidence"))
 
 

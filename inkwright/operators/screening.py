@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
+from ..functions.text import bound, collapse
 from .dedup import keep_first
 from .evidence import match_text
 
@@ -20,6 +20,10 @@ def _stripped(text: Column) -> Column:
 
 def page_numeral(token: Column) -> Column:
     """1 to 99 in kanji with tens, 百 alone, or digits; null for other runs of numerals. What follows a ten and one digit is not read."""
+    return bound(token, _page_numeral)
+
+
+def _page_numeral(token: Column) -> Column:
     tens = r"^([一二三四五六七八九]?)十([一二三四五六七八九]?)"
     value = lambda k, blank: F.coalesce(F.nullif(F.translate(F.regexp_extract(token, tens, k), "一二三四五六七八九", "123456789"), F.lit("")).cast("int"), F.lit(blank))
     one = F.when(token.rlike("^[一二三四五六七八九]$"), F.translate(token, "一二三四五六七八九", "123456789").cast("int"))
@@ -39,9 +43,13 @@ def page_furniture(pages: DataFrame, text: str = "text") -> DataFrame:
     def found(x: Column, pattern: str) -> Column:
         return F.struct(page_numeral(F.regexp_extract(x["line"], pattern, 1)).alias("n"), x["k"].alias("k"))
 
-    below = F.flatten(F.array(*[_each(last, found, pattern) for pattern in PAGE_NUMBERS]))
-    above = F.flatten(F.transform("_numbered", lambda x: F.array(*[found(x, p) for p in PAGE_NUMBERS])))
-    first = F.get(F.filter(F.concat(below, above), lambda c: c["n"].isNotNull()), F.lit(0))
+    def told(candidates: Column) -> Column:
+        return F.get(F.filter(candidates, lambda c: c["n"].isNotNull()), F.lit(0))
+
+    # Each pattern, and then all lines, are tried only where those before them found nothing.
+    below = [told(_each(last, found, pattern)) for pattern in PAGE_NUMBERS]
+    above = told(F.flatten(F.transform("_numbered", lambda x: F.array(*[found(x, p) for p in PAGE_NUMBERS]))))
+    first = F.coalesce(*below, above)
     rows = pages.withColumn("_lines", lines).withColumn("_numbered", numbered).withColumn("_n", first)
     rest = F.filter("_lines", lambda x, k: F.col("_n").isNull() | (k != F.col("_n.k")))
     # What is left is read anew: it is a text of its own.

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..functions.text import occurrences, sentences
+from ..functions.text import bound, occurrences, sentences
+from .spread import spread
 
 
 def outline_ratios(sections: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -73,15 +74,18 @@ def tags(text: Column, categories: dict[str, list[str]], most: int = 10) -> Colu
 
 def sentence_shape(text: Column, connectors: list[str]) -> Column:
     """mean sentence length, shares of long (60 or more) and short (20 or fewer) ones, connectors per sentence."""
-    lengths = F.transform(sentences(text), lambda s: F.length(s))
-    n = F.greatest(F.size(lengths), F.lit(1))
     used = sum((occurrences(text, F.lit(c)) for c in connectors), F.lit(0))
-    return F.struct(
-        (F.aggregate(lengths, F.lit(0), lambda a, x: a + x) / n).alias("mean_length"),
-        (F.size(F.filter(lengths, lambda x: x >= 60)) / n).alias("long_share"),
-        (F.size(F.filter(lengths, lambda x: x <= 20)) / n).alias("short_share"),
-        (used / n).alias("connector_density"),
-    )
+
+    def shape(lengths: Column) -> Column:
+        n = F.greatest(F.size(lengths), F.lit(1))
+        return F.struct(
+            (F.aggregate(lengths, F.lit(0), lambda a, x: a + x) / n).alias("mean_length"),
+            (F.size(F.filter(lengths, lambda x: x >= 60)) / n).alias("long_share"),
+            (F.size(F.filter(lengths, lambda x: x <= 20)) / n).alias("short_share"),
+            (used / n).alias("connector_density"),
+        )
+
+    return bound(F.transform(sentences(text), lambda s: F.length(s)), shape)
 
 
 def style_distance(a: Column, b: Column) -> Column:
@@ -135,10 +139,11 @@ def sentence_importance(docs: DataFrame, key: str, text: str, keywords: list[str
 
 def term_profile(docs: DataFrame, key: str, words: Column, most: int = 10) -> DataFrame:
     """(key, token_count, terms): all tokens, and the `most` most frequent ones of two characters or more, the earlier one first where equal."""
-    tokens = docs.select(key, F.posexplode(words).alias("_at", "_word"))
-    counted = tokens.filter(F.length("_word") >= 2).groupBy(key, "_word").agg(F.count("*").alias("_n"), F.min("_at").alias("_at"))
-    best = Window.partitionBy(key).orderBy(F.desc("_n"), "_at")
-    top = counted.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= most)
-    terms = F.transform(F.array_sort(F.collect_list(F.struct("_r", "_word", "_n"))), lambda s: F.struct(s["_word"].alias("term"), s["_n"].alias("n")))
-    totals = tokens.groupBy(key).agg(F.count("*").alias("token_count"))
-    return totals.join(top.groupBy(key).agg(terms.alias("terms")), key, "left")
+    # Texts are dealt by key once; words are counted and ranked where their text lies.
+    tokens = spread(docs, key).select(key, F.posexplode(words).alias("_at", "_word"))
+    counted = tokens.groupBy(key, "_word").agg(F.count("*").alias("_n"), F.min("_at").alias("_at"))
+    best = Window.partitionBy(key).orderBy(F.length("_word") < 2, F.desc("_n"), "_at")
+    top = F.when((F.col("_r") <= most) & (F.length("_word") >= 2), F.struct("_r", "_word", "_n"))
+    terms = F.transform(F.array_sort(F.collect_list(top)), lambda s: F.struct(s["_word"].alias("term"), s["_n"].alias("n")))
+    out = counted.withColumn("_r", F.row_number().over(best)).groupBy(key).agg(F.sum("_n").alias("token_count"), terms.alias("terms"))
+    return out.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")))

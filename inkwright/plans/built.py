@@ -19,6 +19,7 @@ from ..operators import runs as U
 from ..operators import screening as C
 from ..operators import summaries as S
 from ..operators import workflow as W
+from ..operators.spread import spread
 from ..sources import readers
 from .files import place
 from .papers import _LINES, _lines
@@ -39,7 +40,7 @@ def query(sql: str | None = None):
 
 def _part(spark, sf_dir, text: str):
     """Parts with a column t, an expression of Spark SQL."""
-    return table(spark, sf_dir, "part").withColumn("t", F.expr(text))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").withColumn("t", F.expr(text))
 
 
 @query("SELECT o_orderkey, printf('%04d-%02d-%02d', (CASE o_orderkey % 3 WHEN 0 THEN 1868 WHEN 1 THEN 1912 ELSE 1926 END) + o_orderkey % 14, 1 + o_orderkey % 12, 1 + o_orderkey % 28) AS date_key, (1 + o_orderkey % 14)::INT AS era_year FROM orders UNION ALL SELECT o_orderkey, '1926-12-25', 15 FROM orders WHERE o_orderkey % 2 = 0")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..operators import evidence as V
+from ..operators.spread import spread
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -51,7 +52,8 @@ _DATES = f"WITH t AS (SELECT p_partkey, {_TEXT} AS t FROM part), dates AS ({' UN
 
 
 def _dates(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.explode(D.text_dates(F.expr(_TEXT))).alias("d")).select("p_partkey", "d.*")
+    texts = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.expr(_TEXT).alias("t"))
+    return texts.select("p_partkey", F.explode(D.text_dates(F.col("t"))).alias("d")).select("p_partkey", "d.*")
 
 
 @query(f"{_DATES} SELECT p_partkey, kind, text, year::INT AS year, month::INT AS month, day::INT AS day, confidence FROM dates")

@@ -186,3 +186,24 @@ def test_what_a_worker_holds(spark, tmp_path):
     texts = readers.documents(spark, str(tmp_path / "texts"))
     assert {r["name"]: r["text"] for r in texts.collect()} == {"a.txt": "海b", "b.txt": "海路", "d.txt": "海\ufeff"}
     assert "isnull" in texts._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_work_on_small_tables_is_dealt(spark, sf_dir):
+    """A file of parts is one task, however much each of its rows has to do."""
+    from inkwright.plans import built, curation, dates, reviews
+
+    for queries, name in ((dates, "d02_text_dates"), (dates, "g13_publication_year"), (built, "e18_page_furniture"), (reviews, "z04_rule_entities"), (curation, "g10_term_profile")):
+        plan = _plan(queries.QUERIES[name](spark, sf_dir))
+        assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1, name
+
+
+def test_numerals_and_shapes_are_spelled_out_once(spark):
+    from inkwright.functions import dates
+    from inkwright.operators import screening, summaries
+
+    texts = ["廿三", "123456789", "二千三百四", "元", "百十", "卅a", "", "〇五", "1万"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(dates.kanji_number(F.col("t"))).collect()]
+    assert got == [23, 123456789, 2304, 1, 110, None, None, 5, None]
+    assert str(dates.kanji_number(F.regexp_extract("t", "x", 0))).count("regexp_extract") == 1
+    assert str(screening.page_numeral(F.regexp_extract("t", "x", 0))).count("regexp_extract(t") == 1
+    assert str(summaries.sentence_shape(F.col("t"), [])).count("regexp_extract_all") == 1
