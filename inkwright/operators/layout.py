@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,10 +29,16 @@ def in_rows(ordered: DataFrame, page: list[str], y: str, tolerance: float) -> Da
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first, row = None, 0.0, 0
         for batch in batches:
-            rows = []
-            for *here, at in zip(*(batch[c].to_pylist() for c in page), batch[y].to_pylist()):
-                if held != here:
-                    held, first, row = here, at, 0
+            rows, fresh = [], np.zeros(batch.num_rows, bool)
+            for c in page:
+                code = batch[c].dictionary_encode(null_encoding="encode").indices.to_numpy()
+                fresh[1:] |= code[1:] != code[:-1]
+            if batch.num_rows:
+                fresh[0] = held != [batch[c][0].as_py() for c in page]
+                held = [batch[c][-1].as_py() for c in page]
+            for begins, at in zip(fresh.tolist(), batch[y].to_pylist()):
+                if begins:
+                    first, row = at, 0
                 elif abs(first - at) > tolerance:
                     first, row = at, row + 1
                 rows.append(row)
@@ -104,15 +111,21 @@ def paper_pages(zoned: DataFrame) -> DataFrame:
 
     A mark that several notes of a page have stands for the last of them.
     """
-    order = Window.partitionBy("doc", "page").orderBy("row")
-    lines = zoned.filter("zone = 'body' AND text <> ''").withColumn("_gap", F.col("y0") - F.lag("y0").over(order) > GAP)
+    # Rows are read once: body and notes are ordered each for itself and meet in one grouping of their page. A note is a row with a mark.
+    kind = F.when((F.col("zone") == "body") & (F.col("text") != ""), "body").when(F.col("zone") == "note", "note")
+    lines = zoned.withColumns({"_kind": kind, "_mark": F.when(F.col("zone") == "note", F.regexp_extract("text", NOTE_START, 1)).otherwise("")})
+    order = Window.partitionBy("doc", "page", "_kind").orderBy("row")
+    lines = lines.withColumns({"_gap": F.col("y0") - F.lag("y0").over(order) > GAP, "_number": F.sum((F.col("_mark") != "").cast("int")).over(order)})
     said = F.concat(F.when(F.col("_gap"), "\n").otherwise(""), F.trim("text"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", said.alias("t")))), lambda x: x["t"]), "")
-    body = lines.groupBy("doc", "page").agg(collapse(joined).alias("_body"))
-    notes = page_notes(zoned)
-    named = notes.groupBy("doc", "page", "mark").agg(F.max_by("note_id", "number").alias("note_id"), F.count("*").alias("_n"))
-    listed = named.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct((-F.length("mark")).alias("o"), "mark", "note_id"))).alias("_marks"), F.sum("_n").alias("_notes"))
-    pages = zoned.select("doc", "page").distinct().join(body, ["doc", "page"], "left").join(listed, ["doc", "page"], "left")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("_kind") == "body", F.struct("row", said.alias("t")))))
+    body = F.when(F.size(ordered) > 0, collapse(F.array_join(F.transform(ordered, lambda x: x["t"]), "")))
+    found = F.array_sort(F.collect_list(F.when(F.col("_mark") != "", F.struct((-F.length("_mark")).alias("o"), F.col("_mark").alias("mark"), F.col("_number").alias("number")))))
+    pages = lines.groupBy("doc", "page").agg(body.alias("_body"), found.alias("_found_notes"))
+    # In this order the last note of a mark stands before another mark.
+    last = F.filter("_found_notes", lambda x, k: ~F.coalesce(F.get(F.col("_found_notes"), k + 1)["mark"] == x["mark"], F.lit(False)))
+    marks = F.transform(last, lambda x: F.struct(x["o"], x["mark"], F.format_string("p%dn%d", F.col("page"), x["number"]).alias("note_id")))
+    some = F.size("_found_notes") > 0
+    pages = pages.withColumns({"_marks": F.when(some, marks), "_notes": F.when(some, F.size("_found_notes"))})
     pattern = F.coalesce(F.nullif(F.array_join(F.transform("_marks", lambda m: F.concat(F.lit(r"\Q"), m["mark"], F.lit(r"\E"))), "|"), F.lit("")), F.lit("(?!)"))
     text = F.coalesce("_body", F.lit(""))
     pages = pages.withColumns({"_parts": F.call_function("split", text, pattern, F.lit(-1)), "_found": F.regexp_extract_all(text, pattern, F.lit(0))})

@@ -128,17 +128,17 @@ _WORDS = "lower(mode) || ' ' || how"
 def s20_paper_pages(spark, sf_dir):
     line = _lines(spark, sf_dir).withColumns({"page": F.col("book"), "mark": F.expr("CASE WHEN l_returnflag = 'R' THEN substr('①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳', n, 1) ELSE '' END"), "y": F.lit(60.0) + 40 * F.col("n")})
 
-    def box(rows, x, y, size, text):
-        return rows.select(F.lit(1).alias("doc"), "page", F.lit(1600.0).alias("height"), F.lit(x).alias("x0"), y.alias("y0"), F.lit(x + 100.0).alias("x1"), (y + 10).alias("y1"), F.lit(size).alias("size"), text.alias("text"))
-
-    pages = line.select("page").distinct()
-    parts = [box(line, 300.0, F.col("y") + 2, 12.0, F.concat("how", "mark")), box(line, 72.0, F.col("y"), 12.0, F.concat(F.lower("mode"), F.lit(" "))), box(pages, 72.0, F.lit(20.0), 12.0, F.lit("Running head")), box(pages, 400.0, F.lit(1560.0), 12.0, F.col("page").cast("string").substr(1, 4))]
-    notes = line.filter("mark <> ''")
-    parts += [box(notes, 72.0, F.lit(1000.0) + 20 * F.col("n"), 9.0, F.concat("mark", F.lit(" see "), "mode")), box(notes, 72.0, F.lit(1010.0) + 20 * F.col("n"), 9.0, F.lit("and more"))]
-    lines = parts[0]
-    for part in parts[1:]:
-        lines = lines.unionByName(part)
-    zoned = L.zoned_rows(L.page_rows(lines))
+    def box(when, x, y, size, text):
+        return F.when(when, F.struct(F.lit(1600.0).alias("height"), F.lit(x).alias("x0"), y.alias("y0"), F.lit(x + 100.0).alias("x1"), (y + 10).alias("y1"), F.lit(size).alias("size"), text.alias("text")))
+
+    # The first line of an order also gives its page's head and number.
+    every, first, noted = F.lit(True), F.col("n") == 1, F.col("mark") != ""
+    boxes = [box(every, 300.0, F.col("y") + 2, 12.0, F.concat("how", "mark")), box(every, 72.0, F.col("y"), 12.0, F.concat(F.lower("mode"), F.lit(" "))), box(first, 72.0, F.lit(20.0), 12.0, F.lit("Running head")), box(first, 400.0, F.lit(1560.0), 12.0, F.col("page").cast("string").substr(1, 4))]
+    boxes += [box(noted, 72.0, F.lit(1000.0) + 20 * F.col("n"), 9.0, F.concat("mark", F.lit(" see "), "mode")), box(noted, 72.0, F.lit(1010.0) + 20 * F.col("n"), 9.0, F.lit("and more"))]
+    lines = line.select(F.lit(1).alias("doc"), "page", F.explode(F.array_compact(F.array(*boxes))).alias("b")).select("doc", "page", "b.*")
+    # Rows are made once and read for the pages and for their notes.
+    L.zoned_rows(L.page_rows(lines)).write.parquet(rows := place(spark, "rows"))
+    zoned = spark.read.parquet(rows)
     kept = L.page_notes(zoned).groupBy("page").agg(F.count("*").alias("n"))
     pages = L.paper_pages(zoned).join(kept, "page", "left")
     places = F.nullif(F.array_join(F.transform("notes", lambda p: p["position"].cast("string")), ","), F.lit(""))

@@ -207,3 +207,24 @@ def test_numerals_and_shapes_are_spelled_out_once(spark):
     assert str(dates.kanji_number(F.regexp_extract("t", "x", 0))).count("regexp_extract") == 1
     assert str(screening.page_numeral(F.regexp_extract("t", "x", 0))).count("regexp_extract(t") == 1
     assert str(summaries.sentence_shape(F.col("t"), [])).count("regexp_extract_all") == 1
+
+
+def test_pages_read_their_rows_once(spark, sf_dir):
+    """A body, notes, marks and pages each read the rows anew, and these six kinds of boxes: two dozen scans."""
+    from inkwright.operators import layout
+    from inkwright.plans.papers import QUERIES
+
+    rows = spark.createDataFrame([(1, 1, 0, 50.0, "a①", "body"), (1, 1, 1, 90.0, "b②", "body"), (1, 1, 2, 900.0, "① x", "note"), (1, 1, 3, 910.0, "y", "note"), (1, 1, 4, 920.0, "② z", "note"), (1, 2, 0, 20.0, "head", None)], "doc long, page long, row int, y0 double, text string, zone string")
+    out = layout.paper_pages(rows)
+    assert [(r["page"], r["text"], [tuple(n) for n in r["notes"]], r["flags"]) for r in out.orderBy("page").collect()] == [(1, "a b", [("p1n1", 1), ("p1n2", 3)], []), (2, "", [], [])]
+    assert "Join" not in _plan(out)
+    assert _plan(QUERIES["s20_paper_pages"](spark, sf_dir)).count("FileScan") == 2
+
+
+def test_rows_of_pages_go_on_over_batches(spark):
+    from inkwright.operators import layout
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    rows = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 9.0), (5, 9.0), (5, 30.0), (5, 31.0)], "page long, y double").coalesce(1)
+    assert [r["row"] for r in layout.in_rows(rows, ["page"], "y", 3.0).collect()] == [0, 0, 1, 0, 1, 1]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
