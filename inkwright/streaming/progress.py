@@ -90,6 +90,9 @@ class Reports(StatefulProcessor):
         if any(timer <= timerValues.getCurrentWatermarkInMs() for timer in timers):
             out += self.forgotten(key)
         state = list(self.summary.get() or _FRESH)
+        # The open starts are read once and written once; in between no event asks the state store.
+        held = {name[0]: value[0] for name, value in self.begun.iterator()}
+        begun = dict(held)
         for row in pd.concat(list(rows)).sort_values("ordinal").itertuples():
             at = None if pd.isna(row.us) else int(row.us)
             latest = at if latest is None else max(latest, at or latest)
@@ -97,11 +100,10 @@ class Reports(StatefulProcessor):
             if subphase and row.kind.startswith("worker_stage_"):
                 state[3:5] = [subphase, row.status]
             if subphase and row.kind == STAGE_STARTED:
-                self.begun.updateValue((subphase,), (at,))
+                begun[subphase] = at
             elif subphase and row.kind in STAGE_FINISHED:
-                if self.begun.containsKey((subphase,)):
-                    start = self.begun.getValue((subphase,))[0]
-                    self.begun.removeKey((subphase,))
+                if subphase in begun:
+                    start = begun.pop(subphase)
                     seconds = None if start is None or at is None else (at - start) / 1e6
                     base = 10 if subphase in WRAPPERS else 5
                     state[2] += 1
@@ -115,11 +117,17 @@ class Reports(StatefulProcessor):
                     out.append((*key, row.status, state[1], at, (at - state[1]) / 1e6, *self.told(state, key, (at - state[1]) / 1e6, row.status)))
                 state[0:2] = [False, None]
         self.summary.update(tuple(state))
+        for name in held.keys() - begun.keys():
+            self.begun.removeKey((name,))
+        for name, start in begun.items():
+            if name not in held or held[name] != start:
+                self.begun.updateValue((name,), (start,))
         if self.limit:
             for timer in timers:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(max((latest or 0) // 1000, timerValues.getCurrentWatermarkInMs()) + self.limit)
-        yield self.frame(out)
+        if out:
+            yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         yield self.frame(self.forgotten(key))

@@ -228,3 +228,40 @@ def test_rows_of_pages_go_on_over_batches(spark):
     rows = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 9.0), (5, 9.0), (5, 30.0), (5, 31.0)], "page long, y double").coalesce(1)
     assert [r["row"] for r in layout.in_rows(rows, ["page"], "y", 3.0).collect()] == [0, 0, 1, 0, 1, 1]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_a_stream_asks_its_state_once_a_key():
+    """Open starts were asked for, and changed, event by event."""
+    import pandas as pd
+
+    from inkwright.streaming import progress
+
+    class State(dict):
+        calls = 0
+
+        def iterator(self):
+            return iter([((k,), v) for k, v in self.items()])
+
+        def updateValue(self, key, value):
+            self.calls, self[key[0]] = self.calls + 1, value
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self[key[0]]
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    reports = progress.Reports(0)
+    reports.begun, reports.summary = State(old=(1,)), Value()
+    kinds = [("candidate_started", "")] + [(k, s) for s in ("a", "b") for _ in range(50) for k in ("worker_stage_started", "worker_stage_completed")] + [("worker_stage_completed", "old"), ("worker_stage_started", "c"), ("candidate_completed", "")]
+    rows = pd.DataFrame([(k, s, "ok", n, n) for n, (k, s) in enumerate(kinds)], columns=["kind", "subphase", "status", "us", "ordinal"])
+    out = list(reports.handleInputRows(("p", "", "x"), iter([rows]), None))
+    assert len(out) == 1 and out[0]["subphases"][0] == 101 and dict(reports.begun) == {"c": (202,)}
+    assert reports.begun.calls == 2
