@@ -46,6 +46,15 @@ def test_best_window_of_a_long_text(spark):
     assert got == [best, "th" * 100, None, "q" * 261]
 
 
+def test_best_window_after_a_scan_number(spark):
+    """All of a text counts, also what stands behind a number like those of scans."""
+    score = lambda t: (F.length(t) - F.length(F.replace(t, F.lit("th"), F.lit("")))) / F.length(t)
+    long = "ab " * 100 + "E1234567 " + "cd " * 97 + "th " * 100
+    rows = spark.createDataFrame([("E123456 th",), ("xE00000000",), (long,)], "t string")
+    got = [r[0] for r in rows.select(claims.best_window(F.col("t"), score)).collect()]
+    assert got == ["E123456 th", "xE00000000", long[600:820]]
+
+
 def test_active_facets_of_a_long_claim_and_short_triggers(spark):
     claims_ = spark.createDataFrame([(1, "ab " * 60_000 + "zed"), (2, "q"), (3, None), (4, "b😀q")], "id int, claim string")
     rules = spark.createDataFrame([("one", ["q"], ["t"]), ("end", ["zed", "b😀"], ["u", "v"]), ("any", [""], ["w"]), ("none", ["zz"], ["x"])], "bucket string, triggers array<string>, terms array<string>")
