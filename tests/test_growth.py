@@ -55,6 +55,22 @@ def test_best_window_after_a_scan_number(spark):
     assert got == ["E123456 th", "xE00000000", long[600:820]]
 
 
+def test_best_windows_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    """Repeated rows, no ids, wide spaces and scan numbers."""
+    import duckdb
+
+    from inkwright.plans.curation import QUERIES, SQL
+
+    long = "ab " * 100 + "E1234567 " + "cd " * 97 + "th " * 100
+    texts = [(1, "a th"), (1, "a  th "), (1, "b"), (None, "x"), (None, "x"), (2, "\u00a0\u3000"), (3, "\u2003q\u2003 "), (4, " "), (5, None), (6, "\n\t"), (7, long), (7, "\n" + long), (8, long + "é😀" * 200), (9, "q\u2003" * 300), (10, "x" * 260), (11, "y" * 261)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(SQL["w15_best_window"]).fetchall()
+    got = [tuple(r) for r in QUERIES["w15_best_window"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_active_facets_of_a_long_claim_and_short_triggers(spark):
     claims_ = spark.createDataFrame([(1, "ab " * 60_000 + "zed"), (2, "q"), (3, None), (4, "b😀q")], "id int, claim string")
     rules = spark.createDataFrame([("one", ["q"], ["t"]), ("end", ["zed", "b😀"], ["u", "v"]), ("any", [""], ["w"]), ("none", ["zz"], ["x"])], "bucket string, triggers array<string>, terms array<string>")
