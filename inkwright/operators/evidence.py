@@ -154,7 +154,8 @@ def aligned(claims: DataFrame, passages: DataFrame, groups: dict[str, list[str]]
     to four places, and `matched` is the part of a long segment that fits best.
     """
     segments = _sides(page_segments(spread(passages.select("candidate_id", "page", "text"), "candidate_id"), least), "segment", "b")
-    pairs = _sides(spread(claims, "candidate_id"), "claim", "a").join(segments, "candidate_id")
+    # Sizes of exploded texts are not foreseen, so a side that is taken for small could be too much for the driver to send.
+    pairs = _sides(spread(claims, "candidate_id"), "claim", "a").join(segments.hint("merge"), "candidate_id")
     scored = _scored(pairs, "claim", "segment", groups, ["candidate_id", "claim"])
     best = keep_first(scored, ["candidate_id", "claim"], [F.desc("score"), "page", "place"]).drop("place")
     return _rounded(trimmed_segments(best.withColumnRenamed("score", "_score").withColumn("_k", F.md5("claim")), ["candidate_id", "_k"], groups).drop("_k").withColumnRenamed("_score", "score"))

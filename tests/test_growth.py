@@ -97,6 +97,16 @@ def test_mention_edges_to_documents_of_several_titles(spark):
     assert sorted(edges.collect()) == [(1, 4, 0.55), (2, 1, 0.9), (2, 4, 0.9), (4, 1, 0.6), (4, 2, 0.6)]
 
 
+def test_alignment_sends_no_table_to_the_driver(spark, sf_dir):
+    """Claims or segments were taken for small by the files they come from, and gathered on the driver."""
+    from inkwright.plans.papers import QUERIES
+
+    found = QUERIES["r25_alignment"](spark, sf_dir)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len(found.collect()) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_page_priority_reads_its_tables_a_few_times(spark, sf_dir):
     """Every scope by joins of its own read the orders 54 times and sent 30 tables to the driver."""
     from inkwright.plans.papers import QUERIES
