@@ -55,12 +55,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[str | None], most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """Position of the first text, then the texts of a chunk as bytes."""
     first, held, size = 0, [], 0
     for text in texts:
         raw = b"" if text is None else text.encode()
-        if held and size + len(raw) > CHUNK:
+        if held and size + len(raw) > most:
             yield first, held
             first, held, size = first + len(held), [], 0
         held.append(raw)

@@ -41,6 +41,8 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM, BLOCK = 50, 20, 1024
 FLUSH_BYTES, BUCKET_ROWS, HOT_ROWS = 1 << 23, 1 << 19, 32
+#: Bytes of text whose anchors are found at once: few enough for a core's cache.
+_CHUNK = 1 << 16
 #: Digests of texts that a task remembers, to pass over copies.
 _REMEMBERED = 200_000
 #: Rows of a table that is small enough to be sent to every task.
@@ -53,25 +55,26 @@ _SPREAD = LENGTH - GRAM + 1  # grams of a window
 def anchors(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, hash) of the anchors of all windows of each text."""
     sizes = np.asarray([len(x) for x in raw])
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
     data = np.frombuffer(b"".join(raw), np.uint8)
     if len(data) < LENGTH:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
-    at = np.arange(len(data) - GRAM + 1)
-    h = window(running(data), at, at + GRAM)
-    key = (h & ~np.uint64(63)) | (at & 63).astype(np.uint64)  # the low bits tell the place within a window
+    n = len(data) - GRAM + 1
+    h = window(running(data), slice(0, n), slice(GRAM, n + GRAM))
+    key = (h & ~np.uint64(63)) | (np.arange(n, dtype=np.uint64) & np.uint64(63))  # the low bits tell the place within a window
     low = np.minimum(key[:-1], key[1:])
     for step in (2, 4, 8):
         low = np.minimum(low[:-step], low[step:])
-    low = np.minimum(low[: len(at) - _SPREAD + 1], low[_SPREAD - 16 :][: len(at) - _SPREAD + 1])
-    start = np.arange(len(low))
-    owner = np.repeat(np.arange(len(raw)), sizes)[: len(low)]
-    whole = start + LENGTH <= (begin + sizes)[owner]
-    place = start + (((low & np.uint64(63)).astype(np.int64) - start) & 63)
-    chosen = np.zeros(len(data), bool)
-    chosen[place[whole]] = True
-    place = np.flatnonzero(chosen)
-    text = np.searchsorted(begin + sizes, place, "right")
+    low = np.minimum(low[: n - _SPREAD + 1], low[_SPREAD - 16 :][: n - _SPREAD + 1])
+    # Windows side by side mostly have one anchor; the first of them tells it.
+    new = np.append(True, low[1:] != low[:-1])
+    new[begin[begin < len(low)]] = True
+    start = np.flatnonzero(new)
+    text = np.searchsorted(ends, start, "right")
+    whole = start + LENGTH <= ends[text]
+    start, text = start[whole], text[whole]
+    place = start + (((low[start] & np.uint64(63)).astype(np.int64) - start) & 63)
     return text, place - begin[text], h[place]
 
 
@@ -127,7 +130,7 @@ def _named_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, raw in chunks(batch.column(1).to_pylist()):
+            for first, raw in chunks(batch.column(1).to_pylist(), _CHUNK):
                 fresh = []
                 for x in raw:  # a copy of a text has nothing to add; stage 1 knows it
                     key = hashlib.blake2b(x, digest_size=16).digest()
@@ -230,12 +233,63 @@ class Windows:
         return spans
 
 
+def shared_runs(texts: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, stop) of runs of windows that have the hash of a window of another owner; equal windows have equal hashes, so none is missed."""
+    sizes = np.asarray([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    n = len(data) - LENGTH + 1
+    if n < 1:
+        return (np.empty(0, np.int64),) * 3
+    text = np.repeat(np.arange(len(texts)), sizes)[:n]
+    at = np.flatnonzero(np.arange(LENGTH, n + LENGTH) <= ends[text])
+    text = text[at]
+    key = window(running(data), slice(0, n), slice(LENGTH, n + LENGTH))[at]
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(at) else order
+    by = owners[text[order]]
+    hit = np.zeros(len(at), bool)
+    if len(at):
+        hit[order] = np.repeat(np.minimum.reduceat(by, starts) < np.maximum.reduceat(by, starts), np.diff(np.append(starts, len(at))))
+    text, found = text[hit], (at - (ends - sizes)[text])[hit]
+    if not len(found):
+        return text, found, found
+    cut = np.flatnonzero((np.diff(found) != 1) | (np.diff(text) > 0))
+    first, last = np.append(0, cut + 1), np.append(cut, len(found) - 1)
+    return text[first], found[first], found[last] + LENGTH
+
+
+def marked_runs(texts: list[bytes], owners: np.ndarray) -> list[list[tuple[int, int]]]:
+    """As marked(), but spans may overlap.
+
+    Only shared_runs are looked at, equal ones once, for their least owner: a later owner's run is marked as a whole. As long as this saves half of
+    the bytes, the runs are texts anew; what is left has a suffix array.
+    """
+    runs = [(t, a, texts[t][a:b]) for t, a, b in zip(*(x.tolist() for x in shared_runs(texts, owners)))]
+    least: dict[bytes, int] = {}
+    for t, _, run in runs:
+        least[run] = min(int(owners[t]), least.get(run, int(owners[t])))
+    left, size = sum(map(len, least)), sum(map(len, texts))
+    if left > size:  # many short runs, one in the other
+        return marked(texts, owners)
+    own: dict[bytes, list[tuple[int, int]]] = {}
+    if least:
+        own = dict(zip(least, (marked_runs if 2 * left <= size else marked)(list(least), np.asarray(list(least.values())))))
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for t, a, run in runs:
+        spans[t] += [(a, a + len(run))] if owners[t] > least[run] else [(a + x, a + y) for x, y in own[run]]
+    return spans
+
+
 _SPANS = "sid binary, first_doc long, spans array<struct<start:long,stop:long>>"
 
 
-def _marked_shard(shard: pd.DataFrame, elsewhere: dict[bytes, int]) -> pd.DataFrame:
+def _marked_shard(shard: pd.DataFrame, elsewhere: dict[bytes, int] | None = None) -> pd.DataFrame:
+    """Without `elsewhere`, the shard has all segments of its names."""
     shard = shard.sort_values("sid")
-    spans = marked(list(shard["data"]), shard["first_doc"].to_numpy(), elsewhere)
+    texts, owners = list(shard["data"]), shard["first_doc"].to_numpy()
+    spans = marked_runs(texts, owners) if elsewhere is None else marked(texts, owners, elsewhere)
     give_back()
     return shard[["sid", "first_doc"]].assign(spans=[[{"start": a, "stop": b} for a, b in x] for x in spans])
 
@@ -244,7 +298,7 @@ def _marked_segments(segments: DataFrame) -> DataFrame:
     """Spans of segments (sid, first_doc, data, shard). The names of shards below 0 have other shards, too."""
 
     def own(shard: pd.DataFrame) -> pd.DataFrame:
-        return _marked_shard(shard, {})
+        return _marked_shard(shard)
 
     def told(shard: pd.DataFrame) -> pd.DataFrame:
         windows = Windows(list(shard["data"]), shard["first_doc"].to_numpy())

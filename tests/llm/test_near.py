@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -178,6 +179,59 @@ def test_suffix_dedup(spark, odd, empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
+def test_suffix_dedup_sorts_only_what_may_repeat(monkeypatch):
+    """A suffix array was made of all segments, most of which share a gram and nothing more."""
+    rng = random.Random(7)
+    word = lambda n, of="abcdefgh ": "".join(rng.choice(of) for _ in range(n)).encode()
+    gram, passage = word(20), word(80)
+    data = [word(30) + gram + word(30) for _ in range(400)] + [word(30) + passage + word(30) for _ in range(20)]
+    shard = pd.DataFrame({"sid": [hashlib.md5(x).digest() for x in data], "first_doc": np.arange(len(data)), "data": data, "shard": 0})
+    sizes, plan = [], suffix_dedup.Windows
+    monkeypatch.setattr(suffix_dedup, "Windows", lambda texts, owners: sizes.append(sum(map(len, texts))) or plan(texts, owners))
+    got = suffix_dedup._marked_shard(shard)
+    found = {r.sid: [(s["start"], s["stop"]) for s in r.spans] for r in got.itertuples()}
+    assert {k for k, v in found.items() if v} == set(shard["sid"][401:])
+    assert all(20 < v[0][0] <= 30 and 110 <= v[-1][1] < 120 for v in found.values() if v)
+    assert sum(sizes) < 4_000  # of 34,800
+
+
+def test_marked_runs_are_those_of_the_whole():
+    rng = random.Random(3)
+
+    def cover(spans, size):
+        out = np.zeros(size, bool)
+        for a, b in spans:
+            out[a:b] = True
+        return out.tolist()
+
+    for _ in range(60):
+        words = [bytes(rng.choice(b"abc") for _ in range(rng.randint(5, 70))) for _ in range(12)]
+        texts = sorted({b"".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 12))})
+        owners = np.asarray([rng.randrange(6) for _ in texts])
+        whole, runs = suffix_dedup.marked(texts, owners), suffix_dedup.marked_runs(texts, owners)
+        assert [cover(x, len(t)) for x, t in zip(whole, texts)] == [cover(x, len(t)) for x, t in zip(runs, texts)]
+    assert suffix_dedup.marked_runs([b"", b"a" * 49], np.asarray([1, 2])) == [[], []]
+
+
+def test_anchors_are_the_least_grams_of_windows():
+    rng = random.Random(9)
+    for letters in (b"a", b"ab", b"abcdefgh", bytes(range(256))):
+        raw = [bytes(rng.choice(letters) for _ in range(n)) for n in (0, 49, 50, 51, 0, 300, 90)]
+        text, place, h = (x.tolist() for x in suffix_dedup.anchors(raw))
+        assert list(zip(text, place)) == sorted(set(zip(text, place)))
+        by = {}
+        for t, p, x in zip(text, place, h):
+            assert by.setdefault(raw[t][p : p + 20], x) == x
+        for t, x in enumerate(raw):
+            for k in range(len(x) - 49):
+                assert any(u == t and k <= p <= k + 30 for u, p in zip(text, place))
+        windows = {}
+        for t, x in enumerate(raw):  # equal windows have an anchor's gram in common
+            for k in range(len(x) - 49):
+                windows.setdefault(x[k : k + 50], []).append({raw[t][p : p + 20] for u, p in zip(text, place) if u == t and k <= p <= k + 30})
+        assert all(set.intersection(*v) for v in windows.values())
+
+
 def test_suffix_dedup_deals_large_names(spark, monkeypatch):
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
